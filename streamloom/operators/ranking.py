@@ -50,19 +50,22 @@ def digest_rank(
     return out.drop(_PREFIX, "__rn", "__before", "__total")
 
 
-def hierarchical_position(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
-    """0-based position of every row in the total order given by several columns.
+def hierarchical_offset(
+    df: DataFrame, order: Sequence[str], name: str, weight: str | None = None
+) -> DataFrame:
+    """Sum of `weight` (1 per row by default) over all rows before this one in a total order.
 
-    Rows are counted per distinct prefix of the order columns; each level only orders the
-    distinct values below one parent, so no task ever sorts the table itself.
+    Weights are summed per distinct prefix of the order columns; each level only orders the
+    distinct values below one parent, so no task ever sorts the whole table.
     """
     if not order:
         raise ValueError("an order needs at least one column")
+    w = F.lit(1) if weight is None else col(weight)
     out = df
     offset = F.lit(0).cast("long")
     for depth in range(1, len(order)):
         prefix = list(order[:depth])
-        sizes = df.groupBy(*[col(c) for c in prefix]).agg(F.count(F.lit(1)).alias("__n"))
+        sizes = df.groupBy(*[col(c) for c in prefix]).agg(F.sum(w).alias("__n"))
         within = Window.partitionBy(*[col(c) for c in prefix[:-1]]).orderBy(
             col(prefix[-1]).asc_nulls_first()
         )
@@ -70,9 +73,21 @@ def hierarchical_position(df: DataFrame, order: Sequence[str], name: str) -> Dat
         offsets = sizes.select(*[col(c) for c in prefix], before)
         out = key_join(out, offsets, prefix, "left")
         offset = offset + F.col(f"__before{depth}")
-    last = Window.partitionBy(*[col(c) for c in order[:-1]]).orderBy(
-        col(order[-1]).asc_nulls_first()
+    last = (
+        Window.partitionBy(*[col(c) for c in order[:-1]])
+        .orderBy(col(order[-1]).asc_nulls_first())
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    position = (F.row_number().over(last) - 1 + offset).cast("long")
+    position = (F.sum(w).over(last) - w + offset).cast("long")
     drops = [f"__before{d}" for d in range(1, len(order))]
     return out.withColumn(name, position).drop(*drops)
+
+
+def hierarchical_position(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """0-based position of every row in the total order given by several columns."""
+    return hierarchical_offset(df, order, name)
+
+
+def digest_number(digest_col: Column) -> Column:
+    """First 15 hex digits of a digest as a non-negative integer."""
+    return F.conv(F.substring(digest_col, 1, 15), 16, 10).cast("long")
