@@ -1,0 +1,6 @@
+"""Queries over the test tables; importing the modules fills the registry."""
+
+from scenarios import quality, resampling, training  # noqa: F401
+from scenarios.common import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from streamloom import columns as C
 from streamloom.columns import col
-from streamloom.functions.values import is_finite
+from streamloom.functions.values import is_missing
 from streamloom.operators.joins import key_join
 from streamloom.operators.manifest import ordered_list
 from streamloom.operators.ranking import digest, digest_number, digest_rank, hierarchical_offset
@@ -329,7 +329,12 @@ def window_lanes(
         "__p", F.col("__i") - F.col("lane") * t
     )
     as_inputs = F.array(
-        *[F.when(is_finite(col(c)), col(c)).otherwise(F.lit(PADDING)).cast("float") for c in inputs]
+        *[
+            F.when(is_missing(col(c), rows.schema[c].dataType), F.lit(PADDING))
+            .otherwise(col(c))
+            .cast("float")
+            for c in inputs
+        ]
     )
     as_targets = F.array(
         *[F.coalesce(col(c), F.lit(float("nan"))).cast("float") for c in targets]
