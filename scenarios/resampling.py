@@ -80,7 +80,8 @@ def lttb_sql(points: int) -> str:
       row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) - 1 AS ci,
       count(*) OVER (PARTITION BY user_id) AS m FROM cand),
   f AS (SELECT *, CASE WHEN ci = 0 THEN -1 WHEN ci = m - 1 THEN budget - 2
-      ELSE least(ceil(ci / ((m - 2) / (budget - 2))) - 1, budget - 3) END AS b FROM k WHERE m > budget),
+      ELSE len(list_filter(range(0, budget - 2), lambda i: floor((m - 2) / (budget - 2) * i) + 1 <= ci)) - 1
+      END AS b FROM k WHERE m > budget),
   avgs AS (SELECT user_id, b, avg(t) AS ax, avg(value) AS ay FROM f GROUP BY user_id, b),
   walk AS (
     SELECT user_id, -1 AS b, event_id, t, value FROM f WHERE ci = 0

@@ -67,6 +67,7 @@ class MissingCheck(_RowCheck):
     """Null or NaN numeric values; all numeric columns when none are named."""
 
     columns: tuple[str, ...] | None = None
+    produced: tuple[str, ...] = ()
 
     @property
     def inputs(self) -> tuple[str, ...]:
@@ -88,6 +89,7 @@ class BoundsCheck(_RowCheck):
     """Values strictly outside inclusive (lower, upper) bounds; never clips."""
 
     bounds: tuple[tuple[str, float | None, float | None], ...]
+    produced: tuple[str, ...] = ()
 
     @classmethod
     def of(cls, bounds: dict[str, tuple[float | None, float | None]]) -> BoundsCheck:
@@ -120,6 +122,10 @@ class ImpedanceCheck(_RowCheck):
     def inputs(self) -> tuple[str, ...]:
         return self.components.inputs
 
+    @property
+    def produced(self) -> tuple[str, ...]:
+        return self.components.produced
+
     def prepare(self, frame: OrderedFrame) -> OrderedFrame:
         return frame.map(self.components)
 
@@ -135,6 +141,7 @@ class AxisCheck:
     zero_replacement: float | None = None
     enforce_positive: bool = False
     ordered: bool = True
+    produced: tuple[str, ...] = ()
 
     @property
     def inputs(self) -> tuple[str, ...]:
@@ -189,6 +196,10 @@ class TimeCheck:
     def inputs(self) -> tuple[str, ...]:
         return (self.time,)
 
+    @property
+    def produced(self) -> tuple[str, ...]:
+        return (self.dt,)
+
     def prepare(self, frame: OrderedFrame) -> OrderedFrame:
         if self.time not in frame.df.columns:
             raise ValueError(f"No time column found. Expected {self.time!r}")

@@ -61,26 +61,36 @@ def hierarchical_offset(
     if not order:
         raise ValueError("an order needs at least one column")
     w = F.lit(1) if weight is None else col(weight)
-    out = df
-    offset = F.lit(0).cast("long")
-    for depth in range(1, len(order)):
-        prefix = list(order[:depth])
-        sizes = df.groupBy(*[col(c) for c in prefix]).agg(F.sum(w).alias("__n"))
-        within = Window.partitionBy(*[col(c) for c in prefix[:-1]]).orderBy(
-            col(prefix[-1]).asc_nulls_first()
-        )
-        before = (F.sum("__n").over(within) - F.col("__n")).alias(f"__before{depth}")
-        offsets = sizes.select(*[col(c) for c in prefix], before)
-        out = key_join(out, offsets, prefix, "left")
-        offset = offset + F.col(f"__before{depth}")
+    groups = list(order[:-1])
     last = (
-        Window.partitionBy(*[col(c) for c in order[:-1]])
+        Window.partitionBy(*[col(c) for c in groups])
         .orderBy(col(order[-1]).asc_nulls_first())
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    position = (F.sum(w).over(last) - w + offset).cast("long")
-    drops = [f"__before{d}" for d in range(1, len(order))]
-    return out.withColumn(name, position).drop(*drops)
+    inside = F.sum(w).over(last) - w
+    if not groups:
+        return df.withColumn(name, inside.cast("long"))
+    sizes = df.groupBy(*[col(c) for c in groups]).agg(F.sum(w).alias("__n"))
+    starts = _group_starts(sizes, groups).withColumnsRenamed({"__start": "__group_start"})
+    return (
+        key_join(df, starts, groups, "left")
+        .withColumn(name, (inside + F.col("__group_start")).cast("long"))
+        .drop("__group_start")
+    )
+
+
+def _group_starts(sizes: DataFrame, groups: list[str]) -> DataFrame:
+    """Sum of `__n` over all groups before each group; parents are summed from their children."""
+    *parents, last = groups
+    within = Window.partitionBy(*[col(c) for c in parents]).orderBy(col(last).asc_nulls_first())
+    before = F.sum("__n").over(within) - F.col("__n")
+    if not parents:
+        return sizes.select(*[col(c) for c in groups], before.alias("__start"))
+    parent_sizes = sizes.groupBy(*[col(c) for c in parents]).agg(F.sum("__n").alias("__n"))
+    parent_starts = _group_starts(parent_sizes, parents).withColumnsRenamed({"__start": "__parent"})
+    local = sizes.select(*[col(c) for c in groups], before.alias("__before"))
+    joined = key_join(local, parent_starts, parents, "left")
+    return joined.select(*[col(c) for c in groups], (F.col("__before") + F.col("__parent")).alias("__start"))
 
 
 def hierarchical_position(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:

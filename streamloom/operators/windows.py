@@ -149,15 +149,14 @@ def with_stateful_groups(
     if run == 0 or run < -1:
         raise ValueError(f"run must be -1 or positive, got {run}")
     keys = [*alignment] if chain else [*alignment, C.PROTOCOL.name]
-    some = planned.filter(F.col("`window count`") > 0).withColumn("__rank", protocol_rank())
-    numbered = hierarchical_offset(some, [*keys, "__rank", stream_order], "__global", "window count")
-    total = planned.groupBy(*[col(k) for k in keys]).agg(
-        F.sum("`window count`").alias("state windows")
+    # Streams of one state key are manifest rows, never data rows.
+    key = Window.partitionBy(*[col(k) for k in keys])
+    so_far = key.orderBy(protocol_rank(), col(stream_order)).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
     )
-    firsts = numbered.groupBy(*[col(k) for k in keys]).agg(F.min("__global").alias("__base"))
-    out = key_join(key_join(numbered, total, keys), firsts, keys)
-    return out.withColumn("state start", F.col("__global") - F.col("__base")).drop(
-        "__global", "__base", "__rank"
+    count = F.col("`window count`")
+    return planned.filter(count > 0).withColumns(
+        {"state windows": F.sum(count).over(key), "state start": F.sum(count).over(so_far) - count}
     )
 
 
@@ -177,8 +176,11 @@ def shuffled_batches(
     Stateful groups are ordered by digest, `batch_size` of them form a batch group, and a batch
     group has as many steps as its shortest lane. Impedance spectra cannot be batched this way.
     """
-    if not grouped.filter(col(C.PROTOCOL.name) == "EIS").isEmpty():
-        raise ValueError("shuffled batches do not support EIS; use sequential windows")
+    refused = F.raise_error(F.lit("shuffled batches do not support EIS; use sequential windows"))
+    protocol = col(C.PROTOCOL.name)
+    grouped = grouped.withColumn(
+        C.PROTOCOL.name, F.when(protocol == "EIS", refused.cast("string")).otherwise(protocol)
+    )
     keys = [*alignment] if chain else [*alignment, C.PROTOCOL.name]
     per_key = grouped.select(*[col(k) for k in keys], "state windows").distinct()
     if run == -1:

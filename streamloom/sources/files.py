@@ -6,12 +6,14 @@ import re
 from collections.abc import Sequence
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from streamloom import columns as C
 from streamloom.columns import col
+from streamloom.operators.joins import key_join
+from streamloom.operators.ranking import hierarchical_position
 
 
 class SourceAdapter(Protocol):
@@ -56,10 +58,59 @@ def list_files(
     return paths.filter(wanted & ~hidden).distinct().orderBy("path")
 
 
+FILE_ROW = "file row"
+
+
 def read_untyped(spark: SparkSession, paths: Sequence[str], separator: str = ",") -> DataFrame:
-    """Delimited exports with every column as text; empty cells become null."""
+    """Delimited exports with every column as text, their path and row number in the file.
+
+    Large files are read in splits. A row's number is its place in its split plus the rows of
+    the splits before it, which one small aggregate per split provides.
+    """
     reader = spark.read.option("header", "true").option("inferSchema", "false").option("sep", separator)
-    return reader.csv(list(paths)).withColumn("raw file path", F.col("_metadata.file_path"))
+    rows = reader.csv(list(paths)).withColumns(
+        {
+            "raw file path": F.col("_metadata.file_path"),
+            "__split": F.col("_metadata.file_block_start"),
+            "__seen": F.monotonically_increasing_id(),
+        }
+    )
+    splits = rows.groupBy("raw file path", "__split").agg(
+        F.min("__seen").alias("__first"), F.count(F.lit(1)).alias("__n")
+    )
+    before = Window.partitionBy("raw file path").orderBy("__split")
+    starts = splits.withColumn("__start", F.sum("__n").over(before) - F.col("__n")).drop("__n")
+    numbered = key_join(rows, starts, ["raw file path", "__split"])
+    return numbered.withColumn(
+        FILE_ROW, F.col("__start") + F.col("__seen") - F.col("__first")
+    ).drop("__split", "__seen", "__first", "__start")
+
+
+def read_parquet_sources(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Raw parquet files with their path and row number."""
+    return spark.read.parquet(*paths).withColumns(
+        {"raw file path": F.col("_metadata.file_path"), FILE_ROW: F.col("_metadata.row_index")}
+    )
+
+
+def with_ingest_order(rows: DataFrame, order: Column | None = None) -> DataFrame:
+    """`ingest order`: raw files in their total order, rows in file order; unique per row.
+
+    Files are numbered from the distinct paths, so no data row is sorted.
+    """
+    keys = [C.PROTOCOL.name, C.CYCLE_INDEX.name, C.CELL_ID.name, C.SOC.name]
+    present = [k for k in keys if k in rows.columns]
+    files = rows.select("raw file path", *[col(k) for k in present]).distinct()
+    sort = source_order() if order is None and len(present) == len(keys) else order
+    if sort is None:
+        sort = F.struct(F.col("`raw file path`").alias("path"))
+    flat = files.select("raw file path", sort.alias("o")).select("raw file path", "o.*")
+    numbered = hierarchical_position(
+        flat, [c for c in flat.columns if c != "raw file path"], "__file_no"
+    )
+    joined = key_join(rows, numbered.select("raw file path", "__file_no"), ["raw file path"])
+    value = F.col("__file_no") * F.lit(1 << 40) + F.col(f"`{FILE_ROW}`")
+    return joined.withColumn(C.INGEST_ORDER.name, value.cast("long")).drop("__file_no", FILE_ROW)
 
 
 def _stem(path: Column) -> Column:
