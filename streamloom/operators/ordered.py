@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from streamloom.columns import col
 from streamloom.operators.joins import key_join
-from streamloom.session import max_chunk_rows
+from streamloom.session import checkpoint_dir, max_chunk_rows
 
 CHUNK = "__chunk"
 _SAMPLES_PER_CHUNK = 64
@@ -153,6 +153,9 @@ class OrderedFrame:
                 for n, s in scans.items()
             ],
         ).filter(F.greatest(*[F.col(f"__c_{n}").isNotNull() for n in scans], F.lit(False)))
+        # One small row per chunk. Cutting its lineage keeps stacked scans from doubling the plan.
+        checkpoint_dir(carry.sparkSession)
+        carry = carry.checkpoint()
         edge_row = {
             "__first": F.row_number().over(self.window) == 1,
             "__last": F.lead(F.lit(1)).over(self.window).isNull(),

@@ -88,6 +88,12 @@ class MinMaxLTTB:
             raise ValueError("MinMaxLTTB needs points or points_ratio")
         return F.least(rows, F.greatest(F.lit(self.min_points), wanted)).cast("long")
 
+    def most_rows(self, longest: int) -> int:
+        """Upper limit of output rows for streams of at most `longest` rows."""
+        if self.points is not None:
+            return min(longest, max(self.min_points, self.points))
+        return min(longest, max(self.min_points, math.ceil(longest * self.points_ratio)))
+
     def apply(
         self,
         df: DataFrame,
@@ -96,7 +102,15 @@ class MinMaxLTTB:
         longest: int | None = None,
     ) -> DataFrame:
         """Kept rows with all their columns. (x, ties) must order each stream uniquely."""
-        longest = _longest(df, key) if longest is None else longest
+        longest = longest_stream(df, key) if longest is None else longest
+        # Grouped Arrow functions cannot take column names with dots, so plain names are used.
+        plain = {c: f"c{i}" for i, c in enumerate(df.columns)}
+        spec = replace(self, x=plain[self.x], y=plain[self.y])
+        rows = df.toDF(*plain.values())
+        kept = spec._kept(rows, [plain[k] for k in key], [plain[t] for t in ties], longest)
+        return kept.toDF(*df.columns)
+
+    def _kept(self, df: DataFrame, key: list[str], ties: list[str], longest: int) -> DataFrame:
         candidates = self.candidates(df, key, ties)
         frame = OrderedFrame.of(candidates, key, self.x, ties, longest=longest)
         ranked = frame.scan({"__ci": position(), "__m": total()}).result
@@ -272,7 +286,8 @@ class MinMaxLTTB:
         return rows.filter(~later_entry).unionByName(true_entries)
 
 
-def _longest(df: DataFrame, key: Sequence[str]) -> int:
+def longest_stream(df: DataFrame, key: Sequence[str]) -> int:
+    """Rows of the longest stream; a scan of the key columns only."""
     counts = df.groupBy(*[col(k) for k in key]).count()
     return counts.agg(F.max("count")).first()[0] or 0
 
@@ -493,6 +508,9 @@ class GridResampling:
     def with_budget(self, points: int) -> GridResampling:
         return replace(self, points=points)
 
+    def most_rows(self, longest: int) -> int:
+        return self.points
+
     def _grid(self, low: Column, high: Column, i: Column) -> Column:
         """Grid value number `i`; the ends are exactly low and high."""
         last = self.points - 1

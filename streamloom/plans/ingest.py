@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,23 +12,22 @@ from streamloom import columns as C
 from streamloom.columns import col
 from streamloom.operators.align import add_missing_columns, align_to_protocol
 from streamloom.operators.manifest import ordered_list, resolve_provenance
-from streamloom.operators.ordered import OrderedFrame, position
 from streamloom.operators.select import batch_metadata_errors, require_no_rows
 from streamloom.plans.datasets import DatasetSpec
 from streamloom.protocols import INGEST_MANIFEST, PROTOCOL_RANK, PROVENANCE
+from streamloom.session import checkpoint_dir
 from streamloom.sources.files import (
     list_files,
     path_protocol,
     read_parquet_sources,
     read_untyped,
+    source_files,
     with_ingest_order,
     with_path_metadata,
     with_sidecar_metadata,
 )
 from streamloom.sources.writers import write_manifest, write_shards, written_segments
 
-LINEAGE = ["raw file path", "file row"]
-
 
 @dataclass(frozen=True)
 class DelimitedSource:
@@ -84,21 +83,19 @@ def align_batches(spec: DatasetSpec, raw: Mapping[str, DataFrame]) -> dict[str,
     for name, rows in raw.items():
         ingest = spec.ingest_spec(name)
         key = ingest.protocol.key_names
+        files = source_files(rows, key)
+        checkpoint_dir(files.sparkSession)
+        files = files.checkpoint()
         require_no_rows(
-            batch_metadata_errors(
-                rows.select("raw file path", C.PROTOCOL.name, *[col(k) for k in key]).distinct(),
-                ingest.protocol,
-            ),
+            batch_metadata_errors(files, ingest.protocol).select("raw file path", "problem"),
             "Raw batch metadata",
         )
-        ordered = with_ingest_order(rows)
+        ordered = with_ingest_order(rows, files)
         extra = [c.name for c in ingest.manifest_columns if c.name in ordered.columns]
-        keep = [*key, C.PROTOCOL.name, *extra, "raw file path", C.INGEST_ORDER.name]
-        filled = add_missing_columns(ordered, ingest.columns)
+        keep = [*key, C.PROTOCOL.name, *extra, "raw file path", C.INGEST_ORDER.name, C.ROW_POSITION.name]
+        filled = add_missing_columns(ordered, ingest.columns, ignore=keep)
         surplus = [C.SOC.name] if C.SOC.name not in key and C.SOC.name in filled.columns else []
-        aligned, _ = align_to_protocol(filled.drop(*surplus), ingest, keep)
-        frame = OrderedFrame.of(aligned, key, C.INGEST_ORDER.name)
-        out[name] = frame.scan({C.ROW_POSITION.name: position()}).result
+        out[name], _ = align_to_protocol(filled.drop(*surplus), ingest, keep)
     return out
 
 
@@ -156,7 +153,3 @@ def run_ingest(
 def ingested_rows(spark: SparkSession, output_root: str, spec: DatasetSpec, protocol: str) -> DataFrame:
     stage = f"{output_root.rstrip('/')}/{spec.stage_root('ingested')}"
     return spark.read.parquet(f"{stage}/data/{protocol.casefold()}")
-
-
-def with_source_spec(source, spec: DatasetSpec):
-    return replace(source, spec=spec)

@@ -29,6 +29,7 @@ from streamloom.operators.resample import (
     MinMaxLTTB,
     compensated,
     compensation_signal,
+    longest_stream,
     no_resampling_metadata,
 )
 from streamloom.operators.select import selection_condition
@@ -59,6 +60,8 @@ def normalize_rows(
     rows per task, known from the manifest, and saves counting them.
     """
     key = spec.protocol.key_names
+    if longest is None:
+        longest = longest_stream(ingested, key)
     specs = {c.name: c for c in spec.output_columns}
     required = [specs.get(n) or _canonical(n) for n in spec.required_inputs]
     check_required_inputs(ingested.columns, required, spec.protocol)
@@ -83,6 +86,7 @@ def normalize_rows(
             selected = _compensated(selected, spec.resampling, key, ties, signal, longest)
         else:
             selected = spec.resampling.apply(selected, key, ties, longest=longest)
+        longest = spec.resampling.most_rows(longest)
     left = [t for t in ties if t in selected.columns]
     numbered = OrderedFrame.of(selected, key, axis, left, longest=longest).scan(
         {C.ROW_POSITION.name: position()}
@@ -133,9 +137,13 @@ def resample_again(rows: DataFrame, manifest: DataFrame, spec: NormalizeSpec) ->
     if spec.resampling is None:
         return rows
     key = spec.protocol.key_names
+    longest = longest_stream(rows, key)
     data = rows.drop(C.ROW_POSITION.name, C.PROTOCOL.name)
-    out = spec.resampling.apply(data, key)
-    numbered = OrderedFrame.of(out, key, spec.order[0].name).scan({C.ROW_POSITION.name: position()})
+    out = spec.resampling.apply(data, key, longest=longest)
+    frame = OrderedFrame.of(
+        out, key, spec.order[0].name, longest=spec.resampling.most_rows(longest)
+    )
+    numbered = frame.scan({C.ROW_POSITION.name: position()})
     return numbered.result.withColumn(C.PROTOCOL.name, F.lit(spec.protocol.name))
 
 

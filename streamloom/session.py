@@ -9,6 +9,8 @@ from pyspark.sql import SparkSession
 
 REQUIRED_CONF = {
     "spark.sql.session.timeZone": "UTC",
+    # `cycle index` (task key) and `Cycle index` (tester counter) are different columns.
+    "spark.sql.caseSensitive": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",

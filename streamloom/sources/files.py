@@ -13,7 +13,6 @@ from pyspark.sql import types as T
 from streamloom import columns as C
 from streamloom.columns import col
 from streamloom.operators.joins import key_join
-from streamloom.operators.ranking import hierarchical_position
 
 
 class SourceAdapter(Protocol):
@@ -93,24 +92,41 @@ def read_parquet_sources(spark: SparkSession, paths: Sequence[str]) -> DataFrame
     )
 
 
-def with_ingest_order(rows: DataFrame, order: Column | None = None) -> DataFrame:
-    """`ingest order`: raw files in their total order, rows in file order; unique per row.
+def source_files(rows: DataFrame, key: Sequence[str]) -> DataFrame:
+    """One row per raw file: its number in the total file order and its start in its stream.
 
-    Files are numbered from the distinct paths, so no data row is sorted.
+    As long as the list of input files, which Spark itself keeps on the driver.
     """
-    keys = [C.PROTOCOL.name, C.CYCLE_INDEX.name, C.CELL_ID.name, C.SOC.name]
-    present = [k for k in keys if k in rows.columns]
-    files = rows.select("raw file path", *[col(k) for k in present]).distinct()
-    sort = source_order() if order is None and len(present) == len(keys) else order
-    if sort is None:
-        sort = F.struct(F.col("`raw file path`").alias("path"))
-    flat = files.select("raw file path", sort.alias("o")).select("raw file path", "o.*")
-    numbered = hierarchical_position(
-        flat, [c for c in flat.columns if c != "raw file path"], "__file_no"
+    names = list(dict.fromkeys([C.PROTOCOL.name, *key, C.CYCLE_INDEX.name, C.CELL_ID.name, C.SOC.name]))
+    present = [n for n in names if n in rows.columns]
+    files = rows.groupBy("raw file path", *[col(n) for n in present]).agg(
+        F.count(F.lit(1)).alias("__rows")
     )
-    joined = key_join(rows, numbered.select("raw file path", "__file_no"), ["raw file path"])
-    value = F.col("__file_no") * F.lit(1 << 40) + F.col(f"`{FILE_ROW}`")
-    return joined.withColumn(C.INGEST_ORDER.name, value.cast("long")).drop("__file_no", FILE_ROW)
+    if C.SOC.name not in present:
+        files = files.withColumn(C.SOC.name, C.SOC.null())
+    ordered = files.withColumn("__order", source_order())
+    in_stream = Window.partitionBy(*[col(k) for k in key]).orderBy("__order")
+    return ordered.withColumns(
+        {
+            "__file_no": F.row_number().over(Window.orderBy("__order")) - 1,
+            "__start": F.sum("__rows").over(in_stream) - F.col("__rows"),
+        }
+    ).drop("__order")
+
+
+def with_ingest_order(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """`ingest order` (unique, files in order then rows in file order) and `row position`.
+
+    Both are sums of file sizes and row numbers, so no data row is sorted.
+    """
+    joined = key_join(rows, files.select("raw file path", "__file_no", "__start"), ["raw file path"])
+    row = F.col(f"`{FILE_ROW}`")
+    return joined.withColumns(
+        {
+            C.INGEST_ORDER.name: (F.col("__file_no") * F.lit(1 << 40) + row).cast("long"),
+            C.ROW_POSITION.name: (F.col("__start") + row).cast("long"),
+        }
+    ).drop("__file_no", "__start", FILE_ROW)
 
 
 def _stem(path: Column) -> Column:

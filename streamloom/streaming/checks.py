@@ -7,6 +7,7 @@ by (axis, ties) unless `late="reference"`, which keeps arrival order.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -26,20 +27,12 @@ from streamloom.operators.checks import (
     TimeCheck,
     final_annotations,
 )
-from streamloom.functions.values import is_missing, is_numeric, or_false
+from streamloom.functions.values import or_false
 
-DUPLICATE, BIG, LATE = "__duplicate", "__big_dt", "__late"
+DUPLICATE, BIG = "__duplicate", "__big_dt"
 
 
-def _pending_schema(schema: T.StructType) -> T.StructType:
-    return T.StructType(
-        [
-            T.StructField("pending", T.BinaryType()),
-            T.StructField("elapsed", T.DoubleType()),
-            T.StructField("duplicate", T.BooleanType()),
-            T.StructField("late", T.LongType()),
-        ]
-    )
+PENDING_STATE = "pending binary, elapsed double, duplicate boolean, late long"
 
 
 def rebuild_rows(
@@ -105,8 +98,22 @@ def stream_time_check(
     check = check or TimeCheck()
     if watermark is not None:
         stream = stream.withWatermark(*watermark)
+    # Grouped pandas functions cannot take column names with dots, so plain names are used.
+    given = stream.drop(check.dt)
+    plain = {c: f"c{i}" for i, c in enumerate(given.columns)}
+    renamed = given.toDF(*plain.values())
+    safe = TimeCheck(plain[check.time], "dt", check.max_dt_s)
+    out = _stream_time_check(
+        renamed, [plain[k] for k in key], safe, [plain[t] for t in ties], late
+    )
+    return out.toDF(*given.columns, check.dt, DUPLICATE, BIG)
+
+
+def _stream_time_check(
+    stream: DataFrame, key: list[str], check: TimeCheck, ties: list[str], late: str
+) -> DataFrame:
     time, dt, limit = check.time, check.dt, check.max_dt_s
-    names = [c for c in stream.columns if c != dt]
+    names = list(stream.columns)
     flags = [
         T.StructField(dt, T.DoubleType()),
         T.StructField(DUPLICATE, T.BooleanType()),
@@ -115,7 +122,6 @@ def stream_time_check(
     fields = [
         T.StructField(time, T.DoubleType()) if f.name == time else f
         for f in stream.schema
-        if f.name != dt
     ]
     output = T.StructType([*fields, *flags])
     order = [time, *ties]
@@ -141,7 +147,7 @@ def stream_time_check(
             yield emit[[f.name for f in output]]
 
     return stream.groupBy(*[col(k) for k in key]).applyInPandasWithState(
-        step, output, _pending_schema(stream.schema), "append", GroupStateTimeout.NoTimeout
+        step, output, PENDING_STATE, "append", GroupStateTimeout.NoTimeout
     )
 
 
@@ -165,6 +171,16 @@ def stream_axis_check(
     stream: DataFrame, key: Sequence[str], check: AxisCheck, ties: Sequence[str] = ()
 ) -> DataFrame:
     """Flags axis values against the last non-null value seen before; adds `__invalid_axis`."""
+    plain = {c: f"c{i}" for i, c in enumerate(stream.columns)}
+    renamed = stream.toDF(*plain.values())
+    safe = replace(check, axis=plain[check.axis])
+    out = _stream_axis_check(renamed, [plain[k] for k in key], safe, [plain[t] for t in ties])
+    return out.toDF(*stream.columns, "__invalid_axis")
+
+
+def _stream_axis_check(
+    stream: DataFrame, key: list[str], check: AxisCheck, ties: list[str]
+) -> DataFrame:
     axis = check.axis
     output = T.StructType([*stream.schema.fields, T.StructField("__invalid_axis", T.BooleanType())])
     state_schema = T.StructType([T.StructField("previous", T.DoubleType())])

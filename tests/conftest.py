@@ -7,7 +7,7 @@ CHUNK_CONF = "spark.streamloom.maxChunkRows"
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(4, shuffle_partitions=4)
+    session = local_session(4, shuffle_partitions=2)
     yield session
     session.stop()
 
