@@ -101,10 +101,11 @@ def path_metadata(spark, d):
         "cycle index" AS c, "cell id" AS cell, coalesce("SOC [%]", -1) AS soc,
         CASE page_id % 5 WHEN 0 THEN 2 ELSE 0 END AS part,
         CASE page_id % 5 WHEN 0 THEN page_id % 7 WHEN 1 THEN page_id % 4 WHEN 2 THEN page_id WHEN 3 THEN 2 END AS ch
-      FROM ({PATH_META}) WHERE page_id % 5 < 4)""",
+      FROM ({PATH_META}) WHERE "cycle index" IS NOT NULL)""",
 )
 def file_order(spark, d):
-    named = with_path_metadata(raw_paths(spark, d).filter("page_id % 5 < 4"), "path")
+    named = with_path_metadata(raw_paths(spark, d), "path", strict=False)
+    named = named.filter(col("cycle index").isNotNull())
     return (
         named.withColumn("o", source_order("path"))
         .withColumn("cycle", F.col("o.cycle"))
@@ -180,11 +181,15 @@ def provenance(spark, d):
     return out.withColumnRenamed("cycle index", "cycle")
 
 
-@query("s15_stage_rows", "SELECT event_id, user_id FROM events WHERE user_id % 7 = 0 AND event_type = 'view'")
+@query(
+    "s15_stage_rows",
+    """SELECT event_id, user_id FROM events JOIN (SELECT user_id, event_type FROM events WHERE event_type = 'view'
+      GROUP BY ALL HAVING count(*) >= 14) USING (user_id, event_type)""",
+)
 def selected_rows(spark, d):
     data = table(spark, d, "events").withColumnsRenamed({"event_type": "protocol"})
-    manifest = data.select("protocol", "user_id").distinct()
-    chosen = manifest.filter((F.col("protocol") == "view") & (F.col("user_id") % 7 == 0))
+    manifest = data.groupBy("protocol", "user_id").agg(F.count(F.lit(1)).alias("row count"))
+    chosen = manifest.filter((F.col("protocol") == "view") & (F.col("`row count`") >= 14))
     return stage_rows(data, chosen, ["protocol", "user_id"]).select("event_id", "user_id")
 
 

@@ -14,9 +14,10 @@ from streamloom.functions.scaling import ScalingRule
 from streamloom.operators.align import union_relaxed
 from streamloom.operators.joins import key_join
 from streamloom.operators.ranking import digest, digest_rank, hierarchical_position
+from streamloom.protocols import protocol_name
 from streamloom.operators.select import (
+    check_protocols,
     check_revisions,
-    filter_protocols,
     non_canonical_segments,
     provided_groups,
     require_columns,
@@ -108,23 +109,29 @@ def build_index(
     """Union of normalized manifests (by canonical path) with split and row ids."""
     if not manifests:
         raise ValueError("manifests must not be empty")
-    loaded = []
-    for path, manifest in manifests.items():
+    named = {p: m.withColumn(C.MANIFEST_PATH.name, F.lit(p)) for p, m in manifests.items()}
+    for path, manifest in named.items():
         if manifest.isEmpty():
             raise ValueError(f"Manifest is empty: {path}")
-        named = manifest.withColumn(C.MANIFEST_PATH.name, F.lit(path))
-        if revisions is not None:
-            check_revisions(named, {path: revisions[path]})
         if C.NORMALIZED_SEGMENTS.name in manifest.columns:
             require_no_rows(
                 non_canonical_segments(manifest, C.NORMALIZED_SEGMENTS.name), "Segment paths"
             )
-        loaded.append(with_manifest_row_ids(with_dataset_id(named, path)))
-    index = union_relaxed(loaded)
+    if revisions is not None:
+        recorded = [C.MANIFEST_PATH.name, C.GIT_COMMIT.name, C.GIT_STATUS.name]
+        parts = [m.select(*[col(c) for c in recorded]).distinct() for m in named.values()]
+        check_revisions(union_relaxed(parts), {p: revisions[p] for p in named})
+    loaded = [with_dataset_id(m, p) for p, m in named.items()]
+    plain = union_relaxed(loaded)
     require_columns(
-        index.columns, (C.PROTOCOL.name, C.ROW_COUNT.name, C.NORMALIZED_SEGMENTS.name), "Manifest"
+        plain.columns, (C.PROTOCOL.name, C.ROW_COUNT.name, C.NORMALIZED_SEGMENTS.name), "Manifest"
     )
-    index = filter_protocols(index, protocols, protocol_mode)
+    if protocols is not None:
+        # Checked before row ids are added, which the check does not need.
+        check_protocols(plain, protocols, protocol_mode)
+    index = union_relaxed([with_manifest_row_ids(m) for m in loaded])
+    if protocols is not None:
+        index = index.filter(col(C.PROTOCOL.name).isin(*[protocol_name(p) for p in protocols]))
     return with_index_row_ids(assign_splits(index, validation))
 
 

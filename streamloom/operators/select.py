@@ -133,23 +133,27 @@ def filter_protocols(
     """
     if protocols is None:
         return index
+    check_protocols(index, protocols, mode)
+    return index.filter(col(C.PROTOCOL.name).isin(*[protocol_name(p) for p in protocols]))
+
+
+def check_protocols(index: DataFrame, protocols: Sequence[object], mode: str = "strict") -> None:
+    """Fail when a requested protocol is absent in a way the mode does not allow."""
     if mode not in ("strict", "available"):
         raise ValueError(f"mode must be 'strict' or 'available', got {mode!r}")
     if not protocols:
         raise ValueError("protocols must not be empty when given")
     names = [protocol_name(p) for p in protocols]
-    gaps = protocol_availability(index, protocols).filter(F.size("missing") > 0)
-    for row in gaps.limit(_SAMPLE).collect():
+    worst_first = F.size("missing").desc()
+    gaps = protocol_availability(index, protocols).orderBy(worst_first).limit(_SAMPLE).collect()
+    if not gaps:
+        raise ValueError(f"No rows remain after protocol selection {names}")
+    for row in gaps:
         text = f"dataset={row[0]!r} missing={row['missing']} available={row['available']}"
-        if mode == "strict" or len(row["missing"]) == len(set(names)):
+        if row["missing"] and (mode == "strict" or len(row["missing"]) == len(set(names))):
             raise ValueError(f"Requested protocols not found: {text}")
-        log.warning("Using the available protocols only: %s", text)
-    if mode == "available" and not gaps.filter(F.size("missing") == len(set(names))).isEmpty():
-        raise ValueError("Requested protocols are absent for one or more datasets")
-    rows = index.filter(col(C.PROTOCOL.name).isin(*names))
-    if rows.isEmpty():
-        raise ValueError(f"No rows remain after protocol selection {names}")
-    return rows
+        if row["missing"]:
+            log.warning("Using the available protocols only: %s", text)
 
 
 def provided_groups(
