@@ -115,11 +115,11 @@ def file_order(spark, d):
 
 
 def _ranked(df):
-    from streamloom.operators.ranking import hierarchical_position
+    from streamloom.operators.ranking import total_order_position
 
     flat = df.select("page_id", "o.*")
     order = ["protocol", "cycle", "cell", "soc", "part", "channel", "path"]
-    return hierarchical_position(flat, order, "place").withColumn("place", F.col("place") + 1)
+    return total_order_position(flat, order, "place").withColumn("place", F.col("place") + 1)
 
 
 @query(

@@ -1 +1,8 @@
 """Time-series preparation on Spark: DataFrame-to-DataFrame operators over task-keyed tables."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions sent to Python workers travel with their code, so executors need no installed copy.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,6 +12,7 @@ from streamloom.columns import col
 
 _FRACTIONAL = (T.DoubleType, T.FloatType)
 _NUMERIC = (T.NumericType,)
+_UTC = ("UTC", "Etc/UTC", "GMT", "Z", "+00:00")
 
 
 def is_numeric(dtype: T.DataType) -> bool:
@@ -35,6 +36,9 @@ def or_false(condition: Column) -> Column:
 
 def epoch_micros(ts: Column) -> Column:
     """Microseconds since 1970 of a timestamp without time zone, independent of the session zone."""
+    session = SparkSession.getActiveSession()
+    if session is not None and session.conf.get("spark.sql.session.timeZone") in _UTC:
+        return F.unix_micros(ts.cast("timestamp"))
     seconds = F.unix_date(ts.cast("date")).cast("long") * 86400 + F.hour(ts) * 3600
     seconds = seconds + F.minute(ts) * 60
     fraction = F.date_part(F.lit("SECOND"), ts) * 1_000_000

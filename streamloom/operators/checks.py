@@ -267,8 +267,7 @@ class CheckedStreams:
 
 
 def run_checks(frame: OrderedFrame, checks: Sequence[Check]) -> CheckedStreams:
-    empty = F.array().cast(f"array<{ANNOTATION.simpleString()}>")
-    frame = frame.with_columns(**{FINDINGS: empty, KEEP: F.lit(True)})
+    frame = frame.with_columns(**{FINDINGS: _no_findings(), KEEP: F.lit(True)})
     dropped: list[DataFrame] = []
     may_drop = False
     for check in checks:
@@ -292,16 +291,19 @@ def run_checks(frame: OrderedFrame, checks: Sequence[Check]) -> CheckedStreams:
 def _record(frame: OrderedFrame, found: list[Finding]) -> OrderedFrame:
     if not found:
         return frame
+    # Arrays of zero or one element instead of a filter lambda: these stay in generated code.
     flags = [
         F.when(
             F.col(KEEP) & or_false(f.condition),
-            F.struct(F.lit(f.column).alias("column"), F.lit(f.reason).alias("reason")),
-        )
+            F.array(F.struct(F.lit(f.column).alias("column"), F.lit(f.reason).alias("reason"))),
+        ).otherwise(_no_findings())
         for f in found
     ]
-    return frame.with_columns(
-        **{FINDINGS: F.concat(F.col(FINDINGS), F.array_compact(F.array(*flags)))}
-    )
+    return frame.with_columns(**{FINDINGS: F.concat(F.col(FINDINGS), *flags)})
+
+
+def _no_findings() -> Column:
+    return F.array().cast(f"array<{ANNOTATION.simpleString()}>")
 
 
 def final_annotations(findings: Column) -> Column:

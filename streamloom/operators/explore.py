@@ -13,7 +13,7 @@ from streamloom.operators.align import coalesced
 from streamloom.operators.checks import TimeCheck
 from streamloom.operators.joins import key_join
 from streamloom.operators.ordered import OrderedFrame, position
-from streamloom.operators.ranking import hierarchical_offset
+from streamloom.operators.ranking import total_order_offset
 from streamloom.operators.resample import GridResampling, MinMaxLTTB
 from streamloom.operators.select import viewport_condition
 
@@ -80,7 +80,9 @@ def selected_page(
     place = F.array_position(F.array(*[F.lit(t) for t in traces]), F.col("trace"))
     wanted = indexed.withColumn("trace order", place).filter(F.col("trace order") > 0)
     sizes = wanted.groupBy("trace order").agg(F.count(F.lit(1)).alias("__n"))
-    starts = hierarchical_offset(sizes, ["trace order"], "__start", "__n").drop("__n")
+    starts = total_order_offset(
+        sizes, ["trace order"], "__start", "__n", longest=len(traces)
+    ).drop("__n")
     numbered = wanted.join(starts, "trace order").withColumn(
         "row number", F.col("__start") + F.col("`data index`")
     )

@@ -13,7 +13,7 @@ from streamloom.columns import col
 from streamloom.functions.scaling import ScalingRule
 from streamloom.operators.align import union_relaxed
 from streamloom.operators.joins import key_join
-from streamloom.operators.ranking import digest, digest_rank, hierarchical_position
+from streamloom.operators.ranking import digest, digest_rank, total_order_position
 from streamloom.protocols import protocol_name
 from streamloom.operators.select import (
     check_protocols,
@@ -91,12 +91,12 @@ def with_manifest_row_ids(manifest: DataFrame) -> DataFrame:
     """Row number inside one manifest: cycle, cell, protocol, then the remaining key columns."""
     extra = [c.name for c in (C.SOC, C.EIS_VOLTAGE) if c.name in manifest.columns]
     order = [c for c in MANIFEST_ORDER if c in manifest.columns] + extra
-    return hierarchical_position(manifest, order, MANIFEST_ROW_ID)
+    return total_order_position(manifest, order, MANIFEST_ROW_ID)
 
 
 def with_index_row_ids(index: DataFrame) -> DataFrame:
     order = [c for c in INDEX_ORDER if c in index.columns]
-    return hierarchical_position(index.drop(INDEX_ROW_ID), order, INDEX_ROW_ID)
+    return total_order_position(index.drop(INDEX_ROW_ID), order, INDEX_ROW_ID)
 
 
 def build_index(

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from streamloom.columns import col
+from streamloom.functions.values import is_numeric
 from streamloom.operators.joins import key_join
+from streamloom.operators.ordered import OrderedFrame, running_sum
 
 _PREFIX = "__prefix"
 
@@ -50,52 +52,44 @@ def digest_rank(
     return out.drop(_PREFIX, "__rn", "__before", "__total")
 
 
-def hierarchical_offset(
-    df: DataFrame, order: Sequence[str], name: str, weight: str | None = None
+def total_order_offset(
+    df: DataFrame,
+    order: Sequence[str],
+    name: str,
+    weight: str | None = None,
+    longest: int | None = None,
 ) -> DataFrame:
     """Sum of `weight` (1 per row by default) over all rows before this one in a total order.
 
-    Weights are summed per distinct prefix of the order columns; each level only orders the
-    distinct values below one parent, so no task ever sorts the whole table.
+    The columns before the first numeric one form groups; rows are ordered inside a group by the
+    numeric column and the rest, with long groups cut into chunks. Only the table of group sizes
+    is ordered as a whole.
     """
-    if not order:
-        raise ValueError("an order needs at least one column")
+    axis_at = next((i for i, c in enumerate(order) if is_numeric(df.schema[c].dataType)), None)
+    if axis_at is None:
+        raise ValueError(f"a total order needs a numeric column, got {list(order)}")
+    groups, axis, ties = list(order[:axis_at]), order[axis_at], list(order[axis_at + 1 :])
     w = F.lit(1) if weight is None else col(weight)
-    groups = list(order[:-1])
-    last = (
-        Window.partitionBy(*[col(c) for c in groups])
-        .orderBy(col(order[-1]).asc_nulls_first())
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    inside = F.sum(w).over(last) - w
+    frame = OrderedFrame.of(df, groups, axis, ties, longest=longest)
+    summed = frame.scan({name: running_sum(w)}).result
+    inside = col(name) - w
     if not groups:
-        return df.withColumn(name, inside.cast("long"))
+        return summed.withColumn(name, inside.cast("long"))
     sizes = df.groupBy(*[col(c) for c in groups]).agg(F.sum(w).alias("__n"))
-    starts = _group_starts(sizes, groups).withColumnsRenamed({"__start": "__group_start"})
+    before = Window.orderBy(*[col(c) for c in groups])
+    starts = sizes.select(
+        *[col(c) for c in groups], (F.sum("__n").over(before) - F.col("__n")).alias("__start")
+    )
     return (
-        key_join(df, starts, groups, "left")
-        .withColumn(name, (inside + F.col("__group_start")).cast("long"))
-        .drop("__group_start")
+        key_join(summed, starts, groups, "left")
+        .withColumn(name, (inside + F.col("__start")).cast("long"))
+        .drop("__start")
     )
 
 
-def _group_starts(sizes: DataFrame, groups: list[str]) -> DataFrame:
-    """Sum of `__n` over all groups before each group; parents are summed from their children."""
-    *parents, last = groups
-    within = Window.partitionBy(*[col(c) for c in parents]).orderBy(col(last).asc_nulls_first())
-    before = F.sum("__n").over(within) - F.col("__n")
-    if not parents:
-        return sizes.select(*[col(c) for c in groups], before.alias("__start"))
-    parent_sizes = sizes.groupBy(*[col(c) for c in parents]).agg(F.sum("__n").alias("__n"))
-    parent_starts = _group_starts(parent_sizes, parents).withColumnsRenamed({"__start": "__parent"})
-    local = sizes.select(*[col(c) for c in groups], before.alias("__before"))
-    joined = key_join(local, parent_starts, parents, "left")
-    return joined.select(*[col(c) for c in groups], (F.col("__before") + F.col("__parent")).alias("__start"))
-
-
-def hierarchical_position(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+def total_order_position(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     """0-based position of every row in the total order given by several columns."""
-    return hierarchical_offset(df, order, name)
+    return total_order_offset(df, order, name)
 
 
 def digest_number(digest_col: Column) -> Column:

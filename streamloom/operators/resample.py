@@ -33,7 +33,7 @@ from streamloom.operators.ordered import (
     first_valid,
     total,
 )
-from streamloom.session import max_chunk_rows
+from streamloom.session import checkpoint_dir, max_chunk_rows
 
 PRESELECT_RATIO = 4
 BLOCK_BUCKETS = 65_536
@@ -112,6 +112,10 @@ class MinMaxLTTB:
 
     def _kept(self, df: DataFrame, key: list[str], ties: list[str], longest: int) -> DataFrame:
         candidates = self.candidates(df, key, ties)
+        if longest > min(self.block_buckets, max_chunk_rows(df.sparkSession)):
+            # Splitting reads the candidates several times; they are few compared with the rows.
+            checkpoint_dir(df.sparkSession)
+            candidates = candidates.checkpoint()
         frame = OrderedFrame.of(candidates, key, self.x, ties, longest=longest)
         ranked = frame.scan({"__ci": position(), "__m": total()}).result
         rows = self._with_roles(ranked)
@@ -276,14 +280,13 @@ class MinMaxLTTB:
 
         # One row per block and entry candidate: the stream itself is not gathered here.
         entries = maps.groupBy(*keys).applyInPandas(chain, chain_schema)
+        # Small: cut here so that the rows are only read once more, for the final pick.
+        checkpoint_dir(entries.sparkSession)
+        entries = entries.checkpoint()
         later_entry = (F.col("__role") == "entry") & (F.col("__block") > 0)
-        true_entries = key_join(
-            rows.filter(later_entry),
-            entries.withColumnRenamed("__entry", "__ci"),
-            [*key, "__block", "__ci"],
-            "left_semi",
-        )
-        return rows.filter(~later_entry).unionByName(true_entries)
+        known = key_join(rows, entries, [*key, "__block"], "left")
+        arrived = F.col("__ci") == F.col("__entry")
+        return known.filter(~later_entry | F.coalesce(arrived, F.lit(False))).drop("__entry")
 
 
 def longest_stream(df: DataFrame, key: Sequence[str]) -> int:

@@ -17,7 +17,7 @@ from streamloom.columns import col
 from streamloom.functions.values import is_missing
 from streamloom.operators.joins import key_join
 from streamloom.operators.manifest import ordered_list
-from streamloom.operators.ranking import digest, digest_number, digest_rank, hierarchical_offset
+from streamloom.operators.ranking import digest, digest_number, digest_rank, total_order_offset
 from streamloom.protocols import PROTOCOL_RANK
 from streamloom.sources.tables import segment_windows
 
@@ -204,10 +204,8 @@ def shuffled_batches(
     shortest = Window.partitionBy("batch group")  # at most batch_size rows
     placed = placed.withColumn("steps", F.min("__len").over(shortest))
     if run == -1:
-        sizes = placed.select("batch group", "steps").distinct().withColumn(
-            "__part", F.floor(F.col("`batch group`") / 10_000)
-        )
-        starts = hierarchical_offset(sizes, ["__part", "batch group"], "plan start", "steps")
+        sizes = placed.select("batch group", "steps").distinct()
+        starts = total_order_offset(sizes, ["batch group"], "plan start", "steps")
         placed = placed.join(starts.select("batch group", "plan start"), "batch group")
     else:
         placed = placed.withColumn("plan start", F.col("`batch group`") * run)
@@ -232,7 +230,7 @@ def shuffled_batches(
 
 def with_sequential_plan_index(planned: DataFrame, order: Sequence[str]) -> DataFrame:
     """`plan start`: windows of all earlier streams in the given order."""
-    return hierarchical_offset(planned, order, "plan start", "window count")
+    return total_order_offset(planned, order, "plan start", "window count")
 
 
 def batch_counts(planned: DataFrame) -> DataFrame:

@@ -26,6 +26,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
         **REQUIRED_CONF,
         "spark.ui.enabled": "false",
         "spark.driver.memory": "12g",
+        # Small test data: keep enough tasks for all cores after a shuffle.
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
         "spark.sql.shuffle.partitions": str(shuffle_partitions),
         **conf,
     }

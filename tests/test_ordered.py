@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from streamloom.operators import ordered as o
-from streamloom.operators.ranking import digest, digest_rank, hierarchical_position
+from streamloom.operators.ranking import digest, digest_rank, total_order_position
 
 
 def scans():
@@ -50,7 +50,7 @@ def test_digest_rank_is_a_permutation_in_digest_order(events):
     assert {r["n"] for r in rows} == {len(rows)}
 
 
-def test_hierarchical_position_matches_sort(events):
+def test_total_order_position_matches_sort(events):
     order = ["event_type", "user_id", "event_id"]
-    rows = hierarchical_position(events, order, "p").orderBy(*order).select("p").collect()
+    rows = total_order_position(events, order, "p").orderBy(*order).select("p").collect()
     assert [r["p"] for r in rows] == list(range(len(rows)))
