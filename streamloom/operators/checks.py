@@ -19,7 +19,7 @@ from streamloom import columns as C
 from streamloom.columns import ANNOTATION, col
 from streamloom.functions.derive import ImpedanceComponents, replace_zero
 from streamloom.functions.values import is_missing, is_numeric, or_false
-from streamloom.operators.joins import key_join
+from streamloom.operators.joins import spread_join
 from streamloom.operators.ordered import OrderedFrame, first_valid, lag, lead
 
 FINDINGS = "__findings"
@@ -259,7 +259,8 @@ class CheckedStreams:
         keys = list(self.frame.key)
         if self.frame.split or self.dropped:
             bad = self.violations().select(*[col(k) for k in keys]).distinct()
-            return key_join(self._live, bad, keys, "left_anti").drop(FINDINGS, KEEP)
+            at = col(self.frame.axis)
+            return spread_join(self._live, bad, keys, at, "left_anti").drop(FINDINGS, KEEP)
         # Streams are below the chunk bound here, so a whole-stream frame fits a task.
         whole = Window.partitionBy(*[col(k) for k in keys])
         flagged = self.frame.result.withColumn("__bad", F.max(F.size(FINDINGS) > 0).over(whole))

@@ -1,11 +1,11 @@
-"""Key joins used by several operators."""
+"""Key joins used by several operators; null keys match null keys."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from streamloom.columns import col
@@ -23,3 +23,26 @@ def key_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     on = reduce(lambda a, b: a & b, [col(k).eqNullSafe(F.col(r)) for k, r in renamed.items()])
     joined = left.join(side, on, how)
     return joined if how in ("left_semi", "left_anti") else joined.drop(*renamed.values())
+
+
+SALT_COPIES = 32
+
+
+def spread_join(
+    rows: DataFrame,
+    per_key: DataFrame,
+    keys: Sequence[str],
+    spread_by: Column,
+    how: str = "inner",
+    copies: int = SALT_COPIES,
+) -> DataFrame:
+    """Join data rows with a table of one row per key, however many rows a key has.
+
+    A plain key join would put all rows of a key into one task and, as its partitioning suits a
+    following group-by on more columns, keep them there. Rows are therefore spread over
+    `copies` salts taken from a row-level value, and the small side is repeated once per salt.
+    """
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(spread_by), F.lit(copies)).cast("int"))
+    numbers = F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))
+    repeated = per_key.withColumn("__salt", numbers)
+    return key_join(salted, repeated, [*keys, "__salt"], how).drop("__salt")

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from streamloom import columns as C
 from streamloom.columns import col, quoted
 from streamloom.functions.values import is_finite, is_numeric, json_params
-from streamloom.operators.joins import key_join
+from streamloom.operators.joins import key_join, spread_join
 from streamloom.operators.ordered import (
     OrderedFrame,
     lead,
@@ -159,7 +159,7 @@ class MinMaxLTTB:
             .when(F.floor(nf / budget) > PRESELECT_RATIO, "bins")
             .otherwise("fold")
         )
-        tagged = key_join(df, stats.withColumn("__mode", mode), key)
+        tagged = spread_join(df, stats.withColumn("__mode", mode), key, point)
         is_end = (point == F.col("__head")) | ((budget == 2) & (point == F.col("__tail")))
         wanted = (
             F.when(F.col("__mode") == "keep", F.lit(True))
@@ -451,7 +451,8 @@ def compensated(
             "__dt_zero": first_valid(F.col("__dt_before")),
         }
     )
-    rows = key_join(chosen.result, ends, list(full.key), "left")
+    at = F.struct(*[col(c) for c in (full.axis, *full.ties)])
+    rows = spread_join(chosen.result, ends, list(full.key), at, "left")
     span = F.coalesce("__dt_next", "__dt_end") - F.col("__dt_before")
     weighted = F.coalesce("__sig_next", "__sig_end") - F.col("__sig_before")
     broken = F.coalesce("__bad_next", "__bad_end") > F.col("__bad_before")
@@ -581,7 +582,7 @@ class GridResampling:
                 F.raise_error(F.lit("log scale needs a positive axis range"))
             )
             ends = ends.withColumn("__low", positive)
-        placed = key_join(rows, ends, key).withColumn(
+        placed = spread_join(rows, ends, key, x).withColumn(
             "__j", self._interval(F.col("__low"), F.col("__high"), x)
         )
         aggs: list[Column] = []

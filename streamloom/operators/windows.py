@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from streamloom import columns as C
 from streamloom.columns import col
 from streamloom.functions.values import is_missing
-from streamloom.operators.joins import key_join
+from streamloom.operators.joins import key_join, spread_join
 from streamloom.operators.manifest import ordered_list
 from streamloom.operators.ranking import digest, digest_number, digest_rank, total_order_offset
 from streamloom.protocols import PROTOCOL_RANK
@@ -220,7 +220,9 @@ def shuffled_batches(
     wanted = placed.select(
         *[col(k) for k in keys], "state group", "batch group", "lane", "steps", "plan start"
     )
-    plan = key_join(refs.drop("state windows"), wanted, [*keys, "state group"])
+    plan = spread_join(
+        refs.drop("state windows"), wanted, [*keys, "state group"], F.col("`window number`")
+    )
     return (
         plan.filter(F.col("step") < F.col("steps"))
         .withColumn("plan index", F.col("`plan start`") + F.col("step"))
@@ -291,13 +293,15 @@ def window_lanes(
     targets: Sequence[str],
     spec: WindowSpec,
     refs: DataFrame | None = None,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """One row per window and lane: `inputs` and `targets` (seq_len x columns) and `mask`.
 
     Targets are the rows one ahead of the inputs. Every data row is sent to the lanes it serves
     by arithmetic on its position, so groups hold at most seq_len + 1 rows. Null or NaN inputs
     become the padding value, null targets NaN; missing tail rows are padding and masked off.
-    `refs` (keys and `window number`) restricts the output to chosen windows.
+    `refs` (keys and `window number`) restricts the output to chosen windows, and `carry` names
+    plan columns to keep.
     """
     t, lanes = spec.seq_len, spec.batch_size
     plan = planned.select(
@@ -306,13 +310,19 @@ def window_lanes(
         F.col("`first offset`").alias("__first"),
         F.col("`window step`").alias("__step"),
         F.col("`window count`").alias("__count"),
+        *[col(c) for c in carry],
     ).filter(F.col("__count") > 0)
     shifted = col(position) - F.col("__first")
     low = F.greatest(F.lit(0), F.ceil((shifted - spec.rows + 1) / F.col("__step")))
     high = F.least(F.col("__count") - 1, F.floor(shifted / F.col("__step")))
     wanted = list(dict.fromkeys([*inputs, *targets]))
     placed = (
-        key_join(rows.select(*[col(k) for k in keys], col(position), *[col(c) for c in wanted]), plan, keys)
+        spread_join(
+            rows.select(*[col(k) for k in keys], col(position), *[col(c) for c in wanted]),
+            plan,
+            keys,
+            col(position),
+        )
         .withColumn("window number", F.explode(F.when(low <= high, F.sequence(low, high))))
         .withColumn("__i", shifted - F.col("`window number`") * F.col("__step"))
     )
@@ -341,6 +351,7 @@ def window_lanes(
     )
     grouped = seated.groupBy(*[col(k) for k in keys], "window number", "lane").agg(
         F.min("__n").alias("__n"),
+        *[F.min(col(c)).alias(c) for c in carry],
         F.min(F.col("__first") + F.col("`window number`") * F.col("__step")).alias("window offset"),
         F.array_sort(
             F.collect_list(
@@ -349,7 +360,7 @@ def window_lanes(
         ).alias("__cells"),
     )
     if not spec.drop_incomplete:
-        grouped = grouped.unionByName(_empty_lanes(plan, keys, spec, refs, grouped))
+        grouped = grouped.unionByName(_empty_lanes(plan, keys, spec, refs, grouped, carry))
     pad_x = F.array_repeat(F.lit(PADDING).cast("float"), len(inputs))
     pad_y = F.array_repeat(F.lit(PADDING).cast("float"), len(targets))
     cells = F.col("__cells")
@@ -359,6 +370,7 @@ def window_lanes(
     y = F.transform(F.filter(cells, lambda c: c["p"] > 0), lambda c: c["y"])
     return grouped.select(
         *[col(k) for k in keys],
+        *[col(c) for c in carry],
         "window number",
         "window offset",
         "lane",
@@ -373,7 +385,12 @@ def _filled(values: Column, pad: Column, size: int) -> Column:
 
 
 def _empty_lanes(
-    plan: DataFrame, keys: Sequence[str], spec: WindowSpec, refs: DataFrame | None, like: DataFrame
+    plan: DataFrame,
+    keys: Sequence[str],
+    spec: WindowSpec,
+    refs: DataFrame | None,
+    like: DataFrame,
+    carry: Sequence[str],
 ) -> DataFrame:
     """Lanes of the last windows that no data row reaches."""
     n, first, step = F.col("__n"), F.col("__first"), F.col("__step")
@@ -393,6 +410,7 @@ def _empty_lanes(
         "window number",
         F.explode(free).alias("lane"),
         "__n",
+        *[col(c) for c in carry],
         offset.alias("window offset"),
         F.array().cast(like.schema["__cells"].dataType).alias("__cells"),
     )

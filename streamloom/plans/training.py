@@ -57,10 +57,16 @@ def training_windows(
     planned = with_sequential_plan(streams, spec)
     numbered = with_sequential_plan_index(planned, order or stream_key)
     lanes = window_lanes(
-        scale(rows, rules), planned, stream_key, C.ROW_POSITION.name, inputs, targets, spec
+        scale(rows, rules),
+        numbered,
+        stream_key,
+        C.ROW_POSITION.name,
+        inputs,
+        targets,
+        spec,
+        carry=["plan start"],
     )
-    starts = numbered.select(*[col(k) for k in stream_key], "plan start")
-    placed = lanes.join(starts, list(stream_key)).withColumn(
+    placed = lanes.withColumn(
         "plan index", F.col("`plan start`") + F.col("`window number`")
     )
     total = batch_counts(planned).first()[0] if world_size > 1 else None

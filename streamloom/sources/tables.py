@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from streamloom.columns import col
-from streamloom.operators.joins import key_join
+from streamloom.operators.joins import key_join, spread_join
 
 ROW_INDEX = "__row_index"
 FILE = "__file"
@@ -122,4 +122,6 @@ def segment_windows(
 
 def stage_rows(stage_data: DataFrame, selected: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of the streams of a selected manifest; our tables carry the key in every row."""
-    return key_join(stage_data, selected.select(*[col(k) for k in keys]).distinct(), keys, "left_semi")
+    wanted = selected.select(*[col(k) for k in keys]).distinct()
+    row = F.struct(*[col(c) for c in stage_data.columns if c not in keys])
+    return spread_join(stage_data, wanted, keys, row, "left_semi")
