@@ -147,7 +147,8 @@ def sidecar(spark, d):
 
 @query(
     "s12_manifest_kind",
-    """SELECT 'err_manifest' AS kind, count(*) AS streams, count(*) FILTER ("row count" < 5) AS failed FROM """ + INDEX,
+    """SELECT CASE WHEN count(*) FILTER ("row count" < 5) > 0 THEN 'err_manifest' ELSE 'manifest' END AS kind,
+      count(*) AS streams, count(*) FILTER ("row count" < 5) AS failed FROM """ + INDEX,
 )
 def manifest_kind(spark, d):
     tasks = stream_index(spark, d).withColumn("status", F.when(F.col("row count") < 5, "failed").otherwise("succeeded"))
