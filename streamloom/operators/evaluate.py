@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from streamloom import columns as C
 from streamloom.columns import col
 from streamloom.functions.encodings import encoded, dot, expected_share, log_sum_exp
+from streamloom.functions.scaling import ScalingRule
 from streamloom.functions.values import is_finite, or_false
 from streamloom.operators.joins import key_join
 
@@ -216,17 +217,23 @@ def extended_rollout(
     context: int,
     stored: int,
     steps: int,
+    rules: Sequence[ScalingRule] = (),
 ) -> DataFrame:
-    """Append `steps` rows that repeat the last inputs, with scaled control overrides.
+    """Append `steps` rows that repeat the last inputs, with control overrides.
 
-    Added targets are NaN, and the mask is off from the last stored position on.
+    Overrides are physical values and need a scaling rule each. Added targets are NaN, and the
+    mask is off from the last stored position on.
     """
+    by_name = {r.column: r for r in rules}
+    missing = [c for c in overrides if c not in by_name or c not in inputs]
+    if missing:
+        raise ValueError(f"overridden columns need to be inputs with a scaling rule: {missing}")
     end = context + stored
     extra = window_rows.filter(F.col("position") == end - 1).withColumn(
         "position", F.explode(F.sequence(F.lit(end).cast("long"), F.lit(end + steps - 1).cast("long")))
     )
     values = {
-        **{col_name: F.lit(float(v)) for col_name, v in overrides.items() if col_name in inputs},
+        **{name: by_name[name].scaled(F.lit(float(v))) for name, v in overrides.items()},
         **{f"target {t}": F.lit(float("nan")) for t in targets},
         "mask": F.lit(False),
     }

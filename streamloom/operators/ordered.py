@@ -289,12 +289,15 @@ def _find_cuts(frame: OrderedFrame, bound: int) -> dict[int, tuple[np.ndarray, n
     schema = "h long, rows long"
     wanted = F.broadcast(frame.df.sparkSession.createDataFrame(long_keys, schema))
     # A hash of the row's own order values picks the sample, so retries pick the same rows.
-    sample = points.join(wanted, "h", "left_semi").filter(
-        F.pmod(F.xxhash64("h", "a", "t"), F.lit(one_in)) == 0
+    # Repeated order values count once: they fall on one side of a cut anyway.
+    sample = (
+        points.join(wanted, "h", "left_semi")
+        .filter(F.pmod(F.xxhash64("h", "a", "t"), F.lit(one_in)) == 0)
+        .distinct()
     )
     rank = F.row_number().over(Window.partitionBy("h").orderBy("a", "t"))
     picked = sample.withColumn("r", rank).filter(F.col("r") % every == 0)
-    pdf = picked.select("h", "a", "t").distinct().toPandas().sort_values(["h", "a", "t"])
+    pdf = picked.select("h", "a", "t").toPandas().sort_values(["h", "a", "t"])
     return {
         int(h): (g["a"].to_numpy(), g["t"].to_numpy()) for h, g in pdf.groupby("h", sort=False)
     }

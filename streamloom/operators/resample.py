@@ -183,14 +183,19 @@ class MinMaxLTTB:
             tagged.filter(wanted)
             .withColumn("__bin", F.when(~single, bin_no))
             .withColumn("__one", F.when(single, point))
-            .groupBy(*[col(k) for k in key], "__mode", "__budget", "__bin", "__one")
+            .withColumn("__same", F.when(single, F.xxhash64(*[col(c) for c in df.columns])))
+            .groupBy(*[col(k) for k in key], "__mode", "__budget", "__bin", "__one", "__same")
             .agg(
+                F.count(F.lit(1)).alias("__copies"),
                 F.min(F.struct(y.alias("v"), point.alias("p"), row.alias("r"))).alias("lo"),
                 F.min(F.struct((-y).alias("v"), point.alias("p"), row.alias("r"))).alias("hi"),
             )
         )
-        both = F.when(F.col("lo.p") == F.col("hi.p"), F.array("lo.r")).otherwise(
-            F.array("lo.r", "hi.r")
+        # Rows that are not binned stay as often as they occur, even without a tie-breaker.
+        both = (
+            F.when(F.col("__one").isNotNull(), F.array_repeat("lo.r", F.col("__copies").cast("int")))
+            .when(F.col("lo.p") == F.col("hi.p"), F.array("lo.r"))
+            .otherwise(F.array("lo.r", "hi.r"))
         )
         folded = F.when(F.col("__mode").isin("bins", "fold"), "fold").otherwise("keep")
         return grouped.select(

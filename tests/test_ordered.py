@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from streamloom.operators import ordered as o
+from streamloom.operators.joins import key_join, spread_join
 from streamloom.operators.ranking import digest, digest_rank, total_order_position
 
 
@@ -54,3 +55,20 @@ def test_total_order_position_matches_sort(events):
     order = ["event_type", "user_id", "event_id"]
     rows = total_order_position(events, order, "p").orderBy(*order).select("p").collect()
     assert [r["p"] for r in rows] == list(range(len(rows)))
+
+
+def test_spread_join_equals_key_join(spark):
+    rows = spark.createDataFrame([(None if i % 3 == 0 else "a", i) for i in range(50)], "k string, v long")
+    names = spark.createDataFrame([("a", 1), (None, 2), ("b", 3)], "k string, n int")
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        plain = key_join(rows, names.filter("n < 3"), ["k"], how)
+        spread = spread_join(rows, names.filter("n < 3"), ["k"], F.col("v"), how)
+        assert plain.columns == spread.columns
+        assert plain.exceptAll(spread).isEmpty() and spread.exceptAll(plain).isEmpty()
+
+
+def test_whole_table_as_one_stream(events):
+    for bound in (100, 10**6):
+        frame = o.OrderedFrame.of(events, [], "event_id", max_rows=bound).scan({"p": o.position()})
+        assert frame.split == (bound == 100)
+        assert frame.result.filter("p <> event_id").isEmpty()

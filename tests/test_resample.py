@@ -52,6 +52,18 @@ def test_non_finite_rows(spark):
     assert kept(MinMaxLTTB("x", "y", points=10).apply(trace(spark, y=y), ["k"])) == list(range(10))
 
 
+def test_repeated_rows_stay_without_ties(spark):
+    rows = [("a", 1.0, 2.0, "same")] * 3 + [("a", 1.0, 2.0, "other"), ("a", 2.0, 2.0, "end")]
+    df = spark.createDataFrame(rows, "k string, x double, y double, label string")
+    assert sorted(r["label"] for r in MinMaxLTTB("x", "y", points=9).apply(df, ["k"]).collect()) == [
+        "end",
+        "other",
+        "same",
+        "same",
+        "same",
+    ]
+
+
 def wave(n, seed):
     rng = np.random.default_rng(seed)
     return np.cumsum(rng.normal(size=n))
