@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scenarios.common import E, INDEX, events, gappy, query, rounded, stream_index, table
+from scenarios.common import INDEX, events, gappy, query, stream_index, table
 from scenarios.training import GROUP, GROUP_SQL, STREAM, STREAM_SQL
 from streamloom import columns as C
 from streamloom import protocols as P

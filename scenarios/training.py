@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from scenarios.common import E, GAPPY, INDEX, events, gappy, query, rounded, stream_index, table
+from scenarios.common import GAPPY, INDEX, events, gappy, query, rounded, stream_index, table
 from streamloom import columns as C
 from streamloom.columns import COLUMN_STAT, col
 from streamloom.functions.scaling import ScalingRule, inverse_scale, minmax_rules, scale

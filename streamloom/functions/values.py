@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, SparkSession
@@ -86,6 +87,4 @@ def group_label(parts: Sequence[str]) -> Column:
 
 def json_params(params: Mapping[str, object]) -> str:
     """Compact JSON with sorted keys, as stored in `resampling params`."""
-    import json
-
     return json.dumps(dict(params), sort_keys=True, separators=(",", ":"))

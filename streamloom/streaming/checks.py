@@ -11,6 +11,7 @@ from dataclasses import replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,8 +27,10 @@ from streamloom.operators.checks import (
     MissingCheck,
     TimeCheck,
     final_annotations,
+    run_checks,
 )
 from streamloom.functions.values import or_false
+from streamloom.operators.ordered import OrderedFrame
 
 DUPLICATE, BIG = "__duplicate", "__big_dt"
 
@@ -152,8 +155,6 @@ def _stream_time_check(
 
 
 def _to_bytes(row: pd.DataFrame) -> bytes:
-    import pyarrow as pa
-
     table = pa.Table.from_pandas(row, preserve_index=False)
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as writer:
@@ -162,8 +163,6 @@ def _to_bytes(row: pd.DataFrame) -> bytes:
 
 
 def _from_bytes(blob: bytes) -> pd.DataFrame:
-    import pyarrow as pa
-
     return pa.ipc.open_stream(pa.BufferReader(blob)).read_all().to_pandas()
 
 
@@ -217,9 +216,6 @@ def axis_flags(
 
 def stream_row_checks(stream: DataFrame, checks: Sequence[MissingCheck | BoundsCheck]) -> DataFrame:
     """Stateless checks on a stream: adds `annotations` in check order."""
-    from streamloom.operators.checks import run_checks
-    from streamloom.operators.ordered import OrderedFrame
-
     frame = OrderedFrame(stream, (), "", (), split=False)
     return run_checks(frame, checks).frame.df.withColumn(
         C.ANNOTATIONS.name, final_annotations(F.col(FINDINGS))
