@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from streamloom.columns import col
-from streamloom.operators.joins import key_join
 from streamloom.session import checkpoint_dir, max_chunk_rows
 
 CHUNK = "__chunk"
+PART = "__part"  # hash of the key: with the chunk number it is what the shuffle distributes
 _SAMPLES_PER_CHUNK = 64
 _MAX_CUTS = 1_000_000
 _LOWEST = float(np.finfo(np.float64).min)
@@ -107,7 +107,9 @@ class OrderedFrame:
         cuts = {} if longest is not None and longest <= bound else _find_cuts(base, bound)
         if not cuts:
             return base
-        return replace(base, df=df.withColumn(CHUNK, _chunk_column(base, cuts)), split=True)
+        placed = df.withColumns({CHUNK: _chunk_column(base, cuts), PART: _cut_inputs(base)[0]})
+        # One exchange; every later window and carry join of this frame keeps it.
+        return replace(base, df=placed.repartition(PART, CHUNK), split=True)
 
     @property
     def _order(self) -> list[Column]:
@@ -115,7 +117,7 @@ class OrderedFrame:
 
     @property
     def _group(self) -> list[str]:
-        return [*self.key, CHUNK] if self.split else list(self.key)
+        return [PART, CHUNK, *self.key] if self.split else list(self.key)
 
     @property
     def window(self):
@@ -123,7 +125,7 @@ class OrderedFrame:
 
     @property
     def result(self) -> DataFrame:
-        return self.df.drop(CHUNK) if self.split else self.df
+        return self.df.drop(CHUNK, PART) if self.split else self.df
 
     def with_columns(self, **outputs: Column) -> OrderedFrame:
         return replace(self, df=self.df.withColumns(outputs))
@@ -161,9 +163,29 @@ class OrderedFrame:
             "__last": F.lead(F.lit(1)).over(self.window).isNull(),
         }
         left = self.df.withColumns({**local, **edge_row})
-        joined = key_join(left, carry, self._group, "left")
+        joined = left.join(self._packed(carry, list(scans)), [PART, CHUNK], "left")
+        mine = F.get(F.filter("__carry", self._same_key), F.lit(0))
+        joined = joined.withColumn("__mine", mine).withColumns(
+            {f"__c_{n}": F.col(f"__mine.__c_{n}") for n in scans}
+        )
         merged = {n: _merge(s, F.col(n), F.col(f"__c_{n}")) for n, s in scans.items()}
-        return joined.withColumns(merged).drop("__first", "__last", *[f"__c_{n}" for n in scans])
+        helpers = ["__first", "__last", "__carry", "__mine", *[f"__c_{n}" for n in scans]]
+        return joined.withColumns(merged).drop(*helpers)
+
+    def _packed(self, carry: DataFrame, names: list[str]) -> DataFrame:
+        """Carries per (key hash, chunk): one entry, or a few if two keys share a hash.
+
+        Joining on exactly the columns the rows are distributed by costs no second exchange.
+        """
+        keys = [col(k).alias(f"k{i}") for i, k in enumerate(self.key)]
+        entry = F.struct(*keys, *[F.col(f"__c_{n}") for n in names])
+        return carry.groupBy(PART, CHUNK).agg(F.collect_list(entry).alias("__carry"))
+
+    def _same_key(self, entry: Column) -> Column:
+        same = F.lit(True)
+        for i, k in enumerate(self.key):
+            same = same & entry[f"k{i}"].eqNullSafe(col(k))
+        return same
 
 
 def _local(scan: Scan, w) -> Column:
