@@ -6,13 +6,14 @@ import duckdb
 import pytest
 
 import __spark_entry__ as driver
+import scenarios
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
 ).split()
-QUERIES, ORACLES = driver.queries(), driver.oracle_sql()
+QUERIES, ORACLES = scenarios.QUERIES, scenarios.ORACLES
 
 
 @pytest.fixture(scope="module")
