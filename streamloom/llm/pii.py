@@ -246,12 +246,12 @@ def classified(found: DataFrame) -> DataFrame:
         .groupBy("kind", F.col("f.name").alias("name"), F.col("f.value").alias("value"))
         .agg(F.sum("q").alias("t"), F.sum(1 - F.col("q")).alias("f"))
     )
-    totals = soft.groupBy("kind").agg(F.sum("q").alias("T"), F.sum(1 - F.col("q")).alias("N"))
+    totals = soft.groupBy("kind").agg(F.sum("q").alias("all_t"), F.sum(1 - F.col("q")).alias("all_f"))
     rates = counts.join(totals, "kind").select(
         "kind",
         F.struct("name", "value").alias("k"),
-        F.log(((F.col("t") + 0.5) / (F.col("T") + 10)) / ((F.col("f") + 0.5) / (F.col("N") + 10))).alias("w"),
-        F.log((F.col("T") + 1) / (F.col("N") + 1)).alias("w0"),
+        F.log(((F.col("t") + 0.5) / (F.col("all_t") + 10)) / ((F.col("f") + 0.5) / (F.col("all_f") + 10))).alias("w"),
+        F.log((F.col("all_t") + 1) / (F.col("all_f") + 1)).alias("w0"),
     )
     model = rates.groupBy("kind").agg(
         F.map_from_entries(F.collect_list(F.struct("k", "w"))).alias("weights"), F.first("w0").alias("w0")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from streamloom.llm import line_quality, pii
+from streamloom.llm import line_quality, mixing, pii
 from streamloom.llm.common import table
 from streamloom.llm.sql import ORACLES as _SQL
 
@@ -29,4 +29,9 @@ def op2_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return pii.report(table(spark, folder, "documents"))
 
 
+@register
+def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.report(table(spark, folder, "documents"))
+
+
 ORACLES = {name: sql for name, sql in _SQL.items() if name in QUERIES}

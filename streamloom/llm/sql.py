@@ -33,4 +33,22 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_removed_lines, n_removed_words
 FROM s"""
 
-ORACLES = {"op1_line_quality": OP1}
+OP5 = r"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size) AS source_size,
+        [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w FROM d GROUP BY source),
+f AS (SELECT *, 2 * source_size AS cap, row_number() OVER (ORDER BY 2 * source_size / w, source NULLS LAST) AS k FROM s),
+l AS (SELECT *, ((SELECT sum(source_size) FROM s) * 1.5::DOUBLE - coalesce(sum(cap) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+        / sum(w) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM f),
+t AS (SELECT source, source_size, least(cap, (SELECT max(level) FROM l) * w)::DOUBLE AS target FROM l),
+o AS (SELECT d.*, source_size, target,
+        coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY ('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT, doc_id
+          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS past,
+        floor(target)::BIGINT AS goal
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+r AS (SELECT *, goal // source_size AS rounds, greatest(least(goal - (goal // source_size) * source_size - past, size), 0) AS rest FROM o)
+SELECT doc_id, size, source_size::BIGINT AS source_size, target, (rounds * size + rest)::BIGINT AS taken,
+  CASE WHEN size = 0 THEN 0 ELSE rounds + (rest > 0)::INT END::BIGINT AS n_draws
+FROM r"""
+
+ORACLES = {"op1_line_quality": OP1, "op5_mixing": OP5}
