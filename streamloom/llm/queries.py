@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from streamloom.llm import line_quality, mixing, pii
+from streamloom.llm import line_quality, mixing, packing, pii, repair
 from streamloom.llm.common import table
 from streamloom.llm.sql import ORACLES as _SQL
 
@@ -34,4 +34,14 @@ def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.report(table(spark, folder, "documents"))
 
 
+@register
+def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.report(table(spark, folder, "documents"))
+
+
+@register
+def op10_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return repair.report(table(spark, folder, "documents"))
+
+
 ORACLES = {name: sql for name, sql in _SQL.items() if name in QUERIES}
