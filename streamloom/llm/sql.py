@@ -51,4 +51,17 @@ SELECT doc_id, size, source_size::BIGINT AS source_size, target, (rounds * size
   CASE WHEN size = 0 THEN 0 ELSE rounds + (rest > 0)::INT END::BIGINT AS n_draws
 FROM r"""
 
-ORACLES = {"op1_line_quality": OP1, "op5_mixing": OP5}
+OP3 = r"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT r, doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+        ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) END) AS g FROM w),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS x, b.r AS y, a.doc_id AS dx, b.doc_id AS dy, count(*) AS k FROM s a JOIN s b USING (g) WHERE a.r <> b.r GROUP BY ALL),
+e AS MATERIALIZED (SELECT dx, dy FROM p JOIN n nx ON x = nx.r JOIN n ny ON y = ny.r WHERE 100 * k >= 85 * (nx.n + ny.n - k)),
+c AS (SELECT DISTINCT doc_id AS id, doc_id AS root FROM documents
+      UNION SELECT e.dy, c.root FROM c JOIN e ON c.id = e.dx WHERE c.root < e.dy)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.root AS component_id
+FROM w LEFT JOIN n USING (r) JOIN (SELECT id, min(root) AS root FROM c GROUP BY id) m ON m.id = w.doc_id"""
+
+ORACLES = {"op1_line_quality": OP1, "op3_jaccard": OP3, "op5_mixing": OP5}
