@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from streamloom.llm import jaccard, line_quality, mixing, packing, pii, repair
+from streamloom.llm import jaccard, line_quality, mixing, packing, pii, repair, suffix_dedup
 from streamloom.llm.common import table
 from streamloom.llm.sql import ORACLES as _SQL
 
@@ -49,4 +49,9 @@ def op3_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.report(table(spark, folder, "documents"))
 
 
+@register
+def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, folder, "documents"))
+
+
 ORACLES = {name: sql for name, sql in _SQL.items() if name in QUERIES}
