@@ -43,7 +43,7 @@ def shuffled_order(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
-ROWS_PER_BUCKET = 50_000
+ROWS_PER_BUCKET = 8_192
 
 
 def ranked(
