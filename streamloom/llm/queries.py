@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from streamloom.llm import hyperlang, jaccard, line_quality, mixing, packing, pii, repair, suffix_dedup
+from streamloom.llm import balanced_shards, hash_search, hyperlang, jaccard, line_quality, mixing, packing, pii, repair, suffix_dedup
 from streamloom.llm.common import table
 from streamloom.llm.sql import ORACLES as _SQL
 
@@ -59,4 +59,14 @@ def op9_hyperlang(spark: SparkSession, folder: str) -> DataFrame:
     return hyperlang.report(table(spark, folder, "documents"))
 
 
+@register
+def op4_hash_search(spark: SparkSession, folder: str) -> DataFrame:
+    return hash_search.report(table(spark, folder, "embeddings"))
+
+
+@register
+def op6_balanced_shards(spark: SparkSession, folder: str) -> DataFrame:
+    return balanced_shards.report(table(spark, folder, "documents"))
+
+
 ORACLES = {name: sql for name, sql in _SQL.items() if name in QUERIES}
