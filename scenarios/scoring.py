@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from scenarios.common import E, INDEX, events, query, rounded, stream_index, table
 from streamloom.columns import col
 from streamloom.functions.encodings import gaussian_bins, two_hot
-from streamloom.functions.scaling import ScalingRule
+from streamloom.functions.scaling import Scale
 from streamloom.operators import evaluate as V
 from streamloom.operators.explore import window_overlay
 from streamloom.operators.ordered import OrderedFrame, lead, position
@@ -253,7 +253,7 @@ def first_rows(spark, d, n):
 )
 def extension(spark, d):
     rows = first_rows(spark, d, 15).drop("dt").withColumn("control", F.lit(0.25))
-    rule = ScalingRule("control", 0.0, 20.0, 0.0, 1.0)
+    rule = Scale("control", (0.0, 20.0), (0.0, 1.0))
     out = V.extended_rollout(
         rows, ["user_id"], ["value", "control"], ["value"], {"control": 15.0}, 10, 5, 5, [rule]
     )

@@ -12,7 +12,7 @@ from scenarios.training import DIGEST_SQL, GROUP_SQL, STREAM, STREAM_SQL
 from streamloom import columns as C
 from streamloom.columns import col
 from streamloom.functions.derive import CRate
-from streamloom.functions.scaling import ScalingRule
+from streamloom.functions.scaling import Scale
 from streamloom.functions.values import epoch_seconds
 from streamloom.operators.checks import AxisCheck, BoundsCheck, MissingCheck, TimeCheck
 from streamloom.operators.index import ValidationSplit, build_index
@@ -203,7 +203,7 @@ def windows(spark, d):
         ["value"],
         ["value"],
         SPEC,
-        (ScalingRule("value", 0.0, 500.0),),
+        (Scale("value", (0.0, 500.0)),),
         world_size=2,
         check_bounds=False,
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from scenarios.common import GAPPY, INDEX, events, gappy, query, rounded, stream_index, table
 from streamloom import columns as C
 from streamloom.columns import COLUMN_STAT, col
-from streamloom.functions.scaling import ScalingRule, inverse_scale, minmax_rules, scale
+from streamloom.functions.scaling import Scale, inverse_scale, linear_scales, scale
 from streamloom.operators.index import (
     INDEX_ROW_ID,
     ValidationSplit,
@@ -125,9 +125,9 @@ def digest_order(spark, d):
 
 
 RULES = (
-    ScalingRule("l_quantity", 1.0, 50.0),
-    ScalingRule("l_extendedprice", 0.0, 60_000.0, transform="log1p"),
-    ScalingRule("l_discount", 0.02, 0.08, 0.0, 1.0, clip=True),
+    Scale("l_quantity", (1.0, 50.0)),
+    Scale("l_extendedprice", (0.0, 60_000.0), log=True),
+    Scale("l_discount", (0.02, 0.08), (0.0, 1.0), clip=True),
 )
 LOG_HIGH = "ln(1 + 60000.0::DOUBLE)"
 LINE_ID = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -155,7 +155,7 @@ def inverse(spark, d):
     rows = table(spark, d, "lineitem").select(*LINE_ID, *[r.column for r in RULES])
     there = scale(rows.drop("l_discount"), RULES[:2])
     kept = rows.select(*LINE_ID, "l_quantity", "l_extendedprice", "l_discount")
-    both = kept.withColumns({c: RULES[i].scaled(F.col(c)) for i, c in enumerate(there.columns[4:])})
+    both = kept.withColumns({c: RULES[i].forward(F.col(c)) for i, c in enumerate(there.columns[4:])})
     out = inverse_scale(both, RULES)
     return out.withColumns({c: rounded(c, 4) for c in ("l_quantity", "l_extendedprice")}).withColumn(
         "l_discount", rounded("l_discount")
@@ -179,7 +179,7 @@ def with_stats(spark, d):
       UNION ALL SELECT *, 'other', 'missing stats' FROM {INDEX}) WHERE problem IS NOT NULL""",
 )
 def scaling_bounds(spark, d):
-    rules = minmax_rules({"value": (0.5, 150.0), "other": (0.0, 1.0)})
+    rules = linear_scales({"value": (0.5, 150.0), "other": (0.0, 1.0)})
     rows = scaling_violations(with_stats(spark, d), rules)
     return rows.select(*[col(c) for c in STREAM], "column", "problem")
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from streamloom import columns as C
 from streamloom.columns import col
 from streamloom.functions.encodings import encoded, dot, expected_share, log_sum_exp
-from streamloom.functions.scaling import ScalingRule
+from streamloom.functions.scaling import Scale
 from streamloom.functions.values import is_finite, or_false
 from streamloom.operators.joins import key_join
 
@@ -217,7 +217,7 @@ def extended_rollout(
     context: int,
     stored: int,
     steps: int,
-    rules: Sequence[ScalingRule] = (),
+    rules: Sequence[Scale] = (),
 ) -> DataFrame:
     """Append `steps` rows that repeat the last inputs, with control overrides.
 
@@ -233,7 +233,7 @@ def extended_rollout(
         "position", F.explode(F.sequence(F.lit(end).cast("long"), F.lit(end + steps - 1).cast("long")))
     )
     values = {
-        **{name: by_name[name].scaled(F.lit(float(v))) for name, v in overrides.items()},
+        **{name: by_name[name].forward(F.lit(float(v))) for name, v in overrides.items()},
         **{f"target {t}": F.lit(float("nan")) for t in targets},
         "mask": F.lit(False),
     }

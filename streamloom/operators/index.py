@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from streamloom import columns as C
 from streamloom.columns import col
-from streamloom.functions.scaling import ScalingRule
+from streamloom.functions.scaling import Scale
 from streamloom.operators.align import union_relaxed
 from streamloom.operators.joins import key_join
 from streamloom.operators.ranking import digest, digest_rank, total_order_position
@@ -135,7 +135,7 @@ def build_index(
     return with_index_row_ids(assign_splits(index, validation))
 
 
-def scaling_violations(index: DataFrame, rules: Sequence[ScalingRule]) -> DataFrame:
+def scaling_violations(index: DataFrame, rules: Sequence[Scale]) -> DataFrame:
     """Streams whose recorded column range leaves a rule's input bounds, or has none recorded."""
     if C.NORMALIZED_STATS.name not in index.columns:
         raise ValueError(f"The index has no {C.NORMALIZED_STATS.name!r}")
@@ -144,8 +144,8 @@ def scaling_violations(index: DataFrame, rules: Sequence[ScalingRule]) -> DataFr
             *[
                 F.struct(
                     F.lit(r.column).alias("column"),
-                    F.lit(float(r.input_min)).alias("lower"),
-                    F.lit(float(r.input_max)).alias("upper"),
+                    F.lit(float(r.source[0])).alias("lower"),
+                    F.lit(float(r.source[1])).alias("upper"),
                 )
                 for r in rules
             ]

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,8 +20,8 @@ from streamloom.session import checkpoint_dir
 from streamloom.sources.files import (
     list_files,
     path_protocol,
-    read_parquet_sources,
-    read_untyped,
+    read_by_header,
+    read_parquet_by_schema,
     source_files,
     with_ingest_order,
     with_path_metadata,
@@ -35,7 +36,7 @@ class DelimitedSource:
 
     spec: DatasetSpec
 
-    def read(self, spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    def read(self, spark: SparkSession, root: str) -> dict[str, list[DataFrame]]:
         files = list_files(spark, root, self.spec.include, self.spec.exclude)
         # File names only: they decide which files each protocol's scan opens.
         named = files.select("path", path_protocol(F.col("path")).alias("p")).collect()
@@ -46,7 +47,7 @@ class DelimitedSource:
         for name in PROTOCOL_RANK:
             paths = [f"{root.rstrip('/')}/{r['path']}" for r in named if r["p"] == name]
             if paths:
-                out[name] = with_path_metadata(read_untyped(spark, paths))
+                out[name] = [with_path_metadata(part) for part in read_by_header(spark, paths)]
         return out
 
 
@@ -57,7 +58,7 @@ class SidecarSource:
     spec: DatasetSpec
     sidecar: DataFrame
 
-    def read(self, spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    def read(self, spark: SparkSession, root: str) -> dict[str, list[DataFrame]]:
         payloads = with_sidecar_metadata(
             self.sidecar.withColumn("raw file path", F.col("path")), "path", "metadata"
         ).drop("metadata", "raw file path")
@@ -67,35 +68,44 @@ class SidecarSource:
             paths = [f"{root.rstrip('/')}/{r['path']}" for r in named if r[C.PROTOCOL.name] == name]
             if not paths:
                 continue
-            rows = read_parquet_sources(spark, paths)
+            drop = C.EIS_VOLTAGE.name if name != "EIS" else "__none"
             relative = F.element_at(
                 F.split("raw file path", "\\Q/" + root.split(":", 1)[-1].strip("/") + "/\\E", 2), -1
             )
-            joined = rows.withColumn("path", relative).join(payloads, "path").drop("path")
-            drop = C.EIS_VOLTAGE.name if name != "EIS" else "__none"
-            out[name] = joined.drop(drop)
+            out[name] = [
+                rows.withColumn("path", relative).join(payloads, "path").drop("path", drop)
+                for rows in read_parquet_by_schema(spark, paths)
+            ]
         return out
 
 
-def align_batches(spec: DatasetSpec, raw: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
-    """Canonical rows per protocol with task key, `ingest order` and `row position`."""
+def align_batches(spec: DatasetSpec, raw: Mapping[str, Sequence[DataFrame]]) -> dict[str, DataFrame]:
+    """Canonical rows per protocol with task key, `ingest order` and `row position`.
+
+    Every table of a protocol (files with one header) is aligned by itself; files are numbered over all of them.
+    """
     out = {}
-    for name, rows in raw.items():
+    for name, parts in raw.items():
         ingest = spec.ingest_spec(name)
         key = ingest.protocol.key_names
-        files = source_files(rows, key)
+        slim = [C.PROTOCOL.name, *key, C.CYCLE_INDEX.name, C.CELL_ID.name, C.SOC.name, "raw file path"]
+        named = [p.select(*[col(c) for c in dict.fromkeys(slim) if c in p.columns]) for p in parts]
+        files = source_files(reduce(partial(DataFrame.unionByName, allowMissingColumns=True), named), key)
         checkpoint_dir(files.sparkSession)
         files = files.checkpoint()
         require_no_rows(
             batch_metadata_errors(files, ingest.protocol).select("raw file path", "problem"),
             "Raw batch metadata",
         )
-        ordered = with_ingest_order(rows, files)
-        extra = [c.name for c in ingest.manifest_columns if c.name in ordered.columns]
-        keep = [*key, C.PROTOCOL.name, *extra, "raw file path", C.INGEST_ORDER.name, C.ROW_POSITION.name]
-        filled = add_missing_columns(ordered, ingest.columns, ignore=keep)
-        surplus = [C.SOC.name] if C.SOC.name not in key and C.SOC.name in filled.columns else []
-        out[name], _ = align_to_protocol(filled.drop(*surplus), ingest, keep)
+        aligned = []
+        for rows in parts:
+            ordered = with_ingest_order(rows, files)
+            extra = [c.name for c in ingest.manifest_columns if c.name in ordered.columns]
+            keep = [*key, C.PROTOCOL.name, *extra, "raw file path", C.INGEST_ORDER.name, C.ROW_POSITION.name]
+            filled = add_missing_columns(ordered, ingest.columns, ignore=keep)
+            surplus = [C.SOC.name] if C.SOC.name not in key and C.SOC.name in filled.columns else []
+            aligned.append(align_to_protocol(filled.drop(*surplus), ingest, keep)[0])
+        out[name] = reduce(partial(DataFrame.unionByName, allowMissingColumns=True), aligned)
     return out
 
 

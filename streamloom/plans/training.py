@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from streamloom import columns as C
 from streamloom.columns import col
-from streamloom.functions.scaling import ScalingRule, scale
+from streamloom.functions.scaling import Scale, scale
 from streamloom.operators.index import scaling_violations
 from streamloom.operators.select import (
     check_model_columns,
@@ -36,7 +36,7 @@ def training_windows(
     inputs: Sequence[str],
     targets: Sequence[str],
     spec: WindowSpec,
-    rules: Sequence[ScalingRule] = (),
+    rules: Sequence[Scale] = (),
     feedback: Sequence[str] = (),
     world_size: int = 1,
     workers: int = 1,

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 REQUIRED_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -39,18 +41,27 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder, or a fresh temporary one when none is configured."""
+    """The cluster's checkpoint folder. Only on a single machine is a fresh temporary one made when none is configured."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not re.match(r"local(\[[^\]-]*\])?$", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` to the checkpoint folder and read it back."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def max_chunk_rows(spark: SparkSession) -> int:
     """Rows of one stream that a single task may order; longer streams are split."""
     return int(spark.conf.get("spark.streamloom.maxChunkRows", str(DEFAULT_CHUNK_ROWS)))

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from streamloom import columns as C
 from streamloom.columns import col
 from streamloom.operators.joins import key_join
+from streamloom.session import written
 
 
 class SourceAdapter(Protocol):
@@ -60,19 +61,38 @@ def list_files(
 FILE_ROW = "file row"
 
 
-def read_untyped(spark: SparkSession, paths: Sequence[str], separator: str = ",") -> DataFrame:
-    """Delimited exports with every column as text, their path and row number in the file.
+def _by_signature(files: DataFrame) -> list[list[str]]:
+    """Paths grouped by signature from (path, signature) rows, as many as there are files."""
+    groups: dict[object, list[str]] = {}
+    for r in sorted(files.collect(), key=lambda r: r["path"]):
+        groups.setdefault(r["signature"], []).append(r["path"])
+    return list(groups.values())
+
+
+def read_by_header(spark: SparkSession, paths: Sequence[str], separator: str = ",") -> list[DataFrame]:
+    """Delimited exports with every column as text, their path and row number: one table for each header.
 
-    Large files are read in splits. A row's number is its place in its split plus the rows of
-    the splits before it, which one small aggregate per split provides.
+    A scan takes its columns from one file and reads the others by position, so files are first grouped by their first
+    line. Large files are read in splits. A row's number is its place in its split plus the rows of the splits before
+    it; rows are written once with their place, as a second scan might be split otherwise.
     """
+    path, start = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    lines = spark.read.text(list(paths)).where(start == 0).select(path.alias("path"), "value", F.monotonically_increasing_id().alias("at"))
+    heads = lines.groupBy("path").agg(F.min_by("value", "at").alias("signature"))
     reader = spark.read.option("header", "true").option("inferSchema", "false").option("sep", separator)
-    rows = reader.csv(list(paths)).withColumns(
-        {
-            "raw file path": F.col("_metadata.file_path"),
-            "__split": F.col("_metadata.file_block_start"),
-            "__seen": F.monotonically_increasing_id(),
-        }
+    return [_numbered(reader.csv(group)) for group in _by_signature(heads)]
+
+
+def _numbered(raw: DataFrame) -> DataFrame:
+    rows = written(
+        raw.withColumns(
+            {
+                "raw file path": F.col("_metadata.file_path"),
+                "__split": F.col("_metadata.file_block_start"),
+                "__seen": F.monotonically_increasing_id(),
+            }
+        ),
+        "raw-rows",
     )
     splits = rows.groupBy("raw file path", "__split").agg(
         F.min("__seen").alias("__first"), F.count(F.lit(1)).alias("__n")
@@ -85,11 +105,25 @@ def read_untyped(spark: SparkSession, paths: Sequence[str], separator: str = ","
     ).drop("__split", "__seen", "__first", "__start")
 
 
-def read_parquet_sources(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Raw parquet files with their path and row number."""
-    return spark.read.parquet(*paths).withColumns(
-        {"raw file path": F.col("_metadata.file_path"), FILE_ROW: F.col("_metadata.row_index")}
-    )
+def read_untyped(spark: SparkSession, paths: Sequence[str], separator: str = ",") -> DataFrame:
+    """The tables of `read_by_header` in one, columns by name; what a file lacks is null."""
+    out, *more = read_by_header(spark, paths, separator)
+    for part in more:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def read_parquet_by_schema(spark: SparkSession, paths: Sequence[str]) -> list[DataFrame]:
+    """Raw parquet files with their path and row number: one table for each schema. Footers are read, no rows."""
+    groups: dict[str, list[str]] = {}
+    for path in paths:
+        groups.setdefault(spark.read.parquet(path).schema.simpleString(), []).append(path)
+    return [
+        spark.read.parquet(*group).withColumns(
+            {"raw file path": F.col("_metadata.file_path"), FILE_ROW: F.col("_metadata.row_index")}
+        )
+        for group in groups.values()
+    ]
 
 
 def source_files(rows: DataFrame, key: Sequence[str]) -> DataFrame:

@@ -43,18 +43,18 @@ def test_align_matches_casts_flips_and_warns(spark):
     df, warnings = align_to_protocol(raw(spark), SPEC, keep=["cell id"])
     assert df.columns == ["cell id", "Time [s]", "Current [A]", "Terminal voltage [V]"]
     assert tuple(df.first()) == ("a", 0.5, -1.0, 3.0)
-    assert warnings == ["dropped declared columns: ['junk']"]
+    assert warnings == ["left out as declared: junk"]
 
 
 def test_align_errors_and_duplicates(spark):
-    with pytest.raises(ValueError, match="missing declared"):
+    with pytest.raises(ValueError, match="no column for"):
         align_to_protocol(raw(spark).drop("voltage_v"), SPEC)
     with pytest.raises(ValueError, match="unknown columns"):
         align_to_protocol(raw(spark).withColumn("mystery", F.lit(1)), SPEC)
     twice = IngestSpec(CYCLING, (C.TIME.with_alias("time_s"), C.TIME.with_alias("time_s")))
     df, warnings = align_to_protocol(raw(spark).select("TIME_S"), twice)
     assert df.columns == ["Time [s]", "Time [s] 1"]
-    assert "duplicate column" in warnings[0]
+    assert "once more" in warnings[0]
     filled = add_missing_columns(raw(spark).drop("voltage_v"), SPEC.columns)
     assert align_to_protocol(filled, SPEC)[0].first()["Terminal voltage [V]"] is None
 

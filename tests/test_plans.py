@@ -24,7 +24,7 @@ from streamloom.plans.normalize import dry_run, normalize_rows, resample_again,
 from streamloom.plans.training import training_windows, write_windows
 from streamloom.operators.index import ValidationSplit, build_index
 from streamloom.operators.windows import WindowSpec
-from streamloom.functions.scaling import minmax_rules
+from streamloom.functions.scaling import linear_scales
 from streamloom.protocols import CYCLING, EIS
 from streamloom.sources.tables import read_segments
 from streamloom.sources.writers import available_manifests, load_manifest
@@ -167,7 +167,7 @@ def test_annotated_selection_builds_index_and_windows(spark, ingested, tmp_path_
     data = spark.read.parquet(f"{store}/{POZZATO_2022.stage_root('normalized')}/data/cycling")
     assert data.filter(col(C.ANNOTATIONS.name).isNotNull()).count() == 1
     rows = data.withColumn(C.DATASET_ID.name, F.lit(POZZATO_2022.dataset_id))
-    rules = minmax_rules({V: (2.0, 10.0), C.C_RATE.name: (-2.0, 2.0)})
+    rules = linear_scales({V: (2.0, 10.0), C.C_RATE.name: (-2.0, 2.0)})
     windows = training_windows(
         index, rows, "train", [V, C.C_RATE.name], [V], WindowSpec(2, 8), rules, [V], world_size=2
     )
@@ -180,7 +180,7 @@ def test_annotated_selection_builds_index_and_windows(spark, ingested, tmp_path_
     assert all(r["mask"] == [True] * 8 for r in table)
     with pytest.raises(ValueError, match="Scaling bounds"):
         training_windows(
-            index, rows, "train", [V], [V], WindowSpec(2, 8), minmax_rules({V: (3.2, 3.3)})
+            index, rows, "train", [V], [V], WindowSpec(2, 8), linear_scales({V: (3.2, 3.3)})
         )
     target = f"{store}/windows"
     write_windows(windows.withColumn(C.SPLIT.name, F.lit("train")), target)

@@ -3,7 +3,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from streamloom.sources.files import glob_regex, list_files, read_untyped, with_path_metadata
+from streamloom.sources.files import glob_regex, list_files, read_by_header, read_untyped, with_path_metadata
 from streamloom.sources.tables import read_segments, read_table, segment_rows, segment_windows
 from streamloom.sources.writers import write_manifest, write_shards, write_table_once, written_segments
 
@@ -36,6 +36,16 @@ def test_untyped_read_numbers_rows(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_files_with_other_headers_keep_their_columns(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("time,current,voltage\n1,2,3\n4,5,6\n")
+    (tmp_path / "b.csv").write_text("voltage,time,current\n30,10,20\n")
+    (tmp_path / "c.csv").write_text("time,current,voltage\n7,8,9\n")
+    paths = [str(tmp_path / f"{n}.csv") for n in "abc"]
+    assert len(read_by_header(spark, paths)) == 2
+    got = read_untyped(spark, paths).select("time", "current", "voltage", "file row").collect()
+    assert sorted(map(tuple, got)) == [("1", "2", "3", 0), ("10", "20", "30", 0), ("4", "5", "6", 1), ("7", "8", "9", 0)]
+
+
 def test_strict_paths_fail(spark):
     df = spark.createDataFrame([("raw/unknown.csv",)], "`raw file path` string")
     with pytest.raises(Exception, match="no protocol"):
