@@ -12,30 +12,46 @@ import re
 
 import regex
 
-#: The splitting rules of the two vocabularies.
+#: The splitting rules of the two vocabularies (the second one after lower-casing).
 SPLITS = {
     "byte_bpe": r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
-    "word_bpe": r"\S+",
+    "word_bpe": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
 }
+#: Text below this character has the same classes in every Unicode version; the rest goes to the library as it is.
+_LATIN_END = "\u0250"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters that stand for bytes in the vocabularies: printable Latin-1 characters for themselves, the other bytes
+    for the characters from U+0100 on, in order."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: chr(b) if b in plain else chr(next(rest)) for b in range(256)}
+
+
 #: A blank that is sure to begin a new token.
 _CUT = regex.compile(r"(?<=\S) (?=\S)")
 #: White space besides the common kinds.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-LIMIT = 500_000
+LIMIT = 300_000
 
 
 class _Memory(dict):
-    """piece -> bytes of its ids."""
+    """piece -> bytes of its ids. When full it starts anew and takes over what is still in use from the entries before."""
 
     def __init__(self, encode):
         super().__init__()
-        self.encode = encode
+        self.encode, self.before = encode, {}
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= LIMIT:
+            self.before = dict(self)
             self.clear()
-        self[piece] = out = self.encode(piece)
+        out = self.before.get(piece)
+        if out is None:
+            out = self.encode(piece)
+        self[piece] = out
         return out
 
 
@@ -49,17 +65,26 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         kind = next((k for k in SPLITS if os.path.basename(path).startswith(k)), None)
         self.blanks = kind == "byte_bpe"
-        split = regex.compile(SPLITS[kind]) if kind else None
+        split = regex.compile(SPLITS[kind]).findall if kind else None
+        model, letters = self.tokenizer.model, _byte_letters()
+        normalize = None if self.blanks else self.tokenizer.normalizer
 
         def whole(piece: str) -> bytes:
             return np.asarray(self.tokenizer.encode_batch_fast([piece], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
-        units = _Memory(whole)
+        def unit(part: str) -> bytes:
+            # What the library's own splitting hands to its model: a unit of the rule, its bytes as letters.
+            found = model.tokenize(part.encode().decode("latin-1").translate(letters))
+            return b"".join([t.id.to_bytes(4, "little") for t in found])
+
+        units = _Memory(unit)
 
         def pieces(piece: str) -> bytes:
-            if len(piece) > 2000:
+            if len(piece) > 2000 or (not piece.isascii() and max(piece) >= _LATIN_END):
                 return whole(piece)
-            return b"".join([units[u] for u in split.findall(piece)])
+            if normalize:
+                piece = piece.lower() if piece.isascii() else normalize.normalize_str(piece)
+            return b"".join([units[u] for u in split(piece)])
 
         self.memory = _Memory(pieces) if kind else None
         self.after_blank = _Memory(lambda piece: pieces(" " + piece))
