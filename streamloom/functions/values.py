@@ -55,10 +55,9 @@ def parse_datetime(pattern: str = "yyyy-MM-dd HH:mm:ss.SSS"):
     return lambda name: F.to_timestamp_ntz(col(name), F.lit(pattern))
 
 
-def safe_name(value: Column, max_len: int = 96) -> Column:
-    """Every character that is neither letter nor digit becomes `_`; cut to `max_len`."""
-    cleaned = F.regexp_replace(value.cast("string"), r"[^\p{L}\p{N}]", "_")
-    return F.substring(cleaned, 1, max_len)
+def safe_name(value: Column) -> Column:
+    """Every character that is neither letter nor digit becomes `_`; names stay whole, so that none meet."""
+    return F.regexp_replace(value.cast("string"), r"[^\p{L}\p{N}]", "_")
 
 
 def task_id(protocol: Column, key: Sequence[str]) -> Column:

@@ -24,7 +24,6 @@ from streamloom.operators.ordered import OrderedFrame, first_valid, lag, lead
 
 FINDINGS = "__findings"
 KEEP = "__keep"
-MAX_ANNOTATIONS = 16  # Fixed value: longest annotation list kept on a row.
 DEFAULT_MAX_DT_S = 86_400.0  # Fixed value: default limit of the time step, one day.
 
 
@@ -307,9 +306,9 @@ def _no_findings() -> Column:
     return F.array().cast(f"array<{ANNOTATION.simpleString()}>")
 
 
-def final_annotations(findings: Column) -> Column:
-    """First sixteen findings, or null when there are none."""
-    return F.when(F.size(findings) > 0, F.slice(findings, 1, MAX_ANNOTATIONS))
+def final_annotations(findings: Column, most: int | None = None) -> Column:
+    """The findings (the first `most` of them, if given), or null when there are none."""
+    return F.when(F.size(findings) > 0, findings if most is None else F.slice(findings, 1, most))
 
 
 def has_annotation(columns: Sequence[str], reason: str, annotations: Column | None = None) -> Column:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from streamloom.columns import col
+from streamloom.functions.values import epoch_micros
 from streamloom.session import checkpoint_dir, max_chunk_rows
 
 CHUNK = "__chunk"
@@ -277,19 +278,35 @@ def _tie_column(frame: OrderedFrame) -> str | None:
     return None
 
 
+def _plain_axis(axis: Column, kind: T.DataType) -> tuple[Column, bool]:
+    """The axis as a number that never decreases along it, null before everything; whether it keeps all of its digits."""
+    lowest = F.lit(-(2**63)).cast("long")
+    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return F.coalesce(axis.cast("long"), lowest), True
+    if isinstance(kind, T.DecimalType) and kind.precision <= 18:
+        return F.coalesce((axis * F.lit(10**kind.scale)).cast("decimal(38,0)").cast("long"), lowest), True
+    if isinstance(kind, T.TimestampType):
+        return F.coalesce(F.unix_micros(axis), lowest), True
+    if isinstance(kind, T.TimestampNTZType):
+        return F.coalesce(epoch_micros(axis), lowest), True
+    if isinstance(kind, T.DateType):
+        return F.coalesce(F.unix_date(axis).cast("long"), lowest), True
+    number = axis.cast("double")
+    floored = F.when(number < F.lit(_LOWEST), F.lit(_LOWEST)).otherwise(number)
+    exact = isinstance(kind, (T.DoubleType, T.FloatType))
+    return F.when(axis.isNull(), F.lit(float("-inf"))).otherwise(floored), exact
+
+
 def _cut_inputs(frame: OrderedFrame) -> tuple[Column, Column, Column]:
-    """(key hash, axis, tie) as plain numbers; null axis sorts before everything."""
+    """(key hash, axis, tie) as plain numbers that follow the order; null sorts before everything.
+
+    Cuts may look at the tie only between rows of one axis value, so not where the axis lost digits.
+    """
     key_hash = F.xxhash64(*[col(k) for k in frame.key]) if frame.key else F.lit(0).cast("long")
-    axis = col(frame.axis)
-    if isinstance(frame.df.schema[frame.axis].dataType, (T.DoubleType, T.FloatType)):
-        floor = F.lit(_LOWEST)
-        axis = F.when(axis.isNull(), F.lit(float("-inf"))).otherwise(
-            F.when(axis < floor, floor).otherwise(axis.cast("double"))
-        )
-    else:
-        axis = F.coalesce(axis.cast("long"), F.lit(-(2**63)).cast("long"))
-    tie = _tie_column(frame)
-    return key_hash, axis, col(tie).cast("long") if tie else F.lit(0).cast("long")
+    axis, exact = _plain_axis(col(frame.axis), frame.df.schema[frame.axis].dataType)
+    tie = _tie_column(frame) if exact else None
+    lowest = F.lit(-(2**63)).cast("long")
+    return key_hash, axis, F.coalesce(col(tie).cast("long"), lowest) if tie else F.lit(0).cast("long")
 
 
 def _find_cuts(frame: OrderedFrame, bound: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -27,13 +28,16 @@ def digest_rank(
     ties: Sequence[str],
     rank: str,
     total: str | None = None,
-    prefix_chars: int = 3,
+    prefix_chars: int | None = None,
 ) -> DataFrame:
     """0-based rank of every row in (digest, ties) order, and the overall row count.
 
     Digests are uniform, so their first characters cut the order into even buckets: rank inside
-    a bucket plus the sizes of the buckets before it. Raise `prefix_chars` for very large input.
+    a bucket plus the sizes of the buckets before it. Without
+    `prefix_chars`, their number follows from a count: some 50,000 rows a bucket.
     """
+    if prefix_chars is None:
+        prefix_chars = max(1, math.ceil(math.log(max(1, df.count()) / 50_000, 16)))
     named = df.withColumn(_PREFIX, F.substring(col(digest_col), 1, prefix_chars))
     sizes = named.groupBy(_PREFIX).agg(F.count(F.lit(1)).alias("__n"))
     # At most 16 ** prefix_chars rows reach this window.

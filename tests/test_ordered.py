@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from streamloom.operators import ordered as o
@@ -32,6 +33,20 @@ def test_chunked_scan_equals_plain_window(events):
         assert plain.result.exceptAll(cut.result).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["decimal(12,2)", "decimal(30,4)", "timestamp", "timestamp_ntz", "date", "float", "int"])
+def test_every_axis_type_and_null_ties_are_cut_alike(spark, kind):
+    n = 400
+    value = {"timestamp": "timestamp_millis(x div 3)", "timestamp_ntz": "cast(timestamp_millis(x div 3) as timestamp_ntz)", "date": "date_from_unix_date(x div 9)"}
+    axis = value.get(kind, f"cast(x / 7 as {kind})")
+    df = spark.range(n).selectExpr("id", "(id * 37) % 211 AS x").selectExpr(
+        "id % 2 AS k", f"if(id % 13 = 0, null, {axis}) AS axis", "if(id % 3 = 0, null, 1000 - id) AS tie", "id AS value", "id AS event_id"
+    )
+    plain = o.OrderedFrame.of(df, ["k"], "axis", ["tie", "event_id"]).scan(scans())
+    cut = o.OrderedFrame.of(df, ["k"], "axis", ["tie", "event_id"], max_rows=11).scan(scans())
+    assert cut.split and not plain.split
+    assert sorted(map(repr, cut.result.collect())) == sorted(map(repr, plain.result.collect()))
+
+
 def test_chunks_are_bounded(events):
     cut = o.OrderedFrame.of(events.withColumn("k", F.lit(1)), ["k"], "value", ["event_id"], max_rows=50)
     biggest = cut.df.groupBy("k", o.CHUNK).count().agg(F.max("count")).first()[0]
