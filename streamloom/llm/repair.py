@@ -48,53 +48,58 @@ class Grammar:
     sequence: np.ndarray
 
 
-def compress(ids: np.ndarray, first_rule: int, rounds: int = 4, least: int = 24, most: int = 2048) -> Grammar:
+def compress(ids: np.ndarray, first_rule: int, rounds: int = 4, least: int = 24, most: int = 2048, gain: float = 0.04) -> Grammar:
     """Re-Pair in rounds. A round counts pairs in hashed bins, takes the pair seen last in each of the fullest bins, and
-    replaces its occurrences from the left; pairs with END_ID are left alone."""
-    seq = ids.astype(np.int64)
+    replaces its occurrences from the left; pairs with END_ID are left alone. It ends when a round gains little."""
+    seq = ids.astype(np.uint32)
     rules: list[np.ndarray] = []
     lengths = np.ones(0, np.int64)
     top = first_rule
+    size = 1 << _BINS
     for _ in range(rounds):
         if len(seq) < 2:
             break
         a, b = seq[:-1], seq[1:]
-        key = (a << 32) | b
-        place = ((key * -7046029254386353131) >> (64 - _BINS)) & ((1 << _BINS) - 1)
-        free = (a != END_ID) & (b != END_ID)
-        count = np.bincount(place[free], minlength=1 << _BINS)
+        place = (a * np.uint32(2654435761) + b * np.uint32(2246822519)) >> np.uint32(32 - _BINS)
+        place[(a == END_ID) | (b == END_ID)] = size  # a bin that is never chosen
+        count = np.bincount(place, minlength=size + 1)[:size]
         chosen = np.flatnonzero(count >= least)
         if not len(chosen):
             break
         if len(chosen) > most:
-            chosen = np.sort(chosen[np.argsort(-count[chosen], kind="stable")[:most]])
-        number = np.full(1 << _BINS, -1, np.int64)
+            chosen = np.sort(np.argpartition(-count, most)[:most])
+        shown = np.zeros(size + 1, np.int64)
+        shown[place] = np.arange(len(place))
+        number = np.full(size + 1, -1, np.int32)
         number[chosen] = np.arange(len(chosen))
-        shown = np.full(1 << _BINS, -1, np.int64)
-        shown[place[free]] = key[free]
-        at = np.flatnonzero(free & (number[place] >= 0) & (shown[place] == key))
-        if not len(at):
-            break
+        which = number[place]
+        at = np.flatnonzero(which >= 0)
+        which = which[at]
+        left, right = seq[shown[chosen]], seq[shown[chosen] + 1]
+        same = (seq[at] == left[which]) & (seq[at + 1] == right[which])
+        at, which = at[same], which[same]
         # Of occurrences that overlap, every second one is replaced.
-        fresh = np.r_[True, np.diff(at) > 1]
+        fresh = np.concatenate([[True], np.diff(at) > 1])
         run = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
-        at = at[(np.arange(len(at)) - run) % 2 == 0]
-        which = number[place[at]]
+        odd = (np.arange(len(at)) - run) % 2 == 0
+        at, which = at[odd], which[odd]
         good = np.bincount(which, minlength=len(chosen)) >= least // 2
         at, which = at[good[which]], which[good[which]]
         if not len(at):
             break
-        new = np.cumsum(good) - 1
-        pairs = shown[chosen[good]]
-        rules.append(np.stack([pairs >> 32, pairs & 0xFFFFFFFF], 1))
-        size = lambda s: np.where(s < first_rule, 1, lengths[np.maximum(s - first_rule, 0)]) if len(lengths) else np.ones(len(s), np.int64)
-        lengths = np.r_[lengths, size(rules[-1][:, 0]) + size(rules[-1][:, 1])]
-        seq = seq.copy()
-        seq[at] = top + new[which]
+        new = top + np.cumsum(good) - 1
+        pairs = np.stack([left[good], right[good]], 1).astype(np.int64)
+        rules.append(pairs)
+        known = np.concatenate([np.ones(1, np.int64), lengths])
+        lengths = np.concatenate([lengths, known[np.maximum(pairs - first_rule + 1, 0)].sum(1)])
+        before = len(seq)
+        seq[at] = new[which]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq = seq[keep]
         top += int(good.sum())
+        if len(at) < gain * before:
+            break
     pairs = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
     return Grammar(first_rule, pairs, lengths, seq)
 
