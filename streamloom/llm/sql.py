@@ -64,4 +64,20 @@ c AS (SELECT DISTINCT doc_id AS id, doc_id AS root FROM documents
 SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.root AS component_id
 FROM w LEFT JOIN n USING (r) JOIN (SELECT id, min(root) AS root FROM c GROUP BY id) m ON m.id = w.doc_id"""
 
-ORACLES = {"op1_line_quality": OP1, "op3_jaccard": OP3, "op5_mixing": OP5}
+OP8 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, doc_id, i, substr(h, 2 * i + 1, 100) AS s
+      FROM (SELECT r, doc_id, h, unnest(range(length(h) // 2 - 49)) AS i FROM d WHERE length(h) >= 100)),
+m AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s),
+gone AS (SELECT r, i FROM w JOIN m USING (s) WHERE least < doc_id),
+cut AS (SELECT r, i, (i - lag(i) OVER o > 50)::INT AS fresh FROM gone WINDOW o AS (PARTITION BY r ORDER BY i)),
+isle AS (SELECT r, i, sum(coalesce(fresh, 0)) OVER (PARTITION BY r ORDER BY i) AS k FROM cut),
+span AS (SELECT r, k, min(i) AS a, max(i) + 50 AS b FROM isle GROUP BY r, k),
+piece AS (SELECT span.*, h, coalesce(lag(b) OVER o, 0) AS past FROM span JOIN d USING (r) WINDOW o AS (PARTITION BY r ORDER BY k)),
+kept AS (SELECT r, sum(b - a) AS n, count(*) AS spans, max(b) AS tail,
+           string_agg(substr(h, 2 * past + 1, 2 * (a - past)), '' ORDER BY k) AS front FROM piece GROUP BY r)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(front, '') || substr(h, 2 * coalesce(tail, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)"""
+
+ORACLES = {"op1_line_quality": OP1, "op3_jaccard": OP3, "op5_mixing": OP5, "op8_suffix_dedup": OP8}

@@ -35,8 +35,6 @@ def documents(spark, sf="0.001"):
     return spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet")
 
 
-def limited(rows):
-    return sorted(map(repr, rows))
 
 
 DRIVER_FOLDER = os.environ.get("CORPUS_TEST_DIR", "/root/testdata/sf0.001")
