@@ -5,7 +5,7 @@ shingles of its set: two sets above the threshold share at least one of them. Ra
 shingles in hashed cells (a table of fixed size); any order gives the same links, this one keeps the lists short.
 
 Components need no pair inside a group that is known to hang together. So each list of the index first links its
-members to one hub, then to another, and only pairs across different components are then compared in full: a group
+members to two hubs, its first and its last, and only pairs across different components are then compared in full: a group
 of thousands of near copies costs as many comparisons as it has members, and no link between groups is lost.
 
 Defined results: a document without words has an empty set and is its own component; a shorter document is one shingle;
@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -30,7 +30,9 @@ from streamloom.llm.common import stored
 from streamloom.llm.components import components
 
 CELL_BITS = 18
-PARTS = 16
+#: Longs of a set's bitmap; ids that are broadcast at once at most (16 MB).
+MARK_LONGS = 16
+BROADCAST_IDS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -48,6 +50,13 @@ def _cell(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
 
+def _marks(s: np.ndarray) -> list[int]:
+    """Bitmap of a set: a bit says whether an odd number of its hashes fall there. Of two bitmaps no more bits can
+    differ than the sets have members that are not common."""
+    odd = np.bincount((s & np.uint64(64 * MARK_LONGS - 1)).astype(np.int64), minlength=64 * MARK_LONGS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def _scanned(docs: DataFrame, words: int) -> DataFrame:
     """Rows of two kinds: one per document (doc_id, n, digest), and one per cell and task with its documents' count."""
 
@@ -55,18 +64,19 @@ def _scanned(docs: DataFrame, words: int) -> DataFrame:
         counts = np.zeros(1 << CELL_BITS, np.int64)
         for frame in frames:
             texts = frame["text"].tolist()
-            n, digests = [], []
+            n, digests, marks = [], [], []
             for part in shingles.sliced(texts):
                 found = shingles.sets(texts[part], words)
                 n += map(len, found)
                 digests += [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in found]
+                marks += [_marks(s) for s in found]
                 counts += np.bincount(_cell(np.concatenate(found)), minlength=1 << CELL_BITS)
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "n": n, "digest": digests, "cell": None, "seen": None})
+            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "n": n, "digest": digests, "marks": marks, "cell": None, "seen": None})
         cells = np.flatnonzero(counts)
-        yield pd.DataFrame({"doc_id": None, "n": None, "digest": None, "cell": cells, "seen": counts[cells]})
+        yield pd.DataFrame({"doc_id": None, "n": None, "digest": None, "marks": None, "cell": cells, "seen": counts[cells]})
 
     slim = docs.select(F.col("doc_id").cast("long"), "text")
-    return slim.mapInPandas(scan, "doc_id long, n long, digest binary, cell long, seen long")
+    return slim.mapInPandas(scan, "doc_id long, n long, digest binary, marks array<long>, cell long, seen long")
 
 
 def _indexed(docs: DataFrame, rarity: np.ndarray, t: Threshold) -> DataFrame:
@@ -95,36 +105,42 @@ def _indexed(docs: DataFrame, rarity: np.ndarray, t: Threshold) -> DataFrame:
     return slim.mapInPandas(index, "token long, id long, n int, pos int")
 
 
-def _kept_sets(docs: DataFrame, t: Threshold) -> DataFrame:
-    """(id, n, hashes, parts): the sorted set, and how many of its members lie in each of `PARTS` ranges of hashes."""
+def _apart(a: str, b: str, longs: int) -> Column:
+    """Least number of members that two sets do not share, by their bitmaps."""
+    return sum((F.bit_count(F.get(a, i).bitwiseXOR(F.get(b, i))) for i in range(longs)), F.lit(0))
+
+
+def _may_link(n_a: str, n_b: str, apart: Column, t: Threshold) -> Column:
+    """Suffix filter: |A and B| <= (|A| + |B| - apart) / 2."""
+    most = (F.col(n_a) + F.col(n_b) - apart) / 2
+    return 100 * most >= t.percent * (F.col(n_a) + F.col(n_b) - most)
+
+
+def _near(pairs: DataFrame, marks: DataFrame, t: Threshold) -> DataFrame:
+    a, b = (marks.select(*[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "marks")]) for x in "ab")
+    both = pairs.join(a, pairs["a"] == a["id_a"]).join(b, pairs["b"] == b["id_b"])
+    return both.where(_may_link("n_a", "n_b", _apart("marks_a", "marks_b", MARK_LONGS), t)).select("a", "b").distinct()
+
+
+def _kept_sets(docs: DataFrame, pairs: DataFrame, t: Threshold) -> DataFrame:
+    """(id, hashes): the sorted sets of the documents in the pairs. Their ids are broadcast while they are few; beyond
+    that the texts are joined by a shuffle."""
 
     def build(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             texts, ids = frame["text"].tolist(), frame["id"].to_numpy(np.int64)
             for part in shingles.sliced(texts):
                 found = shingles.sets(texts[part], t.words)
-                yield pd.DataFrame(
-                    {
-                        "id": ids[part],
-                        "n": [len(s) for s in found],
-                        "hashes": [s.tobytes() for s in found],
-                        "parts": [np.bincount((s >> np.uint64(60)).astype(np.int64), minlength=PARTS).tolist() for s in found],
-                    }
-                )
+                yield pd.DataFrame({"id": ids[part], "hashes": [s.tobytes() for s in found]})
 
-    return docs.mapInPandas(build, "id long, n int, hashes binary, parts array<int>")
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
+    return texts.mapInPandas(build, "id long, hashes binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
-    """The pairs (a, b) that link. Suffix filter: the sets differ at least by the differences of their parts' sizes, so the
-    hashes are fetched and compared only for pairs that this leaves."""
-    parts = sets.select("id", "n", "parts")
-    a, b = (parts.select(*[F.col(c).alias(f"{c}_{x}") for c in parts.columns]) for x in "ab")
-    both = pairs.join(a, pairs["a"] == a["id_a"]).join(b, pairs["b"] == b["id_b"])
-    apart = F.aggregate(F.zip_with("parts_a", "parts_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-    # |A and B| <= (|A| + |B| - apart) / 2
-    most = (F.col("n_a") + F.col("n_b") - apart) / 2
-    near = both.where(100 * most >= t.percent * (F.col("n_a") + F.col("n_b") - most)).select("a", "b")
+    """The pairs (a, b) that link."""
     left = sets.select(F.col("id").alias("a"), F.col("hashes").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("hashes").alias("y"))
 
@@ -138,7 +154,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
                 ok.append(100 * same >= t.percent * (len(x) + len(y) - same))
             yield frame.loc[ok, ["a", "b"]]
 
-    return near.join(left, "a").join(right, "b").mapInPandas(compare, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").mapInPandas(compare, "a long, b long")
 
 
 def _first_meetings(met: DataFrame, t: Threshold) -> DataFrame:
@@ -153,28 +169,38 @@ def _first_meetings(met: DataFrame, t: Threshold) -> DataFrame:
     return first.where(100 * rest >= t.percent * (total - rest)).select("a", "b")
 
 
-def _hub_pairs(lists: DataFrame, t: Threshold, last: bool) -> DataFrame:
-    """Pairs of a list's hub (its first or last member) with the members of other components."""
+def _hub_pairs(lists: DataFrame, t: Threshold) -> DataFrame:
+    """Pairs of a list's hubs, its first and last member, with its other members."""
     w = Window.partitionBy("token")
-    pick = F.max if last else F.min
-    hub = pick(F.struct("id", "n", "pos", "root")).over(w)
-    met = lists.withColumn("hub", hub).where("hub.root != root").select(
-        F.least("id", "hub.id").alias("a"),
-        F.greatest("id", "hub.id").alias("b"),
-        F.when(F.col("id") < F.col("hub.id"), F.col("n")).otherwise(F.col("hub.n")).alias("n_a"),
-        F.when(F.col("id") < F.col("hub.id"), F.col("hub.n")).otherwise(F.col("n")).alias("n_b"),
-        F.when(F.col("id") < F.col("hub.id"), F.col("pos")).otherwise(F.col("hub.pos")).alias("pos_a"),
-        F.when(F.col("id") < F.col("hub.id"), F.col("hub.pos")).otherwise(F.col("pos")).alias("pos_b"),
+    member = F.struct("id", "n", "pos")
+    met = lists.withColumn("ends", F.array(F.min(member).over(w), F.max(member).over(w)))
+    met = met.select("id", "n", "pos", F.explode("ends").alias("hub")).where("hub.id != id")
+    below = F.col("id") < F.col("hub.id")
+
+    def of(name: str, first: bool) -> Column:
+        own, other = F.col(name), F.col(f"hub.{name}")
+        return F.when(below, own if first else other).otherwise(other if first else own)
+
+    return _first_meetings(
+        met.select(*[of(c, x == "a").alias({"id": x}.get(c, f"{c}_{x}")) for x in "ab" for c in ("id", "n", "pos")]), t
     )
-    return _first_meetings(met, t)
 
 
-def _cross_pairs(lists: DataFrame, t: Threshold) -> DataFrame:
-    """All pairs of a list whose components still differ."""
+def _cross_pairs(lists: DataFrame, marks: DataFrame, t: Threshold) -> DataFrame:
+    """All pairs of a list whose components still differ. The bitmaps, folded to a quarter, are compared in the join, so
+    that pairs of a large group that cannot link are not even made."""
     w = Window.partitionBy("token")
     open_lists = lists.withColumn("lo", F.min("root").over(w)).withColumn("hi", F.max("root").over(w)).where("lo != hi").drop("lo", "hi")
-    a, b = (open_lists.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "pos", "root")]) for x in "ab")
-    met = a.join(b, "token").where("id_a < id_b AND root_a != root_b AND 100 * least(n_a, n_b) >= %d * greatest(n_a, n_b)" % t.percent)
+    quarter = MARK_LONGS // 4
+    folded = F.array(
+        *[F.get("marks", i).bitwiseXOR(F.get("marks", i + quarter)).bitwiseXOR(F.get("marks", i + 2 * quarter)).bitwiseXOR(F.get("marks", i + 3 * quarter)) for i in range(quarter)]
+    )
+    open_lists = open_lists.join(marks.select("id", "n", folded.alias("fold")), ["id", "n"])
+    a, b = (open_lists.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "pos", "root", "fold")]) for x in "ab")
+    met = a.join(b, "token").where(
+        F.expr(f"id_a < id_b AND root_a != root_b AND 100 * least(n_a, n_b) >= {t.percent} * greatest(n_a, n_b)")
+        & _may_link("n_a", "n_b", _apart("fold_a", "fold_b", quarter), t)
+    )
     return _first_meetings(met.withColumnsRenamed({"id_a": "a", "id_b": "b"}), t)
 
 
@@ -182,14 +208,14 @@ def linked(docs: DataFrame, t: Threshold = Threshold()) -> DataFrame:
     """doc_id, n_shingles, digest of the set and component_id of every row."""
     spark = docs.sparkSession
     scan = stored(_scanned(docs, t.words), "jaccard-scan")
-    found = scan.where("cell IS NULL").select("doc_id", "n", "digest")
+    found = scan.where("cell IS NULL").select("doc_id", "n", "digest", "marks")
     rarity = np.zeros(1 << CELL_BITS, np.int64)
     for r in scan.where("cell IS NOT NULL").groupBy("cell").agg(F.sum("seen").alias("seen")).toLocalIterator():
         rarity[r["cell"]] = r["seen"]
     known = found.where("doc_id IS NOT NULL AND n > 0")
     # Equal sets are one node; a doc_id that repeats with other texts ties its sets together.
     first = known.groupBy("n", "digest").agg(F.min("doc_id").alias("rep"))
-    held = known.join(first, ["n", "digest"]).select("doc_id", "rep").distinct()
+    held = known.select("doc_id", "n", "digest").join(first, ["n", "digest"]).select("doc_id", "rep").distinct()
     own = F.max(F.col("rep") == F.col("doc_id"))
     nodes = held.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.count(F.lit(1)).alias("reps"), own.alias("owns"))
     nodes = stored(nodes, "jaccard-nodes")
@@ -204,16 +230,16 @@ def linked(docs: DataFrame, t: Threshold = Threshold()) -> DataFrame:
         .select("token", "id", "n", "pos")
     )
     lists = stored(lists, "jaccard-lists")
-    involved = lists.select("id").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(involved, "id", "left_semi")
-    sets = stored(_kept_sets(texts, t), "jaccard-sets")
-
+    marks = known.join(nodes.where("owns").select("doc_id"), "doc_id").join(lists.select(F.col("id").alias("doc_id")).distinct(), "doc_id")
+    marks = stored(marks.select(F.col("doc_id").alias("id"), F.col("n").cast("int").alias("n"), "marks"), "jaccard-marks")
     roots = None
-    for step in ("first", "last", "cross"):
+    for step in ("hubs", "cross"):
         now = lists if roots is None else lists.join(roots, "id", "left")
         now = now.withColumn("root", F.coalesce("root", "id") if roots is not None else F.col("id"))
-        pairs = _cross_pairs(now, t) if step == "cross" else _hub_pairs(now, t, step == "last")
-        new = stored(_verified(stored(pairs, "jaccard-pairs"), sets, t), "jaccard-links")
+        pairs = _cross_pairs(now, marks, t) if step == "cross" else _hub_pairs(now, t)
+        near = stored(_near(pairs, marks, t), "jaccard-pairs")
+        sets = stored(_kept_sets(docs, near, t), "jaccard-sets")
+        new = stored(_verified(near, sets, t), "jaccard-links")
         links = links.union(new)
         if roots is None or not new.isEmpty():
             roots = stored(components(links), "jaccard-roots")
@@ -224,7 +250,7 @@ def linked(docs: DataFrame, t: Threshold = Threshold()) -> DataFrame:
     )
     by_set = first.join(by_doc, first["rep"] == by_doc["__d"]).select(F.col("n").alias("__n"), F.col("digest").alias("__g"), F.col("component").alias("set_component"))
     return (
-        found.join(by_doc, found["doc_id"] == by_doc["__d"], "left")
+        found.drop("marks").join(by_doc, found["doc_id"] == by_doc["__d"], "left")
         .join(by_set, (found["n"] == by_set["__n"]) & (found["digest"] == by_set["__g"]), "left")
         .select(
             "doc_id",
