@@ -233,9 +233,8 @@ def rollout_windows(spark, d):
     return good.select(*names).unionByName(bad.select(*names))
 
 
-def first_rows(spark, d, n):
-    rows = user_rows(spark, d).filter(F.col("position") < n)
-    return rows.select(
+def all_steps(spark, d):
+    return user_rows(spark, d).select(
         "user_id",
         "position",
         "value",
@@ -252,7 +251,7 @@ def first_rows(spark, d, n):
     UNION ALL SELECT user_id, 15 + k, value, 0.75, -1, false FROM w, range(5) r(k) WHERE pos = 14""",
 )
 def extension(spark, d):
-    rows = first_rows(spark, d, 15).drop("dt").withColumn("control", F.lit(0.25))
+    rows = all_steps(spark, d).filter("position < 15").drop("dt").withColumn("control", F.lit(0.25))
     rule = Scale("control", (0.0, 20.0), (0.0, 1.0))
     out = V.extended_rollout(
         rows, ["user_id"], ["value", "control"], ["value"], {"control": 15.0}, 10, 5, 5, [rule]
@@ -263,14 +262,14 @@ def extension(spark, d):
 
 ALIGNED = f"""p AS ({POS}), n AS (SELECT user_id, count(*) AS n, 4 + user_id % 5 AS ts FROM p GROUP BY user_id),
     a AS (SELECT p.user_id, p.pos, CASE WHEN pos >= ts AND pos < least(ts + 6, n) THEN (pos - ts) * 1.0
-      WHEN pos < 8 THEN value ELSE NULL END AS v FROM p JOIN n USING (user_id))"""
+      ELSE value END AS v FROM p JOIN n USING (user_id))"""
 
 
 def aligned(spark, d):
     rows = user_rows(spark, d)
     sizes = rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("total steps"))
     windows = sizes.withColumn("target start", F.col("user_id") % 5 + 4)
-    context = rows.filter("position < 8").select("user_id", "position", F.col("value").alias("v"))
+    context = rows.select("user_id", "position", F.col("value").alias("v"))
     rollout = sizes.select("user_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long"))).alias("step"))
     rollout = rollout.withColumn("v", F.col("step").cast("double"))
     return V.aligned_predictions(context, rollout, windows, ["user_id"], ["v"])
@@ -284,20 +283,19 @@ def alignment(spark, d):
 
 @query(
     "m30_target_time_axis",
-    f"""WITH p AS ({POS}), w AS (SELECT *, greatest(coalesce(later - t, 0), 0) AS dt FROM p WHERE pos < 20),
+    f"""WITH p AS ({POS}), w AS (SELECT *, greatest(coalesce(later - t, 0), 0) AS dt FROM p),
       e AS (SELECT *, sum(dt) OVER (PARTITION BY user_id ORDER BY pos) - first(dt) OVER (PARTITION BY user_id ORDER BY pos) AS el FROM w)
     SELECT user_id, pos AS position, round(coalesce(lead(el) OVER (PARTITION BY user_id ORDER BY pos), el + dt), 4) AS "target time" FROM e""",
 )
 def target_time(spark, d):
-    rows = first_rows(spark, d, 20).withColumn("dt", F.coalesce("dt", F.lit(0.0)))
+    rows = all_steps(spark, d).withColumn("dt", F.coalesce("dt", F.lit(0.0)))
     out = V.target_time_axis(rows, ["user_id"], "dt")
     return out.select("user_id", "position", rounded("`target time`", 4).alias("target time"))
 
 
 @query(
     "m31_comparison_frame",
-    f"""WITH {ALIGNED}, q AS (SELECT user_id, pos, v, CASE WHEN pos < 9 THEN value END AS shown, nxt FROM a JOIN p USING (user_id, pos)
-        WHERE pos < 12)
+    f"""WITH {ALIGNED}, q AS (SELECT user_id, pos, v, CASE WHEN pos < 9 THEN value END AS shown, nxt FROM a JOIN p USING (user_id, pos))
     SELECT user_id, pos AS position, coalesce(shown, -1) AS "input::value", coalesce(nxt, -1) AS "target::value",
       coalesce(nxt, -1) AS "base::value", coalesce(v, -1)::DOUBLE AS "prediction::ck::4::value" FROM q""",
 )
@@ -311,7 +309,7 @@ def comparison(spark, d):
         F.col("v").alias("prediction"),
     )
     out = V.comparison_frame(
-        first_rows(spark, d, 12), preds, ["user_id"], ["value"], ["value"], [("ck", 4)], ["value"], 9
+        all_steps(spark, d), preds, ["user_id"], ["value"], ["value"], [("ck", 4)], ["value"], 9
     )
     shown = [c for c in out.columns if "::" in c]
     return out.withColumns({c: F.coalesce(col(c), F.lit(-1.0)) for c in shown})

@@ -105,11 +105,13 @@ def index_row_ids(spark, d):
 
 @query(
     "o3_w6_manifest_row_ids",
-    f"""SELECT {STREAM_SQL}, row_number() OVER (ORDER BY "cycle index", "cell id", protocol) - 1 AS row_id
-      FROM {INDEX} WHERE "dataset id" = 'a'""",
+    f"""SELECT {STREAM_SQL}, row_number() OVER (PARTITION BY "dataset id" ORDER BY "cycle index", "cell id", protocol) - 1 AS row_id
+      FROM {INDEX}""",
 )
 def manifest_row_ids(spark, d):
-    rows = with_manifest_row_ids(stream_index(spark, d).filter("`dataset id` = 'a'"))
+    index = stream_index(spark, d)
+    a, b = (with_manifest_row_ids(index.filter(col("dataset id") == name)) for name in "ab")  # a manifest each
+    rows = a.unionByName(b)
     return rows.select(*[col(c) for c in STREAM], F.col("__manifest_row_id").alias("row_id"))
 
 
