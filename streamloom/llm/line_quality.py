@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from streamloom.llm.common import WORD, words
+from streamloom.llm.common import WORD, stored, words
 
 #: Characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -89,10 +89,12 @@ def base_columns(docs: DataFrame, text: str = "text") -> DataFrame:
     return out.withColumn("base_failed", failed).drop("__tokens", "__lines")
 
 
+def _keyed_columns(host: str) -> list[Column]:
+    return [F.col("doc_id").alias("__id"), F.col(host).alias("__host"), F.xxhash64("text").alias("__text"), F.col("text")]
+
+
 def _keyed(docs: DataFrame, host: str) -> DataFrame:
-    return docs.select(
-        F.col("doc_id").alias("__id"), F.col(host).alias("__host"), F.xxhash64("text").alias("__text"), F.col("text")
-    )
+    return docs.select(*_keyed_columns(host))
 
 
 def frequent_lines(docs: DataFrame, host: str = "source", limits: LineLimits = LineLimits()) -> DataFrame:
@@ -141,16 +143,6 @@ def removals(docs: DataFrame, host: str = "source", limits: LineLimits = LineLim
     )
 
 
-def _match(docs: DataFrame, host: str, removed: DataFrame) -> DataFrame:
-    own = docs.withColumn("__digest", F.xxhash64("text"))
-    on = (
-        own["doc_id"].eqNullSafe(removed["__id"])
-        & own[host].eqNullSafe(removed["__host"])
-        & (own["__digest"] == removed["__text"])
-    )
-    return own.join(removed, on, "left").drop("__id", "__host", "__text", "__digest")
-
-
 def _depleted(limits: LineLimits) -> Column:
     left = F.col("n_words") - F.coalesce(F.col("n_removed_words"), F.lit(0))
     return (F.col("n_words") > 0) & (left < limits.least_left * F.col("n_words"))
@@ -181,17 +173,28 @@ def report(docs: DataFrame, host: str = "source", limits: LineLimits = LineLimit
 
 
 def clean(docs: DataFrame, host: str = "source", limits: LineLimits = LineLimits()) -> DataFrame:
-    """The kept documents with their columns; frequent lines are cut out of the text."""
+    """The kept documents with their columns; frequent lines are cut out of the text.
+
+    The verdicts are written first: were the filter pushed into their computation, Spark would inline its steps.
+    """
+    keys = ["__id", "__host", "__text"]
+    based = base_columns(_keyed(docs, host)).select(*[F.col(k).alias(f"{k}_") for k in keys], "n_words", "base_failed")
     removed = removals(docs, host, limits)
-    # The base rules run on the input's text under a name of their own; columns of the input may clash.
-    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col("doc_id"), F.col(host).alias("__src"), "text")
-    based = _match(base_columns(boxed), "__src", removed)
-    kept = based.where(~F.col("base_failed") & ~_depleted(limits))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}_"))
+    verdicts = based.join(removed, same, "left").drop(*keys)
+    verdicts = stored(verdicts.withColumn("__kept", ~F.col("base_failed") & ~_depleted(limits)), "quality-verdicts")
+    kept = verdicts.where("__kept").dropDuplicates([f"{k}_" for k in keys]).select(*[f"{k}_" for k in keys], F.col("removed").alias("__removed"))
+    # The input's row travels as one struct, so that its columns cannot clash.
+    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), *_keyed_columns(host))
+    rows = boxed.join(kept, same)
     lines = F.filter(
-        F.split(F.col("text"), "\n"), lambda x: ~(x.rlike(WORD) & F.array_contains(F.col("removed"), line_key(x)))
+        F.split(F.col("text"), "\n"), lambda x: ~(x.rlike(WORD) & F.array_contains(F.col("__removed"), line_key(x)))
     )
-    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
-    fields = {c: F.col("__row").getField(c) for c in docs.columns} | {"text": text}
+    text = F.when(F.col("__removed").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
+    rows = rows.withColumn("text", text)
+    fields = {c: F.col("__row").getField(c) for c in docs.columns} | {"text": F.col("text")}
     if "n_chars" in fields:
-        fields["n_chars"] = F.length(text).cast("long")
-    return kept.select(*[v.alias(k) for k, v in fields.items()])
+        fields["n_chars"] = F.length("text").cast("long")
+    return rows.select(*[v.alias(k) for k, v in fields.items()])

@@ -145,9 +145,9 @@ def draws(plan: DataFrame, mix: Mix, source: str = "source", seed: int = 0) -> D
     ranges = shares(per.select("source", "quota"), shards, seed)
     cells = ranges.select(
         F.struct("source").alias("__s"),
-        "shard",
-        "lo",
-        "hi",
+        F.col("shard").alias("__shard"),
+        F.col("lo").alias("__lo"),
+        F.col("hi").alias("__hi"),
         F.explode(F.sequence(F.expr(f"lo div {1 << 14}"), F.expr(f"(hi - 1) div {1 << 14}"))).alias("__cell"),
     )
     counts = per.select(F.struct("source").alias("__s"), "__docs")
@@ -162,11 +162,10 @@ def draws(plan: DataFrame, mix: Mix, source: str = "source", seed: int = 0) -> D
     )
     return (
         drawn.join(cells, ["__s", "__cell"])
-        .where("lo <= __draw AND __draw < hi")
+        .where("__lo <= __draw AND __draw < __hi")
         .withColumn("__words", F.when(F.col("__turn") < F.col("__full"), F.col("__size")).otherwise(F.col("__rest")))
         .withColumn("__place", shuffled_order(F.lit(seed), F.col("doc_id"), F.col("__turn"), F.col("__rank")))
-        .withColumnRenamed("shard", "__shard")
-        .drop("__s", "__cell", "lo", "hi", "__docs", "__draw")
+        .drop("__s", "__cell", "__lo", "__hi", "__docs", "__draw")
     )
 
 
@@ -174,7 +173,8 @@ def mixed(docs: DataFrame, mix: Mix = Mix(), source: str = "source", text: str =
     """The mix itself: the input's columns, one row per draw, dealt to the shards' order. The last draw of a source may
     hold only the first words of its document."""
     plan = planned(docs, mix, source, text)
-    head = F.regexp_extract(F.col(text), F.concat(F.lit(r"^[ \t-\r]*(?:[^ \t-\r]++[ \t-\r]*+){"), F.col("__words").cast("string"), F.lit("}")), 0)
+    parts = F.regexp_extract_all(F.col(text), F.lit(r"[ \t-\r]*[^ \t-\r]+"), F.lit(0))
+    head = F.array_join(F.slice(parts, F.lit(1), F.col("__words").cast("int")), "")
     rows = draws(plan, mix, source).withColumn(text, F.when(F.col("__words") < F.col("__size"), head).otherwise(F.col(text)))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length(text).cast("long"))
