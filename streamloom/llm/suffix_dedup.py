@@ -2,11 +2,12 @@
 
 A byte goes if a string of `window` bytes that covers it also starts in a document with a smaller doc_id.
 
-1. Anchors. The smallest hashed k-gram of a window (its anchor) depends on the window's bytes alone, so equal windows have
-   equal anchors. Anchors met in one document only are dropped: their windows occur nowhere else. This takes one shuffle
-   of one row per anchor and document; the other anchors go into a Bloom filter of fixed size. Where the filter errs,
-   or is too small for the data, more text goes on to the next step, and the result is the same.
-2. Stretches. Consecutive windows with one anchor form a stretch of text. Equal stretches become one row with their
+1. Anchors. The smallest hashed k-gram of a window (its anchor) and the pair of the smallest and the largest depend on
+   the window's bytes alone, so equal windows agree in both. Windows whose anchor, or then whose pair, is met in one
+   document only are dropped: they occur nowhere else. Each takes one shuffle of a row per value and document; values
+   met in several documents go into a Bloom filter of fixed size. Where a filter errs, or is too small for the data,
+   more text goes on to the next step, and the result is the same.
+2. Stretches. Consecutive windows left with one anchor form a stretch of text. Equal stretches become one row with their
    smallest doc_id, before and after the shuffle. Stretches are dealt out by anchor; for an anchor with very many
    different stretches single windows are compared instead, summed up before and after a shuffle by their bytes.
 3. Suffix sort. In each bounded block of stretches, suffixes are sorted by the difference-cover method: positions not
@@ -33,6 +34,9 @@ from pyspark.sql import functions as F
 
 from streamloom.llm.common import stored
 
+#: Spans that are broadcast at most, of 16 bytes each.
+BROADCAST_SPANS = 2_000_000
+
 _VALUES = np.random.default_rng(8).integers(0, 1 << 63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -41,11 +45,12 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 class Passages:
     window: int = 50
     gram: int = 16
-    #: Bytes of stretches that are sorted at once, and different stretches of one anchor that stay together.
-    block_bytes: int = 1 << 20
-    together: int = 2000
+    #: Bytes of stretches after which a block is sorted, and different stretches of one anchor that stay together; with the
+    #: longest stretch they keep a block below 2^_BITS bytes.
+    block_bytes: int = 1 << 19
+    together: int = 900
     #: Windows in one stretch at most (long runs of one anchor are cut), and bits of the filter, as powers of two.
-    longest: int = 2048
+    longest: int = 1024
     filter_bits: int = 27
 
 
@@ -59,117 +64,103 @@ def _gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
-def anchors(data: np.ndarray, p: Passages) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, first window, number of windows) of the stretches of one document."""
+def _slide(x: np.ndarray, span: int, n: int, pick: np.ufunc) -> np.ndarray:
+    """pick.reduce over each of the first n runs of `span` values, by doubling."""
+    size = 1
+    while size * 2 <= span:
+        x = pick(x[:-size], x[size:])
+        size *= 2
+    return pick(x[:n], x[span - size : span - size + n])
+
+
+def anchors(data: np.ndarray, p: Passages) -> tuple[np.ndarray, np.ndarray]:
+    """The anchor and the pair of every window of one document."""
     n = len(data) - p.window + 1
     if n <= 0:
-        none = np.zeros(0, np.int64)
-        return none, none, none
-    span = p.window - p.gram + 1
-    low, size = _gram_hashes(data, p.gram), 1
-    while size * 2 <= span:  # sliding minimum by doubling
-        low = np.minimum(low[:-size], low[size:])
-        size *= 2
-    low = np.minimum(low[:n], low[span - size : span - size + n])
-    cut = np.r_[True, low[1:] != low[:-1]]
-    starts = np.flatnonzero(cut)
-    if n > p.longest:
-        run = np.arange(n) - starts[np.cumsum(cut) - 1]
-        starts = np.flatnonzero(cut | (run % p.longest == 0))
-    return low[starts].view(np.int64), starts, np.diff(np.r_[starts, n])
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    grams, span = _gram_hashes(data, p.gram), p.window - p.gram + 1
+    low = _slide(grams, span, n, np.minimum)
+    pair = (low * _BASE) ^ _slide(grams, span, n, np.maximum)
+    return low, (pair ^ (pair >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+
+
+def _changes(x: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
 
 
 # ---- difference-cover suffix sort of one block ------------------------------------------------------------------
 
 
-def _names(columns: list[np.ndarray]) -> tuple[np.ndarray, int]:
-    """Ranks of the rows (equal rows share one) from 1 on, and the number of ranks."""
-    order = np.lexsort(columns[::-1])
-    differs = np.zeros(len(order), bool)
-    for c in columns:
-        s = c[order]
-        differs[1:] |= s[1:] != s[:-1]
-    names = np.empty(len(order), np.int64)
-    names[order] = np.cumsum(differs) + 1
-    return names, int(differs.sum()) + 1
+_BITS = 21  # symbols and ranks of a block, so that three of them make one sortable number
+
+
+def _names(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Order of the keys, their ranks (equal keys share one) from 1 on, and the number of ranks."""
+    order = np.argsort(key)
+    sorted_key = key[order]
+    names = np.empty(len(key), np.int64)
+    rank = np.cumsum(np.concatenate([[1], sorted_key[1:] != sorted_key[:-1]]))
+    names[order] = rank
+    return order, names, int(rank[-1])
 
 
 def suffix_order(s: np.ndarray, depth: int) -> np.ndarray:
-    """Suffix positions of the numbers s (all > 0) sorted by at least their first `depth` symbols."""
+    """Suffix positions of the numbers s (all > 0, below 2^_BITS, as is their count) sorted by their first `depth` symbols at least."""
     n = len(s)
     if n < 4:
         return np.array(sorted(range(n), key=lambda i: s[i:].tolist()), np.int64)
-    t = np.concatenate([s, np.zeros(3, s.dtype)]).astype(np.int64)
+    t = np.concatenate([s, np.zeros(6, np.int64)])
     # One more sample at n when n % 3 == 1 keeps the halves apart in the recursion.
-    one = np.arange(1, n + (n % 3 == 1), 3)
-    two = np.arange(2, n, 3)
-    sample = np.concatenate([one, two])
-    t = np.concatenate([t, np.zeros(3, np.int64)])
-    names, count = _names([t[sample], t[sample + 1], t[sample + 2]])
+    ones, twos = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)
+    sample = np.concatenate([ones, twos])
+    order, names, count = _names((((t[sample] << _BITS) | t[sample + 1]) << _BITS) | t[sample + 2])
     if count < len(sample) and depth > 3:
-        deeper = suffix_order(names, -(-depth // 3))
-        # Beyond the depth any order does, as long as it is one order.
-        by = np.empty(len(sample), np.int64)
-        by[deeper] = np.arange(1, len(sample) + 1)
-    else:
-        by = np.empty(len(sample), np.int64)
-        by[np.argsort(names, kind="stable")] = np.arange(1, len(sample) + 1)
+        order = suffix_order(names, -(-depth // 3))
+    # Beyond the depth any order does, as long as it is one order.
     rank = np.zeros(n + 6, np.int64)
-    rank[sample] = by
-    sample = sample[np.argsort(by)]
-    sample = sample[sample < n]
+    rank[sample[order]] = np.arange(1, len(sample) + 1)
+    ordered = sample[order]
+    ordered = ordered[ordered < n]
+    by_one, by_two = ordered[ordered % 3 == 1], ordered[ordered % 3 == 2]
     rest = np.arange(0, n, 3)
-    rest = rest[np.lexsort((rank[rest + 1], t[rest]))]
-    # Merge: every remaining suffix finds its place among the samples by bisection, all at once.
-    lo, hi = np.zeros(len(rest), np.int64), np.full(len(rest), len(sample), np.int64)
-    while True:
-        open_ = lo < hi
-        if not open_.any():
-            break
-        mid = (lo + hi) // 2
-        i, j = sample[np.minimum(mid, len(sample) - 1)], rest
-        first = t[i] < t[j]
-        tie = t[i] == t[j]
-        by_one = rank[i + 1] < rank[j + 1]
-        by_two = (t[i + 1] < t[j + 1]) | ((t[i + 1] == t[j + 1]) & (rank[i + 2] < rank[j + 2]))
-        less = first | (tie & np.where(i % 3 == 1, by_one, by_two))
-        lo = np.where(open_ & less, mid + 1, lo)
-        hi = np.where(open_ & ~less, mid, hi)
-    # `rest` is sorted; keep its order where two of its suffixes meet at one place.
-    lo = np.maximum.accumulate(lo) if len(lo) else lo
-    out = np.empty(n, np.int64)
-    at = lo + np.arange(len(rest))
-    taken = np.zeros(n, bool)
-    taken[at] = True
+    # A remaining suffix compares with samples of either kind by symbols and the rank behind them.
+    one_key = lambda i: (t[i] << _BITS) | rank[i + 1]
+    two_key = lambda i: (((t[i] << _BITS) | t[i + 1]) << _BITS) | rank[i + 2]
+    rest = rest[np.argsort(one_key(rest))]
+    before = np.searchsorted(one_key(by_one), one_key(rest)) + np.searchsorted(two_key(by_two), two_key(rest))
+    at = np.maximum.accumulate(before) + np.arange(len(rest))
+    out, free = np.empty(n, np.int64), np.ones(n, bool)
     out[at] = rest
-    out[~taken] = sample
+    free[at] = False
+    out[free] = ordered
     return out
 
 
 def smallest_owner(texts: list[bytes], owners: np.ndarray, window: int) -> list[np.ndarray]:
     """For every window of every text, the smallest owner of any text in the block that holds an equal window."""
     # A separator per text that no byte equals; windows never reach across it.
-    data = np.concatenate([np.frombuffer(x + b"\0", np.uint8).astype(np.int64) + 2 for x in texts])
+    raw = np.frombuffer(b"\0".join([*texts, b""]), np.uint8)
     sizes = np.array([len(x) + 1 for x in texts])
     ends = np.cumsum(sizes)
+    data = raw.astype(np.int64) + 2
     data[ends - 1] = 1
     of = np.repeat(np.arange(len(texts)), sizes)
     order = suffix_order(data, window)
-    room = ends[of[order]] - 1 - order >= window
-    order = order[room]
-    # Equal prefixes of adjacent suffixes: compare eight bytes at a time.
-    padded = np.concatenate([data - 2, np.zeros(window + 8, np.int64)]).astype(np.uint8)
+    order = order[ends[of[order]] - 1 - order >= window]
+    # Equal prefixes of adjacent suffixes, eight bytes at a time.
+    padded = np.concatenate([raw, np.zeros(window + 8, np.uint8)]).astype(np.uint64)
+    words = padded[: len(raw) + window]
+    for k in range(1, 8):
+        words = (words << np.uint64(8)) | padded[k : k + len(words)]
     same = np.ones(max(0, len(order) - 1), bool)
-    for k in range(window):
-        c = padded[order + k]
+    for k in [*range(0, window - 8, 8), window - 8]:
+        c = words[order + k]
         same &= c[1:] == c[:-1]
-        if not same.any():
-            break
-    run = np.cumsum(np.r_[True, ~same]) - 1 if len(order) else np.zeros(0, np.int64)
-    least = np.full(int(run[-1]) + 1 if len(run) else 0, np.iinfo(np.int64).max)
-    np.minimum.at(least, run, owners[of[order]])
-    best = np.empty(len(data), np.int64)
-    best[order] = least[run]
+    run = np.cumsum(np.concatenate([[True], ~same])) - 1 if len(order) else np.zeros(0, np.int64)
+    best = np.zeros(len(data), np.int64)
+    if len(run):
+        least = np.minimum.reduceat(owners[of[order]], np.flatnonzero(np.concatenate([[True], ~same])))
+        best[order] = least[run]
     begins = ends - sizes
     return [best[b : b + max(0, n - window)] for b, n in zip(begins.tolist(), sizes.tolist())]
 
@@ -181,48 +172,83 @@ def _bytes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
 
 
-def _met(docs: DataFrame, p: Passages) -> DataFrame:
-    """(anchor, doc_id), distinct within a document."""
+def _met(docs: DataFrame, p: Passages, anchor_bits=None) -> DataFrame:
+    """(value, doc_id) of the anchors of a document, or, given the filter of anchors, of the pairs of windows that pass it.
+    The 40 leading bits of the values do: what collides is only filtered less."""
+
+    def values(text: str) -> np.ndarray:
+        low, pair = anchors(_bytes(text), p)
+        at = _changes(low)
+        if anchor_bits is None:
+            return np.unique(low[at] >> np.uint64(24))
+        passes = np.repeat(_passes(anchor_bits.value, low[at], p), np.diff(np.append(at, len(low))))
+        at = _changes(pair)
+        return np.unique(pair[at[passes[at]]] >> np.uint64(24))
 
     def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             found, owners, size = [], [], 0
             for doc, text in zip(frame["doc_id"], frame["text"], strict=True):
-                found.append(np.unique(anchors(_bytes(text), p)[0]))
+                found.append(values(text))
                 owners.append(np.full(len(found[-1]), doc))
                 size += len(found[-1])
                 if size > 200_000:
-                    yield pd.DataFrame({"anchor": np.concatenate(found), "doc_id": np.concatenate(owners)})
+                    yield pd.DataFrame({"value": np.concatenate(found).view(np.int64), "doc_id": np.concatenate(owners)})
                     found, owners, size = [], [], 0
             if found:
-                yield pd.DataFrame({"anchor": np.concatenate(found), "doc_id": np.concatenate(owners)})
+                yield pd.DataFrame({"value": np.concatenate(found).view(np.int64), "doc_id": np.concatenate(owners)})
+
+    return docs.mapInPandas(find, "value long, doc_id long")
 
-    return docs.mapInPandas(find, "anchor long, doc_id long")
 
+#: 32-bit words of the filter that come to the driver as one value.
+_CHUNK = 1 << 13
 
-def _filter(docs: DataFrame, p: Passages) -> np.ndarray:
-    """Bits of the anchors met in several documents: a table of 2^filter_bits bits, whatever the data."""
-    shared = _met(docs, p).groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
-    cells = F.array(*[F.shiftrightunsigned("anchor", k) % (1 << p.filter_bits) for k in (64 - p.filter_bits, 8)])
+
+def _filter(met: DataFrame, p: Passages) -> np.ndarray:
+    """Bits of the values met in several documents: a table of 2^filter_bits bits, whatever the data."""
+    shared = met.groupBy("value").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
+    cells = F.array(*[F.shiftright("value", k) % (1 << p.filter_bits) for k in (40 - p.filter_bits, 0)])
     bit = shared.select(F.explode(cells).alias("bit"))
-    word = F.expr("CAST(bit DIV 32 AS INT)").alias("word")
-    words = bit.select(word, F.expr("shiftleft(1L, CAST(bit % 32 AS INT))").alias("m"))
-    rows = words.groupBy("word").agg(F.bit_or("m").alias("m")).toPandas()
-    out = np.zeros(1 << (p.filter_bits - 5), np.uint32)
-    out[rows["word"].to_numpy(np.int64)] = rows["m"].to_numpy(np.int64).astype(np.uint32)
+    bit = bit.select(F.expr("CAST(bit DIV 32 AS INT)").alias("word"), F.expr("shiftleft(1L, CAST(bit % 32 AS INT))").alias("m"))
+    words = bit.groupBy("word").agg(F.bit_or("m").alias("m")).withColumn("chunk", F.expr(f"CAST(word DIV {_CHUNK} AS INT)"))
+
+    def packed(rows: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros(_CHUNK, np.uint32)
+        out[rows["word"].to_numpy(np.int64) % _CHUNK] = rows["m"].to_numpy(np.int64).astype(np.uint32)
+        return pd.DataFrame({"chunk": [int(rows["chunk"].iloc[0])], "bits": [out.tobytes()]})
+
+    out = np.zeros(max(_CHUNK, 1 << (p.filter_bits - 5)), np.uint32)
+    for r in words.groupBy("chunk").applyInPandas(packed, "chunk int, bits binary").toLocalIterator():
+        out[r["chunk"] * _CHUNK : (r["chunk"] + 1) * _CHUNK] = np.frombuffer(r["bits"], np.uint32)
     return out
 
 
-def _passes(bits: np.ndarray, anchor: np.ndarray, p: Passages) -> np.ndarray:
-    h, ok = anchor.view(np.uint64), np.ones(len(anchor), bool)
-    for k in (64 - p.filter_bits, 8):
-        at = (h >> np.uint64(k)) & np.uint64((1 << p.filter_bits) - 1)
-        ok &= (bits[(at >> np.uint64(5)).astype(np.int64)] >> (at & np.uint64(31)).astype(np.uint32)) & np.uint32(1) == 1
+def _passes(bits: np.ndarray, value: np.ndarray, p: Passages) -> np.ndarray:
+    h, ok = (value >> np.uint64(24)).astype(np.int64), np.ones(len(value), bool)
+    for k in (40 - p.filter_bits, 0):
+        at = (h >> k) & ((1 << p.filter_bits) - 1)
+        ok &= (bits[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1) == 1
     return ok
 
 
-def _stretches(docs: DataFrame, bits: np.ndarray, p: Passages) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+def _stretches(docs: DataFrame, anchor_bits, pair_bits, p: Passages) -> DataFrame:
+    def places(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(anchor, first window, windows) of the stretches of one document."""
+        low, pair = anchors(np.frombuffer(data, np.uint8), p)
+        at = _changes(low)
+        keep = np.repeat(_passes(anchor_bits.value, low[at], p), np.diff(np.append(at, len(low))))
+        at = _changes(pair)
+        keep &= np.repeat(_passes(pair_bits.value, pair[at], p), np.diff(np.append(at, len(low))))
+        kept = np.flatnonzero(keep)
+        if not len(kept):
+            return low[:0], kept, kept
+        cut = np.concatenate([[True], (np.diff(kept) > 1) | (low[kept[1:]] != low[kept[:-1]])])
+        begins = np.flatnonzero(cut)
+        if len(kept) > p.longest:
+            inside = np.arange(len(kept)) - begins[np.cumsum(cut) - 1]
+            begins = np.flatnonzero(cut | (inside % p.longest == 0))
+        return low[kept[begins]], kept[begins], np.diff(np.append(begins, len(kept)))
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["anchor", "digest", "doc_id", "version", "first", "stretch"]
@@ -230,9 +256,8 @@ def _stretches(docs: DataFrame, bits: np.ndarray, p: Passages) -> DataFrame:
             out, size = [], 0
             for doc, version, text in zip(frame["doc_id"], frame["version"], frame["text"], strict=True):
                 data = text.encode("utf-8", "surrogatepass")
-                h, first, windows = anchors(np.frombuffer(data, np.uint8), p)
-                keep = _passes(shared.value, h, p)
-                for a, f, w in zip(h[keep].tolist(), first[keep].tolist(), windows[keep].tolist()):
+                h, first, windows = places(data)
+                for a, f, w in zip(h.view(np.int64).tolist(), first.tolist(), windows.tolist()):
                     part = data[f : f + w + p.window - 1]
                     out.append((a, hashlib.blake2b(part, digest_size=16).digest(), doc, version, f, part))
                     size += len(part)
@@ -291,7 +316,11 @@ def covered(docs: DataFrame, p: Passages = Passages()) -> DataFrame:
     whole = docs.where(f"doc_id IS NOT NULL AND octet_length(text) >= {p.window}").select(
         F.col("doc_id").cast("long"), F.hash("text").alias("version"), "text"
     )
-    held = stored(_stretches(whole, _filter(whole.select("doc_id", "text"), p), p), "passages-stretches")
+    share = docs.sparkSession.sparkContext.broadcast  # of 2^filter_bits bits, 16 MB
+    texts = whole.select("doc_id", "text")
+    anchor_bits = share(_filter(_met(texts, p), p))
+    pair_bits = share(_filter(_met(texts, p, anchor_bits), p))
+    held = stored(_stretches(whole, anchor_bits, pair_bits, p), "passages-stretches")
     different = held.groupBy("anchor", "digest", "stretch").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
     many = held.groupBy("anchor").agg(F.approx_count_distinct("digest", 0.05).alias("k")).where(f"k > {p.together}").select("anchor")
     many = stored(many, "passages-anchors")
@@ -308,7 +337,9 @@ def covered(docs: DataFrame, p: Passages = Passages()) -> DataFrame:
 
 def _applied(docs: DataFrame, p: Passages) -> DataFrame:
     """The documents with `__spans`, null where nothing goes."""
-    gone = covered(docs, p).withColumnsRenamed({"doc_id": "__id", "version": "__v", "spans": "__spans"})
+    gone = stored(covered(docs, p).withColumnsRenamed({"doc_id": "__id", "version": "__v", "spans": "__spans"}), "passages-spans")
+    size = gone.agg(F.sum(F.size("__spans") + 4)).first()[0] or 0
+    gone = F.broadcast(gone) if size <= BROADCAST_SPANS else gone  # beyond that, the texts are joined by a shuffle
     own = docs.withColumn("__version", F.hash("text"))
     on = (own["doc_id"] == gone["__id"]) & (own["__version"] == gone["__v"])
     return own.join(gone, on, "left").drop("__id", "__v", "__version")
