@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import regex
 
@@ -67,23 +68,28 @@ class Encoder:
         self.blanks = kind == "byte_bpe"
         split = regex.compile(SPLITS[kind]).findall if kind else None
         model, letters = self.tokenizer.model, _byte_letters()
-        normalize = None if self.blanks else self.tokenizer.normalizer
 
         def whole(piece: str) -> bytes:
             return np.asarray(self.tokenizer.encode_batch_fast([piece], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
         def unit(part: str) -> bytes:
             # What the library's own splitting hands to its model: a unit of the rule, its bytes as letters.
-            found = model.tokenize(part.encode().decode("latin-1").translate(letters))
-            return b"".join([t.id.to_bytes(4, "little") for t in found])
+            if part.isascii() and part.strip(" ").isalnum():
+                shown = part.replace(" ", letters[32])
+            else:
+                shown = part.encode().decode("latin-1").translate(letters)
+            return array("I", [t.id for t in model.tokenize(shown)]).tobytes()
 
         units = _Memory(unit)
 
         def pieces(piece: str) -> bytes:
             if len(piece) > 2000 or (not piece.isascii() and max(piece) >= _LATIN_END):
                 return whole(piece)
-            if normalize:
-                piece = piece.lower() if piece.isascii() else normalize.normalize_str(piece)
+            if not self.blanks:
+                # Below _LATIN_END composing changes nothing and letters have one lower case.
+                piece = piece.lower()
+            if piece.isalpha() or (piece[:1] == " " and piece[1:].isalpha()):
+                return units[piece]
             return b"".join([units[u] for u in split(piece)])
 
         self.memory = _Memory(pieces) if kind else None
