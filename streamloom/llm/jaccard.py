@@ -116,6 +116,18 @@ def _may_link(n_a: str, n_b: str, apart: Column, t: Threshold) -> Column:
     return 100 * most >= t.percent * (F.col(n_a) + F.col(n_b) - most)
 
 
+def _folded() -> Column:
+    """The bitmap `marks` at a quarter of its length: folding keeps odd numbers odd."""
+    quarter = MARK_LONGS // 4
+    parts = [[F.get("marks", i + k * quarter) for k in range(4)] for i in range(quarter)]
+    return F.array(*[a.bitwiseXOR(b).bitwiseXOR(c).bitwiseXOR(d) for a, b, c, d in parts])
+
+
+def _folds_may_link(a: str, b: str, n_a: str, n_b: str, t: Threshold) -> Column:
+    """True also where a fold is missing (a doc_id with several rows)."""
+    return F.coalesce(_may_link(n_a, n_b, _apart(a, b, MARK_LONGS // 4), t), F.lit(True))
+
+
 def _near(pairs: DataFrame, marks: DataFrame, t: Threshold) -> DataFrame:
     a, b = (marks.select(*[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "marks")]) for x in "ab")
     both = pairs.join(a, pairs["a"] == a["id_a"]).join(b, pairs["b"] == b["id_b"])
@@ -172,9 +184,10 @@ def _first_meetings(met: DataFrame, t: Threshold) -> DataFrame:
 def _hub_pairs(lists: DataFrame, t: Threshold) -> DataFrame:
     """Pairs of a list's hubs, its first and last member, with its other members."""
     w = Window.partitionBy("token")
-    member = F.struct("id", "n", "pos")
+    member = F.struct("id", "n", "pos", "fold")
     met = lists.withColumn("ends", F.array(F.min(member).over(w), F.max(member).over(w)))
-    met = met.select("id", "n", "pos", F.explode("ends").alias("hub")).where("hub.id != id")
+    met = met.select("id", "n", "pos", "fold", F.explode("ends").alias("hub")).where("hub.id != id")
+    met = met.where(_folds_may_link("fold", "hub.fold", "n", "hub.n", t))
     below = F.col("id") < F.col("hub.id")
 
     def of(name: str, first: bool) -> Column:
@@ -186,20 +199,15 @@ def _hub_pairs(lists: DataFrame, t: Threshold) -> DataFrame:
     )
 
 
-def _cross_pairs(lists: DataFrame, marks: DataFrame, t: Threshold) -> DataFrame:
-    """All pairs of a list whose components still differ. The bitmaps, folded to a quarter, are compared in the join, so
-    that pairs of a large group that cannot link are not even made."""
+def _cross_pairs(lists: DataFrame, t: Threshold) -> DataFrame:
+    """All pairs of a list whose components still differ. The folded bitmaps are compared in the join, so that pairs of a
+    large group that cannot link are not even made."""
     w = Window.partitionBy("token")
     open_lists = lists.withColumn("lo", F.min("root").over(w)).withColumn("hi", F.max("root").over(w)).where("lo != hi").drop("lo", "hi")
-    quarter = MARK_LONGS // 4
-    folded = F.array(
-        *[F.get("marks", i).bitwiseXOR(F.get("marks", i + quarter)).bitwiseXOR(F.get("marks", i + 2 * quarter)).bitwiseXOR(F.get("marks", i + 3 * quarter)) for i in range(quarter)]
-    )
-    open_lists = open_lists.join(marks.select("id", "n", folded.alias("fold")), ["id", "n"])
     a, b = (open_lists.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "pos", "root", "fold")]) for x in "ab")
     met = a.join(b, "token").where(
         F.expr(f"id_a < id_b AND root_a != root_b AND 100 * least(n_a, n_b) >= {t.percent} * greatest(n_a, n_b)")
-        & _may_link("n_a", "n_b", _apart("fold_a", "fold_b", quarter), t)
+        & _folds_may_link("fold_a", "fold_b", "n_a", "n_b", t)
     )
     return _first_meetings(met.withColumnsRenamed({"id_a": "a", "id_b": "b"}), t)
 
@@ -218,16 +226,18 @@ def linked(docs: DataFrame, t: Threshold = Threshold()) -> DataFrame:
     held = known.select("doc_id", "n", "digest").join(first, ["n", "digest"]).select("doc_id", "rep").distinct()
     own = F.max(F.col("rep") == F.col("doc_id"))
     nodes = held.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.count(F.lit(1)).alias("reps"), own.alias("owns"))
-    nodes = stored(nodes, "jaccard-nodes")
+    folds = known.groupBy(F.col("doc_id").alias("__d")).agg(F.count(F.lit(1)).alias("k"), F.first(_folded()).alias("fold"))
+    folds = folds.select("__d", F.when(F.col("k") == 1, F.col("fold")).alias("fold"))
+    nodes = stored(nodes.join(folds, nodes["doc_id"] == folds["__d"]).drop("__d"), "jaccard-nodes")
     several = nodes.where("reps > 1").select("doc_id")
     links = held.join(several, "doc_id").where("rep != doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     w = Window.partitionBy("token")
     lists = _indexed(docs, rarity, t).withColumn("k", F.count(F.lit(1)).over(w)).where("k > 1").drop("k")
     lists = (
-        lists.join(nodes.where("owns").select(F.col("doc_id").alias("id")), "id")  # copies add nothing to a list
+        lists.join(nodes.where("owns").select(F.col("doc_id").alias("id"), "fold"), "id")  # copies add nothing to a list
         .withColumn("k", F.count(F.lit(1)).over(w))
         .where("k > 1")
-        .select("token", "id", "n", "pos")
+        .select("token", "id", "n", "pos", "fold")
     )
     lists = stored(lists, "jaccard-lists")
     marks = known.join(nodes.where("owns").select("doc_id"), "doc_id").join(lists.select(F.col("id").alias("doc_id")).distinct(), "doc_id")
@@ -236,7 +246,7 @@ def linked(docs: DataFrame, t: Threshold = Threshold()) -> DataFrame:
     for step in ("hubs", "cross"):
         now = lists if roots is None else lists.join(roots, "id", "left")
         now = now.withColumn("root", F.coalesce("root", "id") if roots is not None else F.col("id"))
-        pairs = _cross_pairs(now, marks, t) if step == "cross" else _hub_pairs(now, t)
+        pairs = _cross_pairs(now, t) if step == "cross" else _hub_pairs(now, t)
         near = stored(_near(pairs, marks, t), "jaccard-pairs")
         sets = stored(_kept_sets(docs, near, t), "jaccard-sets")
         new = stored(_verified(near, sets, t), "jaccard-links")
