@@ -112,11 +112,12 @@ def test_ordered_check_after_drop_sees_kept_rows(spark, chunking):
     assert found == {(T, C.REASON_DUPLICATE_TIME)}
 
 
-def test_annotation_list_is_capped(spark):
+def test_annotation_list_is_whole_unless_a_length_is_given(spark):
     df = spark.range(1).select(
         F.array(*[F.struct(F.lit(str(i)).alias("column"), F.lit("r").alias("reason")) for i in range(20)]).alias("a")
     )
-    assert len(df.select(final_annotations(F.col("a"))).first()[0]) == 16
+    assert len(df.select(final_annotations(F.col("a"))).first()[0]) == 20
+    assert len(df.select(final_annotations(F.col("a"), 16)).first()[0]) == 16
 
 
 def test_catalogue_aliases_and_boundaries(spark, chunking):
