@@ -1,8 +1,8 @@
 """Token files compressed by Re-Pair grammars, with random access to documents.
 
 Documents are dealt out by ranges of doc_id; every task encodes its documents in order and closes a block (a shard of
-the grammar) after `block_tokens` ids. In a block, frequent pairs of ids are replaced by nonterminals, many pairs a
-round, for several rounds; the block keeps its rules, the expansion length of every rule, the sequence and where each
+the grammar) after `block_tokens` ids. In a block, pairs of ids are replaced by nonterminals, the most frequent
+first and many a round, until no pair occurs twice; the block keeps its rules, the expansion length of every rule, the sequence and where each
 document begins in it. Nonterminals never span the end id, so a document is decoded from its own part of the sequence.
 
 The file format is Parquet with one row a block, written by Spark's own writer: a lost executor only repeats its task.
@@ -37,7 +37,6 @@ from streamloom.llm import tokens
 from streamloom.session import checkpoint_dir
 
 END_ID = 0
-_BINS = 18
 
 
 @dataclass(frozen=True)
@@ -48,80 +47,103 @@ class Grammar:
     sequence: np.ndarray
 
 
-def compress(ids: np.ndarray, first_rule: int, rounds: int = 4, least: int = 24, most: int = 2048, gain: float = 0.04) -> Grammar:
-    """Re-Pair in rounds. A round counts pairs in hashed bins, takes the pair seen last in each of the fullest bins, and
-    replaces its occurrences from the left; pairs with END_ID are left alone. It ends when a round gains little."""
+def _grouped_pairs(seq: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of pairs without END_ID, equal pairs together and ascending; where each group begins, and its pairs."""
+    at = np.flatnonzero((seq[:-1] != END_ID) & (seq[1:] != END_ID)).astype(np.uint64)
+    a, b = seq[at].astype(np.uint64), seq[at + 1].astype(np.uint64)
+    bits, places = np.uint64(int(top).bit_length()), np.uint64(len(seq).bit_length())
+    if 2 * bits + places <= 64:  # one sort of plain integers
+        packed = np.sort((((a << bits) | b) << places) | at)
+        at, key = packed & ((np.uint64(1) << places) - np.uint64(1)), packed >> places
+    else:
+        key = (a << np.uint64(32)) | b
+        order = np.argsort(key, kind="stable")
+        at, key, bits = at[order], key[order], np.uint64(32)
+    begins = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    first = key[begins]
+    return at.astype(np.int64), begins, np.stack([first >> bits, first & ((np.uint64(1) << bits) - np.uint64(1))], 1).astype(np.int64)
+
+
+def compress(ids: np.ndarray, first_rule: int, least: int = 2) -> Grammar:
+    """Re-Pair until no pair occurs `least` times without overlap; pairs with END_ID are left alone.
+
+    A round counts all pairs exactly and takes those above a bound that falls by half each round, down to `least`. Where
+    chosen pairs overlap the more frequent one stays; a pair left with too few places waits for the next count. The most
+    frequent pair always keeps all its places, so every round makes a rule.
+    """
     seq = ids.astype(np.uint32)
     rules: list[np.ndarray] = []
     lengths = np.ones(0, np.int64)
-    top = first_rule
-    size = 1 << _BINS
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        a, b = seq[:-1], seq[1:]
-        place = (a * np.uint32(2654435761) + b * np.uint32(2246822519)) >> np.uint32(32 - _BINS)
-        place[(a == END_ID) | (b == END_ID)] = size  # a bin that is never chosen
-        count = np.bincount(place, minlength=size + 1)[:size]
-        chosen = np.flatnonzero(count >= least)
-        if not len(chosen):
-            break
-        if len(chosen) > most:
-            chosen = np.sort(np.argpartition(-count, most)[:most])
-        shown = np.zeros(size + 1, np.int64)
-        shown[place] = np.arange(len(place))
-        number = np.full(size + 1, -1, np.int32)
-        number[chosen] = np.arange(len(chosen))
-        which = number[place]
-        at = np.flatnonzero(which >= 0)
-        which = which[at]
-        left, right = seq[shown[chosen]], seq[shown[chosen] + 1]
-        same = (seq[at] == left[which]) & (seq[at + 1] == right[which])
-        at, which = at[same], which[same]
-        # Of occurrences that overlap, every second one is replaced.
-        fresh = np.concatenate([[True], np.diff(at) > 1])
-        run = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
-        odd = (np.arange(len(at)) - run) % 2 == 0
-        at, which = at[odd], which[odd]
-        good = np.bincount(which, minlength=len(chosen)) >= least // 2
-        at, which = at[good[which]], which[good[which]]
+    top, bound = first_rule, len(seq)
+    while len(seq) > 1:
+        at, begins, pairs = _grouped_pairs(seq, top)
         if not len(at):
             break
+        sizes = np.diff(np.r_[begins, len(at)])
+        twin = np.repeat(pairs[:, 0] == pairs[:, 1], sizes)
+        if twin.any():
+            # Of occurrences that overlap, every second one counts.
+            fresh = np.r_[True, (np.diff(at) != 1) | ~twin[1:]]
+            fresh[begins] = True
+            run = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+            odd = (np.arange(len(at)) - run) % 2 == 0
+            sizes = np.add.reduceat(odd.astype(np.int64), begins)
+            at = at[odd]
+        best = int(sizes.max())
+        if best < least:
+            break
+        bound = max(least, min(bound, best) // 2)
+        chosen = np.flatnonzero(sizes >= bound)
+        # Equally frequent pairs in a scattered order: by value, a repeated passage would be eaten from one end.
+        mixed = (pairs[chosen, 0] * 2654435761 + pairs[chosen, 1] * 2246822519) * 0x9E3779B97F4A7C1 >> 20
+        chosen = chosen[np.lexsort((mixed, -sizes[chosen]))]
+        place = np.full(len(pairs), len(chosen), np.int32)
+        place[chosen] = np.arange(len(chosen), dtype=np.int32)
+        which = np.repeat(place, sizes)
+        picked = which < len(chosen)
+        # A frame of one free place on both sides.
+        rank = np.full(len(seq) + 2, len(chosen), np.int32)
+        rank[at[picked] + 1] = which[picked]
+        open_at, won = np.sort(at[picked]), []
+        while len(open_at):
+            mine = rank[open_at + 1]
+            wins = open_at[(mine < rank[open_at]) & (mine < rank[open_at + 2])]
+            won.append((wins, rank[wins + 1]))
+            rank[wins], rank[wins + 1], rank[wins + 2] = [len(chosen)] * 3
+            open_at = open_at[rank[open_at + 1] < len(chosen)]
+        at, which = (np.concatenate(x) for x in zip(*won, strict=True))
+        good = np.bincount(which, minlength=len(chosen)) >= max(least, bound // 2)
+        keep = good[which]
+        at, which = at[keep], which[keep]
         new = top + np.cumsum(good) - 1
-        pairs = np.stack([left[good], right[good]], 1).astype(np.int64)
-        rules.append(pairs)
+        made = pairs[chosen[good]]
+        rules.append(made)
         known = np.concatenate([np.ones(1, np.int64), lengths])
-        lengths = np.concatenate([lengths, known[np.maximum(pairs - first_rule + 1, 0)].sum(1)])
-        before = len(seq)
+        lengths = np.concatenate([lengths, known[np.maximum(made - first_rule + 1, 0)].sum(1)])
         seq[at] = new[which]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq = seq[keep]
-        top += int(good.sum())
-        if len(at) < gain * before:
-            break
+        top += len(made)
     pairs = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
     return Grammar(first_rule, pairs, lengths, seq)
 
 
 def expand(symbols: np.ndarray, g: Grammar) -> np.ndarray:
-    """The ids of a part of the sequence."""
+    """The ids of a part of the sequence: every symbol writes its id, or hands its place to the two of its rule."""
     first = g.first_rule
-    flat, starts = [np.arange(first)], np.arange(first)
-    at, sizes = first, np.ones(first, np.int64)
-    if len(g.rules):
-        texts: list[np.ndarray] = []
-        for left, right in g.rules:
-            texts.append(
-                np.concatenate([texts[s - first] if s >= first else np.array([s]) for s in (int(left), int(right))])
-            )
-        flat += texts
-        sizes = np.r_[sizes, g.expansions]
-        starts = np.r_[starts, at + np.cumsum(np.r_[0, g.expansions[:-1]])]
-    table = np.concatenate(flat)
-    own = sizes[symbols]
-    ends = np.cumsum(own)
-    return table[np.repeat(starts[symbols] - (ends - own), own) + np.arange(int(ends[-1]) if len(ends) else 0)]
+    sizes = np.r_[1, g.expansions]
+    symbols = symbols.astype(np.int64)
+    own = sizes[np.maximum(symbols - first + 1, 0)]
+    at = np.cumsum(own) - own
+    out = np.empty(int(own.sum()), np.int64)
+    while len(symbols):
+        plain = symbols < first
+        out[at[plain]] = symbols[plain]
+        at, pairs = at[~plain], g.rules[symbols[~plain] - first]
+        at = np.stack([at, at + sizes[np.maximum(pairs[:, 0] - first + 1, 0)]], 1).ravel()
+        symbols = pairs.ravel()
+    return out
 
 
 _SCHEMA = (

@@ -100,3 +100,24 @@ def test_grammar_round_trip():
         assert (repair.expand(g.sequence, g) == ids).all()
     g = repair.compress(np.tile([1, 2, 3, 4, 0], 1000), 10)
     assert len(g.sequence) <= 2000 and g.expansions.max() == 4
+
+
+def test_grammar_is_whole():
+    """Rules go on until no pair occurs twice, however rare or deep they are."""
+
+    def left_over(g):
+        counts, last = {}, {}
+        for i, pair in enumerate(zip(g.sequence.tolist(), g.sequence[1:].tolist())):
+            if 0 not in pair and last.get(pair) != i - 1:
+                counts[pair], last[pair] = counts.get(pair, 0) + 1, i
+        return max(counts.values(), default=0)
+
+    rng = np.random.default_rng(2)
+    passage = rng.integers(1, 50000, 4000)
+    twice = np.concatenate([passage, [0], passage, [0]])
+    many = np.concatenate([rng.integers(1, 300, 30000), np.tile(passage[:500], 40), np.ones(5000, np.int64)])
+    for ids in (twice, many, np.tile([1, 2, 3, 4, 0], 1000)):
+        g = repair.compress(ids, 50257)
+        assert (repair.expand(g.sequence, g) == ids).all() and left_over(g) < 2
+    g = repair.compress(twice, 50257)
+    assert len(g.sequence) <= 4 and g.expansions.max() == 4000
