@@ -42,3 +42,16 @@ def test_groups_gather_and_a_giant_one_spans_few_shards(spark):
     assert cut(got) <= 6
     again = bs.report(spark.createDataFrame(rows, "doc_id long, text string"), 7).collect()
     assert sorted(map(repr, got)) == sorted(map(repr, again))
+
+
+def test_a_giant_group_fills_its_shards_and_no_more(spark):
+    rows = [(i, f"single {i}") for i in range(400)] + [(1000 + i, "giant") for i in range(200)]
+    got = check(spark.createDataFrame(rows, "doc_id long, text string"), 20)
+    giant = Counter(r["shard"] for r in got if r["doc_id"] >= 1000)
+    assert len(giant) <= 7 and cut(got) <= 6
+
+
+def test_groups_gather_without_unlinked_documents(spark):
+    pairs = [(i, f"pair {i % 60}") for i in range(120)]
+    got = check(spark.createDataFrame(pairs, "doc_id long, text string"), 6)
+    assert cut(got) <= 10  # about 50 of the 60 are apart at the start
