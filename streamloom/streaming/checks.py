@@ -1,7 +1,7 @@
 """Structured Streaming forms of the axis checks: one small state per task key.
 
 Rows of a key must arrive in order across micro-batches. Within a micro-batch they are sorted
-by (axis, ties) unless `late="reference"`, which keeps arrival order.
+by (axis, ties) unless `late="reference"`, which keeps arrival order. Late rows are put out with a reason.
 """
 
 from __future__ import annotations
@@ -32,7 +32,9 @@ from streamloom.operators.checks import (
 from streamloom.functions.values import or_false
 from streamloom.operators.ordered import OrderedFrame
 
-DUPLICATE, BIG = "__duplicate", "__big_dt"
+DUPLICATE, BIG, LATE = "__duplicate", "__big_dt", "__late"
+#: Values of LATE: why a row is put out without a step.
+REASON_LATE, REASON_NO_TIME = "late row", "missing time"
 
 
 PENDING_STATE = "pending binary, elapsed double, duplicate boolean, late long"
@@ -87,17 +89,18 @@ def stream_time_check(
     key: Sequence[str],
     check: TimeCheck | None = None,
     ties: Sequence[str] = (),
-    late: str = "drop",
+    late: str = "report",
     watermark: tuple[str, str] | None = None,
 ) -> DataFrame:
     """Time steps, rebuilt axis and duplicate / large-step flags of a stream of task rows.
 
-    Emission lags one row per key, as the newest row has no step yet. `late="drop"` discards
-    rows older than the pending one; `late="reference"` keeps arrival order, so the row before
-    a late one is the one that loses its step. `watermark` is (event-time column, delay).
+    Emission lags one row per key, as the newest row has no step yet. Rows without time, and
+    rows older than the pending one, are put out at once with their own time, no step and a reason in
+    `__late`. `late="drop"` discards both; `late="reference"` keeps arrival order, so the row before
+    a late one is the one that loses its step, and puts out rows without time. `watermark` is (event-time column, delay).
     """
-    if late not in ("drop", "reference"):
-        raise ValueError(f"late must be 'drop' or 'reference', got {late!r}")
+    if late not in ("report", "drop", "reference"):
+        raise ValueError(f"late must be 'report', 'drop' or 'reference', got {late!r}")
     check = check or TimeCheck()
     if watermark is not None:
         stream = stream.withWatermark(*watermark)
@@ -109,7 +112,7 @@ def stream_time_check(
     out = _stream_time_check(
         renamed, [plain[k] for k in key], safe, [plain[t] for t in ties], late
     )
-    return out.toDF(*given.columns, check.dt, DUPLICATE, BIG)
+    return out.toDF(*given.columns, check.dt, DUPLICATE, BIG, LATE)
 
 
 def _stream_time_check(
@@ -121,6 +124,7 @@ def _stream_time_check(
         T.StructField(dt, T.DoubleType()),
         T.StructField(DUPLICATE, T.BooleanType()),
         T.StructField(BIG, T.BooleanType()),
+        T.StructField(LATE, T.StringType()),
     ]
     fields = [
         T.StructField(time, T.DoubleType()) if f.name == time else f
@@ -137,17 +141,27 @@ def _stream_time_check(
         # One micro-batch of one key; its size is set by the source's rate limit.
         rows = pd.concat(list(batches), ignore_index=True)[names]
         rows[time] = rows[time].astype(float)
-        rows = rows[rows[time].notna()]
-        if late == "drop":
+        reason = np.where(rows[time].isna(), REASON_NO_TIME, None)
+        if late == "report" and pending is not None:
+            reason[rows[time].to_numpy() < float(pending[time].iloc[0])] = REASON_LATE
+        aside = pd.notna(reason)
+        if late != "drop" and aside.any():
+            flags_off = {dt: np.nan, DUPLICATE: False, BIG: False, LATE: reason[aside]}
+            yield rows[aside].assign(**flags_off)[[f.name for f in output]]
+        late_rows += int((reason == REASON_LATE).sum())
+        rows = rows[~aside]
+        if late != "reference":
             rows = rows.sort_values(order, kind="stable")
         if len(rows) == 0:
+            if pending is not None:
+                state.update((_to_bytes(pending), elapsed, duplicate, late_rows))
             return
         emit, tail, duplicate, elapsed, dropped = rebuild_rows(
-            rows, pending, duplicate, elapsed, time, dt, limit, late
+            rows, pending, duplicate, elapsed, time, dt, limit, "reference" if late == "reference" else "drop"
         )
         state.update((_to_bytes(tail), elapsed, duplicate, late_rows + dropped))
         if len(emit):
-            yield emit[[f.name for f in output]]
+            yield emit.assign(**{LATE: None})[[f.name for f in output]]
 
     return stream.groupBy(*[col(k) for k in key]).applyInPandasWithState(
         step, output, PENDING_STATE, "append", GroupStateTimeout.NoTimeout
@@ -232,14 +246,15 @@ def annotated_time_check(checked: DataFrame, check: TimeCheck) -> DataFrame:
         F.array(
             flag(DUPLICATE, check.time, C.REASON_DUPLICATE_TIME),
             flag(BIG, check.dt, C.REASON_BIG_DT),
+            F.when(F.col(LATE).isNotNull(), F.struct(F.lit(check.time).alias("column"), F.col(LATE).alias("reason"))),
         )
     )
-    return checked.withColumn(C.ANNOTATIONS.name, final_annotations(found)).drop(DUPLICATE, BIG)
+    return checked.withColumn(C.ANNOTATIONS.name, final_annotations(found)).drop(DUPLICATE, BIG, LATE)
 
 
 def stream_overlay_time(
     stream: DataFrame, key: Sequence[str], time: str = C.TIME.name, ties: Sequence[str] = ()
 ) -> DataFrame:
-    """Rebuilt time of an overlay trace: the chunked time check without flags."""
+    """Rebuilt time of an overlay trace: the chunked time check without flags but `__late`."""
     check = TimeCheck(time, C.TIME_DIFF.name, max_dt_s=None)
     return stream_time_check(stream, key, check, ties).drop(DUPLICATE, BIG, check.dt)

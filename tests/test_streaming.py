@@ -119,3 +119,11 @@ def test_row_checks_and_options(spark, tmp_path):
     assert found == {0: [C.REASON_MISSING], 1: [C.REASON_BELOW], 2: None}
     with pytest.raises(ValueError):
         stream_time_check(spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in")), ["cell"], late="never")
+
+
+def test_late_and_timeless_rows_are_put_out(spark, tmp_path):
+    check = TimeCheck(max_dt_s=None)
+    parts = [[("a", 0.0, 0, 1.0), ("a", 5.0, 1, 1.0)], [("a", 3.0, 2, 1.0), ("a", None, 3, 1.0)], [("a", 9.0, 4, 1.0), ("a", 4.0, 5, 1.0)]]
+    got = run_in_batches(spark, str(tmp_path), parts, lambda s: annotated_time_check(stream_time_check(s, ["cell"], check, ["seq"]), check))
+    found = {r["seq"]: (r[C.TIME.name], [a["reason"] for a in r["annotations"] or []]) for r in got.collect()}
+    assert found == {0: (0.0, []), 1: (5.0, []), 2: (3.0, ["late row"]), 3: (None, ["missing time"]), 5: (4.0, ["late row"])}
