@@ -6,7 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from streamloom.llm import balanced_shards, hash_search, hyperlang, jaccard, line_quality, mixing, packing, pii, repair, suffix_dedup
+from streamloom.llm import (
+    balanced_shards,
+    fim,
+    hash_search,
+    hyperlang,
+    jaccard,
+    line_quality,
+    mixing,
+    packing,
+    pii,
+    repair,
+    runs,
+    suffix_dedup,
+)
 from streamloom.llm.common import table
 from streamloom.llm.sql import ORACLES as _SQL
 
@@ -69,4 +82,14 @@ def op6_balanced_shards(spark: SparkSession, folder: str) -> DataFrame:
     return balanced_shards.report(table(spark, folder, "documents"))
 
 
+@register
+def op12_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return runs.report(table(spark, folder, "documents"))
+
+
+@register
+def op13_fim(spark: SparkSession, folder: str) -> DataFrame:
+    return fim.report(table(spark, folder, "documents"))
+
+
 ORACLES = {name: sql for name, sql in _SQL.items() if name in QUERIES}

@@ -80,4 +80,52 @@ SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_
   sha256(unhex(coalesce(front, '') || substr(h, 2 * coalesce(tail, 0) + 1))) AS kept_sha256
 FROM d LEFT JOIN kept USING (r)"""
 
-ORACLES = {"op1_line_quality": OP1, "op3_jaccard": OP3, "op5_mixing": OP5, "op8_suffix_dedup": OP8}
+OP12 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, doc_id::VARCHAR AS s, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+h AS (SELECT r, doc_id, ws, len(ws)::BIGINT AS n, xor(list_reduce(list_transform(range(1, length(s) + 1), lambda i: ascii(substr(s, i::INT, 1))::BIGINT),
+        lambda c, b: list_reduce(range(8), lambda x, k: xor(x >> 1, (x & 1) * 3988292384), xor(c, b)), 4294967295), 4294967295) AS h FROM d),
+ap AS (SELECT *, h // 10 % greatest(n, 1) AS a, 1 + (n - h // 10 % greatest(n, 1)) // (3 + h // 10 % 8) AS p FROM h),
+x AS (SELECT r, doc_id, n, unnest(range(n)) AS i, ws[unnest(list_transform(range(n), lambda i:
+        CASE WHEN h % 10 = 0 AND i >= a THEN a + (i - a) % p ELSE i END)) + 1] AS w FROM ap),
+g AS (SELECT r, n, i, [w, lead(w, 1) OVER o, lead(w, 2) OVER o, lead(w, 3) OVER o, lead(w, 4) OVER o] AS g
+      FROM x WINDOW o AS (PARTITION BY r ORDER BY i) QUALIFY i + 5 <= n),
+pair AS (SELECT a.r, a.i, b.i - a.i AS q FROM g a JOIN g b ON a.r = b.r AND a.g = b.g AND b.i > a.i AND 4 * (b.i - a.i) <= a.n),
+isle AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS k FROM pair),
+run AS (SELECT r, start, length, min(q) AS period
+        FROM (SELECT r, q, min(i) AS start, count(*) + 4 + q AS length FROM isle GROUP BY r, q, k)
+        WHERE length >= greatest(6, 4 * q) GROUP BY r, start, length),
+gone AS (SELECT DISTINCT x.r, x.i FROM x JOIN run ON x.r = run.r AND i >= start + period AND i < start + length),
+rest AS (SELECT r, string_agg(w, ' ' ORDER BY i) AS t FROM x ANTI JOIN gone USING (r, i) GROUP BY r),
+f AS (SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS t,
+        first(start ORDER BY length DESC, start, period) AS start, first(length ORDER BY length DESC, start, period) AS length,
+        first(period ORDER BY length DESC, start, period) AS period FROM run GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start, length::BIGINT AS length, period::BIGINT AS period,
+  (1000 * length // period)::BIGINT AS exponent_milli, sha256(coalesce(f.t, '')) AS runs_sha256, sha256(coalesce(rest.t, '')) AS collapsed_sha256
+FROM d LEFT JOIN f USING (r) LEFT JOIN rest USING (r)"""
+
+OP13 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || doc_id) AS s FROM documents),
+h AS (SELECT *, ('0x' || s[1:8])::BIGINT AS h1, ('0x' || s[9:16])::BIGINT AS h2, ('0x' || s[17:24])::BIGINT AS h3, ('0x' || s[25:32])::BIGINT AS h4 FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+        CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+          WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, substr(t, 1, a) AS prefix, substr(t, a + 1, b - a) AS middle, substr(t, b + 1) AS suffix FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN a END::BIGINT AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN b - a END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle
+    ELSE '<P>' || prefix || '<S>' || suffix || '<M>' || middle END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p"""
+
+OP11 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT r, doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM d),
+k AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+m AS (SELECT key, min(doc_id) AS keeper FROM k WHERE length(key) >= 10 GROUP BY key),
+f AS (SELECT k.*, coalesce(keeper < doc_id, false) AS gone FROM k LEFT JOIN m USING (key))
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM f GROUP BY r, doc_id"""
+
+ORACLES = {"op1_line_quality": OP1, "op3_jaccard": OP3, "op5_mixing": OP5, "op8_suffix_dedup": OP8, "op11_line_dedup": OP11, "op12_runs": OP12, "op13_fim": OP13}
