@@ -12,6 +12,7 @@ from streamloom.llm import (
     hash_search,
     hyperlang,
     jaccard,
+    line_dedup,
     line_quality,
     mixing,
     packing,
@@ -82,6 +83,11 @@ def op6_balanced_shards(spark: SparkSession, folder: str) -> DataFrame:
     return balanced_shards.report(table(spark, folder, "documents"))
 
 
+@register
+def op11_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.report(table(spark, folder, "documents"))
+
+
 @register
 def op12_runs(spark: SparkSession, folder: str) -> DataFrame:
     return runs.report(table(spark, folder, "documents"))
