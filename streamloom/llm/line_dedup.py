@@ -144,7 +144,7 @@ def _text_id(text: Column) -> Column:
 
 
 _KEY_SCHEMA = "key binary"
-_FILTER_SCHEMA = "shard long, buckets long, bits binary"
+_FILTER_SCHEMA = "shard long, buckets long, used long, bits binary"
 _REFS = "key binary, refs long, keeper long, version int"
 _LINES = "doc_id long, text_id long, key binary, version int"
 _REMOVED = "doc_id long, version int"
@@ -239,8 +239,7 @@ class LineIndex:
             else:
                 held.delete(keys)
                 done = True
-            bits = held.table.tobytes() if done else None
-            return pd.DataFrame({"shard": [shard], "buckets": [len(held.table)], "bits": [bits]})
+            return _row(shard, held, done)
 
         rows = self._sharded(keys.select("key"))
         made = self.filters().groupBy("shard").cogroup(rows.groupBy("shard")).applyInPandas(change, _FILTER_SCHEMA)
@@ -256,7 +255,7 @@ class LineIndex:
                 if held.insert(keys):
                     break
                 room *= 2
-            return pd.DataFrame({"shard": [rows["shard"][0]], "buckets": [len(held.table)], "bits": [held.table.tobytes()]})
+            return _row(rows["shard"][0], held, True)
 
         rows = self._sharded(refs.where("refs > 0").select("key"))
         if shards is not None:
@@ -266,14 +265,14 @@ class LineIndex:
     def _refiltered(self, fresh: DataFrame, gone: DataFrame | None, refs_part: str) -> str:
         """The filters of the next version, once `refs_part` is written."""
         refs = self._newest(self._read([*self.state["refs"], refs_part], _REFS)).where("refs > 0")
-        if gone is None:
-            in_use = refs.count()
+        if gone is not None:
+            part = self._changed_filters(gone, add=False)
+        else:
+            in_use = fresh.count() + (self.filters().agg(F.sum("used")).first()[0] or 0)
             if self.state["filters"] is None or in_use > 4 * self.shard_keys * self.state["shards"]:
-                self.state = self.state | {"shards": 1 << max(0, (in_use // self.shard_keys)).bit_length()}
+                self.state = self.state | {"shards": 1 << (in_use // self.shard_keys).bit_length()}
                 return self._write(self._built_filters(refs), "filters")
             part = self._changed_filters(fresh, add=True)
-        else:
-            part = self._changed_filters(gone, add=False)
         full = self._read(part, _FILTER_SCHEMA).where("bits IS NULL").select("shard")
         if full.isEmpty():
             return part
@@ -369,6 +368,12 @@ class LineIndex:
         return rows.select("doc_id", n.alias("n_lines"), (n - left).alias("n_dropped"), text.alias("text"))
 
 
+def _row(shard: int, held: Cuckoo, done: bool) -> pd.DataFrame:
+    used = int(np.count_nonzero(held.table))
+    bits = held.table.tobytes() if done else None
+    return pd.DataFrame({"shard": [shard], "buckets": [len(held.table)], "used": [used], "bits": [bits]})
+
+
 def _kept(text: str, gone: Iterator[bytes], least: int) -> tuple[str, int]:
     gone, out = set(map(bytes, gone)), []
     for line in text.split("\n"):
