@@ -43,6 +43,8 @@ LEAST = 10
 SHARD_KEYS = 1 << 18
 HOT_KEYS = 4096
 SLOTS = 4
+#: A filter is made for so many times its keys, so that loads of the same size can follow before it is built anew.
+ROOM = 4
 _BLANKS = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -233,7 +235,7 @@ class LineIndex:
             if not len(rows):
                 return filters
             keys, shard = rows["key"].tolist(), rows["shard"].iloc[0]
-            held = Cuckoo(int(filters["buckets"][0]), filters["bits"][0]) if len(filters) else Cuckoo.sized(len(keys))
+            held = Cuckoo(int(filters["buckets"][0]), filters["bits"][0]) if len(filters) else Cuckoo.sized(ROOM * len(keys))
             if add:
                 done = len(keys) <= held.room and held.insert(keys)
             else:
@@ -249,7 +251,7 @@ class LineIndex:
         """Filters of the given shards (of all) from the exact table."""
 
         def build(rows: pd.DataFrame) -> pd.DataFrame:
-            keys, room = rows["key"].tolist(), len(rows)
+            keys, room = rows["key"].tolist(), ROOM * len(rows)
             while True:
                 held = Cuckoo.sized(room)
                 if held.insert(keys):
