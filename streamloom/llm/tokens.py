@@ -63,7 +63,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: A text that holds one of these (end of text and the like) is left to the library, which gives them their own ids.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         kind = next((k for k in SPLITS if os.path.basename(path).startswith(k)), None)
         self.blanks = kind == "byte_bpe"
         split = regex.compile(SPLITS[kind]).findall if kind else None
@@ -99,7 +100,7 @@ class Encoder:
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if self.memory is None:
+        if self.memory is None or any(t in text for t in self.added):
             return self.whole(text)
         if not self.blanks:
             return b"".join(map(self.memory.__getitem__, text.split(" ")))

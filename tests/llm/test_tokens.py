@@ -4,15 +4,19 @@ import zlib
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 from streamloom.llm import packing, repair, tokens
 from tests.llm.helpers import ODD_TEXTS, documents, empty_documents, odd_documents
 
-TRICKY = ["a  b", "a \nb", "a\n b", "it's a 'test' don't  we'll", " x  y", "İ ΣΑΣ ς ' s", "<|endoftext|> x", "é é ́x", "a\x00 b", "12 34,5 6.", "\n\n a", "tab\t x", "end ", "x</w> y", "a\xa0 b c"]
+TRICKY = ["a  b", "a \nb", "a\n b", "it's a 'test' don't  we'll", " x  y", "İ ΣΑΣ ς ' s", "<|endoftext|> x", "a<|endoftext|>b c", " <|startoftext|> d", "<|ENDOFTEXT|> <|endoftext", "é é ́x", "a\x00 b", "12 34,5 6.", "\n\n a", "tab\t x", "end ", "x</w> y", "a\xa0 b c"]
+
+
+FRESH = {n: Tokenizer.from_file(tokens.vocabulary(n)) for n in ("byte_bpe_50k.json", "word_bpe_49k.json")}
 
 
 def whole(name, text):
-    ids = tokens.encoder(tokens.vocabulary(name)).tokenizer.encode(text or "", add_special_tokens=False).ids
+    ids = FRESH[name].encode(text or "", add_special_tokens=False).ids
     return np.array(ids, "<u4")
 
 
@@ -48,7 +52,11 @@ def check_packing(got, docs):
     return bins
 
 
-@pytest.mark.parametrize("make", [documents, odd_documents, empty_documents])
+def marked_documents(spark):
+    return spark.createDataFrame([(i, t) for i, t in enumerate(TRICKY)], "doc_id long, text string")
+
+
+@pytest.mark.parametrize("make", [documents, odd_documents, empty_documents, marked_documents])
 def test_packing(spark, make):
     docs = make(spark)
     got = packing.report(docs).collect()
