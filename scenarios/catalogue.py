@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from scenarios.common import INDEX, events, gappy, query, stream_index, table
@@ -15,7 +16,7 @@ from streamloom.operators import select as S
 from streamloom.operators.explore import matching_overlays, preview_metadata
 from streamloom.operators.joins import key_join
 from streamloom.sources.files import source_order, with_path_metadata, with_sidecar_metadata
-from streamloom.sources.tables import read_segments, read_table, stage_rows
+from streamloom.sources.tables import ROW_INDEX, read_segments, read_table, stage_rows, stage_segments, with_row_source
 
 
 @query(
@@ -194,6 +195,27 @@ def selected_rows(spark, d):
     return stage_rows(data, chosen, ["protocol", "user_id"]).select("event_id", "user_id")
 
 
+@query(
+    "s15_stage_segments",
+    """WITH s AS (SELECT user_id FROM events GROUP BY user_id HAVING count(*) % 3 = 1)
+    SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS "stream position"
+    FROM events JOIN s USING (user_id)""",
+)
+def segments_of_streams(spark, d):
+    """Every stretch of neighbouring rows of a user is a segment; a third of the users is read back by segments."""
+    rows = with_row_source(table(spark, d, "events")).select("user_id", F.col(ROW_INDEX).alias("i"))
+    order = Window.partitionBy("user_id").orderBy("i")
+    stretch = rows.withColumn("island", F.col("i") - F.row_number().over(order))
+    pieces = stretch.groupBy("user_id", "island").agg(F.min("i").alias("start"), F.count(F.lit(1)).alias("n"))
+    piece = F.struct(F.lit("events.parquet").alias("file path"), F.col("start").alias("row start"), F.col("n").alias("row count"))
+    manifest = pieces.groupBy("user_id").agg(
+        F.array_sort(F.collect_list(piece)).cast(C.INGESTED_SEGMENTS.dtype).alias("segments"), F.sum("n").alias("row count")
+    )
+    chosen = manifest.filter(F.col("`row count`") % 3 == 1)
+    found = stage_segments(spark, d, manifest, chosen, "segments", ["user_id"])
+    return found.select("event_id", "user_id", "stream position")
+
+
 @query(
     "f1_stage_selection",
     f"""SELECT {STREAM_SQL} FROM {INDEX} WHERE protocol IN ('cycling', 'EIS')

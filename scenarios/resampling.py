@@ -113,20 +113,20 @@ def lttb_without_preselection(spark, d):
     return lttb(spark, d, 30)
 
 
-@query(
-    "r5_a7_compensated_resample",
-    f"""WITH p AS (SELECT *, row_number() OVER w - 1 AS pos, coalesce(lead(t) OVER w - t, 0) AS dt
+COMPENSATED = f"""WITH p AS (SELECT *, row_number() OVER w - 1 AS pos, coalesce(lead(t) OVER w - t, 0) AS dt
         FROM {E} WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)),
       k AS (SELECT *, sum((pos % 7 = 2)::INT) OVER (PARTITION BY user_id ORDER BY pos) AS iv FROM p),
       g AS (SELECT user_id, iv, arg_min(event_id, pos) AS event_id, sum(dt) AS dt,
         CASE WHEN sum(dt) > 0 THEN sum(value * dt) / sum(dt) ELSE 0 END AS signal FROM k WHERE iv > 0 GROUP BY ALL)
     SELECT user_id, event_id, round(dt, 4) AS dt,
-      round(sum(dt) OVER (PARTITION BY user_id ORDER BY iv) - dt, 4) AS time, round(signal, 4) AS signal FROM g""",
-)
-def compensated_resample(spark, d):
+      round(sum(dt) OVER (PARTITION BY user_id ORDER BY iv) - dt, 4) AS time, round(signal, 4) AS signal FROM g"""
+
+
+def compensated_rows(spark, d, max_rows=None):
     from streamloom.operators.ordered import lead
 
-    frame = ordered(events(spark, d).select("user_id", "event_id", "t", "value"))
+    source = events(spark, d).select("user_id", "event_id", "t", "value")
+    frame = OrderedFrame.of(source, KEY, "t", ["event_id"], max_rows=max_rows)
     frame = frame.scan({"pos": position(), "__next": lead(F.col("t"))})
     frame = frame.with_columns(dt=F.coalesce(F.col("__next") - F.col("t"), F.lit(0.0)), time=F.col("t"))
     rows = compensated(frame, F.pmod("pos", F.lit(7)) == 2, "dt", "time", "value")
@@ -139,6 +139,17 @@ def compensated_resample(spark, d):
     )
 
 
+@query("r5_a7_compensated_resample", COMPENSATED)
+def compensated_resample(spark, d):
+    return compensated_rows(spark, d)
+
+
+@query("w3_w10_cut_streams", COMPENSATED)
+def compensated_in_chunks(spark, d):
+    """The same over streams that are cut into chunks of a few rows."""
+    return compensated_rows(spark, d, max_rows=8)
+
+
 GRID = """
   g AS (SELECT user_id, j, CASE WHEN j = 0 THEN lo WHEN j = {last} THEN hi ELSE {inner} END AS x
     FROM (SELECT user_id, min(t) AS lo, max(t) AS hi FROM src GROUP BY user_id), range({n}) r(j)),

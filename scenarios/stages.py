@@ -23,6 +23,7 @@ from streamloom.plans.normalize import dry_run, normalize_rows
 from streamloom.plans.training import training_windows
 from streamloom.protocols import CYCLING
 from streamloom.session import checkpoint_dir
+from streamloom.streaming.reorder import PROVIDER, reordered_time_check
 from streamloom.streaming.checks import (
     annotated_time_check,
     stream_axis_check,
@@ -263,6 +264,53 @@ def stream_time(spark, d):
     )
 
 
+# The stream arrives in six files by time. One row in seven comes one file late, which the waiting list covers; of the fifth file
+# and the one before it, one row in eleven comes at the very end and is late if its key has put out a later row by then.
+ARRIVAL = f"""(SELECT *, event_id % 11 = 3 AND part IN (3, 4) AS last, CASE WHEN event_id % 11 = 3 AND part IN (3, 4) THEN 6
+    ELSE least(part + (event_id % 7 = 2)::INT, 5) END AS file
+  FROM (SELECT user_id, event_id, t, least(floor(6 * (t - lo) / (hi - lo)), 5)::INT AS part
+    FROM {E}, (SELECT min(t) AS lo, max(t) AS hi FROM {E})))"""
+ARRIVAL_DELAY = 12 * 24 * 3600.0
+
+
+@query(
+    "t1_stream_reordered",
+    f"""WITH s AS {ARRIVAL},
+      top AS (SELECT user_id, max(t) AS newest FROM s WHERE NOT last GROUP BY user_id),
+      front AS (SELECT s.user_id, max(t) AS head FROM s JOIN top USING (user_id) WHERE NOT last AND t <= newest - {ARRIVAL_DELAY} GROUP BY s.user_id),
+      m AS (SELECT s.*, coalesce(last AND t < head, false) AS late FROM s LEFT JOIN front USING (user_id)),
+      done AS (SELECT user_id, max(t) - {ARRIVAL_DELAY} AS until FROM m WHERE NOT late GROUP BY user_id),
+      a AS (SELECT m.*, lead(t) OVER w - t AS dt, first(t) OVER w AS start FROM m JOIN done USING (user_id)
+        WHERE NOT late AND t <= until WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id))
+    SELECT user_id, event_id, round(dt, 4) AS dt, round(t - start, 3) AS time, NULL AS late FROM a WHERE dt > 0
+    UNION ALL SELECT user_id, event_id, NULL, round(t, 3), 'late row' FROM m WHERE late""",
+)
+def stream_reordered(spark, d):
+    """Events over seven micro-batches, partly out of order and partly late."""
+    rows = table(spark, d, "events").withColumn("t", epoch_seconds(F.col("ts"))).select("user_id", "event_id", "t")
+    ends = rows.agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+    part = F.least(F.floor(6 * (F.col("t") - F.col("lo")) / (F.col("hi") - F.col("lo"))), F.lit(5)).cast("int")
+    rows = rows.crossJoin(ends).withColumn("part", part)  # one row of bounds
+    last = (F.col("event_id") % 11 == 3) & F.col("part").isin(3, 4)
+    file = F.when(last, 6).otherwise(F.least(F.col("part") + (F.col("event_id") % 7 == 2).cast("int"), F.lit(5)))
+    rows = rows.select("user_id", "event_id", "t", F.timestamp_seconds("t").alias("at"), file.alias("file"))
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/arrival-{uuid.uuid4().hex}"
+    for k in range(7):  # files are taken in the order of their writing
+        rows.where(F.col("file") == k).drop("file").coalesce(1).write.mode("append").parquet(f"{folder}/{k}")
+    stream = spark.readStream.schema("user_id long, event_id long, t double, at timestamp")
+    stream = stream.option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+    before = spark.conf.get(PROVIDER[0], None)
+    spark.conf.set(*PROVIDER)
+    try:
+        checked = reordered_time_check(
+            stream, ["user_id"], TimeCheck("t", "dt", BIG), "at", ["event_id"], ARRIVAL_DELAY, 400 * 24 * 3600.0, "400 days"
+        )
+        out = drained(spark, checked)
+    finally:
+        spark.conf.set(PROVIDER[0], before) if before else spark.conf.unset(PROVIDER[0])
+    return out.select("user_id", "event_id", rounded("dt", 4).alias("dt"), rounded("t", 3).alias("time"), F.col("__late").alias("late"))
+
+
 @query(
     "t2_stream_axis_check",
     f"""SELECT user_id, event_id, coalesce(value - lag(value) OVER (PARTITION BY user_id ORDER BY event_id) <= 0, false) AS invalid

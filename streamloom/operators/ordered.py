@@ -51,10 +51,65 @@ def lead(value: Column) -> Scan:
 
 
 def running_sum(value: Column) -> Scan:
-    """Inclusive running sum; nulls count as zero."""
+    """Inclusive running sum; nulls count as zero. Sums of doubles do not depend on where a stream is cut (`_Parts`)."""
     return Scan("running_sum", value)
 
 
+def largest(value: Column) -> Scan:
+    """Largest value of the stream."""
+    return Scan("largest", value)
+
+
+_PART_BITS = 31
+_PARTS = 4
+_LEAST_EXPONENT = -960
+
+
+class _Parts:
+    """A running sum of doubles as running sums of integers, which add up alike in any order.
+
+    Every value is cut into four integers of 31 bits below a power of two above the stream's largest value. Their sums are exact,
+    so the one rounding when they are put together gives the same bits whether a stream was summed whole or in
+    chunks. What a value has beyond 124 bits below the largest is cut off. Infinite and NaN values are summed on their own and decide.
+    """
+
+    def __init__(self, name: str, value: Column):
+        self.name, self.value = name, value.cast("double")
+        odd = F.isnan(self.value) | (F.abs(self.value) == float("inf"))
+        self.plain = F.when(self.value.isNull() | odd, F.lit(0.0)).otherwise(self.value)
+        self.odd = F.when(odd, self.value)
+
+    def _exponent(self) -> Column:
+        top = F.col(f"__top_{self.name}")
+        fitting = F.when(top > 0, F.floor(F.log2(top)) + 2).otherwise(F.lit(_LEAST_EXPONENT))
+        return F.greatest(fitting, F.lit(_LEAST_EXPONENT)).cast("double")
+
+    def top(self) -> dict[str, Scan]:
+        return {f"__top_{self.name}": largest(F.abs(self.plain))}
+
+    def columns(self) -> dict[str, Column]:
+        """The value as a fraction of the power of two, then each part of what the part before left."""
+        out, rest = {}, self.plain * F.pow(F.lit(2.0), -self._exponent())
+        for i in range(_PARTS):
+            raised = rest * F.lit(float(1 << _PART_BITS))
+            out[f"__part{i}_{self.name}"] = raised.cast("long")
+            rest = raised - raised.cast("long").cast("double")
+        return out
+
+    def scans(self) -> dict[str, Scan]:
+        parts = {f"__part{i}_{self.name}": F.col(f"__part{i}_{self.name}") for i in range(_PARTS)}
+        return {f"__sum_{n}": running_sum(v) for n, v in parts.items()} | {f"__odd_{self.name}": Scan("running_sum", self.odd)}
+
+    def result(self) -> Column:
+        total, step = F.lit(0.0), F.lit(float(1 << _PART_BITS))
+        for i in reversed(range(_PARTS)):
+            total = (total + F.col(f"__sum___part{i}_{self.name}").cast("double")) / step
+        half = F.floor(self._exponent() / 2).cast("double")
+        scaled = total * F.pow(F.lit(2.0), half) * F.pow(F.lit(2.0), self._exponent() - half)
+        odd = F.col(f"__odd_{self.name}")
+        return F.when(F.isnan(odd) | (odd != 0), odd).otherwise(scaled)
+
+
 def last_valid(value: Column) -> Scan:
     """Latest non-null value up to and including the current row."""
     return Scan("last_valid", value)
@@ -139,6 +194,23 @@ class OrderedFrame:
         return replace(self, df=self.df.filter(condition))
 
     def scan(self, scans: dict[str, Scan]) -> OrderedFrame:
+        sums = [_Parts(n, s.value) for n, s in scans.items() if s.kind == "running_sum" and self._floating(s.value)]
+        if not sums:
+            return self._scan(scans)
+        names = {p.name for p in sums}
+        measured = self._scan({n: s for p in sums for n, s in p.top().items()})
+        cut = measured.with_columns(**{n: c for p in sums for n, c in p.columns().items()})
+        inner = {n: s for p in sums for n, s in p.scans().items()}
+        summed = cut._scan({n: s for n, s in scans.items() if n not in names} | inner)
+        done = summed.with_columns(**{p.name: p.result() for p in sums})
+        helpers = [f"__top_{p.name}" for p in sums] + [n for p in sums for n in p.columns()] + list(inner)
+        outputs = [c for c in done.df.columns if c not in {*helpers, *scans}]
+        return done.map(lambda df: df.select(*[col(c) for c in [*outputs, *scans]]))
+
+    def _floating(self, value: Column) -> bool:
+        return isinstance(self.df.select(value).schema[0].dataType, (T.DoubleType, T.FloatType))
+
+    def _scan(self, scans: dict[str, Scan]) -> OrderedFrame:
         local = {name: _local(s, self.window) for name, s in scans.items()}
         if not self.split:
             return replace(self, df=self.df.withColumns(local))
@@ -197,6 +269,9 @@ def _local(scan: Scan, w) -> Column:
         case "total":
             everything = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
             return F.count(F.lit(1)).over(everything)
+        case "largest":
+            everything = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+            return F.max(scan.value).over(everything)
         case "lag":
             return F.lag(scan.value).over(w)
         case "lead":
@@ -222,6 +297,8 @@ def _carry_aggregate(scan: Scan, order: Column) -> Column:
             return F.count(F.lit(1))
         case "running_sum":
             return F.sum(F.coalesce(scan.value, F.lit(0)))
+        case "largest":
+            return F.max(scan.value)
         case "lag":
             return F.max_by(wrapped, order)
         case "lead":
@@ -243,6 +320,10 @@ def _carry_across(scan: Scan, edge: Column, across) -> Column:
             return F.sum(edge).over(
                 across.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
             )
+        case "largest":
+            return F.max(edge).over(
+                across.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+            )
         case "lag":
             return F.lag(edge).over(across)
         case "lead":
@@ -259,7 +340,7 @@ def _merge(scan: Scan, here: Column, carried: Column) -> Column:
     match scan.kind:
         case "position" | "running_sum":
             return here + F.coalesce(carried, F.lit(0))
-        case "total":
+        case "total" | "largest":
             return carried
         case "lag":
             return F.when(F.col("__first"), carried["v"]).otherwise(here)

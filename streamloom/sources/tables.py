@@ -59,33 +59,75 @@ def segment_rows(manifest: DataFrame, segments: str, keys: Sequence[str]) -> Dat
     )
 
 
+#: Segments are indexed on grids of these many rows, each on the smallest one that is not shorter than it.
+GRIDS = (16, 256, 4_096, 65_536)
+
+
+def _grid(rows: Column) -> Column:
+    """Number of the grid that suits a segment of so many rows; the longest ones take several cells of the last."""
+    number = F.lit(len(GRIDS) - 1)
+    for i in reversed(range(len(GRIDS) - 1)):
+        number = F.when(rows <= GRIDS[i], F.lit(i)).otherwise(number)
+    return number
+
+
+def _cell(row: Column, grid: int) -> Column:
+    return F.struct(F.lit(grid).alias("grid"), F.floor(row / GRIDS[grid]).cast("long").alias("at"))
+
+
+def segment_index(ranges: DataFrame) -> DataFrame:
+    """Segments laid out on grid cells (`__cell`): the row of a file is only compared with segments of its own cells.
+
+    A segment takes at most two cells of its grid, or one for every `GRIDS[-1]` rows. Segments that do not overlap
+    leave at most `GRIDS[0]` candidates in a cell.
+    """
+    first, last = F.col("`row start`"), F.col("`row start`") + F.col("`row count`") - 1
+
+    def cells(grid: int) -> Column:
+        numbers = F.sequence(*[F.floor(at / GRIDS[grid]).cast("long") for at in (first, last)])
+        return F.transform(numbers, lambda n: F.struct(F.lit(grid).alias("grid"), n.alias("at")))
+
+    own = F.coalesce(*[F.when(_grid(F.col("`row count`")) == g, cells(g)) for g in range(len(GRIDS))])
+    return ranges.filter(F.col("`row count`") > 0).withColumn("__cell", F.explode(own))
+
+
 def read_segments(
     spark: SparkSession, root: str, manifest: DataFrame, segments: str, keys: Sequence[str]
 ) -> DataFrame:
     """Rows of the manifest's segments with their keys and position in the stream.
 
-    Only the listed files are opened, and the row range is compared with the scan's own row
-    number. File names are metadata: one per shard, not per row.
+    Only the listed files are opened (one name per shard comes to the driver). Rows meet segments on
+    (file, grid, cell) of the scan's row number, for the few grids in use, so neither a file with very many segments nor a
+    segment with very many rows is one task. Overlapping segments each get their rows.
     """
     ranges = segment_rows(manifest, segments, keys)
-    files = [r[0] for r in ranges.select("`file path`").distinct().collect()]
-    if not files:
+    indexed = segment_index(ranges.withColumnsRenamed({"file path": FILE}))
+    # At most len(GRIDS) rows a file.
+    found = indexed.groupBy(FILE).agg(F.collect_set("__cell.grid").alias("grids")).collect()
+    if not found:
         raise FileNotFoundError("No segments to read")
-    data = with_row_source(
-        spark.read.parquet(*[f"{root.rstrip('/')}/{f}" for f in files]), root
-    )
+    data = with_row_source(spark.read.parquet(*[f"{root.rstrip('/')}/{r[FILE]}" for r in found]), root)
     data = data.drop(*[k for k in keys if k in data.columns])
-    ranges = ranges.withColumnsRenamed({"file path": FILE})
+    used = sorted({g for r in found for g in r["grids"]})
+    own = F.explode(F.array(*[_cell(F.col(ROW_INDEX), g) for g in used]))
     inside = (F.col(ROW_INDEX) >= F.col("`row start`")) & (
         F.col(ROW_INDEX) < F.col("`row start`") + F.col("`row count`")
     )
-    hit = data.join(ranges, FILE).filter(inside)
+    hit = data.withColumn("__cell", own).join(indexed, [FILE, "__cell"]).filter(inside)
     position = F.col("`stream start`") + F.col(ROW_INDEX) - F.col("`row start`")
     return hit.withColumn("stream position", position).drop(
-        FILE, ROW_INDEX, "segment", "row start", "row count", "stream start"
+        FILE, ROW_INDEX, "__cell", "segment", "row start", "row count", "stream start"
     )
 
 
+def stage_segments(
+    spark: SparkSession, root: str, manifest: DataFrame, selected: DataFrame, segments: str, keys: Sequence[str]
+) -> DataFrame:
+    """Rows of the selected streams through the manifest's segments: other streams of the same files are not matched."""
+    wanted = selected.select(*[col(k) for k in keys]).distinct()
+    return read_segments(spark, root, key_join(manifest, wanted, keys, "left_semi"), segments, keys)
+
+
 def segment_windows(
     ranges: DataFrame, windows: DataFrame, keys: Sequence[str], bucket: int = _OVERLAP_BUCKET
 ) -> DataFrame:

@@ -1,3 +1,6 @@
+import math
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,3 +90,31 @@ def test_whole_table_as_one_stream(events):
         frame = o.OrderedFrame.of(events, [], "event_id", max_rows=bound).scan({"p": o.position()})
         assert frame.split == (bound == 100)
         assert frame.result.filter("p <> event_id").isEmpty()
+
+
+def test_running_sums_have_equal_bits_whole_and_cut(spark):
+    """Sums of doubles of all sizes are the same to the last bit however a stream is cut, and right."""
+    rng = np.random.default_rng(3)
+    values = {
+        "mixed": rng.normal(size=2000) * 10.0 ** rng.integers(-12, 12, 2000),
+        "tenth": np.full(2000, 0.1),
+        "huge": rng.normal(size=50) * 1e307,
+        "tiny": rng.normal(size=50) * 1e-300,
+        "odd": np.array([1.0, np.nan, 2.0]),
+        "inf": np.array([1.0, np.inf, -3.0]),
+        "none": np.array([0.0, 0.0]),
+    }
+    rows = [(k, i, float(v)) for k, vs in values.items() for i, v in enumerate(vs)] + [("tenth", 5000, None)]
+    df = spark.createDataFrame(rows, "k string, i long, v double").repartition(5)
+    sums = {}
+    for bound in (2_000_000, 40):
+        frame = o.OrderedFrame.of(df, ["k"], "i", [], max_rows=bound).scan({"s": o.running_sum(F.col("v")), "n": o.position()})
+        got = frame.result.collect()
+        assert frame.result.columns == ["k", "i", "v", "s", "n"]
+        sums[bound] = {(r["k"], r["i"]): r["s"].hex() for r in got}
+    assert sums[2_000_000] == sums[40]
+    for k, vs in values.items():
+        for i in (0, len(vs) // 2, len(vs) - 1):
+            exact = math.fsum(vs[: i + 1]) if np.isfinite(vs[: i + 1]).all() else sum(vs[: i + 1])
+            assert float.fromhex(sums[40][k, i]) == pytest.approx(exact, rel=1e-15, abs=0, nan_ok=True)
+    assert sums[40]["tenth", 5000] == sums[40]["tenth", 1999] == (200.0).hex()

@@ -162,3 +162,16 @@ def test_compensation(spark, chunking):
     assert [r["dt"] for r in rows] == pytest.approx([5.0, 4.0, 5.0])
     assert [r["t"] for r in rows] == pytest.approx([0.0, 5.0, 9.0])
     assert [r["s"] for r in rows] == pytest.approx([(40 + 90) / 5, 40.0, 60.0])
+
+
+def test_compensation_has_equal_bits_whole_and_cut(spark, events):
+    rows = events.select("user_id", "event_id", F.col("event_id").cast("double").alias("t"), "value")
+    rows = rows.withColumn("user_id", F.col("user_id") % 2).withColumns({"dt": F.rand(3) / 3, "keep": F.col("event_id") % 5 == 1})
+    rows = spark.createDataFrame(rows.collect(), rows.schema)
+    got = []
+    for bound in (2_000_000, 60):
+        frame = OrderedFrame.of(rows, ["user_id"], "t", ["event_id"], max_rows=bound)
+        assert frame.split == (bound == 60)
+        out = compensated(frame, F.col("keep"), "dt", "t", "value").select("event_id", "dt", F.col("t").cast("double"), "value")
+        got.append(sorted((r[0], *(x.hex() for x in tuple(r)[1:])) for r in out.collect()))
+    assert got[0] == got[1] and len(got[0]) > 100

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from streamloom.sources.files import glob_regex, list_files, read_by_header, read_untyped, with_path_metadata
-from streamloom.sources.tables import read_segments, read_table, segment_rows, segment_windows
+from streamloom.sources.tables import read_segments, read_table, segment_index, segment_rows, segment_windows, stage_segments
 from streamloom.sources.writers import write_manifest, write_shards, write_table_once, written_segments
 
 
@@ -91,3 +91,32 @@ def test_segment_windows_on_two_segments(spark):
         rows = {(r["window offset"], r["file path"], r["window row start"], r["window row count"]) for r in got.collect()}
         assert rows == {(15, "a", 20, 5), (15, "b", 0, 6), (-3, "a", 5, 4), (40, "b", 20, 4)}
         assert got.count() == 4
+
+
+SEGMENTS = "array<struct<`file path` string, `row start` long, `row count` long>>"
+
+
+def test_many_segments_in_one_file(spark, tmp_path):
+    """10,000 segments of one file of many lengths, one of them over several cells of the coarsest grid."""
+    spark.range(300_000).coalesce(1).write.parquet(f"{tmp_path}/data")
+    name = next(p.name for p in (tmp_path / "data").glob("*.parquet"))
+    pieces, at = [], 0
+    for k in range(9_999):
+        rows = (1, 2, 16, 17, 40)[k % 5]
+        pieces.append((f"s{k % 50}", [(f"data/{name}", at, rows)]))
+        at += rows
+    pieces.append(("long", [(f"data/{name}", at, 100_000), (f"data/{name}", 5, 3), (f"data/{name}", 7, 0)]))
+    manifest = spark.createDataFrame(pieces, f"k string, segs {SEGMENTS}").groupBy("k").agg(
+        F.flatten(F.sort_array(F.collect_list("segs"))).alias("segs")
+    )
+    wanted = {}
+    for r in manifest.collect():
+        ids = [i for s in r["segs"] for i in range(s["row start"], s["row start"] + s["row count"])]
+        wanted |= {(r["k"], n): i for n, i in enumerate(ids)}
+    rows = read_segments(spark, str(tmp_path), manifest, "segs", ["k"])
+    assert {(r["k"], r["stream position"]): r["id"] for r in rows.collect()} == wanted
+    indexed = segment_index(segment_rows(manifest, "segs", ["k"]))
+    assert indexed.groupBy("`file path`", "__cell").count().agg(F.max("count")).first()[0] <= 16
+    some = spark.createDataFrame([("s3",), ("long",), ("s3",)], "k string")
+    rows = stage_segments(spark, str(tmp_path), manifest, some, "segs", ["k"])
+    assert {(r["k"], r["stream position"]): r["id"] for r in rows.collect()} == {p: i for p, i in wanted.items() if p[0] in ("s3", "long")}

@@ -14,6 +14,7 @@ from streamloom.streaming.checks import (
     stream_row_checks,
     stream_time_check,
 )
+from streamloom.streaming.reorder import PROVIDER, reordered_time_check
 
 
 def chunks(times, late="drop", limit=5.0):
@@ -127,3 +128,63 @@ def test_late_and_timeless_rows_are_put_out(spark, tmp_path):
     got = run_in_batches(spark, str(tmp_path), parts, lambda s: annotated_time_check(stream_time_check(s, ["cell"], check, ["seq"]), check))
     found = {r["seq"]: (r[C.TIME.name], [a["reason"] for a in r["annotations"] or []]) for r in got.collect()}
     assert found == {0: (0.0, []), 1: (5.0, []), 2: (3.0, ["late row"]), 3: (None, ["missing time"]), 5: (4.0, ["late row"])}
+
+
+REORDERED = "cell string, `Time [s]` double, seq long, ts timestamp"
+
+
+def reordered(spark, folder, batches, **options):
+    """Rows (cell, time, seq) in files of one micro-batch each, through one query."""
+    spark.conf.set(*PROVIDER)
+    for k, rows in enumerate(batches):
+        df = spark.createDataFrame(rows, "cell string, `Time [s]` double, seq long")
+        df = df.withColumn("ts", F.timestamp_seconds(F.coalesce(F.col("`Time [s]`"), F.lit(0.0)) + 1000))
+        df.coalesce(1).write.mode("append").parquet(f"{folder}/in/part={k:03d}")
+    stream = spark.readStream.schema(REORDERED).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*")
+    check = TimeCheck("Time [s]", "dt", 5.0)
+    out = reordered_time_check(stream, ["cell"], check, "ts", ["seq"], **options)
+    query = (
+        out.writeStream.format("parquet")
+        .option("path", f"{folder}/out")
+        .option("checkpointLocation", f"{folder}/state")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    spark.conf.unset(PROVIDER[0])
+    data = [p for p in query.recentProgress if p["numInputRows"]]
+    return spark.read.parquet(f"{folder}/out").collect(), data
+
+
+def test_rows_out_of_order_take_their_place(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    rows = [(c, float(i if i % 7 else i + 1), i) for i in range(60) for c in "ab"]
+    arrival = sorted(rows, key=lambda r: r[1] + 6 * rng.random())
+    got, progress = reordered(spark, tmp_path, [arrival[i : i + 25] for i in range(0, 120, 25)], delay_s=8.0, grace="1 hour")
+    assert len(progress) == 5
+    df = spark.createDataFrame(rows, "cell string, `Time [s]` double, seq long")
+    checked = run_checks(OrderedFrame.of(df, ["cell"], "Time [s]", ["seq"]), [TimeCheck("Time [s]", "dt", 5.0)])
+    want = {(r["cell"], r["seq"]): (r["Time [s]"], r["dt"]) for r in checked.annotated().collect()}
+    have = {(r["cell"], r["seq"]): (r["Time [s]"], r["dt"]) for r in got}
+    assert all(r["__late"] is None for r in got) and len(have) == len(got)
+    # What the last delay covers still waits.
+    assert have == {k: v for k, v in want.items() if k in have} and len(have) >= len(want) - 24
+
+
+def test_ended_keys_late_rows_and_missing_times(spark, tmp_path):
+    batches = [
+        [("a", float(i), i) for i in range(5)] + [("b", 0.0, 0), ("b", None, 99)],
+        [("b", 40.0, 1), ("b", 41.0, 2)],
+        [("b", 35.0, 3), ("b", 90.0, 4), ("b", 91.0, 5)],
+        [("b", 200.0, 6), ("a", 190.0, 7)],
+        [("b", 300.0, 8)],
+    ]
+    got, progress = reordered(spark, tmp_path, batches, delay_s=1.0, idle_s=20.0, grace="10 seconds")
+    assert len(progress) == 5
+    rows = {(r["cell"], r["seq"]): (r["Time [s]"], r["dt"], r["__late"]) for r in got}
+    assert [rows["a", i][:2] for i in range(4)] == [(float(i), 1.0) for i in range(4)]
+    assert rows["a", 4][0] == 4.0 and rows["a", 4][2] == "end of stream"
+    assert rows["b", 99][2] == "missing time" and rows["b", 3][0] == 35.0 and rows["b", 3][2] == "late row"
+    assert rows["b", 0] == (0.0, 40.0, None)
+    # The key that came back is a stream of its own; it has ended too.
+    assert rows["a", 7][0] == 190.0 and rows["a", 7][2] == "end of stream"
