@@ -14,7 +14,9 @@ from streamloom.functions.values import display_label, group_label, is_finite
 from streamloom.operators import manifest as M
 from streamloom.operators import select as S
 from streamloom.operators.explore import matching_overlays, preview_metadata
-from streamloom.operators.joins import key_join
+from streamloom.operators.index import with_manifest_row_ids
+from streamloom.operators.joins import key_join, lineage_lookup
+from streamloom.operators.ranking import first_occurrences
 from streamloom.sources.files import source_order, with_path_metadata, with_sidecar_metadata
 from streamloom.sources.tables import ROW_INDEX, read_segments, read_table, stage_rows, stage_segments, with_row_source
 
@@ -97,16 +99,16 @@ def path_metadata(spark, d):
 
 @query(
     "s9_source_order",
-    f"""SELECT page_id, row_number() OVER (ORDER BY r, c, cell, soc, part, ch, path) AS place FROM (
-      SELECT *, CASE protocol WHEN 'cycling' THEN 0 WHEN 'HPPC' THEN 1 WHEN 'RPT' THEN 2 ELSE 3 END AS r,
+    f"""SELECT page_id, row_number() OVER (ORDER BY r, c NULLS FIRST, cell NULLS FIRST, soc, part, ch, path) AS place FROM (
+      SELECT *, CASE protocol WHEN 'cycling' THEN 0 WHEN 'HPPC' THEN 1 WHEN 'RPT' THEN 2 WHEN 'EIS' THEN 3 ELSE 99 END AS r,
         "cycle index" AS c, "cell id" AS cell, coalesce("SOC [%]", -1) AS soc,
         CASE page_id % 5 WHEN 0 THEN 2 ELSE 0 END AS part,
-        CASE page_id % 5 WHEN 0 THEN page_id % 7 WHEN 1 THEN page_id % 4 WHEN 2 THEN page_id WHEN 3 THEN 2 END AS ch
-      FROM ({PATH_META}) WHERE "cycle index" IS NOT NULL)""",
+        CASE page_id % 5 WHEN 0 THEN page_id % 7 WHEN 1 THEN page_id % 4 WHEN 2 THEN page_id WHEN 3 THEN 2 ELSE 0 END AS ch
+      FROM ({PATH_META}))""",
 )
 def file_order(spark, d):
+    """All paths; those that name no protocol or cycle have a place too."""
     named = with_path_metadata(raw_paths(spark, d), "path", strict=False)
-    named = named.filter(col("cycle index").isNotNull())
     return (
         named.withColumn("o", source_order("path"))
         .withColumn("cycle", F.col("o.cycle"))
@@ -510,6 +512,32 @@ def lookup(spark, d):
     return key_join(lines, orders, ["l_orderkey"])
 
 
+@query(
+    "j7_lineage_lookup",
+    f"""SELECT {STREAM_SQL}, "row count", row_number() OVER (PARTITION BY "dataset id" ORDER BY "cycle index", "cell id", protocol) - 1 AS "row id"
+      FROM {INDEX} QUALIFY "row id" % 3 = 1""",
+)
+def lineage(spark, d):
+    """Rows of two manifests by the (manifest path, row id) pairs that windows carry, many times each."""
+    index = stream_index(spark, d)
+    a, b = (with_manifest_row_ids(index.filter(col("dataset id") == name)) for name in "ab")
+    rows = a.unionByName(b).withColumn("manifest path", F.concat(F.lit("dataset="), F.col("`dataset id`"), F.lit("/manifest.parquet")))
+    manifest = rows.withColumnRenamed("__manifest_row_id", "row id")
+    carried = manifest.filter(F.col("`row id`") % 3 == 1).select("manifest path", "row id", F.explode(F.array_repeat(F.lit(0), 4)))
+    found = lineage_lookup(manifest, carried)
+    return found.select(*[col(c) for c in STREAM], "row count", "row id")
+
+
+@query(
+    "u3_first_occurrence",
+    """SELECT k, row_number() OVER (ORDER BY seen) - 1 AS place FROM
+      (SELECT l_suppkey AS k, min(l_orderkey * 10 + l_linenumber) AS seen FROM lineitem GROUP BY l_suppkey)""",
+)
+def first_seen(spark, d):
+    lines = table(spark, d, "lineitem").withColumn("k", F.col("l_suppkey"))
+    return first_occurrences(lines, ["k"], ["l_orderkey", "l_linenumber"], "place")
+
+
 @query(
     "u3_u4_distinct_difference",
     """SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '5-LOW')""",

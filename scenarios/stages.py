@@ -162,7 +162,7 @@ SPEC = WindowSpec(batch_size=2, seq_len=3)
     f"""WITH x AS (SELECT *, CASE WHEN event_type = 'signup' THEN 'b' ELSE 'a' END AS "dataset id", 'cell-' || (user_id % 20) AS "cell id",
         user_id AS "cycle index", CASE WHEN event_type IN ('click', 'signup') THEN 'cycling' WHEN event_type = 'view' THEN 'HPPC'
         WHEN event_type = 'purchase' THEN 'RPT' ELSE 'EIS' END AS protocol FROM {E}),
-      s AS (SELECT *, row_number() OVER w - 1 AS pos, (value - 0) / 500 * 2 - 1 AS sv,
+      s AS (SELECT *, row_number() OVER w - 1 AS pos, (value - 0) / 1000 * 2 - 1 AS sv,
         count(*) OVER (PARTITION BY {STREAM_SQL}) AS n FROM x WHERE "cell id" NOT IN ('cell-3', 'cell-4')
         WINDOW w AS (PARTITION BY {STREAM_SQL} ORDER BY t, event_id)),
       p AS (SELECT {STREAM_SQL}, n, unnest(range(0, greatest(0, ceil((n - 6) / 6.0))::BIGINT)) AS k
@@ -197,6 +197,8 @@ def windows(spark, d):
     numbered = OrderedFrame.of(rows, STREAM, "t", ["event_id"]).scan({"row position": position()}).result
     held_out = F.when(col("cell id").isin("cell-3", "cell-4"), "val").otherwise("train")
     index = stream_index(spark, d).withColumn("split", held_out)
+    stat = F.struct(F.lit("value").alias("column"), F.col("low").alias("min"), F.col("high").alias("max"))
+    index = index.withColumn(C.NORMALIZED_STATS.name, F.array(stat))
     lanes = training_windows(
         index,
         numbered,
@@ -204,9 +206,8 @@ def windows(spark, d):
         ["value"],
         ["value"],
         SPEC,
-        (Scale("value", (0.0, 500.0)),),
+        (Scale("value", (0.0, 1000.0)),),
         world_size=2,
-        check_bounds=False,
     )
     cells = F.posexplode(F.arrays_zip("inputs", "targets")).alias("position", "cell")
     out = lanes.select(*[col(c) for c in STREAM], "window number", "plan index", "rank", "lane", cells)

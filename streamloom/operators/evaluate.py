@@ -334,11 +334,18 @@ def comparison_frame(
     return key_join(base_frame, wide, [*keys, "position"], "left")
 
 
-def common_horizon(streams: DataFrame, context: int, requested: int) -> DataFrame:
-    """Rollout length that fits every stream: `horizon` and whether the request was `clipped`."""
-    room = F.min(F.greatest(F.lit(0), col(C.ROW_COUNT.name) - context - 1))
-    out = streams.agg(room.alias("room"))
-    horizon = F.when(
-        F.col("room") > 0, F.least(F.col("room"), F.lit(requested).cast("long"))
-    ).otherwise(F.raise_error(F.lit("selected streams are too short for the context")).cast("long"))
-    return out.select(horizon.alias("horizon"), (F.col("room") < requested).alias("clipped"))
+def common_horizon(streams: DataFrame, context: int, requested: int, strict: bool = True) -> DataFrame:
+    """Rollout length that fits every stream: `horizon` and whether the request was `clipped`.
+
+    A stream without room beyond the context is an error; with `strict=False` such streams are counted in `too short`, and
+    the others decide (null if there is none).
+    """
+    room = F.greatest(F.lit(0), col(C.ROW_COUNT.name) - context - 1)
+    counted = room if strict else F.when(room > 0, room)
+    out = streams.agg(F.min(counted).alias("room"), F.count_if(F.coalesce(room, F.lit(0)) <= 0).alias("too short"))
+    horizon = F.when(F.col("room") > 0, F.least(F.col("room"), F.lit(requested).cast("long")))
+    if strict:
+        error = F.raise_error(F.lit("selected streams are too short for the context")).cast("long")
+        horizon = horizon.otherwise(error)
+    out = out.select(horizon.alias("horizon"), (F.col("room") < requested).alias("clipped"), "too short")
+    return out.drop("too short") if strict else out

@@ -46,3 +46,31 @@ def spread_join(
     numbers = F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))
     repeated = per_key.withColumn("__salt", numbers)
     return key_join(salted, repeated, [*keys, "__salt"], how).drop("__salt")
+
+
+LOOKUP_IDS = 10_000
+
+
+def lineage_lookup(
+    manifest: DataFrame, wanted: DataFrame, path: str = "manifest path", row_id: str = "row id"
+) -> DataFrame:
+    """Manifest rows of the wanted (manifest path, row id) pairs, once each.
+
+    What is wanted is summed up first, in one small aggregate: the scan gets the range of ids, and the paths and ids themselves while they
+    are few, as conditions that reach the file. Only then do rows meet the pairs; wanted pairs may repeat.
+    """
+    pairs = wanted.select(col(path), col(row_id)).distinct()
+    few = F.approx_count_distinct(col(row_id)) <= LOOKUP_IDS // 2
+    asked = pairs.agg(
+        F.min(col(row_id)).alias("low"), F.max(col(row_id)).alias("high"), few.alias("few"), F.approx_count_distinct(col(path)).alias("paths")
+    ).first()
+    if asked["low"] is None:
+        return key_join(manifest, pairs, [path, row_id], "left_semi")
+    rows = manifest.filter(col(row_id).between(asked["low"], asked["high"]))
+    if asked["paths"] <= LOOKUP_IDS // 100:
+        names = [r[0] for r in pairs.select(col(path)).distinct().limit(LOOKUP_IDS).collect()]
+        rows = rows.filter(col(path).isin(names))
+    if asked["few"]:
+        ids = [r[0] for r in pairs.select(col(row_id)).distinct().limit(LOOKUP_IDS + 1).collect()]
+        rows = rows.filter(col(row_id).isin(ids)) if len(ids) <= LOOKUP_IDS else rows
+    return key_join(rows, pairs, [path, row_id], "left_semi")
