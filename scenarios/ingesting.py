@@ -21,7 +21,7 @@ CELLS = 4
 
 
 @contextmanager
-def _exact_names(spark):
+def exact_names(spark):
     """The stage tells `cycle index` from `Cycle index`."""
     before = spark.conf.get("spark.sql.caseSensitive")
     spark.conf.set("spark.sql.caseSensitive", "true")
@@ -56,7 +56,7 @@ def ingested(spark, d):
       'pozzato-2022' AS "dataset id", 'ingested' AS stage, count(*) AS "segment rows", 1::BIGINT AS files FROM events GROUP BY user_id % {CELLS}""",
 )
 def ingest_manifest(spark, d):
-    with _exact_names(spark):
+    with exact_names(spark):
         _, manifest = ingested(spark, d)
         held = F.aggregate(col(C.INGESTED_SEGMENTS.name), F.lit(0).cast("long"), lambda a, s: a + s["row count"])
         rows = manifest.select(
@@ -78,7 +78,7 @@ def ingest_manifest(spark, d):
       CASE WHEN user_id % 2 = 1 THEN 7 END::DOUBLE AS counter FROM {E}""",
 )
 def ingest_rows(spark, d):
-    with _exact_names(spark):
+    with exact_names(spark):
         store, manifest = ingested(spark, d)
         rows = read_segments(spark, store, manifest, C.INGESTED_SEGMENTS.name, KEYS)
         out = rows.select(

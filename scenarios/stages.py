@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
 from scenarios.common import E, INDEX, events, query, reason_text, rounded, stream_index, table
+from scenarios.ingesting import exact_names
 from scenarios.quality import BIG, LEAD, CHECKS
 from scenarios.training import DIGEST_SQL, GROUP_SQL, STREAM, STREAM_SQL
 from streamloom import columns as C
@@ -18,11 +20,12 @@ from streamloom.operators.checks import AxisCheck, BoundsCheck, MissingCheck, Ti
 from streamloom.operators.index import ValidationSplit, build_index
 from streamloom.operators.ordered import OrderedFrame, position
 from streamloom.operators.windows import WindowSpec
-from streamloom.plans.datasets import NormalizeSpec
-from streamloom.plans.normalize import dry_run, normalize_rows
+from streamloom.operators.resample import MinMaxLTTB
+from streamloom.plans.datasets import DatasetSpec, NormalizeSpec
+from streamloom.plans.normalize import dry_run, normalize_rows, run_normalize
 from streamloom.plans.training import training_windows
 from streamloom.protocols import CYCLING
-from streamloom.session import checkpoint_dir
+from streamloom.session import checkpoint_dir, written
 from streamloom.streaming.reorder import PROVIDER, reordered_time_check
 from streamloom.streaming.checks import (
     annotated_time_check,
@@ -91,6 +94,33 @@ def normalize_strict(spark, d):
     return normalized_text(normalize_rows(cycling_rows(spark, d), RECIPE).rows)
 
 
+JOB_POINTS = 12
+
+
+@query(
+    "q2_normalize_job",
+    f"""WITH {NORMALIZED}, n AS (SELECT user_id, count(*) AS n FROM k GROUP BY user_id),
+      b AS (SELECT user_id, bool_or(b1) AS b1, bool_or(b2) AS b2, bool_or(b3) AS b3 FROM f GROUP BY user_id)
+    SELECT u.user_id::VARCHAR AS "cell id", u.user_id % 4 AS "cycle index",
+      CASE WHEN b1 OR b2 OR b3 THEN 'failed' ELSE 'succeeded' END AS status,
+      nullif(concat_ws(';', CASE WHEN b3 THEN 'Terminal voltage [V]:above column maximum' END,
+        CASE WHEN b2 THEN 'Time diff [s]:big time diff' END, CASE WHEN b1 THEN 'Time [s]:duplicate time steps' END), '') AS reason,
+      CASE WHEN NOT (b1 OR b2 OR b3) THEN least(n, {JOB_POINTS}) END AS "row count",
+      (NOT (b1 OR b2 OR b3) AND n IS NULL)::BIGINT AS warnings
+    FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN n USING (user_id) LEFT JOIN b USING (user_id)""",
+)
+def normalize_job(spark, d):
+    """The stage as a job: checks, downsampling, shards, statistics and manifest, with a state for every task."""
+    spec = replace(RECIPE, resampling=MinMaxLTTB(C.TIME.name, C.VOLTAGE.name, points=JOB_POINTS))
+    dataset = DatasetSpec("events", "derived", ingest=(), normalize=(spec,))
+    store = f"{checkpoint_dir(spark).rstrip('/')}/normalize-{uuid.uuid4().hex}"
+    provenance = {"git commit": "abcdef1234", "git status": "clean"}
+    with exact_names(spark):
+        tasks = run_normalize(spark, dataset, {spec.protocol.name: cycling_rows(spark, d)}, store, provenance)
+        out = tasks.select("cell id", "cycle index", "status", "reason", "row count", "warnings")
+        return written(out, "normalize-states")
+
+
 @query(
     "q3_q4_normalize_annotated",
     f"""WITH {NORMALIZED} SELECT {NORMALIZED_COLS}, nullif(concat_ws(';', CASE WHEN b1 THEN 'Time [s]:duplicate time steps' END,

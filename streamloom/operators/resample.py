@@ -479,6 +479,9 @@ def compensation_signal(columns: Sequence[str]) -> str | None:
 # ---------------------------------------------------------------- interpolation on a grid
 
 
+NO_LOG_RANGE = "log scale needs a positive axis range"
+
+
 @dataclass(frozen=True)
 class GridResampling:
     """Interpolate every stream onto `points` linear or logarithmic grid positions."""
@@ -520,6 +523,14 @@ class GridResampling:
     def most_rows(self, longest: int) -> int:
         return self.points
 
+    def failures(self, df: DataFrame, key: Sequence[str]) -> DataFrame | None:
+        """(key, reason) of the streams that cannot be put on the grid, from one small aggregate; None if there can be none."""
+        if self.scale != "log" or self.value_range is not None:
+            return None
+        x = F.when(is_finite(col(self.x)), col(self.x).cast("double"))
+        low = df.groupBy(*[col(k) for k in key]).agg(F.min(x).alias("__low")).filter(F.col("__low") <= 0)
+        return low.select(*[col(k) for k in key], F.lit(NO_LOG_RANGE).alias("reason"))
+
     def _grid(self, low: Column, high: Column, i: Column) -> Column:
         """Grid value number `i`; the ends are exactly low and high."""
         last = self.points - 1
@@ -584,7 +595,7 @@ class GridResampling:
             ends = ends.withColumns({"__low": low, "__high": high})
         elif self.scale == "log":
             positive = F.when(F.col("__low") > 0, F.col("__low")).otherwise(
-                F.raise_error(F.lit("log scale needs a positive axis range"))
+                F.raise_error(F.lit(NO_LOG_RANGE))
             )
             ends = ends.withColumn("__low", positive)
         placed = spread_join(rows, ends, key, x).withColumn(

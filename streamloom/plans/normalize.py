@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +16,8 @@ from streamloom.operators.align import (
     with_constants,
     with_resolved_columns,
 )
-from streamloom.operators.checks import run_checks
-from streamloom.operators.joins import key_join
+from streamloom.operators.checks import FINDINGS, run_checks
+from streamloom.operators.joins import key_join, spread_join
 from streamloom.operators.manifest import (
     manifest_kind,
     ordered_list,
@@ -26,6 +26,7 @@ from streamloom.operators.manifest import (
 )
 from streamloom.operators.ordered import OrderedFrame, position
 from streamloom.operators.resample import (
+    GridResampling,
     MinMaxLTTB,
     compensated,
     compensation_signal,
@@ -35,15 +36,18 @@ from streamloom.operators.resample import (
 from streamloom.operators.select import selection_condition
 from streamloom.plans.datasets import DatasetSpec, NormalizeSpec
 from streamloom.protocols import NORMALIZE_MANIFEST, PROVENANCE
+from streamloom.session import written
 from streamloom.sources.writers import write_manifest, write_shards, written_segments
 
 
 @dataclass(frozen=True)
 class Normalized:
-    """`rows` is the stage output, `violations` the distinct (key, column, reason) found."""
+    """`rows` is the stage output, `violations` the distinct (key, column, reason) found, `failures` the (key, reason) of
+    streams that could not be resampled (None if there can be none); they are not among the rows."""
 
     rows: DataFrame
     violations: DataFrame
+    failures: DataFrame | None = None
 
 
 def normalize_rows(
@@ -53,9 +57,13 @@ def normalize_rows(
     resample: bool = True,
     compensate: bool = False,
     longest: int | None = None,
+    store: bool = False,
 ) -> Normalized:
     """One protocol's streams: derive, check, resample, number.
 
+    With `store` the checked rows are written once, and what follows reads that table instead of running the checks again. A
+    stream that cannot be resampled is a failure of its own and leaves the others alone.
+
     Without `annotate` a task with any violation is left out. `longest` is an upper limit of
     rows per task, known from the manifest, and saves counting them.
     """
@@ -76,9 +84,18 @@ def normalize_rows(
     axis = spec.order[0].name
     frame = OrderedFrame.of(rows, key, axis, ties, longest=longest)
     checked = run_checks(frame, spec.checks)
+    if store:
+        keep = checked.frame.map(lambda df: written(df, "normalize-checked"))
+        checked = replace(checked, frame=keep, dropped=_stored_findings(checked.dropped))
     kept = checked.annotated() if annotate else checked.strict()
     extra = [C.ANNOTATIONS.name] if annotate else []
     selected = select_canonical(kept, spec.output_columns, [*key, *ties, *extra])
+    failures = None
+    if resample and isinstance(spec.resampling, GridResampling):
+        failures = spec.resampling.failures(selected, key)
+        if failures is not None:
+            failures = written(failures, "normalize-failures") if store else failures
+            selected = spread_join(selected, failures.drop("reason"), key, col(axis), "left_anti")
     if resample and spec.resampling is not None:
         signal = compensation_signal(selected.columns)
         can_compensate = C.TIME_DIFF.name in selected.columns and signal is not None
@@ -92,7 +109,12 @@ def normalize_rows(
         {C.ROW_POSITION.name: position()}
     )
     output = numbered.result.drop(*left).withColumn(C.PROTOCOL.name, F.lit(spec.protocol.name))
-    return Normalized(output, checked.violations())
+    return Normalized(output, checked.violations(), failures)
+
+
+def _stored_findings(dropped: tuple[DataFrame, ...]) -> tuple[DataFrame, ...]:
+    """Findings of rows that checks removed: only those with any are written."""
+    return tuple(written(d.filter(F.size(FINDINGS) > 0), "normalize-dropped") for d in dropped)
 
 
 def _canonical(name: str) -> C.ColumnSpec:
@@ -152,14 +174,14 @@ def stream_manifest(
 ) -> DataFrame:
     """Segments, row count, statistics and resampling of every stream of a written table."""
     key = spec.protocol.key_names
-    written = spark.read.parquet(path)
+    rows = spark.read.parquet(path)
     segments = written_segments(spark, root, path, key)
     merged = segments.groupBy(C.PROTOCOL.name, *[col(k) for k in key]).agg(
         F.flatten(ordered_list(F.col("segments"), col(C.ROW_POSITION.name))).alias(
             C.NORMALIZED_SEGMENTS.name
         )
     )
-    stats = stream_stats(written, key, [c.name for c in spec.output_columns])
+    stats = stream_stats(rows, key, [c.name for c in spec.output_columns])
     method, params = (
         spec.resampling.metadata() if resampled and spec.resampling else no_resampling_metadata()
     )
@@ -168,6 +190,30 @@ def stream_manifest(
     )
 
 
+def task_states(
+    planned: DataFrame, counts: DataFrame, done: Normalized, key: Sequence[str], annotate: bool
+) -> DataFrame:
+    """Per planned task: row count, chunks, `status`, `reason` of a failure and `warnings`.
+
+    A task fails where it could not be resampled, or where it has violations that are not annotated. Warnings are the
+    distinct violations that an annotated task keeps, and one for a task that succeeds without any row.
+    """
+    keys = [col(k) for k in key]
+    found = F.array_sort(F.collect_set(F.concat_ws(":", "column", "reason")))
+    table = key_join(planned, counts, key, "left")
+    table = key_join(table, done.violations.groupBy(*keys).agg(found.alias("__found")), key, "left")
+    reason = F.lit(None).cast("string") if annotate else F.array_join("__found", ";")
+    if done.failures is not None:
+        table = key_join(table, done.failures.withColumnRenamed("reason", "__failed"), key, "left")
+        reason = F.coalesce(F.col("__failed"), reason)
+    table = table.withColumn("reason", reason)
+    status = F.when(F.col("reason").isNotNull(), "failed").otherwise("succeeded")
+    kept = F.coalesce(F.size("__found"), F.lit(0)) if annotate else F.lit(0)
+    empty = (col(C.ROW_COUNT.name).isNull() & F.col("reason").isNull()).cast("int")
+    warnings = F.when(F.col("reason").isNull(), F.greatest(kept, F.lit(0)) + empty).otherwise(F.lit(0)).cast("long")
+    return table.withColumns({"status": status, "warnings": warnings}).drop("__found", "__failed")
+
+
 def run_normalize(
     spark: SparkSession,
     dataset: DatasetSpec,
@@ -184,8 +230,8 @@ def run_normalize(
 ) -> DataFrame:
     """Normalize every protocol's rows, write shards and the manifest, return the task table.
 
-    The task table has `status`, `row count`, `chunks` and `warnings`; any failed task turns
-    the manifest into an error manifest. A selection limits the tasks that run.
+    The task table has `status`, `reason`, `row count`, `chunks` and `warnings`; any failed task turns
+    the manifest into an error manifest, and the rest is written all the same. A selection limits the tasks that run.
     """
     folder = f"{output_root.rstrip('/')}/{dataset.stage_root(stage)}"
     manifests, tasks = [], []
@@ -200,29 +246,20 @@ def run_normalize(
                 selection_condition([C.PROTOCOL.name, *spec.protocol.key_names], protocols, group_values)
             )
         key = spec.protocol.key_names
-        done = normalize_rows(rows, spec, annotate, resample, compensate)
+        # One count of the input gives the tasks and the longest of them.
+        planned = written(rows.groupBy(*[col(k) for k in key]).agg(F.count(F.lit(1)).alias("__rows")), "normalize-tasks")
+        longest = planned.agg(F.max("__rows")).first()[0] or 0
+        done = normalize_rows(rows, spec, annotate, resample, compensate, longest, store=True)
         path = f"{folder}/data/{name.casefold()}"
         write_shards(done.rows, path, key)
         manifest = stream_manifest(spark, output_root, path, spec, resample)
         manifests.append(manifest)
-        planned = rows.select(*[col(k) for k in key]).distinct()
         counts = manifest.select(
             *[col(k) for k in key],
             col(C.ROW_COUNT.name),
             F.size(col(C.NORMALIZED_SEGMENTS.name)).cast("long").alias("chunks"),
         )
-        table = key_join(planned, counts, key, "left")
-        if annotate:
-            status = F.lit("succeeded")
-        else:
-            bad = done.violations.select(*[col(k) for k in key]).distinct().withColumn("__bad", F.lit(True))
-            table = key_join(table, bad, key, "left")
-            status = F.when(F.col("__bad"), "failed").otherwise("succeeded")
-        tasks.append(
-            table.withColumns(
-                {"status": status, "warnings": F.lit(0).cast("long"), C.PROTOCOL.name: F.lit(name)}
-            ).drop("__bad")
-        )
+        tasks.append(task_states(planned.drop("__rows"), counts, done, key, annotate).withColumn(C.PROTOCOL.name, F.lit(name)))
     if not manifests:
         raise ValueError("No declared protocol among the inputs")
     union = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionByName(union(parts[1:]), True)

@@ -142,6 +142,34 @@ def test_normalize_published_dataset(spark, ingested, tmp_path_factory):
     assert (eis[0][C.FREQUENCY.name], eis[-1][C.FREQUENCY.name]) == (1.0, 10_000.0)
 
 
+def test_a_bad_spectrum_leaves_the_others_alone(spark, ingested, tmp_path_factory):
+    """One stream without a positive axis range fails with its reason, also in an annotated run; the rest is written."""
+    out, _ = ingested
+    good = ingested_rows(spark, out, POZZATO_2022, "EIS")
+    bad = good.withColumns({C.CELL_ID.name: F.lit("V9"), C.FREQUENCY.name: -col(C.FREQUENCY.name)})
+    store = str(tmp_path_factory.mktemp("bad"))
+    inputs = {"EIS": good.unionByName(bad)}
+    tasks = run_normalize(spark, POZZATO_2022, inputs, store, PROVENANCE, annotate=True).collect()
+    states = {r["cell id"]: (r["status"], r["reason"], r[C.ROW_COUNT.name], r["warnings"]) for r in tasks}
+    assert states == {
+        "V4": ("succeeded", None, 48, 0),
+        "V9": ("failed", "log scale needs a positive axis range", None, 0),
+    }
+    folder = f"{store}/{POZZATO_2022.stage_root('normalized')}"
+    assert spark.read.parquet(f"{folder}/data/eis").count() == 48 and os.path.exists(f"{folder}/err_manifest.parquet")
+    strict = run_normalize(spark, POZZATO_2022, inputs, str(tmp_path_factory.mktemp("strict")), PROVENANCE).collect()
+    assert {r["cell id"]: r["status"] for r in strict} == {"V4": "succeeded", "V9": "failed"}
+
+
+def test_annotated_violations_are_warnings(spark, ingested, tmp_path_factory):
+    out, _ = ingested
+    inputs = {"cycling": ingested_rows(spark, out, POZZATO_2022, "cycling")}
+    store = str(tmp_path_factory.mktemp("warn"))
+    tasks = run_normalize(spark, POZZATO_2022, inputs, store, PROVENANCE, annotate=True, resample=False).collect()
+    states = {r["cell id"]: (r["status"], r["reason"], r["warnings"]) for r in tasks}
+    assert states == {"V4": ("succeeded", None, 0), "W5": ("succeeded", None, 1)}
+
+
 def test_annotated_selection_builds_index_and_windows(spark, ingested, tmp_path_factory):
     out, _ = ingested
     inputs = {"cycling": ingested_rows(spark, out, POZZATO_2022, "cycling")}
