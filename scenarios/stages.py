@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from scenarios.common import E, INDEX, events, query, reason_text, rounded, stream_index, table
@@ -18,14 +19,17 @@ from streamloom.functions.scaling import Scale
 from streamloom.functions.values import epoch_seconds
 from streamloom.operators.checks import AxisCheck, BoundsCheck, MissingCheck, TimeCheck
 from streamloom.operators.index import ValidationSplit, build_index
+from streamloom.operators.joins import key_join
 from streamloom.operators.ordered import OrderedFrame, position
 from streamloom.operators.windows import WindowSpec
-from streamloom.operators.resample import MinMaxLTTB
-from streamloom.plans.datasets import DatasetSpec, NormalizeSpec
-from streamloom.plans.normalize import dry_run, normalize_rows, run_normalize
+from streamloom.operators.resample import MinMaxLTTB, no_resampling_metadata
+from streamloom.plans.datasets import DatasetSpec, NormalizeSpec, override_resampling
+from streamloom.plans.normalize import dry_run, normalize_rows, resample_again, run_normalize
 from streamloom.plans.training import training_windows
 from streamloom.protocols import CYCLING
 from streamloom.session import checkpoint_dir, written
+from streamloom.sources.tables import read_table, stage_segments
+from streamloom.sources.writers import available_manifests, load_manifest, write_table_once
 from streamloom.streaming.reorder import PROVIDER, reordered_time_check
 from streamloom.streaming.checks import (
     annotated_time_check,
@@ -133,6 +137,80 @@ def normalize_annotated(spark, d):
     return normalized_text(rows, reason_text(col("annotations")).alias("reasons"))
 
 
+@query(
+    "q3_q4_selected_stage",
+    f"""WITH {NORMALIZED} SELECT user_id::VARCHAR AS "cell id", user_id % 4 AS "cycle index", pos AS "stream position",
+      round(time, 4) AS time, round(value / 100 + 3, 6) AS volts, 'derived' AS type, 'none' AS method FROM k WHERE user_id % 4 IN (1, 3)""",
+)
+def selected_stage(spark, d):
+    """An annotated run over selected tasks; its manifest is found and loaded, and its rows are read by their segments."""
+    dataset = DatasetSpec("events", "derived", ingest=(), normalize=(RECIPE,))
+    store = f"{checkpoint_dir(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    provenance = {"git commit": "abcdef1234", "git status": "clean"}
+    with exact_names(spark):
+        rows = {"cycling": cycling_rows(spark, d)}
+        run_normalize(
+            spark, dataset, rows, store, provenance, annotate=True, resample=False, group_values={"cycle index": [1, 3]}
+        )
+        found = available_manifests(spark, store)
+        manifest = load_manifest(spark, store, found[0])
+        keys = ["cell id", "cycle index", "protocol"]
+        read = stage_segments(spark, store, manifest, manifest, C.NORMALIZED_SEGMENTS.name, keys)
+        named = manifest.select(*[col(k) for k in keys], "type", col(C.RESAMPLING_METHOD.name).alias("method"))
+        out = key_join(read, named, keys).select(
+            "cell id",
+            "cycle index",
+            "stream position",
+            rounded("`Time [s]`", 4).alias("time"),
+            rounded("`Terminal voltage [V]`", 6).alias("volts"),
+            "type",
+            "method",
+        )
+        return written(out, "stage-rows")
+
+
+@query(
+    "r10_r13_resample_again",
+    f"""WITH {NORMALIZED}, e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY pos DESC) AS back FROM k
+      WHERE user_id NOT IN (SELECT user_id FROM f WHERE b1 OR b2 OR b3))
+    SELECT user_id::VARCHAR AS "cell id", user_id % 4 AS "cycle index", (pos > 0)::BIGINT AS "row position", round(time, 4) AS time,
+      round(value / 100 + 3, 6) AS volts FROM e WHERE pos = 0 OR back = 1""",
+)
+def again(spark, d):
+    """An unresampled result, resampled later with an overridden budget of two points: its ends."""
+    spec = override_resampling([replace(RECIPE, resampling=MinMaxLTTB(C.TIME.name, C.VOLTAGE.name, points=50, min_points=2))], {"cycling": 2})[0]
+    rows = normalize_rows(cycling_rows(spark, d), spec, resample=False).rows
+    method, params = no_resampling_metadata()
+    manifest = rows.select("cell id").distinct().withColumns(
+        {C.RESAMPLING_METHOD.name: F.lit(method), C.RESAMPLING_PARAMS.name: F.lit(params)}
+    )
+    out = resample_again(rows, manifest, spec)
+    return out.select(
+        "cell id",
+        "cycle index",
+        "row position",
+        rounded("`Time [s]`", 4).alias("time"),
+        rounded("`Terminal voltage [V]`", 6).alias("volts"),
+    )
+
+
+@query(
+    "s11_table_once",
+    """SELECT event_id, value, false AS overwritten FROM events""",
+)
+def table_once(spark, d):
+    """A table that is written once; a second write is refused."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/once-{uuid.uuid4().hex}"
+    rows = table(spark, d, "events").select("event_id", "value")
+    write_table_once(rows, path)
+    try:
+        write_table_once(rows.limit(0), path)
+        overwritten = True
+    except AnalysisException:
+        overwritten = False
+    return read_table(spark, path).withColumn("overwritten", F.lit(overwritten))
+
+
 @query(
     "c7_dry_run",
     f"""WITH {NORMALIZED} SELECT DISTINCT user_id::VARCHAR AS "cell id", user_id % 4 AS "cycle index", c AS "column", r AS reason FROM (
