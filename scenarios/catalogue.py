@@ -530,8 +530,8 @@ def lineage(spark, d):
 
 @query(
     "u3_first_occurrence",
-    """SELECT k, row_number() OVER (ORDER BY seen) - 1 AS place FROM
-      (SELECT l_suppkey AS k, min(l_orderkey * 10 + l_linenumber) AS seen FROM lineitem GROUP BY l_suppkey)""",
+    """SELECT k, row_number() OVER (ORDER BY seen, k) - 1 AS place FROM
+      (SELECT l_suppkey AS k, min(l_orderkey * 1000 + l_linenumber) AS seen FROM lineitem GROUP BY l_suppkey)""",
 )
 def first_seen(spark, d):
     lines = table(spark, d, "lineitem").withColumn("k", F.col("l_suppkey"))

@@ -100,13 +100,14 @@ def first_occurrences(df: DataFrame, values: Sequence[str], order: Sequence[str]
     """Distinct rows of `values` in the order of their first occurrence: 0-based place in `name`.
 
     The smallest position per value is an aggregate with map-side sums, so a value that holds most rows is one row per task;
-    places come from counts (`total_order_position`). `order` is a total order of the rows, with a numeric column in it.
+    places come from counts (`total_order_position`). `order` has a numeric column in it; values that first occur at the
+    same place of it follow one another in their own order.
     """
     at = F.min(F.struct(*[col(c).alias(f"o{i}") for i, c in enumerate(order)])).alias("__first")
     firsts = df.groupBy(*[col(v) for v in values]).agg(at).select(*[col(v) for v in values], "__first.*")
     flat = firsts.withColumnsRenamed({f"o{i}": f"__o{i}" for i in range(len(order))})
     named = [f"__o{i}" for i in range(len(order))]
-    return total_order_position(flat, named, name).drop(*named)
+    return total_order_position(flat, [*named, *values], name).drop(*named)
 
 
 def digest_number(digest_col: Column) -> Column:
