@@ -89,11 +89,14 @@ class _Parts:
 
     def columns(self) -> dict[str, Column]:
         """The value as a fraction of the power of two, then each part of what the part before left."""
-        out, rest = {}, self.plain * F.pow(F.lit(2.0), -self._exponent())
+        out, share, step = {}, self.plain * F.pow(F.lit(2.0), -self._exponent()), float(1 << _PART_BITS)
+        before = F.lit(0.0)
         for i in range(_PARTS):
-            raised = rest * F.lit(float(1 << _PART_BITS))
-            out[f"__part{i}_{self.name}"] = raised.cast("long")
-            rest = raised - raised.cast("long").cast("double")
+            # Scaling by powers of two, remainders of one and the difference of whole numbers are exact.
+            raised = share * F.lit(step ** (i + 1))
+            whole = raised - raised % F.lit(1.0)
+            out[f"__part{i}_{self.name}"] = (whole - before * F.lit(step)).cast("long")
+            before = whole
         return out
 
     def scans(self) -> dict[str, Scan]:
