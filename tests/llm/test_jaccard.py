@@ -79,3 +79,20 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 90), (95, 100), (7, 7)]
     got = components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {r["id"]: r["root"] for r in got} == {**{i: 0 for i in range(41)}, 90: 90, 95: 90, 100: 90}
+
+
+def test_many_just_below_the_threshold(spark):
+    """Sets that share 47 of 55 shingles never link; the few that share more do, and no list is joined with itself for it."""
+    own = lambda i, k: " ".join(f"o{i}x{j}" for j in range(k))
+    template = " ".join(f"t{j}" for j in range(50))
+    rows = [(i, f"{own(i, 8)} {template}") for i in range(1500)]
+    rows += [(2000 + i, f"{own(2000 + i, 3)} {template}") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.report(docs).collect()}
+    assert all(got[i] == i for i in range(1500))
+    assert [got[2000 + i] for i in range(3)] == [2000] * 3
+    lists = spark.createDataFrame(
+        [(7, i, 55, 8, i, [i * 977 % 251] * 8) for i in range(1000)],
+        "token long, id long, n int, pos int, root long, fold array<long>",
+    )
+    assert jaccard._cross_pairs(lists, jaccard.Threshold()).isEmpty()
