@@ -122,8 +122,10 @@ def planned(docs: DataFrame, mix: Mix, source: str = "source", text: str = "text
     goals = goals.withColumnsRenamed({"source": "__source", "source_size": "__source_size", "target": "__target"})
     # Documents without words come last in their source, so that draws are numbered without gaps.
     sized = sized.withColumn("__order", F.when(F.col("__size") > 0, F.col("__order")).otherwise(F.lit((1 << 60) - 1)))
-    ties = ["doc_id", "__size", F.xxhash64(text)]
-    out = ranked(sized, [source], "__order", ties, rank="__rank", size="__size", before="__before")
+    # The tie is a column before the texts are ranked, so that who drops the text does not shuffle it.
+    sized = sized.withColumn("__tie", F.xxhash64(text))
+    ties = ["doc_id", "__size", "__tie"]
+    out = ranked(sized, [source], "__order", ties, rank="__rank", size="__size", before="__before").drop("__tie")
     out = out.join(goals, F.col(source).eqNullSafe(F.col("__source"))).drop("__source")
     goal, all_words = F.floor("__target"), F.col("__source_size")
     full = F.when(all_words > 0, F.floor(goal / all_words)).otherwise(0).cast("long")
