@@ -1,12 +1,18 @@
 """Quality rules with the frequency of lines across documents, in DataFrame functions only.
 
 Lines are normalised and hashed; for every host (a column, `source` here) the distinct documents that carry
-a line are counted. A line above the limits is removed from its documents, except from the first of them (smallest
-doc_id), so that no content vanishes altogether; a document left with too few of its words is rejected.
-Exact copies count as one document of the host: a copied document is a matter for deduplication, not boilerplate.
-
-Defined results: null text has no words and fails the base rules; a null host is a host of its own;
-repeated rows give repeated equal results; a document without words is never "depleted" but fails by length.
+a line are counted. A line in more documents than the limit is removed from all of them but its keeper, so that no
+content vanishes altogether; a document left with too few of its words is rejected.
+
+The keeper is the smallest doc_id among the carriers that pass the base rules. Where the keepers' choice leaves such a
+document depleted all the same (by its other lines), the smallest carrier that is not depleted takes the line over; if
+there is none, the first keeper stays and is rescued: it is not rejected. A line thus vanishes only with documents that
+all fail the base rules.
+
+Defined results: null text has no words and fails the base rules; a null host is a host of its own, a null doc_id a
+document of its own and the smallest; repeated rows count once and give repeated equal results; exact copies under other
+doc_ids are documents; a document without words is never "depleted" but fails by length. Very long texts are
+arrays of their words and lines in one row: memory grows with the longest text alone.
 Extra columns of the input are carried by `clean` and ignored by `report`.
 """
 
@@ -27,10 +33,9 @@ _LOWER = "abcdefghijklmnopqrstuvwxyz0000000000"
 
 @dataclass(frozen=True)
 class LineLimits:
-    """A line is removed when more than `documents` documents and more than `share` of all documents of its host carry it."""
+    """A line is removed when more than `documents` documents of its host carry it, however large the host is."""
 
     documents: int = 20
-    share: float = 0.02
     least_left: float = 0.3
 
 
@@ -97,102 +102,95 @@ def _keyed(docs: DataFrame, host: str) -> DataFrame:
     return docs.select(*_keyed_columns(host))
 
 
+_DOC = ["__id", "__host", "__text"]
+_LINE = ["__host", "key"]
+
+
+def _joined(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join on columns of equal names where nulls are equal; the right side's keys are dropped."""
+    same = F.lit(True)
+    for c in on:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}_"))
+    return left.join(right.withColumnsRenamed({c: f"{c}_" for c in on}), same, how).drop(*[f"{c}_" for c in on])
+
+
 def frequent_lines(docs: DataFrame, host: str = "source", limits: LineLimits = LineLimits()) -> DataFrame:
-    """Lines above the limits: __host, key, documents, keeper (the smallest doc_id that carries the line)."""
-    keyed = _keyed(docs, host)
-    hosts = keyed.groupBy("__host").agg(F.count_distinct("__text").alias("__all"))
-    seen = keyed.select("__host", "__id", "__text", F.explode(F.array_distinct(F.transform(_lines(F.col("text")), line_key))).alias("key"))
-    # One row per (line, text) first: copies of one text meet in the map-side sums, not in one task.
-    each = seen.groupBy("__host", "key", "__text").agg(F.min("__id").alias("__id"))
-    counted = each.groupBy("__host", "key").agg(F.count(F.lit(1)).alias("documents"), F.min("__id").alias("keeper"))
-    above = counted.where(F.col("documents") > limits.documents)
-    return (
-        above.join(hosts.withColumnRenamed("__host", "__h"), F.col("__host").eqNullSafe(F.col("__h")))
-        .where(F.col("documents") > limits.share * F.col("__all"))
-        .select("__host", "key", "documents", "keeper")
-    )
+    """Lines above the limit: __host, key, documents. Counted in two steps, so that no line meets in one task."""
+    each = F.array_distinct(F.transform(_lines(F.col("text")), line_key))
+    seen = _keyed(docs, host).select("__host", "__id", F.explode(each).alias("key")).distinct()
+    return seen.groupBy(*_LINE).agg(F.count(F.lit(1)).alias("documents")).where(F.col("documents") > limits.documents)
 
 
-def removals(docs: DataFrame, host: str = "source", limits: LineLimits = LineLimits()) -> DataFrame:
-    """Per document that loses lines: __id, __host, __text, removed (line keys), n_removed_lines, n_removed_words."""
-    frequent = frequent_lines(docs, host, limits).withColumnsRenamed({"__host": "__h", "key": "__k"})
+def _hits(docs: DataFrame, based: DataFrame, host: str, limits: LineLimits) -> DataFrame:
+    """One row per document and frequent line: lines and words it takes there, with n_words and base_failed."""
     lines = F.transform(_lines(F.col("text")), lambda x: F.struct(line_key(x).alias("key"), F.regexp_count(x, F.lit(WORD)).alias("n")))
-    carried = (
-        _keyed(docs, host)
-        .select("__id", "__host", "__text", F.explode(lines).alias("line"))
-        .select("__id", "__host", "__text", "line.key", "line.n")
-    )
-    hit = carried.join(frequent, F.col("__host").eqNullSafe(F.col("__h")) & (F.col("key") == F.col("__k"))).where(
-        ~F.col("__id").eqNullSafe(F.col("keeper"))
-    )
-    # A line may occur in a document many times; repeated rows of one document must not add up.
-    copies = _keyed(docs, host).groupBy("__id", "__host", "__text").agg(F.count(F.lit(1)).alias("__rows")).where("__rows > 1")
-    same = [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in ("__id", "__host", "__text")]
-    per = hit.groupBy("__id", "__host", "__text").agg(
-        F.collect_set("key").alias("removed"), F.count(F.lit(1)).alias("lines"), F.sum("n").alias("words")
-    )
-    copies = copies.withColumnsRenamed({c: f"{c}_" for c in ("__id", "__host", "__text")})
-    rows = F.coalesce(F.col("__rows"), F.lit(1))
-    return per.join(copies, same[0] & same[1] & same[2], "left").select(
-        "__id",
-        "__host",
-        "__text",
-        "removed",
-        (F.col("lines") / rows).cast("long").alias("n_removed_lines"),
-        (F.col("words") / rows).cast("long").alias("n_removed_words"),
+    carried = _keyed(docs, host).select(*_DOC, F.explode(lines).alias("line")).select(*_DOC, "line.key", "line.n")
+    found = _joined(carried, frequent_lines(docs, host, limits).select(*_LINE), _LINE)
+    per = found.groupBy(*_DOC, "key").agg(F.count(F.lit(1)).alias("lines"), F.sum("n").alias("words"))
+    # Repeated rows of one document must not add up.
+    one = based.groupBy(*_DOC).agg(F.count(F.lit(1)).alias("rows"), F.max("n_words").alias("n_words"), F.max("base_failed").alias("base_failed"))
+    rows = _joined(per, one, _DOC)
+    return rows.withColumns({c: (F.col(c) / F.col("rows")).cast("long") for c in ("lines", "words")}).drop("rows")
+
+
+def _thin(lost: DataFrame, limits: LineLimits) -> DataFrame:
+    """The documents that lose too many of their words."""
+    sums = lost.groupBy(*_DOC).agg(F.sum("words").alias("words"), F.max("n_words").alias("n_words"))
+    left = F.col("n_words") - F.col("words")
+    return sums.where((F.col("n_words") > 0) & (left < limits.least_left * F.col("n_words"))).select(*_DOC, F.lit(True).alias("thin"))
+
+
+def removals(docs: DataFrame, based: DataFrame, host: str = "source", limits: LineLimits = LineLimits()) -> DataFrame:
+    """Per document with a frequent line: __id, __host, __text, removed (line keys), n_removed_lines, n_removed_words,
+    depleted. `based` holds a row of base figures per input row (_DOC, n_words, base_failed)."""
+    hits = stored(_hits(docs, based, host, limits), "quality-hits")
+    own, passes = F.struct("__id"), ~F.col("base_failed")
+    first = hits.where(passes).groupBy(*_LINE).agg(F.min(own).alias("keeper"))
+    lost = _joined(hits, first, _LINE, "left").where(~own.eqNullSafe(F.col("keeper")))
+    marked = _joined(hits, _thin(lost, limits), _DOC, "left").withColumn("thin", F.coalesce("thin", F.lit(False)))
+    marked = stored(marked, "quality-marked")
+    keeper = F.coalesce(F.min(F.when(passes & ~F.col("thin"), own)), F.min(F.when(passes, own)))
+    final = _joined(marked, marked.groupBy(*_LINE).agg(keeper.alias("keeper")), _LINE)
+    gone = ~own.eqNullSafe(F.col("keeper"))
+    return final.groupBy(*_DOC).agg(
+        F.collect_set(F.when(gone, F.col("key"))).alias("removed"),
+        F.sum(F.when(gone, F.col("lines")).otherwise(0)).alias("n_removed_lines"),
+        F.sum(F.when(gone, F.col("words")).otherwise(0)).alias("n_removed_words"),
+        (F.max("thin") & ~F.max(passes & ~gone)).alias("depleted"),
     )
 
 
-def _depleted(limits: LineLimits) -> Column:
-    left = F.col("n_words") - F.coalesce(F.col("n_removed_words"), F.lit(0))
-    return (F.col("n_words") > 0) & (left < limits.least_left * F.col("n_words"))
+def _judged(docs: DataFrame, host: str, limits: LineLimits) -> DataFrame:
+    """A row per input row: _DOC, base figures, the removed lines, kept. The base figures are written first: were
+    a filter pushed into their computation, Spark would inline its steps."""
+    based = stored(base_columns(_keyed(docs, host)).drop("text"), "quality-base")
+    rows = _joined(based, removals(docs, based, host, limits), _DOC, "left")
+    return rows.withColumns(
+        {
+            "kept": ~F.col("base_failed") & ~F.coalesce("depleted", F.lit(False)),
+            "n_removed_lines": F.coalesce("n_removed_lines", F.lit(0)).cast("long"),
+            "n_removed_words": F.coalesce("n_removed_words", F.lit(0)).cast("long"),
+        }
+    )
 
 
 def report(docs: DataFrame, host: str = "source", limits: LineLimits = LineLimits()) -> DataFrame:
     """One row per document with the base figures, the removed lines and the verdict `kept`."""
-    slim = docs.select("doc_id", F.col(host).alias("source"), "text")
-    based = base_columns(slim).withColumn("__digest", F.xxhash64("text")).drop("text")
-    removed = removals(slim, "source", limits).drop("removed")
-    on = (
-        based["doc_id"].eqNullSafe(removed["__id"])
-        & based["source"].eqNullSafe(removed["__host"])
-        & (based["__digest"] == removed["__text"])
-    )
-    return based.join(removed, on, "left").select(
-        "doc_id",
-        "n_words",
-        "word_chars",
-        "n_symbols",
-        "n_dup_lines",
-        "n_repeat_words",
-        "base_failed",
-        (~F.col("base_failed") & ~_depleted(limits)).alias("kept"),
-        F.coalesce(F.col("n_removed_lines"), F.lit(0)).cast("long").alias("n_removed_lines"),
-        F.coalesce(F.col("n_removed_words"), F.lit(0)).cast("long").alias("n_removed_words"),
-    )
+    figures = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return _judged(docs, host, limits).select(F.col("__id").alias("doc_id"), *figures, "n_removed_lines", "n_removed_words")
 
 
 def clean(docs: DataFrame, host: str = "source", limits: LineLimits = LineLimits()) -> DataFrame:
-    """The kept documents with their columns; frequent lines are cut out of the text.
-
-    The verdicts are written first: were the filter pushed into their computation, Spark would inline its steps.
-    """
-    keys = ["__id", "__host", "__text"]
-    based = base_columns(_keyed(docs, host)).select(*[F.col(k).alias(f"{k}_") for k in keys], "n_words", "base_failed")
-    removed = removals(docs, host, limits)
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"{k}_"))
-    verdicts = based.join(removed, same, "left").drop(*keys)
-    verdicts = stored(verdicts.withColumn("__kept", ~F.col("base_failed") & ~_depleted(limits)), "quality-verdicts")
-    kept = verdicts.where("__kept").dropDuplicates([f"{k}_" for k in keys]).select(*[f"{k}_" for k in keys], F.col("removed").alias("__removed"))
+    """The kept documents with their columns; frequent lines are cut out of the text."""
+    judged = _judged(docs, host, limits).where("kept").dropDuplicates(_DOC)
+    kept = judged.select(*[F.col(c).alias(f"{c}_") for c in _DOC], F.col("removed").alias("__removed"))
     # The input's row travels as one struct, so that its columns cannot clash.
     boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), *_keyed_columns(host))
-    rows = boxed.join(kept, same)
+    rows = boxed.join(kept, [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in _DOC])
     lines = F.filter(
         F.split(F.col("text"), "\n"), lambda x: ~(x.rlike(WORD) & F.array_contains(F.col("__removed"), line_key(x)))
     )
-    text = F.when(F.col("__removed").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
+    text = F.when(F.coalesce(F.size("__removed"), F.lit(0)) <= 0, F.col("text")).otherwise(F.array_join(lines, "\n"))
     rows = rows.withColumn("text", text)
     fields = {c: F.col("__row").getField(c) for c in docs.columns} | {"text": F.col("text")}
     if "n_chars" in fields:

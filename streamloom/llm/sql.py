@@ -14,22 +14,28 @@ k AS (SELECT d.r, doc_id, source, t, len(regexp_extract_all(line, '[^\x20\x09-\x
         translate(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')),
           'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789', 'abcdefghijklmnopqrstuvwxyz0000000000') AS key
       FROM l JOIN d USING (r)),
-host AS (SELECT source, count(DISTINCT t) AS n FROM d GROUP BY source),
-f AS (SELECT c.* FROM (SELECT source, key, count(DISTINCT t) AS n, min(doc_id) AS keeper FROM k GROUP BY source, key) c
-      JOIN host ON host.source IS NOT DISTINCT FROM c.source WHERE c.n > 20 AND c.n > 0.02 * host.n),
-gone AS (SELECT r, count(*) AS lines, sum(k.n) AS words FROM k JOIN f
-         ON k.key = f.key AND k.source IS NOT DISTINCT FROM f.source
-         WHERE k.doc_id IS DISTINCT FROM keeper GROUP BY r),
+nw AS (SELECT d.r, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS words, coalesce(rep.n, 0) AS rep FROM d LEFT JOIN rep USING (r)),
+bad AS (SELECT r, words, (words < 50 OR 100 * rep > 50 * words) AS failed FROM nw),
+f AS (SELECT source, key FROM k GROUP BY source, key HAVING count(DISTINCT doc_id) > 20),
+hit AS (SELECT k.r, k.doc_id, k.source, k.key, k.n, failed, words
+        FROM k JOIN f ON k.key = f.key AND k.source IS NOT DISTINCT FROM f.source JOIN bad ON bad.r = k.r),
+k1 AS (SELECT *, min(doc_id) FILTER (WHERE NOT failed) OVER (PARTITION BY source, key) AS keeper FROM hit),
+thin AS (SELECT r FROM k1 WHERE doc_id IS DISTINCT FROM keeper GROUP BY r HAVING any_value(words) - sum(n) < 0.3 * any_value(words)),
+k2 AS (SELECT *, coalesce(min(doc_id) FILTER (WHERE NOT failed AND r NOT IN (SELECT r FROM thin)) OVER (PARTITION BY source, key),
+        keeper) AS second FROM k1),
+gone AS (SELECT r, count(*) AS lines, sum(n) AS words FROM k2 WHERE doc_id IS DISTINCT FROM second GROUP BY r),
+saved AS (SELECT DISTINCT r FROM k2 WHERE doc_id = second AND NOT failed),
 s AS (SELECT d.doc_id, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+'))::BIGINT AS n_words,
         length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
         (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
         coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
-        coalesce(gone.lines, 0)::BIGINT AS n_removed_lines, coalesce(gone.words, 0)::BIGINT AS n_removed_words
+        coalesce(gone.lines, 0)::BIGINT AS n_removed_lines, coalesce(gone.words, 0)::BIGINT AS n_removed_words,
+        (d.r IN (SELECT r FROM thin) AND d.r NOT IN (SELECT r FROM saved)) AS depleted
       FROM d LEFT JOIN dup USING (r) LEFT JOIN rep USING (r) LEFT JOIN gone USING (r))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)
-    AND NOT (n_words > 0 AND n_words - n_removed_words < 0.3 * n_words) AS kept,
+    AND NOT depleted AS kept,
   n_removed_lines, n_removed_words
 FROM s"""
 

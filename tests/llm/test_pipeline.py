@@ -13,7 +13,7 @@ from tests.llm.test_tokens import check_packing
 
 
 def plain_quality(rows):
-    """Base rules and lines carried by more than 20 texts and 2 % of a source's texts."""
+    """Base rules, lines carried by more than 20 documents of a source, keepers among documents that pass."""
 
     def words(text):
         for blank in "\t\n\x0b\x0c\r":
@@ -23,27 +23,34 @@ def plain_quality(rows):
     def key(line):
         return "".join("0" if c in "0123456789" else c.lower() if "A" <= c <= "Z" else c for c in " ".join(words(line)))
 
-    carriers, hosts = {}, {}
-    for r in rows:
-        hosts.setdefault(r["source"], set()).add(r["text"])
-        for line in set(map(key, (r["text"] or "").split("\n"))) - {""}:
-            carriers.setdefault((r["source"], line), []).append((r["text"], r["doc_id"]))
-    gone = {
-        k: min(d for _, d in v)
-        for k, v in carriers.items()
-        if len({t for t, _ in v}) > max(20, 0.02 * len(hosts[k[0]]))
-    }
-    out = {}
-    for r in rows:
+    def passes(r):
         w = words(r["text"] or "")
         seen = Counter(zip(w, w[1:], w[2:]))
         repeated = {i + k for i in range(len(w) - 2) if seen[tuple(w[i : i + 3])] > 1 for k in range(3)}
-        lines = (r["text"] or "").split("\n")
-        cut = [gone.get((r["source"], key(x)), r["doc_id"]) != r["doc_id"] for x in lines]
-        left = len(w) - sum(len(words(x)) for x, c in zip(lines, cut) if c)
-        if len(w) >= 50 and 100 * len(repeated) <= 50 * len(w) and left >= 0.3 * len(w):
-            out[r["doc_id"]] = "\n".join(x for x, c in zip(lines, cut) if not c)
-    return out
+        return len(w) >= 50 and 100 * len(repeated) <= 50 * len(w)
+
+    ok = {r["doc_id"] for r in rows if passes(r)}
+    lines = {r["doc_id"]: (r["text"] or "").split("\n") for r in rows}
+    carriers = {}
+    for r in rows:
+        for line in set(map(key, lines[r["doc_id"]])) - {""}:
+            carriers.setdefault((r["source"], line), set()).add(r["doc_id"])
+    carriers = {k: v for k, v in carriers.items() if len(v) > 20}
+
+    def kept_lines(r, keepers):
+        own = {(r["source"], key(x)) for x in lines[r["doc_id"]]} & carriers.keys()
+        gone = {k for k in own if keepers.get(k) != r["doc_id"]}
+        return [x for x in lines[r["doc_id"]] if (r["source"], key(x)) not in gone]
+
+    first = {k: min(v & ok) for k, v in carriers.items() if v & ok}
+    thin = set()
+    for r in rows:
+        left = sum(len(words(x)) for x in kept_lines(r, first))
+        if left < 0.3 * len(words(r["text"] or "")):
+            thin.add(r["doc_id"])
+    second = {k: min((v & ok) - thin or v & ok) for k, v in carriers.items() if v & ok}
+    stay = ok - thin | ok & set(second.values())
+    return {r["doc_id"]: "\n".join(kept_lines(r, second)) for r in rows if r["doc_id"] in stay}
 
 
 def test_stages_in_order(spark, tmp_path):
