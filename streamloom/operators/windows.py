@@ -220,9 +220,11 @@ def shuffled_batches(
     wanted = placed.select(
         *[col(k) for k in keys], "state group", "batch group", "lane", "steps", "plan start"
     )
-    plan = spread_join(
-        refs.drop("state windows"), wanted, [*keys, "state group"], F.col("`window number`")
-    )
+    refs, on = refs.drop("state windows"), [*keys, "state group"]
+    if run == -1:
+        plan = spread_join(refs, wanted, on, F.col("`window number`"))
+    else:  # a state group has exactly `run` windows, so no key is hot
+        plan = key_join(refs, wanted, on)
     return (
         plan.filter(F.col("step") < F.col("steps"))
         .withColumn("plan index", F.col("`plan start`") + F.col("step"))
