@@ -404,8 +404,11 @@ def stream_reordered(spark, d):
     file = F.when(last, 6).otherwise(F.least(F.col("part") + (F.col("event_id") % 7 == 2).cast("int"), F.lit(5)))
     rows = rows.select("user_id", "event_id", "t", F.timestamp_seconds("t").alias("at"), file.alias("file"))
     folder = f"{checkpoint_dir(spark).rstrip('/')}/arrival-{uuid.uuid4().hex}"
+    staged = f"{checkpoint_dir(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
+    rows.write.partitionBy("file").parquet(staged)  # the events are read once, not once a file
     for k in range(7):  # files are taken in the order of their writing
-        rows.where(F.col("file") == k).drop("file").coalesce(1).write.mode("append").parquet(f"{folder}/{k}")
+        part = spark.read.schema("user_id long, event_id long, t double, at timestamp, file int").parquet(staged)
+        part.where(F.col("file") == k).drop("file").coalesce(1).write.mode("append").parquet(f"{folder}/{k}")
     stream = spark.readStream.schema("user_id long, event_id long, t double, at timestamp")
     stream = stream.option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
     before = spark.conf.get(PROVIDER[0], None)

@@ -188,3 +188,27 @@ def test_ended_keys_late_rows_and_missing_times(spark, tmp_path):
     assert rows["b", 0] == (0.0, 40.0, None)
     # The key that came back is a stream of its own; it has ended too.
     assert rows["a", 7][0] == 190.0 and rows["a", 7][2] == "end of stream"
+
+
+def test_many_keys_share_few_states(spark, tmp_path):
+    """Keys of one bucket are one state and do not see each other; a null among whole numbers leaves the others exact."""
+    big = 2**60
+    keys = [None, *[big + k for k in range(40)]]
+    rows = [(k, float(i), big + i if (n + i) % 5 else None) for n, k in enumerate(keys) for i in range(12)]
+    spark.conf.set(*PROVIDER)
+    for part in range(2):  # the second file brings what is left of every key, in another order
+        chosen = [r for r in rows if (r[1] < 6) == (part == 0)][:: 1 - 2 * part]
+        df = spark.createDataFrame(chosen, "cell long, `Time [s]` double, seq long").withColumn("ts", F.timestamp_seconds(F.col("`Time [s]`") + 1000))
+        df.coalesce(1).write.parquet(f"{tmp_path}/in/part={part}")
+    schema = "cell long, `Time [s]` double, seq long, ts timestamp"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    out = reordered_time_check(stream, ["cell"], TimeCheck("Time [s]", "dt", 5.0), "ts", ["seq"], 2.0, buckets=3)
+    assert out.columns[:4] == ["cell", "Time [s]", "seq", "ts"]
+    writer = out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state")
+    query = writer.trigger(availableNow=True).start()
+    query.awaitTermination()
+    spark.conf.unset(PROVIDER[0])
+    # Heads, keys, the timer and the waiting rows of three buckets, whatever the number of keys.
+    assert 0 < query.lastProgress["stateOperators"][0]["numRowsTotal"] < len(keys)
+    got = sorted((str(r["cell"]), r["Time [s]"], str(r["seq"]), r["dt"]) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == sorted((str(k), t, str(s), 1.0) for k, t, s in rows if t < 9.0)
