@@ -163,12 +163,16 @@ class OrderedFrame:
         """
         bound = max_rows or max_chunk_rows(df.sparkSession)
         base = cls(df, tuple(key), axis, tuple(ties), split=False)
-        cuts = {} if longest is not None and longest <= bound else _find_cuts(base, bound)
-        if not cuts:
+        cuts = None if longest is not None and longest <= bound else _find_cuts(base, bound)
+        if cuts is None:
             return base
         placed = df.withColumns({CHUNK: _chunk_column(base, cuts), PART: _cut_inputs(base)[0]})
-        # One exchange; every later window and carry join of this frame keeps it.
-        return replace(base, df=placed.repartition(PART, CHUNK), split=True)
+        # Rows are dealt and sorted once and kept so: every scan reads them several times, and what is written here
+        # need not be scanned, numbered, exchanged and sorted again for each window and carry.
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = replace(base, df=placed.repartition(parts, PART, CHUNK), split=True)
+        sorted_rows = dealt.df.sortWithinPartitions(*[col(g) for g in dealt._group], *dealt._order)
+        return replace(dealt, df=_kept_in_place(sorted_rows))
 
     @property
     def _order(self) -> list[Column]:
@@ -264,6 +268,18 @@ class OrderedFrame:
         return same
 
 
+def _kept_in_place(df: DataFrame) -> DataFrame:
+    """Checkpoint that still counts as dealt and sorted; of a plan that adapts while it runs, Spark forgets both."""
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return df.checkpoint()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def _local(scan: Scan, w) -> Column:
     so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     match scan.kind:
@@ -393,24 +409,37 @@ def _cut_inputs(frame: OrderedFrame) -> tuple[Column, Column, Column]:
     return key_hash, axis, F.coalesce(col(tie).cast("long"), lowest) if tie else F.lit(0).cast("long")
 
 
-def _find_cuts(frame: OrderedFrame, bound: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Cut points of every key with more than `bound` rows; empty when there is none.
+@dataclass(frozen=True)
+class Cuts:
+    """Cut points of all long keys, flat: those of `keys[i]` are at `starts[i]` to `starts[i + 1]`, in their order."""
+
+    keys: np.ndarray
+    starts: np.ndarray
+    axis: np.ndarray
+    tie: np.ndarray
+
+    @classmethod
+    def of(cls, points: pd.DataFrame) -> Cuts:
+        ordered = points.sort_values(["h", "a", "t"])
+        keys, first = np.unique(ordered["h"].to_numpy(), return_index=True)
+        return cls(keys, np.append(first, len(ordered)), ordered["a"].to_numpy(), ordered["t"].to_numpy())
+
+
+def _find_cuts(frame: OrderedFrame, bound: int) -> Cuts | None:
+    """Cut points of every key with more than `bound` rows; none when there is no such key.
 
-    The driver receives only key counts above the bound and at most about `_MAX_CUTS` cuts.
+    The driver receives only key counts above the bound and at most about `_MAX_CUTS` cuts, as arrays.
     """
+    spark = frame.df.sparkSession
     key_hash, axis, tie = _cut_inputs(frame)
     points = frame.df.select(key_hash.alias("h"), axis.alias("a"), tie.alias("t"))
-    long_keys = [
-        (r["h"], r["count"])
-        for r in points.groupBy("h").count().filter(F.col("count") > bound).collect()
-    ]
-    if not long_keys:
-        return {}
-    rows = max(bound, sum(n for _, n in long_keys) // _MAX_CUTS)
+    long_keys = points.groupBy("h").count().filter(F.col("count") > bound).toPandas()
+    if long_keys.empty:
+        return None
+    rows = max(bound, int(long_keys["count"].sum()) // _MAX_CUTS)
     one_in = max(1, rows // _SAMPLES_PER_CHUNK)
     every = max(1, rows // one_in)
-    schema = "h long, rows long"
-    wanted = F.broadcast(frame.df.sparkSession.createDataFrame(long_keys, schema))
+    wanted = F.broadcast(spark.createDataFrame(long_keys[["h"]], "h long"))
     # A hash of the row's own order values picks the sample, so retries pick the same rows.
     # Repeated order values count once: they fall on one side of a cut anyway.
     sample = (
@@ -420,37 +449,36 @@ def _find_cuts(frame: OrderedFrame, bound: int) -> dict[int, tuple[np.ndarray, n
     )
     rank = F.row_number().over(Window.partitionBy("h").orderBy("a", "t"))
     picked = sample.withColumn("r", rank).filter(F.col("r") % every == 0)
-    pdf = picked.select("h", "a", "t").toPandas().sort_values(["h", "a", "t"])
-    return {
-        int(h): (g["a"].to_numpy(), g["t"].to_numpy()) for h, g in pdf.groupby("h", sort=False)
-    }
+    return Cuts.of(picked.select("h", "a", "t").toPandas())
 
 
-def _chunk_column(frame: OrderedFrame, cuts: dict[int, tuple[np.ndarray, np.ndarray]]) -> Column:
+def _chunk_column(frame: OrderedFrame, cuts: Cuts) -> Column:
     """Number of cuts at or before the row: non-decreasing along the order of any key."""
-    shared = frame.df.sparkSession.sparkContext.broadcast(cuts)
+    shared = frame.df.sparkSession.sparkContext.broadcast((cuts.keys, cuts.starts, cuts.axis, cuts.tie))
     key_hash, axis, tie = _cut_inputs(frame)
 
     @F.pandas_udf("int")
     def chunk_of(h: pd.Series, a: pd.Series, t: pd.Series) -> pd.Series:
-        return pd.Series(chunk_numbers(h.to_numpy(), a.to_numpy(), t.to_numpy(), shared.value))
+        return pd.Series(chunk_numbers(h.to_numpy(), a.to_numpy(), t.to_numpy(), *shared.value))
 
     return chunk_of(key_hash, axis, tie)
 
 
 def chunk_numbers(
-    h: np.ndarray, a: np.ndarray, t: np.ndarray, cuts: dict[int, tuple[np.ndarray, np.ndarray]]
+    h: np.ndarray, a: np.ndarray, t: np.ndarray, keys: np.ndarray, starts: np.ndarray, axis: np.ndarray, tie: np.ndarray
 ) -> np.ndarray:
-    out = np.zeros(len(h), dtype=np.int32)
-    for key in np.unique(h[np.isin(h, np.fromiter(cuts, dtype=np.int64))]):
-        rows = np.flatnonzero(h == key)
-        cut_a, cut_t = cuts[int(key)]
-        low = np.searchsorted(cut_a, a[rows], side="left")
-        high = np.searchsorted(cut_a, a[rows], side="right")
-        number = high.copy()
-        tied = high > low
-        for lo, hi in {(int(x), int(y)) for x, y in zip(low[tied], high[tied], strict=True)}:
-            same = tied & (low == lo) & (high == hi)
-            number[same] = lo + np.searchsorted(cut_t[lo:hi], t[rows[same]], side="right")
-        out[rows] = number
-    return out
+    """For every row the cuts of its key at or before (axis, tie), by one binary search for all rows; NaN is the largest axis."""
+    if not len(keys):
+        return np.zeros(len(h), dtype=np.int32)
+    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+    first = starts[at]
+    low, high = first.copy(), np.where(keys[at] == h, starts[at + 1], first)
+    while (searching := np.flatnonzero(low < high)).size:
+        mid = (low[searching] + high[searching]) // 2
+        cut, row = axis[mid], a[searching]
+        odd_cut, odd_row = cut != cut, row != row
+        same = (cut == row) | (odd_cut & odd_row)
+        passed = (cut < row) | (odd_row & ~odd_cut) | (same & (tie[mid] <= t[searching]))
+        low[searching[passed]] = mid[passed] + 1
+        high[searching[~passed]] = mid[~passed]
+    return (low - first).astype(np.int32)

@@ -118,3 +118,24 @@ def test_running_sums_have_equal_bits_whole_and_cut(spark):
             exact = math.fsum(vs[: i + 1]) if np.isfinite(vs[: i + 1]).all() else sum(vs[: i + 1])
             assert float.fromhex(sums[40][k, i]) == pytest.approx(exact, rel=1e-15, abs=0, nan_ok=True)
     assert sums[40]["tenth", 5000] == sums[40]["tenth", 1999] == (200.0).hex()
+
+
+def test_cut_streams_are_numbered_dealt_and_sorted_once(events):
+    """What a scan adds to the plan reads the rows where they lie: no second numbering, exchange or sort of them."""
+    frame = o.OrderedFrame.of(events, ["user_id"], "value", ["event_id"], max_rows=4)
+    plan = frame._scan({"p": o.position()}).df._jdf.queryExecution().sparkPlan().toString()
+    assert frame.split and "Python" not in plan
+    placed = frame.df.withColumn("n", F.row_number().over(frame.window))
+    plan = placed._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort " not in plan
+
+
+def test_chunk_numbers_of_many_keys():
+    rng = np.random.default_rng(5)
+    axis = [-np.inf, 1.0, 2.0, np.inf, np.nan]
+    cut = sorted({(int(h), int(a), int(t)) for h, a, t in zip(*(rng.integers(0, n, 900) for n in (60, 5, 9)), strict=True)})
+    h, a, t = (rng.integers(low, high, 2000) for low, high in ((-1, 62), (0, 5), (-1, 10)))
+    table = o.pd.DataFrame([(k, axis[x], y) for k, x, y in cut], columns=["h", "a", "t"])
+    cuts = o.Cuts.of(table.sample(frac=1, random_state=1))
+    got = o.chunk_numbers(h, np.array(axis)[a], t, cuts.keys, cuts.starts, cuts.axis, cuts.tie)
+    assert got.tolist() == [sum(k == x[0] and x[1:] <= (y, z) for x in cut) for k, y, z in zip(h, a, t, strict=True)]
