@@ -47,7 +47,7 @@ class DelimitedSource:
         for name in PROTOCOL_RANK:
             paths = [f"{root.rstrip('/')}/{r['path']}" for r in named if r["p"] == name]
             if paths:
-                out[name] = [with_path_metadata(part) for part in read_by_header(spark, paths)]
+                out[name] = read_by_header(spark, paths, describe=with_path_metadata)
         return out
 
 

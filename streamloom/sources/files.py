@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -69,21 +69,27 @@ def _by_signature(files: DataFrame) -> list[list[str]]:
     return list(groups.values())
 
 
-def read_by_header(spark: SparkSession, paths: Sequence[str], separator: str = ",") -> list[DataFrame]:
+def read_by_header(
+    spark: SparkSession,
+    paths: Sequence[str],
+    separator: str = ",",
+    describe: Callable[[DataFrame], DataFrame] = lambda files: files,
+) -> list[DataFrame]:
     """Delimited exports with every column as text, their path and row number: one table for each header.
 
     A scan takes its columns from one file and reads the others by position, so files are first grouped by their first
     line. Large files are read in splits. A row's number is its place in its split plus the rows of the splits before
-    it; rows are written once with their place, as a second scan might be split otherwise.
+    it; rows are written once with their place, as a second scan might be split otherwise. Columns that `describe` adds from the
+    `raw file path` are worked out once a split, not once a row, and replace columns of that name in the file.
     """
     path, start = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
     lines = spark.read.text(list(paths)).where(start == 0).select(path.alias("path"), "value", F.monotonically_increasing_id().alias("at"))
     heads = lines.groupBy("path").agg(F.min_by("value", "at").alias("signature"))
     reader = spark.read.option("header", "true").option("inferSchema", "false").option("sep", separator)
-    return [_numbered(reader.csv(group)) for group in _by_signature(heads)]
+    return [_numbered(reader.csv(group), describe) for group in _by_signature(heads)]
 
 
-def _numbered(raw: DataFrame) -> DataFrame:
+def _numbered(raw: DataFrame, describe: Callable[[DataFrame], DataFrame]) -> DataFrame:
     rows = written(
         raw.withColumns(
             {
@@ -99,7 +105,10 @@ def _numbered(raw: DataFrame) -> DataFrame:
     )
     before = Window.partitionBy("raw file path").orderBy("__split")
     starts = splits.withColumn("__start", F.sum("__n").over(before) - F.col("__n")).drop("__n")
-    numbered = key_join(rows, starts, ["raw file path", "__split"])
+    described = describe(starts)
+    added = [c for c in described.columns if c not in starts.columns]
+    # One row a split: sent to all tasks, so that no file's rows meet in one task, nor are rows sent instead as they pack so small.
+    numbered = key_join(rows.drop(*added), F.broadcast(described), ["raw file path", "__split"])
     return numbered.withColumn(
         FILE_ROW, F.col("__start") + F.col("__seen") - F.col("__first")
     ).drop("__split", "__seen", "__first", "__start")
@@ -153,7 +162,9 @@ def with_ingest_order(rows: DataFrame, files: DataFrame) -> DataFrame:
 
     Both are sums of file sizes and row numbers, so no data row is sorted.
     """
-    joined = key_join(rows, files.select("raw file path", "__file_no", "__start"), ["raw file path"])
+    # One row a file: a shuffled join would put all rows of a file into one task.
+    places = F.broadcast(files.select("raw file path", "__file_no", "__start"))
+    joined = key_join(rows, places, ["raw file path"])
     row = F.col(f"`{FILE_ROW}`")
     return joined.withColumns(
         {

@@ -3,7 +3,15 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from streamloom.sources.files import glob_regex, list_files, read_by_header, read_untyped, with_path_metadata
+from streamloom.sources.files import (
+    glob_regex,
+    list_files,
+    read_by_header,
+    read_untyped,
+    source_files,
+    with_ingest_order,
+    with_path_metadata,
+)
 from streamloom.sources.tables import read_segments, read_table, segment_index, segment_rows, segment_windows, stage_segments
 from streamloom.sources.writers import write_manifest, write_shards, write_table_once, written_segments
 
@@ -120,3 +128,27 @@ def test_many_segments_in_one_file(spark, tmp_path):
     some = spark.createDataFrame([("s3",), ("long",), ("s3",)], "k string")
     rows = stage_segments(spark, str(tmp_path), manifest, some, "segs", ["k"])
     assert {(r["k"], r["stream position"]): r["id"] for r in rows.collect()} == {p: i for p, i in wanted.items() if p[0] in ("s3", "long")}
+
+
+def test_paths_are_read_once_a_split_and_files_stay_spread(spark, tmp_path):
+    """Names are parsed on the list of splits, and neither list is shuffled with the rows, however small Spark may send."""
+    paths = [f"{tmp_path}/Cycling_{n}/V{n}/a_Channel_1.csv" for n in (1, 2)]
+    for path in paths:
+        os.makedirs(os.path.dirname(path))
+        with open(path, "w") as f:
+            f.write("x,cell id\n" + "".join(f"{i},wrong\n" for i in range(30)))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        (rows,) = read_by_header(spark, paths, describe=with_path_metadata)
+        files = source_files(rows, ["cell id", "cycle index"]).checkpoint()
+        placed = with_ingest_order(rows, files)
+        plan = placed._jdf.queryExecution().optimizedPlan().toString()
+        physical = placed._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin" not in physical and physical.count("BroadcastHashJoin") == 2
+        # Nothing with a pattern stands above the join of rows and splits.
+        assert "regexp" not in plan[: plan.rindex("Join ")]
+        got = sorted((r["cell id"], r["cycle index"], int(r["x"]), r["row position"]) for r in placed.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == [(f"V{n}", n, i, i) for n in (1, 2) for i in range(30)]
