@@ -124,7 +124,7 @@ def run_ingest(
         ingest = spec.ingest_spec(name)
         key = ingest.protocol.key_names
         path = f"{stage}/data/{name.casefold()}"
-        write_shards(rows, path, key)
+        write_shards(rows, path, key, rows=rows.count())
         written = spark.read.parquet(path)
         segments = written_segments(spark, output_root, path, key)
         merged = segments.groupBy(C.PROTOCOL.name, *[col(k) for k in key]).agg(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,11 +11,12 @@ from pyspark.sql import functions as F
 from streamloom import columns as C
 from streamloom.columns import SEGMENT, col
 from streamloom.operators.select import CANONICAL_MANIFEST
-from streamloom.session import DEFAULT_CHUNK_ROWS
 from streamloom.sources.files import list_files
 from streamloom.sources.tables import FILE, ROW_INDEX, with_row_source
 
 _PIECE = "__piece"
+#: Rows of a stream that are shuffled, sorted and written on end.
+PIECE_ROWS = 250_000
 
 
 def write_shards(
@@ -24,17 +26,21 @@ def write_shards(
     mode: str = "overwrite",
     max_records_per_file: int = 20_000_000,
     row_group_bytes: int = 128 * 1024 * 1024,
-    piece_rows: int = DEFAULT_CHUNK_ROWS,
+    piece_rows: int = PIECE_ROWS,
+    rows: int | None = None,
 ) -> None:
     """Write rows (with `row position`) partitioned by protocol and clustered by stream.
 
     Streams are cut into pieces of `piece_rows`, and pieces are what the shuffle distributes:
-    a long stream spreads over many files, a short one stays in one.
+    a long stream spreads over many files, a short one stays in one. There are as many tasks as shuffle partitions, or as pieces
+    where the caller knows the number of `rows`, so what a task sorts does not grow with the table. Spark itself would put
+    tasks together by their compressed bytes, a small part of what rows take when sorted.
     """
     position = col(C.ROW_POSITION.name)
     pieces = df.withColumn(_PIECE, F.floor(position / piece_rows))
     order = [C.PROTOCOL.name, *key]
-    clustered = pieces.repartition(*[col(c) for c in order], _PIECE).sortWithinPartitions(
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil((rows or 0) / piece_rows))
+    clustered = pieces.repartition(tasks, *[col(c) for c in order], _PIECE).sortWithinPartitions(
         *[col(c) for c in order], _PIECE, position
     )
     (
@@ -53,7 +59,7 @@ def written_segments(
     root: str,
     path: str,
     key: Sequence[str],
-    piece_rows: int = DEFAULT_CHUNK_ROWS,
+    piece_rows: int = PIECE_ROWS,
 ) -> DataFrame:
     """Segments of a table written by `write_shards`: per stream, file and piece one row range."""
     data = with_row_source(spark.read.parquet(path), root)

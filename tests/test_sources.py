@@ -152,3 +152,21 @@ def test_paths_are_read_once_a_split_and_files_stay_spread(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert got == [(f"V{n}", n, i, i) for n in (1, 2) for i in range(30)]
+
+
+def test_a_task_sorts_few_pieces(spark, tmp_path):
+    """Small pieces are not put together again, though they would fit one task by their compressed bytes."""
+    rows = spark.range(4000).selectExpr("'cycling' AS protocol", "'a' AS cell", "id AS `row position`")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        write_shards(rows, f"{tmp_path}/s", ["cell"], piece_rows=100)
+        segments = written_segments(spark, str(tmp_path), f"{tmp_path}/s", ["cell"], piece_rows=100)
+        files = [r[0] for r in spark.read.parquet(f"{tmp_path}/s").groupBy("_metadata.file_path").count().select("count").collect()]
+        assert len(files) > 8 and max(files) <= 1000 and sum(files) == 4000
+        assert segments.count() == 40 and segments.agg({"row count": "max"}).first()[0] == 100
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+        write_shards(rows, f"{tmp_path}/known", ["cell"], piece_rows=100, rows=4000)
+        assert len(spark.read.parquet(f"{tmp_path}/known").inputFiles()) > 16
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
