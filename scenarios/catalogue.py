@@ -97,17 +97,29 @@ def path_metadata(spark, d):
     return named.withColumn("cycle index", F.coalesce(col("cycle index"), F.lit(-1).cast("long")))
 
 
+# The file order read off the path itself; pages that share an address follow one another by their number.
+ORDERED_PATHS = rf"""(SELECT *, regexp_replace(regexp_extract(path, '([^/]+)$', 1), '\.[^.]*$', '') AS stem,
+    regexp_extract(path, '(?:^|/)(Cycling|Diag)_(\d+)(?:/|$)', 1) AS folder,
+    try_cast(regexp_extract(path, '(?:^|/)(Cycling|Diag)_(\d+)(?:/|$)', 2) AS BIGINT) AS no,
+    CASE WHEN path LIKE '%EIS%' THEN 3 WHEN path LIKE '%HPPC%' THEN 1 WHEN path LIKE '%Diag%' THEN 2
+      WHEN path LIKE '%Cycling%' THEN 0 ELSE 99 END AS r FROM {PATHS})"""
+
+
 @query(
     "s9_source_order",
-    f"""SELECT page_id, row_number() OVER (ORDER BY r, c NULLS FIRST, cell NULLS FIRST, soc, part, ch, path) AS place FROM (
-      SELECT *, CASE protocol WHEN 'cycling' THEN 0 WHEN 'HPPC' THEN 1 WHEN 'RPT' THEN 2 WHEN 'EIS' THEN 3 ELSE 99 END AS r,
-        "cycle index" AS c, "cell id" AS cell, coalesce("SOC [%]", -1) AS soc,
-        CASE page_id % 5 WHEN 0 THEN 2 ELSE 0 END AS part,
-        CASE page_id % 5 WHEN 0 THEN page_id % 7 WHEN 1 THEN page_id % 4 WHEN 2 THEN page_id WHEN 3 THEN 2 ELSE 0 END AS ch
-      FROM ({PATH_META}))""",
+    rf"""SELECT page_id, row_number() OVER (ORDER BY r, c NULLS FIRST, cell NULLS FIRST, soc, part, ch, path NULLS FIRST, page_id) AS place
+      FROM (SELECT page_id, path, r,
+        CASE folder WHEN 'Cycling' THEN no WHEN 'Diag' THEN no - 1
+          ELSE try_cast(regexp_extract(stem, '(?:Cycling|Diag|HPPC)_(\d+)', 1) AS BIGINT) END AS c,
+        CASE folder WHEN 'Cycling' THEN nullif(regexp_extract(path, '(?:^|/)Cycling_\d+/([A-Za-z]\d+)(?:/|$)', 1), '')
+          ELSE [x FOR x IN string_split(string_split(stem, '_Channel_')[1], '_') IF regexp_full_match(x, '[A-Za-z]\d+')][-1] END AS cell,
+        coalesce(CASE WHEN r = 3 THEN try_cast(regexp_extract(path, '(?:SOC|EIS)(\d+(?:\.\d+)?)', 1) AS DOUBLE) END, -1) AS soc,
+        coalesce(try_cast(regexp_extract(stem, '^.*?Part(\d+)(?:_|Part|$)', 1) AS BIGINT), 0) AS part,
+        coalesce(try_cast(coalesce(nullif(regexp_extract(stem, '\.(\d+)$', 1), ''), regexp_extract(stem, '_(\d+)$', 1)) AS BIGINT), 0) AS ch
+      FROM {ORDERED_PATHS})""",
 )
 def file_order(spark, d):
-    """All paths; those that name no protocol or cycle have a place too."""
+    """All paths; those that name no protocol or cycle have a place too, equal ones by their page."""
     named = with_path_metadata(raw_paths(spark, d), "path", strict=False)
     return (
         named.withColumn("o", source_order("path"))
@@ -121,7 +133,7 @@ def _ranked(df):
     from streamloom.operators.ranking import total_order_position
 
     flat = df.select("page_id", "o.*")
-    order = ["protocol", "cycle", "cell", "soc", "part", "channel", "path"]
+    order = ["protocol", "cycle", "cell", "soc", "part", "channel", "path", "page_id"]
     return total_order_position(flat, order, "place").withColumn("place", F.col("place") + 1)
 
 

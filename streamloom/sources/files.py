@@ -287,7 +287,7 @@ def source_order(path_column: str = "raw file path") -> Column:
         .when(col(C.PROTOCOL.name) == "EIS", 3)
         .otherwise(99)
     )
-    number = lambda text: F.coalesce(text.try_cast("int"), F.lit(0))
+    number = lambda text: F.coalesce(text.try_cast("long"), F.lit(0).cast("long"))
     part = number(F.regexp_extract(stem, r"^.*?Part(\d+)(?=_|Part|$)", 1))
     after_dot = F.regexp_extract(stem, r"\.(\d+)$", 1)
     channel = number(F.when(after_dot != "", after_dot).otherwise(F.regexp_extract(stem, r"_(\d+)$", 1)))

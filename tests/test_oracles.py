@@ -54,3 +54,21 @@ def test_entry(spark):
     df = driver.entry(spark)
     assert df.columns == ["user_id", "event_id", "reasons"]
     assert not df.isEmpty()
+
+
+def test_source_order_of_repeated_and_odd_paths(spark, tmp_path):
+    """Equal addresses, addresses that say something, large numbers and a missing address have one place each, as in the SQL."""
+    urls = ["https://x.org/a#top", "http://y.org/Cycling_3/A1/run_Part4_9.html", "http://y.org/t_B2_C3_Channel_7.html", "z_9/", None]
+    pages = [(k * 5 + 4 - 5 * 40, urls[k % len(urls)]) for k in range(80)] + [(10 * 2**31 + k, "u") for k in range(40)]
+    spark.createDataFrame(pages, "page_id long, url string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    cursor = con.execute(ORACLES["s9_source_order"])
+    columns = [c[0] for c in cursor.description]
+    want = rows(columns, cursor.fetchall())
+    got = QUERIES["s9_source_order"](spark, str(tmp_path))
+    assert rows(got.columns, got.collect()) == want and len(want) == 120
+    # The tables' own order decides nothing: equal paths follow their page.
+    place = {r["page_id"]: r["place"] for r in got.collect()}
+    top = [p for p, u in pages if u == urls[0]]
+    assert [place[p] for p in sorted(top)] == sorted(place[p] for p in top)
