@@ -77,38 +77,53 @@ def _hypergeometric(rng, good: int, bad: int, n: int) -> int:
     return max(n - bad, 0, min(x, good, n))
 
 
+#: Levels of the tree that one task walks below a node before the nodes are dealt out again.
+LEVELS = 8
+
+
+def leaves(nodes: DataFrame, shards: int, seed: int = 0) -> DataFrame:
+    """The nodes of one shard below the root. Nodes are dealt out every `LEVELS` levels and one Python step walks the levels
+    between, so a task has one Python worker, however deep the tree is."""
+
+    def descend(levels: int):
+        def halve(frames):
+            for frame in frames:
+                out = [(int(node), int(first), int(n), [int(x) for x in q]) for node, first, n, q in frame.itertuples(index=False)]
+                for _ in range(levels):
+                    out = [half for node in out for half in _halves(*node, seed)]
+                yield pd.DataFrame(out, columns=["node", "first", "n", "quotas"])
+
+        return halve
+
+    depth = max(0, (shards - 1).bit_length())
+    for top in range(0, depth, LEVELS):
+        nodes = nodes.repartition("node") if top else nodes
+        nodes = nodes.mapInPandas(descend(min(LEVELS, depth - top)), "node long, first long, n long, quotas array<long>")
+    return nodes
+
+
+def _halves(node: int, first: int, n: int, q: list[int], seed: int) -> list[tuple[int, int, int, list[int]]]:
+    if n == 1 or not q:
+        return [(node, first, n, q)]
+    half, total = n // 2, sum(q)
+    # Shards differ by at most one block in all: the first total % shards of them hold one more.
+    left = _split(q, (total // n) * half + min(half, total % n), node, seed)
+    return [(2 * node, first, half, left), (2 * node + 1, first + half, n - half, [a - b for a, b in zip(q, left)])]
+
+
 def shares(quotas: DataFrame, shards: int, seed: int = 0) -> DataFrame:
     """(source, shard, lo, hi): the range of a source's draws that go to a shard, from (source, quota) rows.
 
     The tree is walked level by level. A node is one row with the list of its quotas (one number per source, in a
-    fixed order), so a task holds as many numbers as there are sources, whatever the amount of data.
+    fixed order), and a task works on the nodes below one of them, at most 2^LEVELS.
     """
     named = quotas.withColumn("place", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
     listed = F.transform(F.sort_array(F.collect_list(F.struct("place", "quota"))), lambda s: s["quota"])
-    nodes = named.agg(listed.alias("quotas")).select(
+    root = named.agg(listed.alias("quotas")).select(
         F.lit(1).cast("long").alias("node"), F.lit(0).cast("long").alias("first"), F.lit(shards).cast("long").alias("n"), "quotas"
     )
-    schema = "node long, first long, n long, quotas array<long>"
-
-    def halve(frames):
-        for frame in frames:
-            out = []
-            for node, first, n, q in frame.itertuples(index=False):
-                q = [int(x) for x in q]
-                if n == 1 or not q:
-                    out.append((node, first, n, q))
-                    continue
-                half, total = n // 2, sum(q)
-                # Shards differ by at most one block in all: the first total % shards of them hold one more.
-                sizes = lambda a, b: (total // n) * (b - a) + max(0, min(b, total % n) - min(a, total % n))
-                left = _split(q, sizes(0, half), int(node), seed)
-                out += [(2 * node, first, half, left), (2 * node + 1, first + half, n - half, [a - b for a, b in zip(q, left)])]
-            yield pd.DataFrame(out, columns=["node", "first", "n", "quotas"])
-
-    for _ in range(max(0, (shards - 1).bit_length())):
-        nodes = nodes.mapInPandas(halve, schema)
-    leaves = stored(nodes.select("first", "quotas"), "mix-tree")
-    rows = leaves.select(F.col("first").alias("shard"), F.posexplode("quotas").alias("place", "blocks"))
+    tree = stored(leaves(root, shards, seed).select("first", "quotas"), "mix-tree")
+    rows = tree.select(F.col("first").alias("shard"), F.posexplode("quotas").alias("place", "blocks"))
     past = Window.partitionBy("place").orderBy("shard")
     placed = rows.withColumn("hi", F.sum("blocks").over(past)).withColumn("lo", F.col("hi") - F.col("blocks")).where("blocks > 0")
     return placed.join(named.select("place", "source"), "place").select("source", "shard", "lo", "hi")

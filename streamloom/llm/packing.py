@@ -27,6 +27,8 @@ from streamloom.llm.common import ranked, shuffled_order, stored
 
 CAPACITY = 4096
 END_ID = 1
+#: Documents that a Python worker holds at once.
+BATCH_ROWS = 1_000
 
 
 @dataclass(frozen=True)
@@ -165,4 +167,4 @@ def packed(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def report(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     cut = pieces(docs, vocabulary or tokens.vocabulary("word_bpe_49k.json"))
-    return packed(stored(cut, "packing-pieces"))
+    return packed(stored(cut, "packing-pieces", batch_rows=BATCH_ROWS))

@@ -34,6 +34,24 @@ def test_shares_are_exact_and_disjoint(spark):
     assert sorted(map(repr, got)) == sorted(map(repr, again))
 
 
+def test_tree_has_one_python_step_a_stage(spark):
+    root = spark.createDataFrame([(1, 0, 600, [100_000, 777, 3])], "node long, first long, n long, quotas array<long>")
+    stages = mixing.leaves(root, 600, 5)._jdf.queryExecution().executedPlan().toString().split("Exchange")
+    assert [s.count("MapInPandas") for s in stages] == [1, 1]
+    assert mixing.leaves(root, 256, 5)._jdf.queryExecution().executedPlan().toString().count("MapInPandas") == 1
+
+    def plain(node, first, n, quotas):
+        if n == 1:
+            return [(first, quotas)]
+        half, total = n // 2, sum(quotas)
+        left = mixing._split(quotas, sum(total // n + (i < total % n) for i in range(half)), node, 5)
+        right = [a - b for a, b in zip(quotas, left)]
+        return plain(2 * node, first, half, left) + plain(2 * node + 1, first + half, n - half, right)
+
+    got = sorted((r["first"], r["quotas"]) for r in mixing.leaves(root, 600, 5).collect())
+    assert got == plain(1, 0, 600, [100_000, 777, 3])
+
+
 def test_split_follows_the_hypergeometric_law():
     draws = np.array([mixing._split([60, 30, 10], 50, node, 0) for node in range(4000)])
     assert (draws.sum(1) == 50).all() and np.allclose(draws.mean(0), [30, 15, 5], atol=0.3)

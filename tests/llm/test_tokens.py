@@ -7,6 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from streamloom.llm import packing, repair, tokens
+from streamloom.llm.common import stored
 from tests.llm.helpers import ODD_TEXTS, documents, empty_documents, odd_documents
 
 TRICKY = ["a  b", "a \nb", "a\n b", "it's a 'test' don't  we'll", " x  y", "İ ΣΑΣ ς ' s", "<|endoftext|> x", "a<|endoftext|>b c", " <|startoftext|> d", "<|ENDOFTEXT|> <|endoftext", "é é ́x", "a\x00 b", "12 34,5 6.", "\n\n a", "tab\t x", "end ", "x</w> y", "a\xa0 b c"]
@@ -129,3 +130,13 @@ def test_grammar_is_whole():
         assert (repair.expand(g.sequence, g) == ids).all() and left_over(g) < 2
     g = repair.compress(twice, 50257)
     assert len(g.sequence) <= 4 and g.expansions.max() == 4000
+
+
+def test_packing_hands_few_texts_to_python_at_once(spark):
+    docs = spark.range(2_500).coalesce(1).selectExpr("id AS doc_id", "'a text' AS text")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows = docs.mapInPandas(lambda frames: (f.iloc[:1].assign(doc_id=len(f)) for f in frames), "doc_id long, text string")
+    sizes = sorted(r["doc_id"] for r in stored(rows, "batches", batch_rows=packing.BATCH_ROWS).collect())
+    assert sizes == [500, 1_000, 1_000]
+    assert packing.report(docs).count() == 2_500
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
