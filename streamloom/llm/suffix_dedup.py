@@ -7,13 +7,16 @@ A byte goes if a string of `window` bytes that covers it also starts in a docume
    document only are dropped: they occur nowhere else. Each takes one shuffle of a row per value and document; values
    met in several documents go into a Bloom filter of fixed size. Where a filter errs, or is too small for the data,
    more text goes on to the next step, and the result is the same.
-2. Stretches. Consecutive windows left with one anchor form a stretch of text. Equal stretches become one row with their
-   smallest doc_id, before and after the shuffle. Stretches are dealt out by anchor; for an anchor with very many
-   different stretches single windows are compared instead, summed up before and after a shuffle by their bytes.
+2. Stretches. Consecutive windows left with one anchor form a stretch of text, named by its anchor and a digest. Equal
+   stretches take one another's windows by name alone, each from the smallest doc_id that holds it. Text is fetched only
+   for anchors with different stretches (a third filter): equal ones become one row, before and after the shuffle, and
+   are dealt out by anchor; for an anchor with very many different stretches single windows are compared instead, summed
+   up before and after a shuffle by their bytes.
 3. Suffix sort. In each bounded block of stretches, suffixes are sorted by the difference-cover method: positions not
    divisible by three are sorted by triples and named, the names are sorted by recursion until they tell apart `window`
    bytes, the remaining suffixes are sorted by their first byte and the rank behind it, and both are merged. Suffixes
-   adjacent in this order whose first `window` bytes agree get the smallest doc_id of their run.
+   adjacent in this order whose first `window` bytes agree get the smallest doc_id of their run; it counts where it is
+   below that of the stretch.
 4. Windows whose smallest doc_id is below their own document's mark their bytes.
 
 Defined results: null text is empty; a row with null doc_id loses nothing and takes nothing away; rows that repeat a
@@ -207,7 +210,11 @@ _CHUNK = 1 << 13
 
 def _filter(met: DataFrame, p: Passages) -> np.ndarray:
     """Bits of the values met in several documents: a table of 2^filter_bits bits, whatever the data."""
-    shared = met.groupBy("value").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
+    return _bits(met.groupBy("value").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b"), p)
+
+
+def _bits(shared: DataFrame, p: Passages) -> np.ndarray:
+    """The filter that holds the values (40 bits) of `shared`."""
     cells = F.array(*[F.shiftright("value", k) % (1 << p.filter_bits) for k in (40 - p.filter_bits, 0)])
     bit = shared.select(F.explode(cells).alias("bit"))
     bit = bit.select(F.expr("CAST(bit DIV 32 AS INT)").alias("word"), F.expr("shiftleft(1L, CAST(bit % 32 AS INT))").alias("m"))
@@ -232,12 +239,20 @@ def _passes(bits: np.ndarray, value: np.ndarray, p: Passages) -> np.ndarray:
     return ok
 
 
-def _stretches(docs: DataFrame, anchor_bits, pair_bits, p: Passages) -> DataFrame:
+def _stretches(docs: DataFrame, anchor_bits, pair_bits, p: Passages, text_bits=None) -> DataFrame:
+    """(anchor, digest, doc_id, version, first, windows) of the stretches: 64 bits tell stretches of one anchor apart. Given
+    the filter of the anchors whose text is wanted, (anchor, digest, doc_id, stretch) of theirs."""
+
     def places(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(anchor, first window, windows) of the stretches of one document."""
         low, pair = anchors(np.frombuffer(data, np.uint8), p)
         at = _changes(low)
-        keep = np.repeat(_passes(anchor_bits.value, low[at], p), np.diff(np.append(at, len(low))))
+        ok = _passes(anchor_bits.value, low[at], p)
+        if text_bits is not None:
+            ok &= _passes(text_bits.value, low[at], p)
+        if not ok.any():
+            return low[:0], at[:0], at[:0]
+        keep = np.repeat(ok, np.diff(np.append(at, len(low))))
         at = _changes(pair)
         keep &= np.repeat(_passes(pair_bits.value, pair[at], p), np.diff(np.append(at, len(low))))
         kept = np.flatnonzero(keep)
@@ -251,64 +266,79 @@ def _stretches(docs: DataFrame, anchor_bits, pair_bits, p: Passages) -> DataFram
         return low[kept[begins]], kept[begins], np.diff(np.append(begins, len(kept)))
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["anchor", "digest", "doc_id", "version", "first", "stretch"]
+        more, digest = p.window - 1, hashlib.blake2b
         for frame in frames:
             out, size = [], 0
             for doc, version, text in zip(frame["doc_id"], frame["version"], frame["text"], strict=True):
                 data = text.encode("utf-8", "surrogatepass")
                 h, first, windows = places(data)
-                for a, f, w in zip(h.view(np.int64).tolist(), first.tolist(), windows.tolist()):
-                    part = data[f : f + w + p.window - 1]
-                    out.append((a, hashlib.blake2b(part, digest_size=16).digest(), doc, version, f, part))
-                    size += len(part)
+                if not len(h):
+                    continue
+                parts = [data[f:e] for f, e in zip(first.tolist(), (first + windows + more).tolist())]
+                names = np.frombuffer(b"".join([digest(x, digest_size=8).digest() for x in parts]), np.int64)
+                one = {"anchor": h.view(np.int64), "digest": names, "doc_id": np.full(len(h), doc)}
+                if text_bits is None:
+                    one |= {"version": np.full(len(h), version, np.int32), "first": first.astype(np.int32), "windows": windows.astype(np.int32)}
+                else:
+                    one["stretch"] = np.array(parts, object)
+                out.append(one)
+                size += len(h) * 32 if text_bits is None else sum(map(len, parts))
                 if size > 8 << 20:
-                    yield pd.DataFrame(out, columns=names)
+                    yield pd.DataFrame({c: np.concatenate([x[c] for x in out]) for c in one})
                     out, size = [], 0
             if out:
-                yield pd.DataFrame(out, columns=names)
+                yield pd.DataFrame({c: np.concatenate([x[c] for x in out]) for c in out[0]})
+
+    kind = "version int, first int, windows int" if text_bits is None else "stretch binary"
+    return docs.mapInPandas(cut, f"anchor long, digest long, doc_id long, {kind}")
 
-    return docs.mapInPandas(cut, "anchor long, digest binary, doc_id long, version int, first int, stretch binary")
+
+_RUNS = "anchor long, digest long, start int, stop int, least long"
 
 
 def _sorted_blocks(rows: DataFrame, p: Passages) -> DataFrame:
-    """(digest, start, stop, least): runs of windows of a stretch with their smallest doc_id. `rows` has the different
-    stretches, (anchor, digest, stretch, least, most); a run is left out if nobody but its only owner holds it."""
+    """(anchor, digest, start, stop, least): runs of windows of a stretch with their smallest doc_id, where it is below the
+    smallest of the stretch. `rows` has the different stretches, (anchor, digest, stretch, least)."""
 
     def solve(block: list[tuple]) -> pd.DataFrame:
-        owners = np.array([r[2] for r in block], np.int64)
-        found = smallest_owner([r[1] for r in block], owners, p.window)
+        owners = np.array([r[3] for r in block], np.int64)
+        found = smallest_owner([r[2] for r in block], owners, p.window)
         out = []
-        for (digest, _, least, most), best in zip(block, found, strict=True):
+        for (anchor, digest, _, least), best in zip(block, found, strict=True):
+            if not (best < least).any():
+                continue
             cut = np.flatnonzero(np.r_[True, best[1:] != best[:-1]])
             for s, e in zip(cut.tolist(), [*cut[1:].tolist(), len(best)]):
-                if best[s] < most:
-                    out.append((digest, s, e, int(best[s])))
-        return pd.DataFrame(out, columns=["digest", "start", "stop", "least"])
+                if best[s] < least:
+                    out.append((anchor, digest, s, e, int(best[s])))
+        return pd.DataFrame(out, columns=["anchor", "digest", "start", "stop", "least"])
 
     def blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         block, size, last = [], 0, None
         for frame in frames:
-            for a, *row in zip(*[frame[c] for c in ("anchor", "digest", "stretch", "least", "most")], strict=True):
-                if a != last and size >= p.block_bytes:
+            for row in zip(*[frame[c] for c in ("anchor", "digest", "stretch", "least")], strict=True):
+                if row[0] != last and size >= p.block_bytes:
                     yield solve(block)
                     block, size = [], 0
-                block.append(tuple(row))
-                size += len(row[1])
-                last = a
+                block.append(row)
+                size += len(row[2])
+                last = row[0]
         if block:
             yield solve(block)
 
     dealt = rows.repartition("anchor").sortWithinPartitions("anchor")
-    return dealt.select("anchor", "digest", "stretch", "least", "most").mapInPandas(blocks, "digest binary, start int, stop int, least long")
+    return dealt.select("anchor", "digest", "stretch", "least").mapInPandas(blocks, _RUNS)
 
 
 def _single_windows(rows: DataFrame, p: Passages) -> DataFrame:
     """The same for anchors with too many different stretches, window by window."""
     at = F.explode(F.sequence(F.lit(0), F.octet_length("stretch") - p.window)).alias("start")
-    windows = rows.select("digest", "stretch", "least", "most", at)
+    windows = rows.select("anchor", "digest", "stretch", "least", at)
     windows = windows.withColumn("w", F.expr(f"substring(stretch, start + 1, {p.window})")).drop("stretch")
     least = windows.groupBy("w").agg(F.min("least").alias("all"))
-    return windows.join(least, "w").where("all < most").select("digest", "start", (F.col("start") + 1).alias("stop"), F.col("all").alias("least"))
+    return windows.join(least, "w").where("all < least").select(
+        "anchor", "digest", "start", (F.col("start") + 1).alias("stop"), F.col("all").alias("least")
+    )
 
 
 def covered(docs: DataFrame, p: Passages = Passages()) -> DataFrame:
@@ -321,20 +351,32 @@ def covered(docs: DataFrame, p: Passages = Passages()) -> DataFrame:
     anchor_bits = share(_filter(_met(texts, p), p))
     pair_bits = share(_filter(_met(texts, p, anchor_bits), p))
     held = stored(_stretches(whole, anchor_bits, pair_bits, p), "passages-stretches")
-    different = held.groupBy("anchor", "digest", "stretch").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    many = held.groupBy("anchor").agg(F.approx_count_distinct("digest", 0.05).alias("k")).where(f"k > {p.together}").select("anchor")
-    many = stored(many, "passages-anchors")
+    names = ["anchor", "digest"]
+    named = stored(held.groupBy(names).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")), "passages-names")
+    several = stored(several_stretches(named), "passages-anchors")
+    text_bits = share(_bits(several.select(F.shiftrightunsigned("anchor", 24).alias("value")), p))
+    texts = _stretches(whole, anchor_bits, pair_bits, p, text_bits)
+    different = texts.groupBy(*names, "stretch").agg(F.min("doc_id").alias("least"))
+    many = several.where(f"k > {p.together}").select("anchor")
     if many.isEmpty():
         runs = _sorted_blocks(different, p)
     else:
+        different = stored(different, "passages-different")
         runs = _sorted_blocks(different.join(many, "anchor", "left_anti"), p)
         runs = runs.union(_single_windows(different.join(many, "anchor", "left_semi"), p))
-    owned = held.select("digest", "doc_id", "version", "first")
-    gone = owned.join(stored(runs, "passages-runs"), "digest").where("least < doc_id")
-    span = F.struct((F.col("first") + F.col("start")).alias("start"), (F.col("first") + F.col("stop") - 1 + p.window).alias("stop"))
+    equal = named.where("least < most").select(*names, F.lit(0).alias("start"), F.lit(None).cast("int").alias("stop"), "least")
+    gone = held.join(equal.union(stored(runs, "passages-runs")), names).where("least < doc_id")
+    last = F.coalesce("stop", "windows") - 1 + p.window
+    span = F.struct((F.col("first") + F.col("start")).alias("start"), (F.col("first") + last).alias("stop"))
     return gone.groupBy("doc_id", "version").agg(F.collect_set(span).alias("spans"))
 
 
+def several_stretches(named: DataFrame) -> DataFrame:
+    """(anchor, k): anchors that have k > 1 different stretches and are met in several documents. Only their text is compared."""
+    per = named.groupBy("anchor").agg(F.count(F.lit(1)).alias("k"), F.min("least").alias("a"), F.max("most").alias("b"))
+    return per.where("k > 1 AND a < b").select("anchor", "k")
+
+
 def _applied(docs: DataFrame, p: Passages) -> DataFrame:
     """The documents with `__spans`, null where nothing goes."""
     gone = stored(covered(docs, p).withColumnsRenamed({"doc_id": "__id", "version": "__v", "spans": "__spans"}), "passages-spans")

@@ -55,6 +55,21 @@ def test_planted_passages_and_many_stretches(spark):
         assert sorted(repr(tuple(r)) for r in sd.report(docs, p).collect()) == brute(rows)
 
 
+def test_equal_stretches_send_no_text(spark, monkeypatch):
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    copy, passage = word(3000), word(200)
+    rows = [(i, copy) for i in range(20)] + [(100 + i, word(80) + passage + word(80)) for i in range(5)]
+    dealt = []
+    blocks = sd._sorted_blocks
+    monkeypatch.setattr(sd, "_sorted_blocks", lambda rows, p: (dealt.append(rows.collect()), blocks(rows, p))[1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(repr(tuple(r)) for r in sd.report(docs).collect()) == brute(rows)
+    # Whole copies are settled by name; only where the passage's ends differ is text compared.
+    assert not [r for r in dealt[0] if bytes(r["stretch"]) in copy.encode()]
+    assert sum(len(r["stretch"]) for r in dealt[0]) < 3000
+
+
 @pytest.mark.parametrize("seed", range(8))
 def test_suffix_order(seed):
     rng = np.random.default_rng(seed)
