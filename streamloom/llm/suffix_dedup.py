@@ -35,10 +35,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from streamloom.llm.common import stored
+from streamloom.llm.common import batches, stored
 
 #: Spans that are broadcast at most, of 16 bytes each.
 BROADCAST_SPANS = 2_000_000
+#: Documents that a Python worker holds at once.
+BATCH_ROWS = 1_000
 
 _VALUES = np.random.default_rng(8).integers(0, 1 << 63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -48,8 +50,8 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 class Passages:
     window: int = 50
     gram: int = 16
-    #: Bytes of stretches after which a block is sorted, and different stretches of one anchor that stay together; with the
-    #: longest stretch they keep a block below 2^_BITS bytes.
+    #: Bytes of stretches after which a block is sorted, and stretches of the longest kind whose bytes an anchor's different
+    #: stretches have at most to stay together; with the longest stretch they keep a block below 2^_BITS bytes.
     block_bytes: int = 1 << 19
     together: int = 900
     #: Windows in one stretch at most (long runs of one anchor are cut), and bits of the filter, as powers of two.
@@ -76,19 +78,63 @@ def _slide(x: np.ndarray, span: int, n: int, pick: np.ufunc) -> np.ndarray:
     return pick(x[:n], x[span - size : span - size + n])
 
 
-def anchors(data: np.ndarray, p: Passages) -> tuple[np.ndarray, np.ndarray]:
-    """The anchor and the pair of every window of one document."""
+def anchors(data: np.ndarray, p: Passages, pairs: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+    """The anchor and, if asked for, the pair of every window of the bytes."""
     n = len(data) - p.window + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     grams, span = _gram_hashes(data, p.gram), p.window - p.gram + 1
     low = _slide(grams, span, n, np.minimum)
+    if not pairs:
+        return low, None
     pair = (low * _BASE) ^ _slide(grams, span, n, np.maximum)
     return low, (pair ^ (pair >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
 
 
-def _changes(x: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+@dataclass(frozen=True)
+class _Joined:
+    """Texts one behind the other, worked on as one array: the place of every window that lies in one text, the text it
+    lies in, and the windows that begin a text."""
+
+    data: bytes
+    offsets: np.ndarray
+    place: np.ndarray
+    of: np.ndarray
+    begins: np.ndarray
+
+    @classmethod
+    def make(cls, texts: list[bytes], window: int) -> "_Joined":
+        sizes = np.array([len(x) for x in texts], np.int64)
+        windows = np.maximum(sizes - window + 1, 0)
+        offsets, before = np.cumsum(sizes) - sizes, np.cumsum(windows) - windows
+        of = np.repeat(np.arange(len(texts)), windows)
+        return cls(b"".join(texts), offsets, np.arange(len(of)) + (offsets - before)[of], of, before[windows > 0])
+
+    def anchors(self, p: Passages, pairs: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+        low, pair = anchors(np.frombuffer(self.data, np.uint8), p, pairs)
+        return low[self.place], pair[self.place] if pairs else None
+
+    def changes(self, x: np.ndarray) -> np.ndarray:
+        new = np.ones(len(x), bool)
+        new[1:] = x[1:] != x[:-1]
+        new[self.begins] = True
+        return np.flatnonzero(new)
+
+
+#: Bytes of texts that are worked on as one array.
+_JOIN = 1 << 16
+
+
+def _batches(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[bytes]]]:
+    """Rows of some texts together, and the texts."""
+    for frame in frames:
+        texts, begin, size = [], 0, 0
+        for i, text in enumerate(frame["text"]):
+            texts.append(text.encode("utf-8", "surrogatepass"))
+            size += len(texts[-1])
+            if size >= _JOIN or i + 1 == len(frame):
+                yield frame.iloc[begin : i + 1], texts
+                texts, begin, size = [], i + 1, 0
 
 
 # ---- difference-cover suffix sort of one block ------------------------------------------------------------------
@@ -171,35 +217,34 @@ def smallest_owner(texts: list[bytes], owners: np.ndarray, window: int) -> list[
 # ---- the Spark job ------------------------------------------------------------------------------------------------
 
 
-def _bytes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-
-
 def _met(docs: DataFrame, p: Passages, anchor_bits=None) -> DataFrame:
     """(value, doc_id) of the anchors of a document, or, given the filter of anchors, of the pairs of windows that pass it.
     The 40 leading bits of the values do: what collides is only filtered less."""
 
-    def values(text: str) -> np.ndarray:
-        low, pair = anchors(_bytes(text), p)
-        at = _changes(low)
+    def values(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Values of the texts, and the text of each."""
+        joined = _Joined.make(texts, p.window)
+        low, pair = joined.anchors(p, pairs=anchor_bits is not None)
+        at = joined.changes(low)
         if anchor_bits is None:
-            return np.unique(low[at] >> np.uint64(24))
+            return low[at] >> np.uint64(24), joined.of[at]
         passes = np.repeat(_passes(anchor_bits.value, low[at], p), np.diff(np.append(at, len(low))))
-        at = _changes(pair)
-        return np.unique(pair[at[passes[at]]] >> np.uint64(24))
+        at = joined.changes(pair)
+        at = at[passes[at]]
+        return pair[at] >> np.uint64(24), joined.of[at]
 
     def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            found, owners, size = [], [], 0
-            for doc, text in zip(frame["doc_id"], frame["text"], strict=True):
-                found.append(values(text))
-                owners.append(np.full(len(found[-1]), doc))
-                size += len(found[-1])
-                if size > 200_000:
-                    yield pd.DataFrame({"value": np.concatenate(found).view(np.int64), "doc_id": np.concatenate(owners)})
-                    found, owners, size = [], [], 0
-            if found:
-                yield pd.DataFrame({"value": np.concatenate(found).view(np.int64), "doc_id": np.concatenate(owners)})
+        found, size = [], 0
+        for rows, texts in _batches(frames):
+            value, of = values(texts)
+            one = pd.DataFrame({"value": value.view(np.int64), "doc_id": rows["doc_id"].to_numpy(np.int64)[of]})
+            found.append(one.drop_duplicates())
+            size += len(value)
+            if size > 200_000:
+                yield pd.concat(found)
+                found, size = [], 0
+        if found:
+            yield pd.concat(found)
 
     return docs.mapInPandas(find, "value long, doc_id long")
 
@@ -243,22 +288,23 @@ def _stretches(docs: DataFrame, anchor_bits, pair_bits, p: Passages, text_bits=N
     """(anchor, digest, doc_id, version, first, windows) of the stretches: 64 bits tell stretches of one anchor apart. Given
     the filter of the anchors whose text is wanted, (anchor, digest, doc_id, stretch) of theirs."""
 
-    def places(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(anchor, first window, windows) of the stretches of one document."""
-        low, pair = anchors(np.frombuffer(data, np.uint8), p)
-        at = _changes(low)
+    def places(joined: _Joined) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(anchor, first window, windows) of the stretches, windows numbered over the texts."""
+        low, pair = joined.anchors(p)
+        at = joined.changes(low)
         ok = _passes(anchor_bits.value, low[at], p)
         if text_bits is not None:
             ok &= _passes(text_bits.value, low[at], p)
-        if not ok.any():
-            return low[:0], at[:0], at[:0]
         keep = np.repeat(ok, np.diff(np.append(at, len(low))))
-        at = _changes(pair)
-        keep &= np.repeat(_passes(pair_bits.value, pair[at], p), np.diff(np.append(at, len(low))))
+        at = joined.changes(pair)
+        ok = keep[at]
+        ok[ok] = _passes(pair_bits.value, pair[at[ok]], p)
+        keep &= np.repeat(ok, np.diff(np.append(at, len(low))))
         kept = np.flatnonzero(keep)
         if not len(kept):
             return low[:0], kept, kept
-        cut = np.concatenate([[True], (np.diff(kept) > 1) | (low[kept[1:]] != low[kept[:-1]])])
+        of = joined.of[kept]
+        cut = np.concatenate([[True], (np.diff(kept) > 1) | (low[kept[1:]] != low[kept[:-1]]) | (of[1:] != of[:-1])])
         begins = np.flatnonzero(cut)
         if len(kept) > p.longest:
             inside = np.arange(len(kept)) - begins[np.cumsum(cut) - 1]
@@ -267,27 +313,27 @@ def _stretches(docs: DataFrame, anchor_bits, pair_bits, p: Passages, text_bits=N
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         more, digest = p.window - 1, hashlib.blake2b
-        for frame in frames:
-            out, size = [], 0
-            for doc, version, text in zip(frame["doc_id"], frame["version"], frame["text"], strict=True):
-                data = text.encode("utf-8", "surrogatepass")
-                h, first, windows = places(data)
-                if not len(h):
-                    continue
-                parts = [data[f:e] for f, e in zip(first.tolist(), (first + windows + more).tolist())]
-                names = np.frombuffer(b"".join([digest(x, digest_size=8).digest() for x in parts]), np.int64)
-                one = {"anchor": h.view(np.int64), "digest": names, "doc_id": np.full(len(h), doc)}
-                if text_bits is None:
-                    one |= {"version": np.full(len(h), version, np.int32), "first": first.astype(np.int32), "windows": windows.astype(np.int32)}
-                else:
-                    one["stretch"] = np.array(parts, object)
-                out.append(one)
-                size += len(h) * 32 if text_bits is None else sum(map(len, parts))
-                if size > 8 << 20:
-                    yield pd.DataFrame({c: np.concatenate([x[c] for x in out]) for c in one})
-                    out, size = [], 0
-            if out:
-                yield pd.DataFrame({c: np.concatenate([x[c] for x in out]) for c in out[0]})
+        out, size = [], 0
+        for rows, texts in _batches(frames):
+            joined = _Joined.make(texts, p.window)
+            h, window, windows = places(joined)
+            first, of = joined.place[window], joined.of[window]
+            parts = [joined.data[f:e] for f, e in zip(first.tolist(), (first + windows + more).tolist())]
+            names = np.frombuffer(b"".join([digest(x, digest_size=8).digest() for x in parts]), np.int64)
+            one = {"anchor": h.view(np.int64), "digest": names, "doc_id": rows["doc_id"].to_numpy(np.int64)[of]}
+            if text_bits is None:
+                one["version"] = rows["version"].to_numpy(np.int32)[of]
+                one |= {"first": (first - joined.offsets[of]).astype(np.int32), "windows": windows.astype(np.int32)}
+                size += len(h) * 32
+            else:
+                one["stretch"] = np.array(parts, object)
+                size += sum(map(len, parts))
+            out.append(one)
+            if size > 8 << 20:
+                yield pd.DataFrame({c: np.concatenate([x[c] for x in out]) for c in one})
+                out, size = [], 0
+        if out:
+            yield pd.DataFrame({c: np.concatenate([x[c] for x in out]) for c in out[0]})
 
     kind = "version int, first int, windows int" if text_bits is None else "stretch binary"
     return docs.mapInPandas(cut, f"anchor long, digest long, doc_id long, {kind}")
@@ -352,12 +398,12 @@ def covered(docs: DataFrame, p: Passages = Passages()) -> DataFrame:
     pair_bits = share(_filter(_met(texts, p, anchor_bits), p))
     held = stored(_stretches(whole, anchor_bits, pair_bits, p), "passages-stretches")
     names = ["anchor", "digest"]
-    named = stored(held.groupBy(names).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")), "passages-names")
-    several = stored(several_stretches(named), "passages-anchors")
+    named = stored(held.groupBy(names).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.max("windows").alias("windows")), "passages-names")
+    several = stored(several_stretches(named, p), "passages-anchors")
     text_bits = share(_bits(several.select(F.shiftrightunsigned("anchor", 24).alias("value")), p))
     texts = _stretches(whole, anchor_bits, pair_bits, p, text_bits)
     different = texts.groupBy(*names, "stretch").agg(F.min("doc_id").alias("least"))
-    many = several.where(f"k > {p.together}").select("anchor")
+    many = several.where(f"bytes > {p.together * (p.longest + p.window - 1)}").select("anchor")
     if many.isEmpty():
         runs = _sorted_blocks(different, p)
     else:
@@ -371,10 +417,12 @@ def covered(docs: DataFrame, p: Passages = Passages()) -> DataFrame:
     return gone.groupBy("doc_id", "version").agg(F.collect_set(span).alias("spans"))
 
 
-def several_stretches(named: DataFrame) -> DataFrame:
-    """(anchor, k): anchors that have k > 1 different stretches and are met in several documents. Only their text is compared."""
-    per = named.groupBy("anchor").agg(F.count(F.lit(1)).alias("k"), F.min("least").alias("a"), F.max("most").alias("b"))
-    return per.where("k > 1 AND a < b").select("anchor", "k")
+def several_stretches(named: DataFrame, p: Passages) -> DataFrame:
+    """(anchor, bytes): anchors that have different stretches and are met in several documents, and the bytes of those
+    stretches. Only their text is compared."""
+    size = F.sum(F.col("windows") + F.lit(p.window)).alias("bytes")  # with the separator of the block
+    per = named.groupBy("anchor").agg(F.count(F.lit(1)).alias("k"), size, F.min("least").alias("a"), F.max("most").alias("b"))
+    return per.where("k > 1 AND a < b").select("anchor", "bytes")
 
 
 def _applied(docs: DataFrame, p: Passages) -> DataFrame:
@@ -415,5 +463,7 @@ def report(docs: DataFrame, p: Passages = Passages()) -> DataFrame:
             table = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
             yield pd.concat([frame[["doc_id"]].astype("Int64").reset_index(drop=True), table], axis=1)
 
-    rows = _applied(docs.select(F.col("doc_id").cast("long"), "text"), p)
-    return rows.mapInPandas(measure, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    with batches(docs.sparkSession, BATCH_ROWS):
+        rows = _applied(docs.select(F.col("doc_id").cast("long"), "text"), p)
+        measured = rows.mapInPandas(measure, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        return stored(measured, "passages-report")

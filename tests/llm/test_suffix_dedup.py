@@ -70,6 +70,31 @@ def test_equal_stretches_send_no_text(spark, monkeypatch):
     assert sum(len(r["stretch"]) for r in dealt[0]) < 3000
 
 
+def test_short_stretches_stay_together_by_their_bytes(spark, monkeypatch):
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = word(60)
+    rows = [(i, word(60) + passage[: 52 + i % 9] + word(60)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    singly = []
+    windows = sd._single_windows
+    monkeypatch.setattr(sd, "_single_windows", lambda rows, p: (singly.append(rows.count()), windows(rows, p))[1])
+    # More than five different stretches, whose bytes five of the longest kind would have.
+    assert sorted(repr(tuple(r)) for r in sd.report(docs, sd.Passages(together=5)).collect()) == brute(rows) and not singly
+    tight = sd.Passages(together=1, longest=64)
+    assert sorted(repr(tuple(r)) for r in sd.report(docs, tight).collect()) == brute(rows) and singly[0] > 5
+
+
+def test_few_texts_are_with_python_at_once(spark, monkeypatch):
+    seen = []
+    applied = sd._applied
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    monkeypatch.setattr(sd, "_applied", lambda docs, p: (seen.append(spark.conf.get(key)), applied(docs, p))[1])
+    before = spark.conf.get(key)
+    assert sd.report(documents(spark)).count() == documents(spark).count()
+    assert seen == [str(sd.BATCH_ROWS)] and spark.conf.get(key) == before
+
+
 @pytest.mark.parametrize("seed", range(8))
 def test_suffix_order(seed):
     rng = np.random.default_rng(seed)
