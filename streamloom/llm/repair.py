@@ -34,9 +34,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from streamloom.llm import tokens
+from streamloom.llm.common import batches
 from streamloom.session import checkpoint_dir
 
 END_ID = 0
+#: Documents that are handed to Python at once, and characters that are encoded at once.
+BATCH_ROWS = 2_000
+_BATCH_CHARS = 1 << 23
 
 
 @dataclass(frozen=True)
@@ -47,102 +51,165 @@ class Grammar:
     sequence: np.ndarray
 
 
-def _grouped_pairs(seq: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of pairs without END_ID, equal pairs together and ascending; where each group begins, and its pairs."""
-    at = np.flatnonzero((seq[:-1] != END_ID) & (seq[1:] != END_ID)).astype(np.uint64)
-    a, b = seq[at].astype(np.uint64), seq[at + 1].astype(np.uint64)
-    bits, places = np.uint64(int(top).bit_length()), np.uint64(len(seq).bit_length())
-    if 2 * bits + places <= 64:  # one sort of plain integers
-        packed = np.sort((((a << bits) | b) << places) | at)
-        at, key = packed & ((np.uint64(1) << places) - np.uint64(1)), packed >> places
+def _grouped_pairs(at: np.ndarray, a: np.ndarray, b: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places (ascending) of pairs without END_ID that occur more than once, equal pairs together and ascending; the sizes of
+    these groups, and their pairs (the first symbol 32 bits up)."""
+    keep = np.flatnonzero((a != END_ID) & (b != END_ID))
+    at, key, b = at[keep], a[keep].astype(np.int64), b[keep]
+    bits, places = int(top).bit_length(), int(at.max(initial=0)).bit_length()
+    if 2 * bits + places < 64:  # one sort of plain integers
+        key <<= bits
+        key |= b
+        key <<= places
+        key |= at
+        key.sort()
+        at = (key & ((1 << places) - 1)).astype(np.int32)
+        key >>= places
     else:
-        key = (a << np.uint64(32)) | b
-        order = np.argsort(key, kind="stable")
-        at, key, bits = at[order], key[order], np.uint64(32)
-    begins = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-    first = key[begins]
-    return at.astype(np.int64), begins, np.stack([first >> bits, first & ((np.uint64(1) << bits) - np.uint64(1))], 1).astype(np.int64)
+        bits, key = 32, (key << 32) | b
+        order = np.lexsort((at, key))
+        at, key = at[order], key[order]
+    edge = np.ones(len(key) + 1, bool)
+    np.not_equal(key[1:], key[:-1], out=edge[1:-1])
+    begins = np.flatnonzero(edge)
+    sizes = np.diff(begins)
+    often = sizes > 1
+    first = key[begins[:-1][often]]
+    return at[~(edge[1:] & edge[:-1])], sizes[often], ((first >> bits) << 32) | (first & ((1 << bits) - 1))
+
+
+def _ranges(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1]) + np.repeat(begins - (ends - sizes), sizes)
+
+
+def _settled(at: np.ndarray, which: np.ndarray, behind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places that are replaced, and their ranks: of places (ascending) that overlap the one of smaller rank stays."""
+    linked = behind[at[:-1]] == at[1:]
+    won = []
+    while len(at):
+        down = which[:-1] < which[1:]
+        wins, beaten = np.ones(len(at), bool), np.zeros(len(at), bool)
+        wins[:-1] &= ~linked | down
+        wins[1:] &= ~(linked & down)
+        won.append((at[wins], which[wins]))
+        beaten[:-1] |= linked & wins[1:]
+        beaten[1:] |= linked & wins[:-1]
+        still = np.flatnonzero(~(wins | beaten))
+        linked = linked[still[:-1]] & (np.diff(still) == 1)
+        at, which = at[still], which[still]
+    places, ranks = zip(*won, strict=True)
+    return np.concatenate(places), np.concatenate(ranks)
+
+
+_NONE = np.int32(np.iinfo(np.int32).max)
 
 
 def compress(ids: np.ndarray, first_rule: int, least: int = 2) -> Grammar:
-    """Re-Pair until no pair occurs `least` times without overlap; pairs with END_ID are left alone.
+    """Re-Pair until no pair occurs `least` (2 or more) times without overlap; pairs with END_ID are left alone.
 
-    A round counts all pairs exactly and takes those above a bound that falls by half each round, down to `least`. Where
-    chosen pairs overlap the more frequent one stays; a pair left with too few places waits for the next count. The most
+    A round takes all pairs above a bound that falls by half each round, down to `least`, by exact counts. Where chosen
+    pairs overlap the more frequent one stays; a pair left with too few places waits for the next round. The most
     frequent pair always keeps all its places, so every round makes a rule.
+
+    Symbols keep their places, linked to the ones before and behind. Pairs are grouped once, when a round makes them: they
+    hold a symbol of that round, so no later round adds to their groups. Sizes are counted down as pairs go, and the
+    places of a group are only looked up when it is above the bound.
     """
-    seq = ids.astype(np.uint32)
-    rules: list[np.ndarray] = []
-    lengths = np.ones(0, np.int64)
-    top, bound = first_rule, len(seq)
-    while len(seq) > 1:
-        at, begins, pairs = _grouped_pairs(seq, top)
-        if not len(at):
+    n = len(ids)
+    seq = np.full(n + 2, END_ID, np.int32)  # a frame of one free place on both sides
+    seq[1:-1] = ids
+    behind, before = np.arange(1, n + 3, dtype=np.int32), np.arange(-1, n + 1, dtype=np.int32)
+    live = np.ones(n + 2, bool)
+    live[[0, -1]] = False
+    group = np.full(n + 2, _NONE)
+    # Places of the groups, one behind the other; a replacement makes two pairs at most.
+    places, used = np.empty(3 * n, np.int32), 0
+    begins, pairs = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    sizes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)  # present and first number of places
+    rules, lengths = [np.zeros((0, 2), np.int64)], np.ones(1, np.int64)
+    top, bound, new = first_rule, n, np.arange(1, n, dtype=np.int32)
+    while True:
+        found, count, made = _grouped_pairs(new, seq[new], seq[behind[new]], top)
+        group[found] = np.repeat(np.arange(len(sizes), len(sizes) + len(count), dtype=np.int32), count)
+        places[used : used + len(found)] = found
+        begins, pairs = np.concatenate([begins, used + np.cumsum(count) - count]), np.concatenate([pairs, made])
+        sizes, counts = np.concatenate([sizes, count]), np.concatenate([counts, count])
+        used, new = used + len(found), new[:0]
+        best = int(sizes.max(initial=0))
+        if best < least:
             break
-        sizes = np.diff(np.r_[begins, len(at)])
-        twin = np.repeat(pairs[:, 0] == pairs[:, 1], sizes)
+        bound = max(least, min(bound, best) // 2)
+        picked = np.flatnonzero(sizes >= bound)
+        count = counts[picked]
+        made = np.stack([pairs[picked] >> 32, pairs[picked] & 0xFFFFFFFF], 1)
+        of = np.repeat(np.arange(len(picked), dtype=np.int32), count)
+        at = places[_ranges(begins[picked], count)]
+        stay = np.flatnonzero(group[at] == np.repeat(picked.astype(np.int32), count))
+        at, of, size = at[stay], of[stay], sizes[picked]
+        twin = made[:, 0] == made[:, 1]
         if twin.any():
             # Of occurrences that overlap, every second one counts.
-            fresh = np.r_[True, (np.diff(at) != 1) | ~twin[1:]]
-            fresh[begins] = True
+            some = np.flatnonzero(twin[of])
+            own, there = of[some], at[some]
+            fresh = np.ones(len(some), bool)
+            fresh[1:] = (behind[there[:-1]] != there[1:]) | (own[1:] != own[:-1])
             run = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
-            odd = (np.arange(len(at)) - run) % 2 == 0
-            sizes = np.add.reduceat(odd.astype(np.int64), begins)
-            at = at[odd]
-        best = int(sizes.max())
-        if best < least:
-            break
-        bound = max(least, min(bound, best) // 2)
-        chosen = np.flatnonzero(sizes >= bound)
+            odd = np.ones(len(at), bool)
+            odd[some] = (np.arange(len(some)) - run) % 2 == 0
+            at, of = at[odd], of[odd]
+            size = np.bincount(of, minlength=len(picked))
+            sizes[picked[size < least]] = 0
+        chosen = np.flatnonzero(size >= bound)
+        if not len(chosen):
+            continue
+        made = made[chosen]
         # Equally frequent pairs in a scattered order: by value, a repeated passage would be eaten from one end.
-        mixed = (pairs[chosen, 0] * 2654435761 + pairs[chosen, 1] * 2246822519) * 0x9E3779B97F4A7C1 >> 20
-        chosen = chosen[np.lexsort((mixed, -sizes[chosen]))]
-        place = np.full(len(pairs), len(chosen), np.int32)
+        mixed = (made[:, 0] * 2654435761 + made[:, 1] * 2246822519) * 0x9E3779B97F4A7C1 >> 20
+        order = np.lexsort((mixed, -size[chosen]))
+        chosen, made = chosen[order], made[order]
+        place = np.full(len(picked), _NONE)
         place[chosen] = np.arange(len(chosen), dtype=np.int32)
-        which = np.repeat(place, sizes)
-        picked = which < len(chosen)
-        # A frame of one free place on both sides.
-        rank = np.full(len(seq) + 2, len(chosen), np.int32)
-        rank[at[picked] + 1] = which[picked]
-        open_at, won = np.sort(at[picked]), []
-        while len(open_at):
-            mine = rank[open_at + 1]
-            wins = open_at[(mine < rank[open_at]) & (mine < rank[open_at + 2])]
-            won.append((wins, rank[wins + 1]))
-            rank[wins], rank[wins + 1], rank[wins + 2] = [len(chosen)] * 3
-            open_at = open_at[rank[open_at + 1] < len(chosen)]
-        at, which = (np.concatenate(x) for x in zip(*won, strict=True))
+        which = place[of]
+        keep = np.flatnonzero(which != _NONE)
+        ordered = np.sort(at[keep].astype(np.int64) << 32 | which[keep])
+        at, which = _settled((ordered >> 32).astype(np.int32), ordered.astype(np.int32), behind)
         good = np.bincount(which, minlength=len(chosen)) >= max(least, bound // 2)
         keep = good[which]
-        at, which = at[keep], which[keep]
-        new = top + np.cumsum(good) - 1
-        made = pairs[chosen[good]]
+        at, which, made = at[keep], which[keep], made[good]
         rules.append(made)
-        known = np.concatenate([np.ones(1, np.int64), lengths])
-        lengths = np.concatenate([lengths, known[np.maximum(made - first_rule + 1, 0)].sum(1)])
-        seq[at] = new[which]
-        keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
-        seq = seq[keep]
+        lengths = np.concatenate([lengths, lengths[np.maximum(made - first_rule + 1, 0)].sum(1)])
+        gone = behind[at]
+        after = behind[gone]
+        seq[at] = (top + np.cumsum(good) - 1).astype(np.int32)[which]
+        live[gone] = False
+        behind[at], before[after] = after, at
+        left = before[at]
+        new = np.concatenate([at, left[seq[left] < top]])
+        lost = np.concatenate([gone, new])
+        held = group[lost]
+        sizes -= np.bincount(held[held != _NONE], minlength=len(sizes))
+        group[lost] = _NONE
         top += len(made)
-    pairs = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
-    return Grammar(first_rule, pairs, lengths, seq)
+    return Grammar(first_rule, np.concatenate(rules), lengths[1:], seq[live].astype(np.uint32))
 
 
 def expand(symbols: np.ndarray, g: Grammar) -> np.ndarray:
     """The ids of a part of the sequence: every symbol writes its id, or hands its place to the two of its rule."""
     first = g.first_rule
     sizes = np.r_[1, g.expansions]
+    rules = g.rules.astype(np.int64)
+    inside = sizes[np.maximum(rules[:, 0] - first + 1, 0)]  # ids of a rule's first symbol
     symbols = symbols.astype(np.int64)
     own = sizes[np.maximum(symbols - first + 1, 0)]
     at = np.cumsum(own) - own
     out = np.empty(int(own.sum()), np.int64)
     while len(symbols):
-        plain = symbols < first
-        out[at[plain]] = symbols[plain]
-        at, pairs = at[~plain], g.rules[symbols[~plain] - first]
-        at = np.stack([at, at + sizes[np.maximum(pairs[:, 0] - first + 1, 0)]], 1).ravel()
-        symbols = pairs.ravel()
+        out[at] = symbols  # a rule's place is taken by its symbols later
+        made = np.flatnonzero(symbols >= first)
+        rule, begin = symbols[made] - first, at[made]
+        at, symbols = np.empty(2 * len(made), np.int64), rules[rule].ravel()
+        at[0::2], at[1::2] = begin, begin + inside[rule]
     return out
 
 
@@ -152,10 +219,22 @@ _SCHEMA = (
 )
 
 
-def _block(part: int, block: int, docs: list, texts: list[bytes], first_rule: int) -> tuple:
-    ids = np.frombuffer(b"".join(texts), "<u4")
+def _batches(frame: pd.DataFrame) -> Iterator[tuple[list, list[str | None]]]:
+    """Some doc_ids together, and their texts."""
+    names, texts, size = [], [], 0
+    for doc, text in zip(frame["doc_id"], frame["text"], strict=True):
+        names.append(None if pd.isna(doc) else int(doc))
+        texts.append(text)
+        size += len(text or "")
+        if size >= _BATCH_CHARS:
+            yield names, texts
+            names, texts, size = [], [], 0
+    if names:
+        yield names, texts
+
+
+def _block(part: int, block: int, docs: list, lengths: list[int], ids: np.ndarray, first_rule: int) -> tuple:
     g = compress(ids, first_rule)
-    lengths = [len(t) // 4 for t in texts]
     sizes = np.ones(len(g.sequence), np.int64)
     made = g.sequence >= first_rule
     sizes[made] = g.expansions[g.sequence[made] - first_rule]
@@ -178,26 +257,36 @@ def _block(part: int, block: int, docs: list, texts: list[bytes], first_rule: in
 
 def blocks(docs: DataFrame, vocabulary: str, block_tokens: int = 1 << 20) -> DataFrame:
     """One row a block, in ascending doc_id over (part, block)."""
-    end = np.array([END_ID], "<u4").tobytes()
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = tokens.encoder(vocabulary)
         first_rule = encoder.tokenizer.get_vocab_size()
         part, block = TaskContext.get().partitionId(), 0
-        ids, texts, size = [], [], 0
+        docs, sizes, ids, size = [], [], [], 0
 
         def closed() -> pd.DataFrame:
-            return pd.DataFrame([_block(part, block, ids, texts, first_rule)], columns=[c.split()[0] for c in _SCHEMA.split(", ")])
+            row = _block(part, block, docs, sizes, np.concatenate(ids), first_rule)
+            return pd.DataFrame([row], columns=[c.split()[0] for c in _SCHEMA.split(", ")])
 
         for frame in frames:
-            for doc, text in zip(frame["doc_id"], frame["text"], strict=True):
-                ids.append(None if pd.isna(doc) else int(doc))
-                texts.append(encoder(text) + end)
-                size += len(texts[-1]) // 4
-                if size >= block_tokens:
-                    yield closed()
-                    ids, texts, size, block = [], [], 0, block + 1
-        if ids:
+            for names, texts in _batches(frame):
+                found, lengths = encoder.batch(texts)
+                ends = np.cumsum(lengths + 1)
+                found = np.insert(found, np.cumsum(lengths), END_ID)
+                begin = start = 0
+                while begin < len(names):
+                    # The document that fills the block is its last one.
+                    end = min(int(np.searchsorted(ends, block_tokens - size + start)) + 1, len(names))
+                    stop = int(ends[end - 1])
+                    docs += names[begin:end]
+                    sizes += (lengths[begin:end] + 1).tolist()
+                    ids.append(found[start:stop])
+                    size += stop - start
+                    begin, start = end, stop
+                    if size >= block_tokens:
+                        yield closed()
+                        docs, sizes, ids, size, block = [], [], [], 0, block + 1
+        if docs:
             yield closed()
 
     slim = docs.select(F.col("doc_id").cast("long"), "text")
@@ -207,7 +296,8 @@ def blocks(docs: DataFrame, vocabulary: str, block_tokens: int = 1 << 20) -> Dat
 
 
 def write(docs: DataFrame, path: str, vocabulary: str | None = None) -> str:
-    blocks(docs, vocabulary or tokens.vocabulary("byte_bpe_50k.json")).write.parquet(path)
+    with batches(docs.sparkSession, BATCH_ROWS):
+        blocks(docs, vocabulary or tokens.vocabulary("byte_bpe_50k.json")).write.parquet(path)
     return path
 
 

@@ -1,5 +1,6 @@
 """Encoding, packing and token files against the whole-text encoding of the library."""
 
+import random
 import zlib
 
 import numpy as np
@@ -132,6 +133,46 @@ def test_grammar_is_whole():
     assert len(g.sequence) <= 4 and g.expansions.max() == 4000
 
 
+def test_pairs_are_grouped_once(monkeypatch):
+    """A round groups the pairs it made, not the whole sequence again."""
+    seen, grouped = [], repair._grouped_pairs
+    monkeypatch.setattr(repair, "_grouped_pairs", lambda *a: (seen.append(len(a[0])), grouped(*a))[1])
+    rng = np.random.default_rng(4)
+    ids = np.concatenate([rng.zipf(1.3, 60000) % 4000, np.tile(rng.integers(1, 4000, 300), 30), np.ones(1001, np.int64)])
+    g = repair.compress(ids, 4000)
+    assert (repair.expand(g.sequence, g) == ids).all()
+    assert len(seen) > 10 and sum(seen) <= 3 * len(ids)
+
+
+def test_batches_of_texts_equal_the_library(monkeypatch):
+    """Units cut by the classes of characters; each different one is looked up once a batch."""
+    rng = random.Random(9)
+    common = ["a", "St", "re", "ll", "ve", "'", "'s", "'re", " ", "  ", "\n", "\t", "\r\n", "\x85", "\xa0", "é", "ß", "1", "²", "½", "!", ".", "\x00", "ɏ"]
+    odd = ["ɐ", "中", "\x1c", "\x1f", "\u2003", "😀", "<|endoftext|>"]
+    texts = ["".join(rng.choices(common if i % 5 else common + odd, k=rng.choice([0, 1, 2, 3, 9, 40]))) or None for i in range(3000)]
+    texts += ["x" * 5000, " " * 3000 + "x", "!" * 2500]
+    encoder = tokens.Encoder(tokens.vocabulary("byte_bpe_50k.json"))
+    ids, sizes = encoder.batch(texts)
+    want = [whole("byte_bpe_50k.json", t) for t in texts]
+    assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == np.concatenate(want).tolist()
+    assert [x.tolist() for x in encoder.batch([])] == [[], []]
+    looked = []
+    encode = encoder.units.encode
+    monkeypatch.setattr(encoder.units, "encode", lambda u: (looked.append(u), encode(u))[1])
+    encoder.batch(["some unseen words, some unseen words"] * 500)
+    assert len(looked) == len(set(looked)) < 8
+
+
+def test_blocks_close_behind_the_document_that_fills_them(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "word " * (i % 7)) for i in range(40)], "doc_id long, text string").coalesce(1)
+    rows = repair.blocks(docs, tokens.vocabulary("byte_bpe_50k.json"), block_tokens=20).orderBy("part", "block").collect()
+    assert [d for r in rows for d in r["doc_ids"]] == list(range(40))
+    for r in rows:
+        assert sum(r["lengths"][:-1]) < 20
+    for r, later in zip(rows, rows[1:]):
+        assert sum(r["lengths"]) >= 20 or later["part"] != r["part"]
+
+
 def test_packing_hands_few_texts_to_python_at_once(spark):
     docs = spark.range(2_500).coalesce(1).selectExpr("id AS doc_id", "'a text' AS text")
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
