@@ -35,10 +35,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from streamloom.llm.common import batches, stored
+from streamloom.llm.common import batches
+from streamloom.llm.common import stored as _table
 
-#: Spans that are broadcast at most, of 16 bytes each.
-BROADCAST_SPANS = 2_000_000
 #: Documents that a Python worker holds at once.
 BATCH_ROWS = 1_000
 
@@ -217,6 +216,11 @@ def smallest_owner(texts: list[bytes], owners: np.ndarray, window: int) -> list[
 # ---- the Spark job ------------------------------------------------------------------------------------------------
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """A table that ends its step: the shuffles behind it are no longer needed."""
+    return _table(df, f"passages-{name}", release=True)
+
+
 def _met(docs: DataFrame, p: Passages, anchor_bits=None) -> DataFrame:
     """(value, doc_id) of the anchors of a document, or, given the filter of anchors, of the pairs of windows that pass it.
     The 40 leading bits of the values do: what collides is only filtered less."""
@@ -255,7 +259,8 @@ _CHUNK = 1 << 13
 
 def _filter(met: DataFrame, p: Passages) -> np.ndarray:
     """Bits of the values met in several documents: a table of 2^filter_bits bits, whatever the data."""
-    return _bits(met.groupBy("value").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b"), p)
+    shared = met.groupBy("value").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
+    return _bits(stored(shared.select("value"), "shared"), p)
 
 
 def _bits(shared: DataFrame, p: Passages) -> np.ndarray:
@@ -271,7 +276,7 @@ def _bits(shared: DataFrame, p: Passages) -> np.ndarray:
         return pd.DataFrame({"chunk": [int(rows["chunk"].iloc[0])], "bits": [out.tobytes()]})
 
     out = np.zeros(max(_CHUNK, 1 << (p.filter_bits - 5)), np.uint32)
-    for r in words.groupBy("chunk").applyInPandas(packed, "chunk int, bits binary").toLocalIterator():
+    for r in stored(words.groupBy("chunk").applyInPandas(packed, "chunk int, bits binary"), "bits").toLocalIterator():
         out[r["chunk"] * _CHUNK : (r["chunk"] + 1) * _CHUNK] = np.frombuffer(r["bits"], np.uint32)
     return out
 
@@ -396,10 +401,10 @@ def covered(docs: DataFrame, p: Passages = Passages()) -> DataFrame:
     texts = whole.select("doc_id", "text")
     anchor_bits = share(_filter(_met(texts, p), p))
     pair_bits = share(_filter(_met(texts, p, anchor_bits), p))
-    held = stored(_stretches(whole, anchor_bits, pair_bits, p), "passages-stretches")
+    held = stored(_stretches(whole, anchor_bits, pair_bits, p), "stretches")
     names = ["anchor", "digest"]
-    named = stored(held.groupBy(names).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.max("windows").alias("windows")), "passages-names")
-    several = stored(several_stretches(named, p), "passages-anchors")
+    named = stored(held.groupBy(names).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.max("windows").alias("windows")), "names")
+    several = stored(several_stretches(named, p), "anchors")
     text_bits = share(_bits(several.select(F.shiftrightunsigned("anchor", 24).alias("value")), p))
     texts = _stretches(whole, anchor_bits, pair_bits, p, text_bits)
     different = texts.groupBy(*names, "stretch").agg(F.min("doc_id").alias("least"))
@@ -407,11 +412,12 @@ def covered(docs: DataFrame, p: Passages = Passages()) -> DataFrame:
     if many.isEmpty():
         runs = _sorted_blocks(different, p)
     else:
-        different = stored(different, "passages-different")
+        different = stored(different, "different")
         runs = _sorted_blocks(different.join(many, "anchor", "left_anti"), p)
         runs = runs.union(_single_windows(different.join(many, "anchor", "left_semi"), p))
     equal = named.where("least < most").select(*names, F.lit(0).alias("start"), F.lit(None).cast("int").alias("stop"), "least")
-    gone = held.join(equal.union(stored(runs, "passages-runs")), names).where("least < doc_id")
+    # Joined by shuffles at every size: what fits a broadcast in a small corpus does not in a large one.
+    gone = held.join(equal.union(stored(runs, "runs")).hint("merge"), names).where("least < doc_id")
     last = F.coalesce("stop", "windows") - 1 + p.window
     span = F.struct((F.col("first") + F.col("start")).alias("start"), (F.col("first") + last).alias("stop"))
     return gone.groupBy("doc_id", "version").agg(F.collect_set(span).alias("spans"))
@@ -427,12 +433,10 @@ def several_stretches(named: DataFrame, p: Passages) -> DataFrame:
 
 def _applied(docs: DataFrame, p: Passages) -> DataFrame:
     """The documents with `__spans`, null where nothing goes."""
-    gone = stored(covered(docs, p).withColumnsRenamed({"doc_id": "__id", "version": "__v", "spans": "__spans"}), "passages-spans")
-    size = gone.agg(F.sum(F.size("__spans") + 4)).first()[0] or 0
-    gone = F.broadcast(gone) if size <= BROADCAST_SPANS else gone  # beyond that, the texts are joined by a shuffle
+    gone = stored(covered(docs, p).withColumnsRenamed({"doc_id": "__id", "version": "__v", "spans": "__spans"}), "spans")
     own = docs.withColumn("__version", F.hash("text"))
     on = (own["doc_id"] == gone["__id"]) & (own["__version"] == gone["__v"])
-    return own.join(gone, on, "left").drop("__id", "__v", "__version")
+    return own.join(gone.hint("merge"), on, "left").drop("__id", "__v", "__version")
 
 
 def merged(spans: list) -> list[tuple[int, int]]:
@@ -466,4 +470,4 @@ def report(docs: DataFrame, p: Passages = Passages()) -> DataFrame:
     with batches(docs.sparkSession, BATCH_ROWS):
         rows = _applied(docs.select(F.col("doc_id").cast("long"), "text"), p)
         measured = rows.mapInPandas(measure, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-        return stored(measured, "passages-report")
+        return stored(measured, "report")

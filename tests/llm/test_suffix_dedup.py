@@ -2,11 +2,14 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from streamloom.llm import suffix_dedup as sd
+from streamloom.llm.common import stored
 from tests.llm.helpers import documents, empty_documents, odd_documents
 
 
@@ -95,6 +98,36 @@ def test_few_texts_are_with_python_at_once(spark, monkeypatch):
     assert seen == [str(sd.BATCH_ROWS)] and spark.conf.get(key) == before
 
 
+def test_shuffles_go_with_the_tables_they_made(spark):
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def left(release):
+        def files():
+            found = blocks.getAllFiles()
+            return {str(found.apply(i)) for i in range(found.size()) if "shuffle_" in str(found.apply(i))}
+
+        before = files()
+        stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counted", release=release)
+        for _ in range(50):
+            if not (more := files() - before) or not release:
+                break
+            time.sleep(0.2)
+        return len(more)
+
+    before = spark.conf.get(key)
+    assert left(False) and not left(True) and spark.conf.get(key) == before
+
+
+def test_joins_do_not_depend_on_the_size(spark, monkeypatch):
+    plans, table = [], sd._table
+    monkeypatch.setattr(sd, "_table", lambda df, name, **kw: (plans.append((name, df._jdf.queryExecution().toString(), kw)), table(df, name, **kw))[1])
+    assert sd.report(documents(spark)).count() == documents(spark).count()
+    assert {n for n, _, _ in plans} >= {"passages-shared", "passages-bits", "passages-spans", "passages-report"}
+    assert all(kw == {"release": True} and "BroadcastHashJoin" not in plan for _, plan, kw in plans)
+    assert sum("SortMergeJoin" in plan for _, plan, _ in plans) == 2
+
+
 @pytest.mark.parametrize("seed", range(8))
 def test_suffix_order(seed):
     rng = np.random.default_rng(seed)
