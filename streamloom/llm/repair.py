@@ -54,33 +54,35 @@ class Grammar:
 def _grouped_pairs(at: np.ndarray, a: np.ndarray, b: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places (ascending) of pairs without END_ID that occur more than once, equal pairs together and ascending; the sizes of
     these groups, and their pairs (the first symbol 32 bits up)."""
-    keep = np.flatnonzero((a != END_ID) & (b != END_ID))
-    at, key, b = at[keep], a[keep].astype(np.int64), b[keep]
     bits, places = int(top).bit_length(), int(at.max(initial=0)).bit_length()
     if 2 * bits + places < 64:  # one sort of plain integers
+        key = a.astype(np.int64)
         key <<= bits
         key |= b
         key <<= places
         key |= at
         key.sort()
-        at = (key & ((1 << places) - 1)).astype(np.int32)
-        key >>= places
+        at, key = key, key >> places
     else:
-        bits, key = 32, (key << 32) | b
+        bits, places, key = 32, 32, (a.astype(np.int64) << 32) | b
         order = np.lexsort((at, key))
-        at, key = at[order], key[order]
+        at, key = at[order].astype(np.int64), key[order]
     edge = np.ones(len(key) + 1, bool)
     np.not_equal(key[1:], key[:-1], out=edge[1:-1])
-    begins = np.flatnonzero(edge)
-    sizes = np.diff(begins)
-    often = sizes > 1
-    first = key[begins[:-1][often]]
-    return at[~(edge[1:] & edge[:-1])], sizes[often], ((first >> bits) << 32) | (first & ((1 << bits) - 1))
+    edge = np.flatnonzero(edge) if len(key) else np.zeros(1, np.int64)
+    begins, sizes = edge[:-1], np.diff(edge)
+    often = np.flatnonzero(sizes > 1)
+    pair = key[begins[often]]
+    a, b = pair >> bits, pair & ((1 << bits) - 1)
+    inside = (a != END_ID) & (b != END_ID)
+    often = often[inside]
+    found = at[_ranges(begins[often], sizes[often])] & ((1 << places) - 1)
+    return found.astype(np.int32), sizes[often], a[inside] << 32 | b[inside]
 
 
 def _ranges(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     ends = np.cumsum(sizes)
-    return np.arange(ends[-1]) + np.repeat(begins - (ends - sizes), sizes)
+    return np.arange(sizes.sum()) + np.repeat(begins - (ends - sizes), sizes)
 
 
 def _settled(at: np.ndarray, which: np.ndarray, behind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -203,7 +205,7 @@ def expand(symbols: np.ndarray, g: Grammar) -> np.ndarray:
     symbols = symbols.astype(np.int64)
     own = sizes[np.maximum(symbols - first + 1, 0)]
     at = np.cumsum(own) - own
-    out = np.empty(int(own.sum()), np.int64)
+    out = np.empty(int(own.sum()), "<u4")
     while len(symbols):
         out[at] = symbols  # a rule's place is taken by its symbols later
         made = np.flatnonzero(symbols >= first)
@@ -310,7 +312,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             for row in frame.itertuples(index=False):
                 rules = np.frombuffer(row.rules, "<u4").astype(np.int64).reshape(-1, 2)
                 g = Grammar(row.first_rule, rules, np.frombuffer(row.expansions, "<u4").astype(np.int64), np.frombuffer(row.sequence, f"<u{row.width}"))
-                ids = expand(g.sequence, g).astype("<u4").tobytes()
+                ids = memoryview(expand(g.sequence, g)).cast("B")
                 ends = 4 * np.cumsum(row.lengths)
                 begins = ends - 4 * np.asarray(row.lengths)
                 yield pd.DataFrame(
