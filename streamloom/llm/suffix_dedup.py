@@ -41,13 +41,14 @@ from streamloom.llm.common import stored as _table
 #: Documents that a Python worker holds at once.
 BATCH_ROWS = 1_000
 
-_VALUES = np.random.default_rng(8).integers(0, 1 << 63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
 @dataclass(frozen=True)
 class Passages:
     window: int = 50
+    #: Bytes of a gram, 8 at least.
     gram: int = 16
     #: Bytes of stretches after which a block is sorted, and stretches of the longest kind whose bytes an anchor's different
     #: stretches have at most to stay together; with the longest stretch they keep a block below 2^_BITS bytes.
@@ -58,14 +59,19 @@ class Passages:
     filter_bits: int = 27
 
 
-def _gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all k-grams by doubling (k is a power of two): a 2j-gram is two j-grams."""
-    out, size = _VALUES[data], 1
-    while size < k:
-        out = out[:-size] * _BASE + (out[size:] ^ (out[size:] >> np.uint64(31)))
-        size *= 2
-    out = (out ^ (out >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return out ^ (out >> np.uint64(32))
+def _mixed(x: np.ndarray) -> np.ndarray:
+    return (x ^ (x >> np.uint64(29))) * _MIX
+
+
+def _gram_hashes(data: bytes, k: int) -> np.ndarray:
+    """Hashes of all k-grams from the 8-byte words that cover them; their leading bits are mixed best."""
+    words = np.ndarray(len(data) - 7, "<u8", data, strides=(1,)) * _BASE
+    words ^= words >> np.uint64(32)
+    n = len(data) - k + 1
+    out = words[:n]
+    for at in range(8, k, 8):
+        out = out * _BASE + words[min(at, k - 8) :][:n]
+    return _mixed(out)
 
 
 def _slide(x: np.ndarray, span: int, n: int, pick: np.ufunc) -> np.ndarray:
@@ -77,47 +83,82 @@ def _slide(x: np.ndarray, span: int, n: int, pick: np.ufunc) -> np.ndarray:
     return pick(x[:n], x[span - size : span - size + n])
 
 
-def anchors(data: np.ndarray, p: Passages, pairs: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
-    """The anchor and, if asked for, the pair of every window of the bytes."""
-    n = len(data) - p.window + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    grams, span = _gram_hashes(data, p.gram), p.window - p.gram + 1
-    low = _slide(grams, span, n, np.minimum)
-    if not pairs:
-        return low, None
-    pair = (low * _BASE) ^ _slide(grams, span, n, np.maximum)
-    return low, (pair ^ (pair >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+def _begins(*values: np.ndarray) -> np.ndarray:
+    """Places from which on one of the values is another than before, the first included."""
+    new = np.zeros(len(values[0]), bool)
+    new[:1] = True
+    for x in values:
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
 
 
 @dataclass(frozen=True)
 class _Joined:
-    """Texts one behind the other, worked on as one array: the place of every window that lies in one text, the text it
-    lies in, and the windows that begin a text."""
+    """Texts one behind the other, worked on as one array. A window has the number of the byte it begins at; `begins` and
+    `stops` bound the windows of the texts (`number`) that have any. Windows that reach into the next text are in no run."""
 
     data: bytes
     offsets: np.ndarray
-    place: np.ndarray
-    of: np.ndarray
+    number: np.ndarray
     begins: np.ndarray
+    stops: np.ndarray
+    grams: np.ndarray
 
     @classmethod
-    def make(cls, texts: list[bytes], window: int) -> "_Joined":
+    def make(cls, texts: list[bytes], p: Passages) -> "_Joined":
         sizes = np.array([len(x) for x in texts], np.int64)
-        windows = np.maximum(sizes - window + 1, 0)
-        offsets, before = np.cumsum(sizes) - sizes, np.cumsum(windows) - windows
-        of = np.repeat(np.arange(len(texts)), windows)
-        return cls(b"".join(texts), offsets, np.arange(len(of)) + (offsets - before)[of], of, before[windows > 0])
-
-    def anchors(self, p: Passages, pairs: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
-        low, pair = anchors(np.frombuffer(self.data, np.uint8), p, pairs)
-        return low[self.place], pair[self.place] if pairs else None
-
-    def changes(self, x: np.ndarray) -> np.ndarray:
-        new = np.ones(len(x), bool)
-        new[1:] = x[1:] != x[:-1]
-        new[self.begins] = True
-        return np.flatnonzero(new)
+        offsets = np.cumsum(sizes) - sizes
+        number, data = np.flatnonzero(sizes >= p.window), b"".join(texts)
+        begins, stops = offsets[number], (offsets + sizes)[number] - p.window + 1
+        return cls(data, offsets, number, begins, stops, _gram_hashes(data, p.gram) if len(number) else np.zeros(0, np.uint64))
+
+    def picked(self, p: Passages, pick: np.ufunc) -> np.ndarray:
+        """The smallest or largest hash of the grams of every window."""
+        return _slide(self.grams, p.window - p.gram + 1, len(self.data) - p.window + 1, pick) if len(self.number) else self.grams
+
+    def runs(self, *values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First window, the one behind the last, and text of the runs of windows with equal values."""
+        new = np.zeros(len(values[0]) + 1, bool)
+        for x in values:
+            new[1:-1] |= x[1:] != x[:-1]
+        new[self.begins] = new[self.stops] = True
+        at = np.flatnonzero(new)
+        low = np.searchsorted(at, self.begins)
+        count = np.searchsorted(at, self.stops) - low
+        i = np.arange(count.sum()) + np.repeat(low - (np.cumsum(count) - count), count)
+        return at[i], at[i + 1], np.repeat(self.number, count)
+
+    def anchors(self, p: Passages) -> tuple[np.ndarray, np.ndarray]:
+        """Anchor and text of the runs of windows with one anchor."""
+        low = self.picked(p, np.minimum)
+        at, _, of = self.runs(low)
+        return low[at], of
+
+    def pairs(self, p: Passages, passes) -> tuple[np.ndarray, ...]:
+        """First window, the one behind the last, text, anchor and pair of the runs of windows with one pair, where the anchor
+        passes."""
+        low, high = self.picked(p, np.minimum), self.picked(p, np.maximum)
+        at, stop, of = self.runs(low, high)
+        anchor = low[at]
+        new = _begins(anchor, of)
+        ok = np.repeat(passes(anchor[new]), np.diff(np.append(new, len(anchor))))
+        at, stop, of, anchor = at[ok], stop[ok], of[ok], anchor[ok]
+        return at, stop, of, anchor, _mixed((anchor * _BASE) ^ high[at])
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse."""
+    return np.multiply.accumulate(np.full(n, _BASE)), np.multiply.accumulate(np.full(n, _INVERSE))
+
+
+def _digests(grams: np.ndarray, first: np.ndarray, size: np.ndarray, powers: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """64 bits of `size` grams from `first` on each: the hashes times the powers of the base, summed up from the left, so that
+    one difference of sums has a stretch, and the inverse of its first power makes it the same at every place."""
+    sums = np.zeros(len(grams) + 1, np.uint64)
+    np.cumsum(grams * powers[0][: len(grams)], out=sums[1:])
+    x = (sums[first + size] - sums[first]) * powers[1][first] + size.astype(np.uint64) * _MIX
+    x = _mixed(x ^ (x >> np.uint64(32)))
+    return x ^ (x >> np.uint64(32))
 
 
 #: Bytes of texts that are worked on as one array.
@@ -161,56 +202,66 @@ def suffix_order(s: np.ndarray, depth: int) -> np.ndarray:
     # One more sample at n when n % 3 == 1 keeps the halves apart in the recursion.
     ones, twos = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)
     sample = np.concatenate([ones, twos])
-    order, names, count = _names((((t[sample] << _BITS) | t[sample + 1]) << _BITS) | t[sample + 2])
+    pairs = (t[:-1] << _BITS) | t[1:]
+    triples = (pairs[:-1] << _BITS) | t[2:]
+    order, names, count = _names(np.concatenate([triples[1 : n + (n % 3 == 1) : 3], triples[2:n:3]]))
     if count < len(sample) and depth > 3:
         order = suffix_order(names, -(-depth // 3))
     # Beyond the depth any order does, as long as it is one order.
     rank = np.zeros(n + 6, np.int64)
-    rank[sample[order]] = np.arange(1, len(sample) + 1)
     ordered = sample[order]
-    ordered = ordered[ordered < n]
-    by_one, by_two = ordered[ordered % 3 == 1], ordered[ordered % 3 == 2]
-    rest = np.arange(0, n, 3)
+    rank[ordered] = np.arange(1, len(sample) + 1)
+    one = order < len(ones)
+    if n % 3 == 1:
+        inside = ordered < n
+        order, ordered, one = order[inside], ordered[inside], one[inside]
     # A remaining suffix compares with samples of either kind by symbols and the rank behind them.
-    one_key = lambda i: (t[i] << _BITS) | rank[i + 1]
-    two_key = lambda i: (((t[i] << _BITS) | t[i + 1]) << _BITS) | rank[i + 2]
-    rest = rest[np.argsort(one_key(rest))]
-    before = np.searchsorted(one_key(by_one), one_key(rest)) + np.searchsorted(two_key(by_two), two_key(rest))
+    one_key = lambda first: (t[first:n:3] << _BITS) | rank[first + 1 : n + 1 : 3]
+    two_key = lambda first: (pairs[first:n:3] << _BITS) | rank[first + 2 : n + 2 : 3]
+    key = one_key(0)
+    rest = np.argsort(key)
+    before = np.searchsorted(one_key(1)[order[one]], key[rest])
+    before += np.searchsorted(two_key(2)[order[~one] - len(ones)], two_key(0)[rest])
     at = np.maximum.accumulate(before) + np.arange(len(rest))
     out, free = np.empty(n, np.int64), np.ones(n, bool)
-    out[at] = rest
+    out[at] = rest * 3
     free[at] = False
     out[free] = ordered
     return out
 
 
-def smallest_owner(texts: list[bytes], owners: np.ndarray, window: int) -> list[np.ndarray]:
-    """For every window of every text, the smallest owner of any text in the block that holds an equal window."""
+def smaller_owners(texts: list[bytes], owners: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """Runs of windows (text, first, the one behind the last, owner) that are found in the block with a smaller owner than
+    their text's, the smallest there."""
     # A separator per text that no byte equals; windows never reach across it.
-    raw = np.frombuffer(b"\0".join([*texts, b""]), np.uint8)
-    sizes = np.array([len(x) + 1 for x in texts])
+    data = b"\0".join([*texts, bytes(window + 8)])
+    sizes = np.array([len(x) + 1 for x in texts], np.int64)
     ends = np.cumsum(sizes)
-    data = raw.astype(np.int64) + 2
-    data[ends - 1] = 1
-    of = np.repeat(np.arange(len(texts)), sizes)
-    order = suffix_order(data, window)
-    order = order[ends[of[order]] - 1 - order >= window]
+    n = int(ends[-1])
+    symbols = np.frombuffer(data, np.uint8)[:n].astype(np.int64) + 2
+    symbols[ends - 1] = 1
+    whole = np.repeat(ends - window, sizes) > np.arange(n)
+    order = suffix_order(symbols, window)
+    order = order[whole[order]]
     # Equal prefixes of adjacent suffixes, eight bytes at a time.
-    padded = np.concatenate([raw, np.zeros(window + 8, np.uint8)]).astype(np.uint64)
-    words = padded[: len(raw) + window]
-    for k in range(1, 8):
-        words = (words << np.uint64(8)) | padded[k : k + len(words)]
-    same = np.ones(max(0, len(order) - 1), bool)
+    words = np.ndarray(n + window, "<u8", data, strides=(1,)).copy()
+    begins = np.ones(len(order), bool)
+    begins[1:] = False
     for k in [*range(0, window - 8, 8), window - 8]:
-        c = words[order + k]
-        same &= c[1:] == c[:-1]
-    run = np.cumsum(np.concatenate([[True], ~same])) - 1 if len(order) else np.zeros(0, np.int64)
-    best = np.zeros(len(data), np.int64)
-    if len(run):
-        least = np.minimum.reduceat(owners[of[order]], np.flatnonzero(np.concatenate([[True], ~same])))
-        best[order] = least[run]
-    begins = ends - sizes
-    return [best[b : b + max(0, n - window)] for b, n in zip(begins.tolist(), sizes.tolist())]
+        c = words[k : k + n].take(order)
+        begins[1:] |= c[1:] != c[:-1]
+    begins = np.flatnonzero(begins)
+    own = np.repeat(owners, sizes)
+    best = own.copy()
+    if len(begins):
+        least = np.minimum.reduceat(own[order], begins)
+        best[order] = np.repeat(least, np.diff(np.append(begins, len(order))))
+    at = np.flatnonzero(best < own)
+    new = _begins(at - np.arange(len(at)), best[at])
+    first, last, of = at[new], at[np.append(new[1:], len(at)) - 1] if len(at) else at, np.repeat(np.arange(len(texts)), sizes)
+    text = of[first]
+    offset = (ends - sizes)[text]
+    return text, first - offset, last + 1 - offset, best[first]
 
 
 # ---- the Spark job ------------------------------------------------------------------------------------------------
@@ -226,29 +277,27 @@ def _met(docs: DataFrame, p: Passages, anchor_bits=None) -> DataFrame:
     The 40 leading bits of the values do: what collides is only filtered less."""
 
     def values(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Values of the texts, and the text of each."""
-        joined = _Joined.make(texts, p.window)
-        low, pair = joined.anchors(p, pairs=anchor_bits is not None)
-        at = joined.changes(low)
+        """Values of the texts, and the text of each, none twice."""
+        joined = _Joined.make(texts, p)
         if anchor_bits is None:
-            return low[at] >> np.uint64(24), joined.of[at]
-        passes = np.repeat(_passes(anchor_bits.value, low[at], p), np.diff(np.append(at, len(low))))
-        at = joined.changes(pair)
-        at = at[passes[at]]
-        return pair[at] >> np.uint64(24), joined.of[at]
+            value, of = joined.anchors(p)
+        else:
+            *_, of, _, value = joined.pairs(p, lambda x: _passes(anchor_bits.value, x, p))
+        both = np.sort((of.astype(np.uint64) << np.uint64(40)) | (value >> np.uint64(24)))
+        both = both[_begins(both)]
+        return both & np.uint64((1 << 40) - 1), (both >> np.uint64(40)).astype(np.int64)
 
     def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found, size = [], 0
         for rows, texts in _batches(frames):
             value, of = values(texts)
-            one = pd.DataFrame({"value": value.view(np.int64), "doc_id": rows["doc_id"].to_numpy(np.int64)[of]})
-            found.append(one.drop_duplicates())
+            found.append((value.view(np.int64), rows["doc_id"].to_numpy(np.int64)[of]))
             size += len(value)
             if size > 200_000:
-                yield pd.concat(found)
+                yield pd.DataFrame(dict(zip(("value", "doc_id"), map(np.concatenate, zip(*found)))))
                 found, size = [], 0
         if found:
-            yield pd.concat(found)
+            yield pd.DataFrame(dict(zip(("value", "doc_id"), map(np.concatenate, zip(*found)))))
 
     return docs.mapInPandas(find, "value long, doc_id long")
 
@@ -293,44 +342,41 @@ def _stretches(docs: DataFrame, anchor_bits, pair_bits, p: Passages, text_bits=N
     """(anchor, digest, doc_id, version, first, windows) of the stretches: 64 bits tell stretches of one anchor apart. Given
     the filter of the anchors whose text is wanted, (anchor, digest, doc_id, stretch) of theirs."""
 
-    def places(joined: _Joined) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(anchor, first window, windows) of the stretches, windows numbered over the texts."""
-        low, pair = joined.anchors(p)
-        at = joined.changes(low)
-        ok = _passes(anchor_bits.value, low[at], p)
-        if text_bits is not None:
-            ok &= _passes(text_bits.value, low[at], p)
-        keep = np.repeat(ok, np.diff(np.append(at, len(low))))
-        at = joined.changes(pair)
-        ok = keep[at]
-        ok[ok] = _passes(pair_bits.value, pair[at[ok]], p)
-        keep &= np.repeat(ok, np.diff(np.append(at, len(low))))
-        kept = np.flatnonzero(keep)
-        if not len(kept):
-            return low[:0], kept, kept
-        of = joined.of[kept]
-        cut = np.concatenate([[True], (np.diff(kept) > 1) | (low[kept[1:]] != low[kept[:-1]]) | (of[1:] != of[:-1])])
-        begins = np.flatnonzero(cut)
-        if len(kept) > p.longest:
-            inside = np.arange(len(kept)) - begins[np.cumsum(cut) - 1]
-            begins = np.flatnonzero(cut | (inside % p.longest == 0))
-        return low[kept[begins]], kept[begins], np.diff(np.append(begins, len(kept)))
+    def passes(anchor: np.ndarray) -> np.ndarray:
+        ok = np.ones(len(anchor), bool)
+        for bits in (text_bits, anchor_bits) if text_bits is not None else (anchor_bits,):
+            ok[ok] = _passes(bits.value, anchor[ok], p)
+        return ok
+
+    def places(joined: _Joined) -> tuple[np.ndarray, ...]:
+        """(anchor, first window, windows, text) of the stretches."""
+        at, stop, of, anchor, pair = joined.pairs(p, passes)
+        ok = _passes(pair_bits.value, pair, p)
+        at, stop, of, anchor = at[ok], stop[ok], of[ok], anchor[ok]
+        begins = np.append(_begins(np.cumsum(stop - at) - stop, anchor, of), len(at))
+        first, of, anchor = at[begins[:-1]], of[begins[:-1]], anchor[begins[:-1]]
+        windows = stop[begins[1:] - 1] - first
+        parts = -(-windows // p.longest)
+        i = np.repeat(np.arange(len(parts)), parts)
+        inside = (np.arange(len(i)) - np.repeat(np.cumsum(parts) - parts, parts)) * p.longest
+        return anchor[i], first[i] + inside, np.minimum(windows[i] - inside, p.longest), of[i]
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        more, digest = p.window - 1, hashlib.blake2b
+        more, powers = p.window - 1, _powers(_JOIN)
         out, size = [], 0
         for rows, texts in _batches(frames):
-            joined = _Joined.make(texts, p.window)
-            h, window, windows = places(joined)
-            first, of = joined.place[window], joined.of[window]
-            parts = [joined.data[f:e] for f, e in zip(first.tolist(), (first + windows + more).tolist())]
-            names = np.frombuffer(b"".join([digest(x, digest_size=8).digest() for x in parts]), np.int64)
-            one = {"anchor": h.view(np.int64), "digest": names, "doc_id": rows["doc_id"].to_numpy(np.int64)[of]}
+            joined = _Joined.make(texts, p)
+            h, first, windows, of = places(joined)
+            if len(joined.grams) > len(powers[0]):
+                powers = _powers(len(joined.grams))
+            names = _digests(joined.grams, first, windows + (p.window - p.gram), powers)
+            one = {"anchor": h.view(np.int64), "digest": names.view(np.int64), "doc_id": rows["doc_id"].to_numpy(np.int64)[of]}
             if text_bits is None:
                 one["version"] = rows["version"].to_numpy(np.int32)[of]
                 one |= {"first": (first - joined.offsets[of]).astype(np.int32), "windows": windows.astype(np.int32)}
                 size += len(h) * 32
             else:
+                parts = [joined.data[f:e] for f, e in zip(first.tolist(), (first + windows + more).tolist())]
                 one["stretch"] = np.array(parts, object)
                 size += sum(map(len, parts))
             out.append(one)
@@ -351,34 +397,35 @@ def _sorted_blocks(rows: DataFrame, p: Passages) -> DataFrame:
     """(anchor, digest, start, stop, least): runs of windows of a stretch with their smallest doc_id, where it is below the
     smallest of the stretch. `rows` has the different stretches, (anchor, digest, stretch, least)."""
 
-    def solve(block: list[tuple]) -> pd.DataFrame:
-        owners = np.array([r[3] for r in block], np.int64)
-        found = smallest_owner([r[2] for r in block], owners, p.window)
-        out = []
-        for (anchor, digest, _, least), best in zip(block, found, strict=True):
-            if not (best < least).any():
-                continue
-            cut = np.flatnonzero(np.r_[True, best[1:] != best[:-1]])
-            for s, e in zip(cut.tolist(), [*cut[1:].tolist(), len(best)]):
-                if best[s] < least:
-                    out.append((anchor, digest, s, e, int(best[s])))
-        return pd.DataFrame(out, columns=["anchor", "digest", "start", "stop", "least"])
+    names = ["anchor", "digest", "stretch", "least"]
+
+    def solve(block: list[list[np.ndarray]]) -> pd.DataFrame:
+        anchor, digest, stretch, owner = map(np.concatenate, zip(*block))
+        text, start, stop, least = smaller_owners(stretch.tolist(), owner, p.window)
+        return pd.DataFrame({"anchor": anchor[text], "digest": digest[text], "start": start, "stop": stop, "least": least})
 
     def blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         block, size, last = [], 0, None
         for frame in frames:
-            for row in zip(*[frame[c] for c in ("anchor", "digest", "stretch", "least")], strict=True):
-                if row[0] != last and size >= p.block_bytes:
-                    yield solve(block)
-                    block, size = [], 0
-                block.append(row)
-                size += len(row[2])
-                last = row[0]
+            columns = [frame[c].to_numpy() for c in names]
+            ends = np.cumsum([len(x) for x in columns[2]])
+            before, new = np.append(0, ends), _begins(columns[0])
+            if len(new) and columns[0][0] == last:
+                new = new[1:]
+            begin = 0
+            # A block ends before the first new anchor that has enough bytes behind it.
+            while (i := np.searchsorted(before[new], before[begin] + p.block_bytes - size)) < len(new):
+                block.append([x[begin : new[i]] for x in columns])
+                yield solve(block)
+                block, size, begin = [], 0, int(new[i])
+            if len(frame):
+                block.append([x[begin:] for x in columns])
+                size, last = size + int(before[-1] - before[begin]), columns[0][-1]
         if block:
             yield solve(block)
 
     dealt = rows.repartition("anchor").sortWithinPartitions("anchor")
-    return dealt.select("anchor", "digest", "stretch", "least").mapInPandas(blocks, _RUNS)
+    return dealt.select(*names).mapInPandas(blocks, _RUNS)
 
 
 def _single_windows(rows: DataFrame, p: Passages) -> DataFrame:

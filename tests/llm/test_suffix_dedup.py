@@ -1,10 +1,13 @@
 """Passage removal against brute force; the suffix order against sorting."""
 
+import cProfile
 import hashlib
+import pstats
 import random
 import time
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,3 +140,102 @@ def test_suffix_order(seed):
         short = sd.suffix_order(s, 9)
         prefixes = [s[i : i + 9].tolist() for i in short]
         assert prefixes == sorted(prefixes) and sorted(short.tolist()) == list(range(n))
+
+
+class Frames:
+    """Rows that are handed to a Python step here."""
+
+    def __init__(self, *frames):
+        self.frames = frames
+
+    def repartition(self, *names):
+        return self
+
+    sortWithinPartitions = select = repartition
+
+    def mapInPandas(self, step, schema):
+        return list(step(iter(self.frames)))
+
+
+def calls(step):
+    profile = cProfile.Profile()
+    out = profile.runcall(step)
+    return out, pstats.Stats(profile).total_calls
+
+
+class Bits:
+    def __init__(self, p):
+        self.value = np.full(1 << (p.filter_bits - 5), 0xFFFFFFFF, np.uint32)
+
+
+def test_stretches_are_named_and_sorted_without_calls_for_each():
+    rng, p = random.Random(8), sd.Passages(filter_bits=20)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(3000)) for _ in range(40)]
+    docs = pd.DataFrame({"doc_id": range(40), "version": 1, "text": texts})
+    frames, n = calls(lambda: sd._stretches(Frames(docs), Bits(p), Bits(p), p))
+    held = pd.concat(frames)
+    assert len(held) > 5_000 and n < len(held)
+    assert held.groupby("doc_id")["windows"].sum().tolist() == [3000 - p.window + 1] * 40
+    rows = pd.DataFrame({"anchor": 7, "digest": range(3000), "least": range(3000, 0, -1)})
+    rows["stretch"] = [x.encode()[at : at + 60] for x in texts for at in range(0, 75 * 12, 12)]
+    frames, n = calls(lambda: sd._sorted_blocks(Frames(rows), p))
+    # Neighbours share no window, as they are 12 bytes apart and have 11 windows; their owners fall.
+    assert not len(pd.concat(frames)) and n < 4 * len(rows)
+
+
+def test_stretches_have_one_name_wherever_they_lie():
+    p = sd.Passages(filter_bits=20, longest=16)
+    grown = b"a"
+    while len(grown) < 4096:
+        grown += bytes(97 + 98 - x for x in grown)
+    rng = random.Random(9)
+    other = "".join(rng.choice("abé ") for _ in range(90_000))
+    texts = [grown.decode(), grown.translate(bytes.maketrans(b"ab", b"ba")).decode(), "ab" * 300, other, "xyz" + other[:5000], other[-500:]]
+    docs = pd.DataFrame({"doc_id": range(len(texts)), "version": 1, "text": texts})
+    held = pd.concat(sd._stretches(Frames(docs.iloc[:4], docs.iloc[4:]), Bits(p), Bits(p), p))
+    data = [x.encode() for x in texts]
+    held["text"] = [data[d][f : f + w + p.window - 1] for d, f, w in zip(held["doc_id"], held["first"], held["windows"])]
+    assert (held.groupby(["anchor", "digest"])["text"].nunique() == 1).all()
+    assert (held.groupby("text")["digest"].nunique() == 1).all()
+    texts = pd.concat(sd._stretches(Frames(docs), Bits(p), Bits(p), p, Bits(p)))
+    assert sorted(zip(texts["digest"], texts["stretch"])) == sorted(zip(held["digest"], held["text"]))
+
+
+@pytest.mark.parametrize("frame", [1, 7, 1000])
+def test_sorted_blocks_find_the_smallest_owner(frame):
+    rng = random.Random(10)
+    rows = []
+    for anchor in range(6):
+        core = "".join(rng.choice("ab") for _ in range(70))
+        for i in range(rng.choice([1, 2, 9])):
+            text = core[rng.randrange(20) :] + "".join(rng.choice("ab") for _ in range(rng.choice([0, 3, 40])))
+            rows.append((anchor, i, text.encode(), rng.randrange(50)))
+    rows.append((9, 0, b"\0" * 60, 5))
+    rows.append((9, 1, b"\0" * 70, 4))
+    all_rows = pd.DataFrame(rows, columns=["anchor", "digest", "stretch", "least"])
+    frames = [all_rows.iloc[i : i + frame] for i in range(0, len(rows), frame)]
+    for block in (1, 200, 1 << 19):
+        found = {}
+        for r in pd.concat(sd._sorted_blocks(Frames(*frames), sd.Passages(block_bytes=block))).itertuples(index=False):
+            for at in range(r.start, r.stop):
+                found[r.anchor, r.digest, at] = r.least
+        least = {}
+        for anchor, _, text, owner in rows:
+            for at in range(len(text) - 49):
+                key = (anchor, text[at : at + 50])
+                least[key] = min(owner, least.get(key, owner))
+        expected = {}
+        for anchor, digest, text, owner in rows:
+            for at in range(len(text) - 49):
+                if least[anchor, text[at : at + 50]] < owner:
+                    expected[anchor, digest, at] = least[anchor, text[at : at + 50]]
+        assert found == expected
+
+
+def test_texts_longer_than_a_batch(spark):
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcdefgh é") for _ in range(n))
+    passage = word(70)
+    rows = [(3, word(70_000) + passage + word(70_000)), (1, passage), (2, ""), (4, word(49)), (5, word(10) + passage[5:66])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(repr(tuple(r)) for r in sd.report(docs).collect()) == brute(rows)
