@@ -42,7 +42,6 @@ from streamloom.llm.common import stored as _table
 BATCH_ROWS = 1_000
 
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
 @dataclass(frozen=True)
@@ -146,19 +145,20 @@ class _Joined:
         return at, stop, of, anchor, _mixed((anchor * _BASE) ^ high[at])
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse."""
-    return np.multiply.accumulate(np.full(n, _BASE)), np.multiply.accumulate(np.full(n, _INVERSE))
-
-
-def _digests(grams: np.ndarray, first: np.ndarray, size: np.ndarray, powers: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """64 bits of `size` grams from `first` on each: the hashes times the powers of the base, summed up from the left, so that
-    one difference of sums has a stretch, and the inverse of its first power makes it the same at every place."""
-    sums = np.zeros(len(grams) + 1, np.uint64)
-    np.cumsum(grams * powers[0][: len(grams)], out=sums[1:])
-    x = (sums[first + size] - sums[first]) * powers[1][first] + size.astype(np.uint64) * _MIX
-    x = _mixed(x ^ (x >> np.uint64(32)))
-    return x ^ (x >> np.uint64(32))
+def _digests(grams: np.ndarray, k: int, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64 bits of the `size` bytes from `first` on, each: a chain over the hashes of the k-grams that cover them one behind the
+    other, the last one ending with them. All stretches take a step together, the longest go on."""
+    order = np.argsort(-size)
+    begin, short = first[order], -size[order]
+    last, x = begin - short - k, (-short).astype(np.uint64) * _MIX
+    n, step = len(x), 0
+    while n:
+        x[:n] = _mixed(x[:n] * _BASE + grams[np.minimum(begin[:n] + step, last[:n])])
+        step += k
+        n = int(np.searchsorted(short, -step))
+    out = np.empty_like(x)
+    out[order] = x ^ (x >> np.uint64(32))
+    return out
 
 
 #: Bytes of texts that are worked on as one array.
@@ -362,14 +362,12 @@ def _stretches(docs: DataFrame, anchor_bits, pair_bits, p: Passages, text_bits=N
         return anchor[i], first[i] + inside, np.minimum(windows[i] - inside, p.longest), of[i]
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        more, powers = p.window - 1, _powers(_JOIN)
+        more = p.window - 1
         out, size = [], 0
         for rows, texts in _batches(frames):
             joined = _Joined.make(texts, p)
             h, first, windows, of = places(joined)
-            if len(joined.grams) > len(powers[0]):
-                powers = _powers(len(joined.grams))
-            names = _digests(joined.grams, first, windows + (p.window - p.gram), powers)
+            names = _digests(joined.grams, p.gram, first, windows + more)
             one = {"anchor": h.view(np.int64), "digest": names.view(np.int64), "doc_id": rows["doc_id"].to_numpy(np.int64)[of]}
             if text_bits is None:
                 one["version"] = rows["version"].to_numpy(np.int32)[of]

@@ -183,14 +183,17 @@ def test_stretches_are_named_and_sorted_without_calls_for_each():
     assert not len(pd.concat(frames)) and n < 4 * len(rows)
 
 
-def test_stretches_have_one_name_wherever_they_lie():
-    p = sd.Passages(filter_bits=20, longest=16)
+@pytest.mark.parametrize("longest", [16, 1024])
+def test_stretches_have_one_name_wherever_they_lie(longest):
+    p = sd.Passages(filter_bits=20, longest=longest)
     grown = b"a"
     while len(grown) < 4096:
         grown += bytes(97 + 98 - x for x in grown)
     rng = random.Random(9)
     other = "".join(rng.choice("abé ") for _ in range(90_000))
     texts = [grown.decode(), grown.translate(bytes.maketrans(b"ab", b"ba")).decode(), "ab" * 300, other, "xyz" + other[:5000], other[-500:]]
+    # The sequence above and its complement, in words with a common part: sums of hashes times powers come near each other there.
+    texts += ["".join("one core of all words" + {"a": "0123456789", "b": "9876543210"}[c] for c in x[:512]) for x in texts[:2]]
     docs = pd.DataFrame({"doc_id": range(len(texts)), "version": 1, "text": texts})
     held = pd.concat(sd._stretches(Frames(docs.iloc[:4], docs.iloc[4:]), Bits(p), Bits(p), p))
     data = [x.encode() for x in texts]
