@@ -5,13 +5,16 @@ A byte goes if a string of `window` bytes that covers it also starts in a docume
 1. Anchors. The smallest hashed k-gram of a window (its anchor) and the pair of the smallest and the largest depend on
    the window's bytes alone, so equal windows agree in both. Windows whose anchor, or then whose pair, is met in one
    document only are dropped: they occur nowhere else. Each takes one shuffle of a row per value and document; values
-   met in several documents go into a Bloom filter of fixed size. Where a filter errs, or is too small for the data,
-   more text goes on to the next step, and the result is the same.
+   met in several documents go into a Bloom filter of fixed size. Where a filter errs more text goes on to the next step,
+   and the result is the same. Anchors beyond what one filter is good for are dealt out to parts, by their value; steps 1
+   (its pairs) to 4 run part by part, each with filters of its own, and leave nothing on disk but the spans.
 2. Stretches. Consecutive windows left with one anchor form a stretch of text, named by its anchor and a digest. Equal
    stretches take one another's windows by name alone, each from the smallest doc_id that holds it. Text is fetched only
    for anchors with different stretches (a third filter): equal ones become one row, before and after the shuffle, and
-   are dealt out by anchor; for an anchor with very many different stretches single windows are compared instead, summed
-   up before and after a shuffle by their bytes.
+   are dealt out by anchor. An anchor with very many different stretches is not one block: its stretches are cut where the
+   smallest gram under another hash changes, equal pieces become one row and are dealt out by that gram too, and so on, a
+   few times. What is too much for a block then is compared by single windows, summed up before and after a shuffle by
+   their bytes.
 3. Suffix sort. In each bounded block of stretches, suffixes are sorted by the difference-cover method: positions not
    divisible by three are sorted by triples and named, the names are sorted by recursion until they tell apart `window`
    bytes, the remaining suffixes are sorted by their first byte and the rank behind it, and both are merged. Suffixes
@@ -29,13 +32,14 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from streamloom.llm.common import batches
+from streamloom.llm.common import batches, removed
 from streamloom.llm.common import stored as _table
 
 #: Documents that a Python worker holds at once.
@@ -57,11 +61,20 @@ class Passages:
     longest: int = 1024
     filter_bits: int = 27
 
+    def beyond(self) -> int:
+        """Bytes of different stretches that do not stay together."""
+        return self.together * (self.longest + self.window - 1)
+
 
 def _mixed(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) * _MIX
 
 
+def _named(gram: np.ndarray) -> np.ndarray:
+    """Anchors by their grams: smallest hashes lie close together, anchors fill a filter evenly."""
+    return _mixed(gram * _BASE)
+
+
 def _gram_hashes(data: bytes, k: int) -> np.ndarray:
     """Hashes of all k-grams from the 8-byte words that cover them; their leading bits are mixed best."""
     words = np.ndarray(len(data) - 7, "<u8", data, strides=(1,)) * _BASE
@@ -131,14 +144,14 @@ class _Joined:
         """Anchor and text of the runs of windows with one anchor."""
         low = self.picked(p, np.minimum)
         at, _, of = self.runs(low)
-        return low[at], of
+        return _named(low[at]), of
 
     def pairs(self, p: Passages, passes) -> tuple[np.ndarray, ...]:
         """First window, the one behind the last, text, anchor and pair of the runs of windows with one pair, where the anchor
         passes."""
         low, high = self.picked(p, np.minimum), self.picked(p, np.maximum)
         at, stop, of = self.runs(low, high)
-        anchor = low[at]
+        anchor = _named(low[at])
         new = _begins(anchor, of)
         ok = np.repeat(passes(anchor[new]), np.diff(np.append(new, len(anchor))))
         at, stop, of, anchor = at[ok], stop[ok], of[ok], anchor[ok]
@@ -170,7 +183,7 @@ def _batches(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, lis
     for frame in frames:
         texts, begin, size = [], 0, 0
         for i, text in enumerate(frame["text"]):
-            texts.append(text.encode("utf-8", "surrogatepass"))
+            texts.append(text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text)
             size += len(texts[-1])
             if size >= _JOIN or i + 1 == len(frame):
                 yield frame.iloc[begin : i + 1], texts
@@ -272,8 +285,28 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return _table(df, f"passages-{name}", release=True)
 
 
-def _met(docs: DataFrame, p: Passages, anchor_bits=None) -> DataFrame:
-    """(value, doc_id) of the anchors of a document, or, given the filter of anchors, of the pairs of windows that pass it.
+#: Bits of a filter for a value that it is good for: beyond, the anchors are dealt out to parts.
+_BITS_EACH = 6
+
+
+def _in_part(value, part: int, parts: int):
+    """Of the 40 bits of an anchor, alike in a column and an array; all bits count, so that a part fills all of a filter."""
+    return value % 8191 % parts == part
+
+
+def _anchor_passes(anchor: np.ndarray, bits: list, p: Passages, part: tuple[int, int]) -> np.ndarray:
+    """Anchors of a part that pass all of the filters."""
+    ok = np.ones(len(anchor), bool)
+    if part[1] > 1:
+        ok &= _in_part((anchor >> np.uint64(24)).astype(np.int64), *part)
+    for b in bits:
+        ok[ok] = _passes(b.value, anchor[ok], p)
+    return ok
+
+
+def _met(docs: DataFrame, p: Passages, anchor_bits=None, part: tuple[int, int] = (0, 1)) -> DataFrame:
+    """(value, doc_id) of the anchors of a document, or, given the filter of a part's anchors, of the pairs of windows that
+    pass it.
     The 40 leading bits of the values do: what collides is only filtered less."""
 
     def values(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -282,7 +315,7 @@ def _met(docs: DataFrame, p: Passages, anchor_bits=None) -> DataFrame:
         if anchor_bits is None:
             value, of = joined.anchors(p)
         else:
-            *_, of, _, value = joined.pairs(p, lambda x: _passes(anchor_bits.value, x, p))
+            *_, of, _, value = joined.pairs(p, lambda x: _anchor_passes(x, [anchor_bits], p, part))
         both = np.sort((of.astype(np.uint64) << np.uint64(40)) | (value >> np.uint64(24)))
         both = both[_begins(both)]
         return both & np.uint64((1 << 40) - 1), (both >> np.uint64(40)).astype(np.int64)
@@ -306,14 +339,14 @@ def _met(docs: DataFrame, p: Passages, anchor_bits=None) -> DataFrame:
 _CHUNK = 1 << 13
 
 
-def _filter(met: DataFrame, p: Passages) -> np.ndarray:
-    """Bits of the values met in several documents: a table of 2^filter_bits bits, whatever the data."""
+def _shared(met: DataFrame) -> DataFrame:
+    """The values met in several documents."""
     shared = met.groupBy("value").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
-    return _bits(stored(shared.select("value"), "shared"), p)
+    return stored(shared.select("value"), "shared")
 
 
 def _bits(shared: DataFrame, p: Passages) -> np.ndarray:
-    """The filter that holds the values (40 bits) of `shared`."""
+    """The filter that holds the values (40 bits) of `shared`: a table of 2^filter_bits bits, whatever the data."""
     cells = F.array(*[F.shiftright("value", k) % (1 << p.filter_bits) for k in (40 - p.filter_bits, 0)])
     bit = shared.select(F.explode(cells).alias("bit"))
     bit = bit.select(F.expr("CAST(bit DIV 32 AS INT)").alias("word"), F.expr("shiftleft(1L, CAST(bit % 32 AS INT))").alias("m"))
@@ -325,8 +358,10 @@ def _bits(shared: DataFrame, p: Passages) -> np.ndarray:
         return pd.DataFrame({"chunk": [int(rows["chunk"].iloc[0])], "bits": [out.tobytes()]})
 
     out = np.zeros(max(_CHUNK, 1 << (p.filter_bits - 5)), np.uint32)
-    for r in stored(words.groupBy("chunk").applyInPandas(packed, "chunk int, bits binary"), "bits").toLocalIterator():
+    table = stored(words.groupBy("chunk").applyInPandas(packed, "chunk int, bits binary"), "bits")
+    for r in table.toLocalIterator():
         out[r["chunk"] * _CHUNK : (r["chunk"] + 1) * _CHUNK] = np.frombuffer(r["bits"], np.uint32)
+    removed(table)
     return out
 
 
@@ -338,15 +373,12 @@ def _passes(bits: np.ndarray, value: np.ndarray, p: Passages) -> np.ndarray:
     return ok
 
 
-def _stretches(docs: DataFrame, anchor_bits, pair_bits, p: Passages, text_bits=None) -> DataFrame:
-    """(anchor, digest, doc_id, version, first, windows) of the stretches: 64 bits tell stretches of one anchor apart. Given
-    the filter of the anchors whose text is wanted, (anchor, digest, doc_id, stretch) of theirs."""
+def _stretches(docs: DataFrame, anchor_bits, pair_bits, p: Passages, text_bits=None, part: tuple[int, int] = (0, 1)) -> DataFrame:
+    """(anchor, digest, doc_id, version, first, windows) of the stretches of a part's anchors: 64 bits tell stretches of one
+    anchor apart. Given the filter of the anchors whose text is wanted, (anchor, digest, doc_id, stretch) of theirs."""
 
     def passes(anchor: np.ndarray) -> np.ndarray:
-        ok = np.ones(len(anchor), bool)
-        for bits in (text_bits, anchor_bits) if text_bits is not None else (anchor_bits,):
-            ok[ok] = _passes(bits.value, anchor[ok], p)
-        return ok
+        return _anchor_passes(anchor, [text_bits, anchor_bits] if text_bits is not None else [anchor_bits], p, part)
 
     def places(joined: _Joined) -> tuple[np.ndarray, ...]:
         """(anchor, first window, windows, text) of the stretches."""
@@ -393,7 +425,8 @@ _RUNS = "anchor long, digest long, start int, stop int, least long"
 
 def _sorted_blocks(rows: DataFrame, p: Passages) -> DataFrame:
     """(anchor, digest, start, stop, least): runs of windows of a stretch with their smallest doc_id, where it is below the
-    smallest of the stretch. `rows` has the different stretches, (anchor, digest, stretch, least)."""
+    smallest of the stretch. `rows` has the different stretches, (anchor, digest, stretch, least), and is not a join by
+    anchor: behind one Spark takes the rows as dealt out by anchor already, and may make it a broadcast join later on."""
 
     names = ["anchor", "digest", "stretch", "least"]
 
@@ -426,8 +459,65 @@ def _sorted_blocks(rows: DataFrame, p: Passages) -> DataFrame:
     return dealt.select(*names).mapInPandas(blocks, _RUNS)
 
 
+#: Times that stretches are cut by another gram.
+_LEVELS = 5
+
+
+def _pieces(rows: DataFrame, p: Passages, level: int) -> DataFrame:
+    """(anchor, digest, start, windows, key, name, piece, least): pieces of the stretches, in which the smallest gram under a
+    hash of the level's own is the same; `key` is of that gram and the anchor, `name` of the piece."""
+    salt = np.uint64(level * int(_BASE) % (1 << 64))
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            stretches, more = frame["stretch"].tolist(), p.window - 1
+            for low in range(0, len(stretches), 1000):
+                rows, texts = frame.iloc[low : low + 1000], stretches[low : low + 1000]
+                joined = _Joined.make(texts, p)
+                least = _slide(_mixed(joined.grams ^ salt), p.window - p.gram + 1, len(joined.data) - p.window + 1, np.minimum)
+                at, stop, of = joined.runs(least)
+                out = rows[["anchor", "digest", "least"]].iloc[of].reset_index(drop=True)
+                out["start"], out["windows"] = (at - joined.offsets[of]).astype(np.int32), (stop - at).astype(np.int32)
+                out["key"] = _mixed((out["anchor"].to_numpy().view(np.uint64) * _BASE) ^ least[at]).view(np.int64)
+                out["name"] = _digests(joined.grams, p.gram, at, stop - at + more).view(np.int64)
+                out["piece"] = [joined.data[f:e] for f, e in zip(at.tolist(), (stop + more).tolist())]
+                yield out
+
+    kinds = "anchor long, digest long, least long, start int, windows int, key long, name long, piece binary"
+    return rows.select("anchor", "digest", "stretch", "least").mapInPandas(cut, kinds)
+
+
 def _single_windows(rows: DataFrame, p: Passages) -> DataFrame:
-    """The same for anchors with too many different stretches, window by window."""
+    """The same for anchors with too many different stretches: by pieces of the stretches, and in the end window by window."""
+    return _finer(rows, p, 1)
+
+
+def _finer(rows: DataFrame, p: Passages, level: int) -> DataFrame:
+    """The same, as a stored table, for anchors whose stretches were cut by a gram for each level before."""
+    if level > _LEVELS:
+        return stored(_each_window(rows, p), "windows")
+    pieces = stored(_pieces(rows, p, level), "pieces")
+    different = pieces.groupBy(F.col("key").alias("anchor"), F.col("name").alias("digest"), F.col("piece").alias("stretch"))
+    different = stored(different.agg(F.min("least").alias("least"), F.max("least").alias("most")), "different")
+    size = F.sum(F.octet_length("stretch") + 1).alias("bytes")
+    per = different.groupBy("anchor").agg(F.count(F.lit(1)).alias("k"), size, F.min("least").alias("a"), F.max("most").alias("b"))
+    several = per.where("k > 1 AND a < b").select("anchor", "bytes")
+    compared = stored(different.drop("most").join(several, "anchor"), "compared")
+    runs, deeper = _sorted_blocks(compared.where(f"bytes <= {p.beyond()}"), p), []
+    many = compared.where(f"bytes > {p.beyond()}")
+    if not many.isEmpty():
+        deeper.append(_finer(many, p, level + 1))
+        runs = runs.union(deeper[0])
+    equal = different.where("least < most").select("anchor", "digest", F.lit(0), F.lit(None).cast("int"), "least")
+    found = equal.union(runs).toDF("key", "name", "from", "to", "all")
+    begin, end = F.col("start") + F.col("from"), F.col("start") + F.coalesce("to", "windows")
+    out = pieces.drop("piece").join(found.hint("merge"), ["key", "name"]).where("all < least")
+    out = stored(out.select("anchor", "digest", begin.alias("start"), end.alias("stop"), F.col("all").alias("least")), "finer")
+    removed(pieces, different, compared, *deeper)
+    return out
+
+
+def _each_window(rows: DataFrame, p: Passages) -> DataFrame:
     at = F.explode(F.sequence(F.lit(0), F.octet_length("stretch") - p.window)).alias("start")
     windows = rows.select("anchor", "digest", "stretch", "least", at)
     windows = windows.withColumn("w", F.expr(f"substring(stretch, start + 1, {p.window})")).drop("stretch")
@@ -440,32 +530,54 @@ def _single_windows(rows: DataFrame, p: Passages) -> DataFrame:
 def covered(docs: DataFrame, p: Passages = Passages()) -> DataFrame:
     """doc_id, version (hash of the text) and `spans`, the unmerged byte spans (start, stop) that go."""
     whole = docs.where(f"doc_id IS NOT NULL AND octet_length(text) >= {p.window}").select(
-        F.col("doc_id").cast("long"), F.hash("text").alias("version"), "text"
+        F.col("doc_id").cast("long"), F.hash("text").alias("version"), F.col("text").cast("binary")
     )
-    share = docs.sparkSession.sparkContext.broadcast  # of 2^filter_bits bits, 16 MB
-    texts = whole.select("doc_id", "text")
-    anchor_bits = share(_filter(_met(texts, p), p))
-    pair_bits = share(_filter(_met(texts, p, anchor_bits), p))
-    held = stored(_stretches(whole, anchor_bits, pair_bits, p), "stretches")
+    shared = _shared(_met(whole.select("doc_id", "text"), p))
+    parts = max(1, -(-shared.count() * _BITS_EACH >> p.filter_bits))
+    spans = [_spans(whole, shared, p, (i, parts)) for i in range(parts)]
+    removed(shared)
+    if parts == 1:
+        return spans[0]
+    out = reduce(DataFrame.union, spans).groupBy("doc_id", "version").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    out = stored(out, "spans")
+    removed(*spans)
+    return out
+
+
+def _spans(whole: DataFrame, shared: DataFrame, p: Passages, part: tuple[int, int]) -> DataFrame:
+    """The spans that go by windows whose anchors are in the part."""
+    share = whole.sparkSession.sparkContext.broadcast  # of 2^filter_bits bits, 16 MB
+    anchor_bits = share(_bits(shared.where(_in_part(F.col("value"), *part)), p))
+    pairs = _shared(_met(whole.select("doc_id", "text"), p, anchor_bits, part))
+    pair_bits = share(_bits(pairs, p))
+    removed(pairs)
+    held = stored(_stretches(whole, anchor_bits, pair_bits, p, part=part), "stretches")
     names = ["anchor", "digest"]
     named = stored(held.groupBy(names).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.max("windows").alias("windows")), "names")
     several = stored(several_stretches(named, p), "anchors")
     text_bits = share(_bits(several.select(F.shiftrightunsigned("anchor", 24).alias("value")), p))
-    texts = _stretches(whole, anchor_bits, pair_bits, p, text_bits)
+    texts = _stretches(whole, anchor_bits, pair_bits, p, text_bits, part)
     different = texts.groupBy(*names, "stretch").agg(F.min("doc_id").alias("least"))
-    many = several.where(f"bytes > {p.together * (p.longest + p.window - 1)}").select("anchor")
+    many = several.where(f"bytes > {p.beyond()}").select("anchor")
+    done = [held, named, several]
     if many.isEmpty():
         runs = _sorted_blocks(different, p)
     else:
-        different = stored(different, "different")
-        runs = _sorted_blocks(different.join(many, "anchor", "left_anti"), p)
-        runs = runs.union(_single_windows(different.join(many, "anchor", "left_semi"), p))
+        different = stored(different.join(many.withColumn("many", F.lit(True)), "anchor", "left"), "different")
+        finer = _single_windows(different.where("many"), p)
+        runs = _sorted_blocks(different.where("many IS NULL"), p).union(finer)
+        done += [different, finer]
+    runs = stored(runs, "runs")
     equal = named.where("least < most").select(*names, F.lit(0).alias("start"), F.lit(None).cast("int").alias("stop"), "least")
     # Joined by shuffles at every size: what fits a broadcast in a small corpus does not in a large one.
-    gone = held.join(equal.union(stored(runs, "runs")).hint("merge"), names).where("least < doc_id")
+    gone = held.join(equal.union(runs).hint("merge"), names).where("least < doc_id")
     last = F.coalesce("stop", "windows") - 1 + p.window
     span = F.struct((F.col("first") + F.col("start")).alias("start"), (F.col("first") + last).alias("stop"))
-    return gone.groupBy("doc_id", "version").agg(F.collect_set(span).alias("spans"))
+    spans = stored(gone.groupBy("doc_id", "version").agg(F.collect_set(span).alias("spans")), "spans")
+    removed(*done, runs)
+    for bits in (anchor_bits, pair_bits, text_bits):
+        bits.destroy()
+    return spans
 
 
 def several_stretches(named: DataFrame, p: Passages) -> DataFrame:
@@ -478,7 +590,7 @@ def several_stretches(named: DataFrame, p: Passages) -> DataFrame:
 
 def _applied(docs: DataFrame, p: Passages) -> DataFrame:
     """The documents with `__spans`, null where nothing goes."""
-    gone = stored(covered(docs, p).withColumnsRenamed({"doc_id": "__id", "version": "__v", "spans": "__spans"}), "spans")
+    gone = covered(docs, p).withColumnsRenamed({"doc_id": "__id", "version": "__v", "spans": "__spans"})
     own = docs.withColumn("__version", F.hash("text"))
     on = (own["doc_id"] == gone["__id"]) & (own["__version"] == gone["__v"])
     return own.join(gone.hint("merge"), on, "left").drop("__id", "__v", "__version")

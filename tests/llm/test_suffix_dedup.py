@@ -1,5 +1,6 @@
 """Passage removal against brute force; the suffix order against sorting."""
 
+import contextlib
 import cProfile
 import hashlib
 import pstats
@@ -11,6 +12,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from streamloom.llm import common
 from streamloom.llm import suffix_dedup as sd
 from streamloom.llm.common import stored
 from tests.llm.helpers import documents, empty_documents, odd_documents
@@ -242,3 +244,63 @@ def test_texts_longer_than_a_batch(spark):
     rows = [(3, word(70_000) + passage + word(70_000)), (1, passage), (2, ""), (4, word(49)), (5, word(10) + passage[5:66])]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(repr(tuple(r)) for r in sd.report(docs).collect()) == brute(rows)
+
+
+@contextlib.contextmanager
+def settings(spark, **conf):
+    before = {k: spark.conf.get(f"spark.sql.{k.replace('__', '.')}", None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(f"spark.sql.{k.replace('__', '.')}", v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            name = f"spark.sql.{k.replace('__', '.')}"
+            spark.conf.unset(name) if v is None else spark.conf.set(name, v)
+
+
+def common_phrases(n, phrases, seed):
+    """Texts with phrases in ever other surroundings, some of them met again."""
+    rng = random.Random(seed)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    common, again = [word(24) for _ in range(phrases)], [word(40) for _ in range(10)]
+    return [(i, word(30) + rng.choice([word(20), *again]) + common[i % phrases] + rng.choice([word(20), *again]) + word(30)) for i in range(n)]
+
+
+def test_blocks_hold_whole_anchors_beside_hot_ones(spark):
+    rows = common_phrases(400, 4, 12) + common_phrases(400, 100, 13)
+    rows = [(i, text) for i, (_, text) in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    # The list of hot anchors looks too large for a broadcast, and when it is there it is not.
+    conf = {"autoBroadcastJoinThreshold": "1k", "adaptive__coalescePartitions__enabled": "false", "shuffle__partitions": "6"}
+    with settings(spark, **conf):
+        found = sd.report(docs, sd.Passages(together=12, longest=64)).collect()
+    assert sorted(repr(tuple(r)) for r in found) == brute(rows)
+
+
+def test_stretches_of_hot_anchors_are_cut_finer(spark, monkeypatch):
+    rows = common_phrases(300, 1, 14)
+    hot, windows, real, each = [], [], sd._pieces, sd._each_window
+    monkeypatch.setattr(sd, "_pieces", lambda rows, p, level: (hot.append(rows.count()), real(rows, p, level))[1])
+    monkeypatch.setattr(sd, "_each_window", lambda rows, p: (windows.append(rows.count()), each(rows, p))[1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    p = sd.Passages(together=40, longest=64)
+    assert sorted(repr(tuple(r)) for r in sd.report(docs, p).collect()) == brute(rows)
+    assert hot and hot[0] > 50 and not windows
+    monkeypatch.setattr(sd, "_LEVELS", 1)
+    p = sd.Passages(together=1, longest=64)
+    assert sorted(repr(tuple(r)) for r in sd.report(docs, p).collect()) == brute(rows) and windows
+
+
+def test_anchors_beyond_a_filter_go_in_parts_and_leave_only_spans(spark, monkeypatch, tmp_path):
+    rows = common_phrases(300, 20, 15)
+    parts, spans = [], sd._spans
+    monkeypatch.setattr(sd, "_spans", lambda whole, shared, p, part: (parts.append((part, shared.count())), spans(whole, shared, p, part))[1])
+    monkeypatch.setattr(common, "checkpoint_dir", lambda spark: f"{tmp_path}/with space")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sd.report(docs, sd.Passages(filter_bits=9)).collect()
+    assert sorted(repr(tuple(r)) for r in found) == brute(rows)
+    assert len(parts) > 2 and [x for x, _ in parts] == [(i, len(parts)) for i in range(len(parts))]
+    assert len(parts) == -(-parts[0][1] * sd._BITS_EACH // 512)
+    left = sorted(x.name.rsplit("-", 1)[0] for x in (tmp_path / "with space").iterdir())
+    assert left == ["passages-report", "passages-spans"]
